@@ -8,10 +8,10 @@ from pyspark.sql import functions as F
 
 # Universal newlines: \r\n, \r and \n end a line; nothing else does.
 NEWLINE_RE = r"\r\n|\r|\n"
-# Characters Python's str.strip() removes: Unicode White_Space plus \x1c-\x1f
-# (the class holds U+1680, U+2000..U+200A, U+2028, U+2029, U+202F, U+205F, U+3000 literally).
-_PY_WS = r"[\t\n\x0b\x0c\r\x1c-\x1f \x85\xa0  -     　]"
-PY_STRIP_RE = rf"^{_PY_WS}+|{_PY_WS}+\z"
+# Characters Python's str.strip() removes: Unicode White_Space plus \x1c-\x1f.
+PY_WHITESPACE = ("\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680"
+                 + "".join(chr(c) for c in range(0x2000, 0x200B))
+                 + "\u2028\u2029\u202f\u205f\u3000")
 
 TRIPLE_DQ = '"""'
 TRIPLE_SQ = "'''"
@@ -27,7 +27,7 @@ def split_lines(text) -> Column:
 
 
 def py_strip(line) -> Column:
-    return F.regexp_replace(_c(line), PY_STRIP_RE, "")
+    return F.btrim(_c(line), F.lit(PY_WHITESPACE))
 
 
 def occurrences(s: Column, needle: str) -> Column:
@@ -40,7 +40,12 @@ def code_line_count(text) -> Column:
     triple-quoted block. A line holding a triple quote never counts; it toggles
     the block flag unless one quote style occurs exactly twice on it.
     Null text (missing file) counts 0."""
-    lines = F.transform(split_lines(text), py_strip)
+    return code_line_count_of_lines(split_lines(text))
+
+
+def code_line_count_of_lines(raw_lines) -> Column:
+    """`code_line_count` over an already split array<string> of raw lines."""
+    lines = F.transform(_c(raw_lines), py_strip)
 
     def step(acc, line):
         has_q = (F.instr(line, TRIPLE_DQ) > 0) | (F.instr(line, TRIPLE_SQ) > 0)
@@ -58,9 +63,10 @@ def code_line_count(text) -> Column:
     return F.coalesce(F.aggregate(lines, init, step, lambda acc: acc["n"]), F.lit(0).cast("bigint"))
 
 
-def line_count(text) -> Column:
+def line_count(text, raw_lines=None) -> Column:
     """Number of lines as a line reader yields them (0 for empty text)."""
     t = _c(text)
+    lines = split_lines(t) if raw_lines is None else _c(raw_lines)
     ends_nl = t.rlike(r"(\r|\n)\z")
     return (F.when(t.isNull() | (t == ""), F.lit(0))
-            .otherwise(F.size(split_lines(t)) - F.when(ends_nl, 1).otherwise(0))).cast("bigint")
+            .otherwise(F.size(lines) - F.when(ends_nl, 1).otherwise(0))).cast("bigint")

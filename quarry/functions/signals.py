@@ -33,16 +33,17 @@ def license_ok(license_col, allowed=ALLOWED_LICENSES, accept_null: bool = True)
 
 # --- C2 native lint signals --------------------------------------------------
 
-def lint_counts(text, rules: LintRules = LintRules()) -> Column:
+def lint_counts(text, rules: LintRules = LintRules(), raw_lines=None) -> Column:
     """struct of convention/warning finding counts for one file, computed with
-    array functions over the file's lines (no explode, no shuffle)."""
+    array functions over the file's lines (no explode, no shuffle).
+    `raw_lines` may name an already split line array of `text`."""
     t = _c(text)
-    raw = split_lines(t)
+    raw = split_lines(t) if raw_lines is None else _c(raw_lines)
     long_lines = F.size(F.filter(raw, lambda l: F.length(l) > rules.max_line_length))
     trailing_ws = F.size(F.filter(raw, lambda l: l.rlike(r"[ \t]\z")))
     missing_final_nl = F.when((t != "") & ~t.rlike(r"(\r|\n)\z"), 1).otherwise(0)
     trailing_nls = F.when(t.rlike(r"(\r\n|\r|\n)[ \t]*(\r\n|\r|\n)[ \t\r\n]*\z"), 1).otherwise(0)
-    too_many = F.when(line_count(t) > rules.max_module_lines, 1).otherwise(0)
+    too_many = F.when(line_count(t, raw) > rules.max_module_lines, 1).otherwise(0)
     if rules.check_fixme:
         fixme = F.size(F.filter(raw, lambda l: l.rlike(r"#.*\b(FIXME|TODO|XXX)\b")))
     else:
@@ -102,10 +103,11 @@ def complexity_summary(block_complexities) -> Column:
 # --- rounding / number formatting -------------------------------------------
 
 def round2(x) -> Column:
-    """Round to 2 places as round(x*100)/100 with ties away from zero: equal to
-    Python's round() except on exact binary ties (x*100 exactly k+0.5, where
-    Python rounds to even), and independent of how x prints as decimal text
-    (Spark's round(x, 2) would round 2.445 -- binary 2.44499.. -- up)."""
+    """Round to 2 places as round(x*100)/100, ties away from zero — the SQL
+    engines' double rounding. It equals Python's round() except where the
+    product x*100 is (or rounds to) exactly k+0.5, e.g. 2.675 -> 2.68 here,
+    2.67 in Python. Unlike Spark's round(x, 2) it does not depend on the
+    decimal text of x (that would round 2.445, binary 2.44499.., up)."""
     return F.round(_c(x) * F.lit(100.0)) / F.lit(100.0)
 
 

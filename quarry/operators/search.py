@@ -67,12 +67,14 @@ def search(files: DataFrame, repos: DataFrame, links: DataFrame | None = None, q
     if suitable_only:
         base = base.filter(F.col("is_suitable"))
     base = base.select(*RESULT_COLS)
-    ordered = base.orderBy(F.desc_nulls_last("quality_score"), F.asc("id"))
+    order = [F.desc_nulls_last("quality_score"), F.asc("id")]
+    ordered = base.orderBy(*order)
     lim = normalize_limit(limit)
     if lim is not None:
         ordered = ordered.limit(lim)
     if with_tags and links is not None:
-        ordered = attach_tags(ordered, links, restrict=lim is not None)
+        # the join does not keep row order: sort the (at most `limit`) rows again
+        ordered = attach_tags(ordered, links, restrict=lim is not None).orderBy(*order)
     return ordered
 
 

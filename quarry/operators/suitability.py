@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry import schema as S
-from quarry.functions.lines import code_line_count
+from quarry.functions.lines import code_line_count_of_lines, split_lines
 from quarry.functions.signals import license_ok, lint_counts, lint_score, py_fixed1, py_str_float, round2
 from quarry.schema import Thresholds
 
@@ -30,9 +30,12 @@ def add_signals(df: DataFrame, text_col: str = "content", th: Thresholds = Thres
     """Add code_lines, lint_findings, quality_score_raw (clamped, unrounded) and
     quality_score (rounded to 2 places). An external score column, when given
     and non-null, replaces the native lint score."""
-    out = df.withColumn("code_lines", F.when(F.col(text_col).isNull(), F.lit(0).cast("bigint"))
-                        .otherwise(code_line_count(text_col)))
-    out = out.withColumn("lint_findings", lint_counts(text_col, th.lint))
+    # split once; both signals read the same line array
+    out = df.withColumn("_lines", split_lines(text_col))
+    out = out.withColumns({
+        "code_lines": F.when(F.col(text_col).isNull(), F.lit(0).cast("bigint"))
+                       .otherwise(code_line_count_of_lines(F.col("_lines"))),
+        "lint_findings": lint_counts(text_col, th.lint, F.col("_lines"))}).drop("_lines")
     native = F.when(F.col(text_col).isNull(), F.lit(0.0)).otherwise(
         lint_score(F.col("lint_findings"), F.col("code_lines")))
     score = native if external_score is None else F.coalesce(F.col(external_score), native)

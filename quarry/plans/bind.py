@@ -44,7 +44,8 @@ EVENT_SEQ = 1_000_000_000
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    from quarry.sources.tables import spread
+    return spread(spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet"))
 
 
 def source_no(source: Column) -> Column:
@@ -79,6 +80,36 @@ def paragraph_complexities(text: Column) -> Column:
         F.lit(1) + F.length(p) - F.length(F.replace(p, F.lit(","), F.lit("")))).cast("bigint"))
 
 
+def python_module(doc_id: Column, text: Column) -> Column:
+    """b_pysource: a Python module per document — class Doc<id> with one method
+    per text line and, per comma of the line, one branch construct cycling
+    if / for / while / conditional expression. Method complexity is therefore
+    1 + commas, which SQL can compute from the text alone."""
+    constructs = {
+        0: "        if x:\n            x = x - 1\n",
+        1: "        for y in x:\n            x = y\n",
+        2: "        while x:\n            break\n",
+        3: "        x = 1 if x else 0\n",
+    }
+
+    def method(line, i):
+        k = F.length(line) - F.length(F.replace(line, F.lit(","), F.lit("")))
+        pick = lambda j: (F.when(F.pmod(j, F.lit(4)) == 1, F.lit(constructs[1]))
+                          .when(F.pmod(j, F.lit(4)) == 2, F.lit(constructs[2]))
+                          .when(F.pmod(j, F.lit(4)) == 3, F.lit(constructs[3]))
+                          .otherwise(F.lit(constructs[0])))
+        body = F.when(k > 0, F.array_join(F.transform(F.sequence(F.lit(1), k), pick), "")).otherwise(F.lit(""))
+        return F.concat(F.lit("    def m"), i.cast("string"), F.lit("(self, x):\n"), body, F.lit("        return x\n"))
+
+    return F.concat(F.lit("class Doc"), doc_id.cast("string"), F.lit(":\n"),
+                    F.array_join(F.transform(split_lines(text), method), ""))
+
+
+def b_pysource(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return docs.select(F.col("doc_id").alias("file_id"), python_module(F.col("doc_id"), F.col("text")).alias("content"))
+
+
 def downloaded_text(doc_id: Column) -> Column:
     ts = F.lit("2024-01-01 00:00:00").cast("timestamp_ntz") + F.make_dt_interval(
         F.lit(0), F.lit(0), doc_id.cast("int"), F.lit(0))

@@ -653,3 +653,36 @@ def k3_curate_job(spark, sf):
     res = curate(spark, B.b_landing(spark, sf), B.b_files_core(spark, sf).select("local_path", "content"),
                  B.BIND_THRESHOLDS, job_id=1, query="bound corpus")
     return res["job"]
+
+
+# --- streaming: J1 J3 -------------------------------------------------------------------
+
+_STREAM_COLS = ("repo_full_name, name, path, url, local_path, quality_score, code_lines, is_suitable, "
+                "unsuitable_reason, complexity_avg, complexity_max, function_count, downloaded_at")
+
+
+def _landing_batches(landing):
+    v = (F.col("seq") / F.lit(B.COPY_SEQ)).cast("int")
+    return [landing.filter(v == 0), landing.filter(v == 1), landing.filter(v >= 2)]
+
+
+@query("j1_incremental_ingest", O.sql(["c_files"], f"SELECT {_STREAM_COLS} FROM c_files"))
+def j1_incremental_ingest(spark, sf):
+    """Landing arriving in three file batches, ingested by an available-now
+    stream resumed from one checkpoint; equals the batch import."""
+    from quarry.streaming.ingest import replay_landing_batches
+    files = replay_landing_batches(spark, _landing_batches(B.b_landing(spark, sf)))
+    return files.select(*[c.strip() for c in _STREAM_COLS.split(",")])
+
+
+@query("j3_incremental_scoring", O.sql(["c_files"], f"SELECT {_STREAM_COLS} FROM c_files"))
+def j3_incremental_scoring(spark, sf):
+    """Unscored landing batches judged inside the stream (only new rows are
+    scored) before the insert-if-absent append."""
+    from quarry.streaming.ingest import replay_landing_batches
+    landing = B.b_landing(spark, sf)
+    for c in ("quality_score", "code_lines", "is_suitable", "unsuitable_reason"):
+        landing = landing.withColumn(c, F.lit(None).cast(landing.schema[c].dataType))
+    contents = B.b_files_core(spark, sf).select("local_path", "content")
+    files = replay_landing_batches(spark, _landing_batches(landing), contents, B.BIND_THRESHOLDS)
+    return files.select(*[c.strip() for c in _STREAM_COLS.split(",")])

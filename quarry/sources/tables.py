@@ -20,6 +20,18 @@ CATALOG_TABLES = ("repositories", "files", "tags", "file_tags", "contents", "lan
 REPO_BUCKETS = 64
 
 
+def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
+    """Scan fan-out: a scan with fewer partitions than the cluster has cores
+    (e.g. one file holding one row group) is spread round-robin so the per-row
+    text work runs on every core. Scans that already have enough partitions —
+    any large, multi-file input — are returned untouched (no shuffle)."""
+    spark = df.sparkSession
+    want = min_partitions or spark.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= want:
+        return df
+    return df.repartition(want)
+
+
 def with_bucket(df: DataFrame, key: str, buckets: int = REPO_BUCKETS) -> DataFrame:
     return df.withColumn("bucket", F.pmod(F.xxhash64(F.col(key)), F.lit(buckets)).cast("int"))
 
