@@ -74,7 +74,7 @@ def search(files: DataFrame, repos: DataFrame, links: DataFrame | None = None, q
         ordered = ordered.limit(lim)
     if with_tags and links is not None:
         # the join does not keep row order: sort the (at most `limit`) rows again
-        ordered = attach_tags(ordered, links, restrict=lim is not None).orderBy(*order)
+        ordered = attach_tags(ordered, links, restrict=lim is not None, max_rows=lim).orderBy(*order)
     return ordered
 
 

@@ -38,9 +38,12 @@ def batch_ops(file_ids: DataFrame, tag: str, action: str, seq_base: int, id_col:
 
 
 def fold_links(ops: DataFrame) -> DataFrame:
-    """Current (file_id, tag) links: last action per pair is 'add'."""
-    last = ops.groupBy("file_id", "tag").agg(F.max_by("action", "seq").alias("last_action"))
-    return last.filter(F.col("last_action") == "add").select("file_id", "tag")
+    """Current (file_id, tag) links: last action per pair is 'add'. The action
+    is folded as an int so the aggregation buffer is fixed-width and Spark
+    uses a (partial + final) hash aggregate instead of a sort aggregate."""
+    is_add = (F.col("action") == "add").cast("int")
+    last = ops.groupBy("file_id", "tag").agg(F.max_by(is_add, F.col("seq")).alias("last_add"))
+    return last.filter(F.col("last_add") == 1).select("file_id", "tag")
 
 
 def tag_table(ops: DataFrame) -> DataFrame:
@@ -71,12 +74,22 @@ def tag_lists(links: DataFrame) -> DataFrame:
     return links.groupBy("file_id").agg(F.sort_array(F.collect_set("tag")).alias("tags"))
 
 
-def attach_tags(files: DataFrame, links: DataFrame, restrict: bool = True) -> DataFrame:
+# Largest id set that is broadcast by hint (8-byte ids -> at most ~0.8 MB).
+MAX_BROADCAST_IDS = 100_000
+
+
+def attach_tags(files: DataFrame, links: DataFrame, restrict: bool = True,
+                max_rows: int | None = None) -> DataFrame:
     """D3: add `tags` (sorted array, [] when none) to each row of `files`.
     With `restrict` the link set is first semi-joined to the ids at hand, so
-    after a top-k only those k files' links are aggregated."""
+    after a top-k only those k files' links are aggregated. `max_rows` is a
+    proven bound on `files` (e.g. the search limit); only under such a bound
+    is the id set broadcast by hint — otherwise AQE decides from measured sizes."""
     if restrict:
-        links = links.join(files.select(F.col("id").alias("file_id")), "file_id", "left_semi")
+        ids = files.select(F.col("id").alias("file_id"))
+        if max_rows is not None and max_rows <= MAX_BROADCAST_IDS:
+            ids = F.broadcast(ids)
+        links = links.join(ids, "file_id", "left_semi")
     lists = tag_lists(links).withColumnRenamed("file_id", "id")
     return files.join(lists, "id", "left").withColumn(
         "tags", F.coalesce(F.col("tags"), F.array().cast("array<string>")))

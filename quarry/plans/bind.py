@@ -17,6 +17,8 @@ over deterministic views derived from them by Spark (their SQL twins live in
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,9 +45,34 @@ NOLOCAL_SEQ = 3_000_000_000
 EVENT_SEQ = 1_000_000_000
 
 
+# Tables whose rows carry text that the operators parse per row; only these
+# are worth fanning out when a scan yields fewer partitions than cores.
+TEXT_TABLES = ("documents", "pages", "conversations")
+
+
+def session_cached(fn):
+    """Memoize a view builder per (Spark application, session, arguments).
+    DataFrames are immutable lazy plans, so queries that share a view reuse
+    one plan object instead of rebuilding (and re-analysing) it."""
+    cache: dict = {}
+
+    @functools.wraps(fn)
+    def wrapper(spark, *args, **kw):
+        key = (spark.sparkContext.applicationId, id(spark), args, tuple(sorted(kw.items())))
+        if key not in cache:
+            cache[key] = fn(spark, *args, **kw)
+        return cache[key]
+
+    wrapper.cache = cache
+    return wrapper
+
+
+@session_cached
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     from quarry.sources.tables import spread
-    return spread(spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet"))
+    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
+    df = spark.read.parquet(path)
+    return spread(df, key=path) if name in TEXT_TABLES else df
 
 
 def source_no(source: Column) -> Column:
@@ -105,6 +132,7 @@ def python_module(doc_id: Column, text: Column) -> Column:
                     F.array_join(F.transform(split_lines(text), method), ""))
 
 
+@session_cached
 def b_pysource(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     return docs.select(F.col("doc_id").alias("file_id"), python_module(F.col("doc_id"), F.col("text")).alias("content"))
@@ -116,10 +144,12 @@ def downloaded_text(doc_id: Column) -> Column:
     return F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss")
 
 
+@session_cached
 def b_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source", "n_chars")
 
 
+@session_cached
 def b_repos(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Repository listing: one row per (source, lang)."""
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "n_chars")
@@ -141,6 +171,7 @@ def b_repos(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@session_cached
 def b_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Files with their synthetic source text (`content`) and repo attributes
     including stars (joined from the per-repo aggregate; AQE broadcasts it
@@ -150,6 +181,7 @@ def b_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return b_files_core(spark, sf_dir).join(repos, "repo_full_name", "left")
 
 
+@session_cached
 def b_files_core(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Files without repository aggregates (no join)."""
     docs = b_docs(spark, sf_dir)
@@ -174,6 +206,7 @@ def b_files_core(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files
 
 
+@session_cached
 def b_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Source-file listing (name, path, url, sha, size) with nesting depth 0..2
     and a non-.py suffix on every fifth size."""
@@ -190,6 +223,7 @@ def b_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.md5(F.col("text")).alias("sha"), F.col("n_chars").cast("bigint").alias("size"))
 
 
+@session_cached
 def b_scored_files(spark: SparkSession, sf_dir: str, th: Thresholds = BIND_THRESHOLDS) -> DataFrame:
     from quarry.functions.signals import complexity_summary
     scored = score_and_judge(b_files(spark, sf_dir), th)
@@ -201,6 +235,7 @@ LANDING_COLS = ["repo_name", "repo_full_name", "repo_url", "repo_stars", "repo_l
                 "downloaded_at", "code_lines", "complexity", "is_suitable", "unsuitable_reason"]
 
 
+@session_cached
 def b_landing(spark: SparkSession, sf_dir: str, th: Thresholds = BIND_THRESHOLDS) -> DataFrame:
     """Landing rows in arrival order `seq`: every scored file once (variant 0);
     a later re-scored copy of every tenth file (1); rows without repository
@@ -226,11 +261,13 @@ def b_landing(spark: SparkSession, sf_dir: str, th: Thresholds = BIND_THRESHOLDS
         (v.cast("bigint") * F.lit(COPY_SEQ) + fid).alias("seq"), "lang")
 
 
+@session_cached
 def b_contents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """contents table: file id -> source text (kept apart from metadata)."""
     return b_files(spark, sf_dir).select(F.col("file_id").alias("id"), "content")
 
 
+@session_cached
 def b_file_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tag additions: (doc, lang), plus 'quality' / 'toxic' from labels."""
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "lang")
@@ -245,6 +282,7 @@ def b_file_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
         .select("file_id", "tag", "action", F.col("seq").cast("bigint"))
 
 
+@session_cached
 def b_event_tag_ops(spark: SparkSession, sf_dir: str) -> DataFrame:
     """`events` as a tag log: user -> file, event type -> tag; every third
     event removes, the rest add."""
@@ -255,11 +293,13 @@ def b_event_tag_ops(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.lit(EVENT_SEQ) + F.col("event_id")).cast("bigint").alias("seq"))
 
 
+@session_cached
 def b_tag_ops(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole tag log: label-derived additions first, then the event log."""
     return b_file_tags(spark, sf_dir).unionByName(b_event_tag_ops(spark, sf_dir))
 
 
+@session_cached
 def b_job_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """`events` as job status events: job = user, error -> failed,
     purchase -> completed, anything else -> in progress."""
@@ -278,6 +318,7 @@ def b_job_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@session_cached
 def b_content_updates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """`conversations` turns as content replacements of file `conv_id`,
     applied in turn order (last wins)."""

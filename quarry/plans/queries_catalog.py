@@ -22,6 +22,7 @@ from quarry.plans.registry import query
 
 # --- shared Spark-side catalogue ------------------------------------------------
 
+@B.session_cached
 def catalog(spark, sf):
     repos, files, _, _ = C.import_landing(B.b_landing(spark, sf))
     return repos, files
@@ -31,6 +32,7 @@ def tag_log(spark, sf):
     return B.b_tag_ops(spark, sf)
 
 
+@B.session_cached
 def links(spark, sf):
     return TG.fold_links(tag_log(spark, sf))
 

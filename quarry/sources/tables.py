@@ -20,14 +20,26 @@ CATALOG_TABLES = ("repositories", "files", "tags", "file_tags", "contents", "lan
 REPO_BUCKETS = 64
 
 
-def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
+_SCAN_PARTITIONS: dict[tuple, int] = {}
+
+
+def scan_partitions(df: DataFrame, key) -> int:
+    """Number of scan partitions of `df`, planned once per (application, key)."""
+    k = (df.sparkSession.sparkContext.applicationId, key)
+    if k not in _SCAN_PARTITIONS:
+        _SCAN_PARTITIONS[k] = df.rdd.getNumPartitions()
+    return _SCAN_PARTITIONS[k]
+
+
+def spread(df: DataFrame, min_partitions: int | None = None, key=None) -> DataFrame:
     """Scan fan-out: a scan with fewer partitions than the cluster has cores
     (e.g. one file holding one row group) is spread round-robin so the per-row
     text work runs on every core. Scans that already have enough partitions —
     any large, multi-file input — are returned untouched (no shuffle)."""
     spark = df.sparkSession
     want = min_partitions or spark.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= want:
+    n = scan_partitions(df, key) if key is not None else df.rdd.getNumPartitions()
+    if n >= want:
         return df
     return df.repartition(want)
 
