@@ -46,16 +46,13 @@ def last_jobs(states: DataFrame, n: int = JOB_HISTORY_LIMIT) -> DataFrame:
 
 
 def progress(events: DataFrame, group: str = "job_id", order: str = "seq") -> DataFrame:
-    """C11: (i+1)/total*100 of each event within its job.
-
-    Ranking uses a window per job; the total comes from a separate aggregate
-    (map-side combined) joined back on the job key."""
-    from pyspark.sql import Window
-    w = Window.partitionBy(group).orderBy(order)
-    ranked = events.select(group, order, F.row_number().over(w).alias("step"))
-    totals = events.groupBy(group).agg(F.count(F.lit(1)).alias("total"))
-    return ranked.join(totals, group, "inner").select(
-        group, order, "step", "total", (F.col("step") / F.col("total") * 100).alias("percent"))
+    """C11: (i+1)/total*100 of each event within its job. The position comes
+    from a range-partitioned rank (see `operators.ranking`), so a job with a
+    huge share of all events is spread over many tasks."""
+    from quarry.operators.ranking import rank_within_group
+    ranked = rank_within_group(events.select(group, order), group, order)
+    return ranked.select(group, order, "step", F.col("total").cast("bigint").alias("total"),
+                         (F.col("step") / F.col("total") * 100).alias("percent"))
 
 
 def job_event(files_downloaded: DataFrame, verdicts: DataFrame, job_id: int, query: str) -> DataFrame:

@@ -688,3 +688,14 @@ def j3_incremental_scoring(spark, sf):
     contents = B.b_files_core(spark, sf).select("local_path", "content")
     files = replay_landing_batches(spark, _landing_batches(landing), contents, B.BIND_THRESHOLDS)
     return files.select(*[c.strip() for c in _STREAM_COLS.split(",")])
+
+
+@query("j2_job_status_stream", O.sql(["c_jobs"], f"SELECT {_JOB_COLS} FROM c_jobs"))
+def j2_job_status_stream(spark, sf):
+    """Job states maintained by a streaming aggregation over two event batches;
+    equals the batch fold."""
+    from quarry.streaming.jobs import replay_job_events
+    ev = B.b_job_events(spark, sf)
+    half = ev.agg(F.percentile_approx("seq", 0.5).alias("m")).first()["m"]  # one scalar, split point only
+    states = replay_job_events(spark, [ev.filter(F.col("seq") <= half), ev.filter(F.col("seq") > half)])
+    return states.select(*[c.strip() for c in _JOB_COLS.split(",")])

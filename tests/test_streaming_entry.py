@@ -60,3 +60,38 @@ def test_stream_equals_batch_and_replay(spark):
     a = sorted(tuple(r) for r in stream_files.select(*cols).collect())
     b = sorted(tuple(r) for r in batch_files.select(*cols).collect())
     assert a == b
+
+
+def test_job_stream_equals_batch(spark):
+    from pyspark.sql import functions as F
+
+    from quarry.operators.jobs import job_states
+    from quarry.plans import bind as B
+    from quarry.streaming.jobs import replay_job_events
+    ev = B.b_job_events(spark, SF001)
+    streamed = replay_job_events(spark, [ev.filter(F.col("seq") % 2 == 0), ev.filter(F.col("seq") % 2 == 1)])
+    cols = ["id", "status", "files_downloaded", "n_events", "end_time"]
+    assert sorted(tuple(r) for r in streamed.select(*cols).collect()) == \
+        sorted(tuple(r) for r in job_states(ev).select(*cols).collect())
+
+
+def test_cli_roundtrip(spark, tmp_path, capsys):
+    from quarry import cli
+    from quarry.plans import bind as B
+    from quarry.sources.landing import write_landing
+    landing = str(tmp_path / "landing")
+    write_landing(B.b_landing(spark, SF001), landing)
+    cat = str(tmp_path / "cat")
+    cli.main(["import", "--landing", landing, "--catalog", cat], spark)
+    out = capsys.readouterr().out
+    n_files = B.b_landing(spark, SF001).filter("seq < 1000000000").count()
+    assert f"{n_files} files" in out
+    cli.main(["import", "--landing", landing, "--catalog", cat], spark)
+    assert "0 repositories, 0 files" in capsys.readouterr().out       # idempotent
+    ids = [str(r["id"]) for r in spark.read.parquet(cat + "/files").orderBy("id").limit(2).collect()]
+    cli.main(["tag", "--catalog", cat, "--ids", ",".join(ids), "--tag", "keep"], spark)
+    cli.main(["search", "--catalog", cat, "--tags", "keep", "--limit", "5"], spark)
+    assert "keep" in capsys.readouterr().out
+    cli.main(["stats", "--catalog", cat], spark)
+    cli.main(["export", "--catalog", cat, "--out", str(tmp_path / "exp.csv")], spark)
+    cli.main(["backup", "--catalog", cat, "--out", str(tmp_path / "bk")], spark)
