@@ -89,7 +89,7 @@ def test_cli_roundtrip(spark, tmp_path, capsys):
     cli.main(["import", "--landing", landing, "--catalog", cat], spark)
     assert "0 repositories, 0 files" in capsys.readouterr().out       # idempotent
     ids = [str(r["id"]) for r in spark.read.parquet(cat + "/files").orderBy("id").limit(2).collect()]
-    cli.main(["tag", "--catalog", cat, "--ids", ",".join(ids), "--tag", "keep"], spark)
+    cli.main(["tag", "--catalog", cat, "--ids=" + ",".join(ids), "--tag", "keep"], spark)   # ids may be negative
     cli.main(["search", "--catalog", cat, "--tags", "keep", "--limit", "5"], spark)
     assert "keep" in capsys.readouterr().out
     cli.main(["stats", "--catalog", cat], spark)
