@@ -207,9 +207,7 @@ def b_files_core(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @session_cached
-def b_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Source-file listing (name, path, url, sha, size) with nesting depth 0..2
-    and a non-.py suffix on every fifth size."""
+def _listing_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = b_docs(spark, sf_dir)
     full = repo_full_name(F.col("source"), F.col("lang"))
     name = F.concat(F.lit("doc_"), F.col("doc_id").cast("string"),
@@ -220,7 +218,21 @@ def b_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select(
         full.alias("repo_full_name"), name.alias("name"), path.alias("path"),
         F.concat(F.lit(HOST_URL), full, F.lit("/blob/master/"), path).alias("url"),
-        F.md5(F.col("text")).alias("sha"), F.col("n_chars").cast("bigint").alias("size"))
+        F.md5(F.col("text")).alias("sha"), F.col("n_chars").cast("bigint").alias("size"), "text")
+
+
+@session_cached
+def b_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Source-file listing (name, path, url, sha, size) with nesting depth 0..2
+    and a non-.py suffix on every fifth size."""
+    return _listing_rows(spark, sf_dir).drop("text")
+
+
+@session_cached
+def b_file_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base64 bodies of the listed files (what the code host would return)."""
+    return _listing_rows(spark, sf_dir).select(
+        "repo_full_name", "path", F.base64(F.encode(F.col("text"), "UTF-8")).alias("content_b64"))
 
 
 @session_cached

@@ -195,6 +195,14 @@ SELECT source || '/' || lang AS repo_full_name,
        md5(text) AS sha, CAST(n_chars AS BIGINT) AS size
 FROM documents""")
 
+_view("b_bodies", [], """
+SELECT source || '/' || lang AS repo_full_name,
+       lang || '/' || CASE doc_id % 3 WHEN 0 THEN '' WHEN 1 THEN 'pkg/' ELSE 'pkg/sub/' END
+            || 'doc_' || CAST(doc_id AS VARCHAR) || CASE WHEN n_chars % 5 = 0 THEN '.md' ELSE '.py' END AS path,
+       'doc_' || CAST(doc_id AS VARCHAR) || CASE WHEN n_chars % 5 = 0 THEN '.md' ELSE '.py' END AS name,
+       text AS content, """ + _LICENSE_CASE + """ AS repo_license
+FROM documents""")
+
 _view("b_job_events", [], """
 SELECT CAST(user_id AS BIGINT) AS job_id, CAST(event_id AS BIGINT) AS seq, ts,
        'user:' || CAST(user_id AS VARCHAR) AS query,

@@ -699,3 +699,54 @@ def j2_job_status_stream(spark, sf):
     half = ev.agg(F.percentile_approx("seq", 0.5).alias("m")).first()["m"]  # one scalar, split point only
     states = replay_job_events(spark, [ev.filter(F.col("seq") <= half), ev.filter(F.col("seq") > half)])
     return states.select(*[c.strip() for c in _JOB_COLS.split(",")])
+
+
+# --- composed collection jobs: K1 K2 ---------------------------------------------
+
+_K_COLS = "repo_full_name, file_path, local_path, code_lines, quality_score, is_suitable, unsuitable_reason"
+
+
+def _k_sql(where_repos: str, cap: int | None) -> str:
+    from quarry.plans.queries_signals import _verdict_body
+    capped = f"WHERE rank <= {cap}" if cap is not None else ""
+    return O.sql(["b_repos", "b_bodies"], f"""
+, picked AS (SELECT full_name FROM b_repos {where_repos}),
+  listed AS (SELECT * FROM (
+      SELECT b.*, row_number() OVER (PARTITION BY b.repo_full_name
+                                     ORDER BY length(b.path) - length(replace(b.path, '/', '')), b.path) AS rank
+      FROM b_bodies b JOIN picked p ON b.repo_full_name = p.full_name WHERE suffix(b.name, '.py')) {capped}),
+  judged AS ({_verdict_body("listed", O.MIN_Q, O.MIN_L, O.MAX_L, O.LONG)})
+SELECT repo_full_name, path AS file_path,
+       'collected_code/' || replace(repo_full_name, '/', '_') || '/' || path AS local_path,
+       code_lines, round(q, 2) AS quality_score, reason_code = 'ok' AS is_suitable,
+       {_reason_case('repo_license', 'code_lines', 'q')} AS unsuitable_reason
+FROM judged""").replace(")\n, picked", "),\n picked", 1)
+
+
+def _reason_case(lic, lines, q):
+    return (f"CASE reason_code WHEN 'ok' THEN NULL "
+            f"WHEN 'license' THEN '라이센스 호환성 문제 (' || coalesce({lic}, 'None') || ')' "
+            f"WHEN 'too_few_lines' THEN '코드 라인 수 부족 (' || CAST({lines} AS VARCHAR) || ' < {O.MIN_L})' "
+            f"WHEN 'too_many_lines' THEN '코드 라인 수 초과 (' || CAST({lines} AS VARCHAR) || ' > {O.MAX_L})' "
+            f"WHEN 'low_quality' THEN '품질 점수 미달 (' || {O.py_fixed1(f'coalesce({q}, 0.0)')} || ' < {O.MIN_Q!r})' "
+            f"ELSE '파일이 존재하지 않음' END")
+
+
+@query("k1_collect_by_query", _k_sql("WHERE stars > 1000 ORDER BY stars DESC, full_name LIMIT 5", 3))
+def k1_collect_by_query(spark, sf):
+    """Collect by query: 5 repositories with most stars (> 1000), first 3 .py
+    files of each breadth-first, bodies decoded, scored and judged."""
+    from quarry.plans.curate import collect_by_query
+    out = collect_by_query(B.b_repos(spark, sf), B.b_listing(spark, sf), B.b_file_bodies(spark, sf),
+                           B.BIND_THRESHOLDS, max_repos=5, max_files_per_repo=3, min_stars=1000)
+    return out.select(*[c.strip() for c in _K_COLS.split(",")])
+
+
+@query("k2_collect_repository", _k_sql("WHERE full_name = 'src3/en'", None))
+def k2_collect_repository(spark, sf):
+    """Collect one repository given by URL (all its .py files), with the
+    repository record defaulted when the listing lacks it."""
+    from quarry.plans.curate import collect_repository
+    out = collect_repository(spark, "https://github.com/src3/en", B.b_repos(spark, sf), B.b_listing(spark, sf),
+                             B.b_file_bodies(spark, sf), B.BIND_THRESHOLDS)
+    return out.select(*[c.strip() for c in _K_COLS.split(",")])

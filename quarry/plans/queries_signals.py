@@ -121,6 +121,10 @@ def b3_verdict(spark, sf):
 
 
 def _verdict_sql(min_q, min_l, max_l, long_len):
+    return _verdict_body("b_files_core", min_q, min_l, max_l, long_len)
+
+
+def _verdict_body(source, min_q, min_l, max_l, long_len):
     return f"""
 SELECT *, CASE WHEN content IS NULL THEN 'missing_file'
        WHEN NOT {O.license_ok('repo_license')} THEN 'license'
@@ -129,7 +133,7 @@ SELECT *, CASE WHEN content IS NULL THEN 'missing_file'
        WHEN coalesce(q, 0.0) < {min_q} THEN 'low_quality' ELSE 'ok' END AS reason_code
 FROM (SELECT *, CASE WHEN code_lines > 0 THEN greatest(0.0::DOUBLE, 10.0::DOUBLE - (w * 10) / code_lines) ELSE 0.0::DOUBLE END AS q
       FROM (SELECT *, {O.code_lines('content')} AS code_lines, CAST({O.lint_weighted('content', long_len)} AS BIGINT) AS w
-            FROM b_files_core))"""
+            FROM {source}))"""
 
 
 @query("b5_default_thresholds", O.sql(["b_files_core"], f"""
