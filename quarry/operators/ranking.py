@@ -2,14 +2,20 @@
 
 `row_number()` over a window partitioned by the group sends a whole group to
 one task; a group holding a third of all rows then makes one straggler task.
-Here rows are range-partitioned on (group, order) — a hot group is cut across
-many partitions — and numbered locally; a small table of per-(partition,
-group) counts gives each piece its offset (prefix sum over the partitions the
-group spans), which is joined back. The small table has at most
+Here the (group, order) keys are range-partitioned — a hot group is cut
+across many partitions — and numbered locally; a small table of
+per-(partition, group) counts gives each piece its offset (prefix sum over
+the partitions the group spans). The small table has at most
 partitions + groups rows.
 
-`order` must be unique within a group (e.g. an event sequence number): the
-two passes over the shuffled partition must see the same row order.
+Range bounds come from sampling that Spark seeds per RDD, so two
+evaluations of the same range shuffle may cut differently. The numbered keys
+are therefore materialised once with a reliable `checkpoint()` (in the
+shared checkpoint folder) and both the counts and the positions are read
+from that one copy — which also cuts the lineage, so a lost executor
+recomputes nothing upstream.
+
+`order` must be unique within a group (e.g. an event sequence number).
 """
 
 from __future__ import annotations
@@ -17,24 +23,29 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarry.session import checkpoint_root
+
 _LOW_BITS = (1 << 33) - 1
 
 
 def rank_within_group(df: DataFrame, group: str, order: str, partitions: int | None = None) -> DataFrame:
-    """Add `step` (1-based position by `order` within `group`) and `total`
-    (rows of the group)."""
+    """(group, order, step, total): 1-based position by `order` within
+    `group`, and the group's row count."""
     spark = df.sparkSession
+    checkpoint_root(spark)
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    parted = (df.repartitionByRange(n, group, order)
-                .sortWithinPartitions(group, order)
-                .withColumn("_pid", F.spark_partition_id())
-                .withColumn("_idx", F.monotonically_increasing_id().bitwiseAND(F.lit(_LOW_BITS))))
-    pieces = parted.groupBy("_pid", group).agg(F.min("_idx").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    keys = (df.select(group, order)
+              .repartitionByRange(n, group, order)
+              .sortWithinPartitions(group, order)
+              .withColumn("_pid", F.spark_partition_id())
+              .withColumn("_idx", F.monotonically_increasing_id().bitwiseAND(F.lit(_LOW_BITS))))
+    keys = keys.checkpoint(eager=True)
+    pieces = keys.groupBy("_pid", group).agg(F.min("_idx").alias("_first"), F.count(F.lit(1)).alias("_n"))
     w = Window.partitionBy(group).orderBy("_pid")
     offsets = pieces.select(
         "_pid", group, "_first",
-        (F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, -1))).alias("_before"),
+        F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, -1)).alias("_before"),
         F.sum("_n").over(Window.partitionBy(group)).alias("total"))
-    out = parted.join(offsets, ["_pid", group], "inner")
+    out = keys.join(offsets, ["_pid", group], "inner")
     step = F.coalesce(F.col("_before"), F.lit(0)) + (F.col("_idx") - F.col("_first")) + 1
-    return out.withColumn("step", step.cast("int")).drop("_pid", "_idx", "_first", "_before")
+    return out.select(group, order, step.cast("int").alias("step"), F.col("total").cast("bigint").alias("total"))
