@@ -45,101 +45,101 @@ MAX_STATEMENTS = 50
 BROAD_EXCEPTIONS = ("Exception", "BaseException")
 
 _FUNCS = (ast.FunctionDef, ast.AsyncFunctionDef)
-
-
-def _branch_points(node: ast.AST) -> int:
-    """Decision points inside `node`, not descending into nested defs/classes."""
-    total = 0
-    stack = list(ast.iter_child_nodes(node))
+_BRANCH_STMTS = (ast.If, ast.For, ast.AsyncFor, ast.While, ast.Try)
+
+
+def _decision_points(node: ast.AST) -> int:
+    t = type(node)
+    if t in (ast.If, ast.IfExp, ast.Assert):
+        return 1
+    if t in (ast.For, ast.AsyncFor, ast.While):
+        return 1 + bool(node.orelse)
+    if t is ast.Try or t.__name__ == "TryStar":
+        return len(node.handlers) + bool(node.orelse)
+    if t is ast.BoolOp:
+        return len(node.values) - 1
+    if t is ast.comprehension:
+        return 1 + len(node.ifs)
+    if t.__name__ == "Match":
+        cases = node.cases
+        wildcard = bool(cases) and isinstance(cases[-1].pattern, ast.MatchAs) and cases[-1].pattern.pattern is None
+        return len(cases) - wildcard
+    return 0
+
+
+def _scan(tree: ast.Module):
+    """One traversal: blocks with complexity, statements, AST findings.
+
+    Decision points go to the innermost function or class scope. Blocks are
+    module functions, classes (also nested in classes) and their methods."""
+    blocks: list = []          # [name, kind, scope]
+    funcs: list = []
+    statements = warnings = 0
+    imported: set = set()
+    used: set = set()
+    # (node, scope, block context): context is ("module", "", None), ("class", "C.", class_scope) or None
+    stack = [(n, None, ("module", "", None)) for n in reversed(tree.body)]
     while stack:
-        n = stack.pop()
-        if isinstance(n, (*_FUNCS, ast.ClassDef)):
-            continue
-        if isinstance(n, (ast.If, ast.IfExp, ast.Assert)):
-            total += 1
-        elif isinstance(n, (ast.For, ast.AsyncFor, ast.While)):
-            total += 1 + bool(n.orelse)
-        elif isinstance(n, ast.Try) or type(n).__name__ == "TryStar":
-            total += len(n.handlers) + bool(n.orelse)
-        elif isinstance(n, ast.BoolOp):
-            total += len(n.values) - 1
-        elif isinstance(n, ast.comprehension):
-            total += 1 + len(n.ifs)
-        elif type(n).__name__ == "Match":
-            cases = n.cases
-            wildcard = bool(cases) and isinstance(cases[-1].pattern, ast.MatchAs) and cases[-1].pattern.pattern is None
-            total += len(cases) - wildcard
-        stack.extend(ast.iter_child_nodes(n))
-    return total
-
-
-def _blocks(tree: ast.Module) -> list[tuple[str, str, int]]:
-    out: list[tuple[str, str, int]] = []
-
-    def visit_class(cls: ast.ClassDef, prefix: str):
-        methods = [c for c in cls.body if isinstance(c, _FUNCS)]
-        comps = [1 + _branch_points(m) for m in methods]
-        if methods:
-            cx = int((1 + sum(comps)) / len(methods)) + (len(methods) > 1)
-        else:
-            cx = 1 + sum(_branch_points(c) for c in cls.body if not isinstance(c, ast.ClassDef))
-        out.append((prefix + cls.name, "class", cx))
-        for m, c in zip(methods, comps):
-            out.append((f"{prefix}{cls.name}.{m.name}", "method", c))
-        for inner in cls.body:
-            if isinstance(inner, ast.ClassDef):
-                visit_class(inner, f"{prefix}{cls.name}.")
-
-    for node in tree.body:
-        if isinstance(node, _FUNCS):
-            out.append((node.name, "function", 1 + _branch_points(node)))
-        elif isinstance(node, ast.ClassDef):
-            visit_class(node, "")
-    return out
-
-
-def _findings(tree: ast.Module) -> tuple[int, int, int]:
-    """(statements, warnings, refactors) of the AST rules: bare / broad except,
-    wildcard and unused imports; too many arguments, branches, statements."""
-    statements = warnings = refactors = 0
-    imported: dict[str, int] = {}
-    used: set[str] = set()
-    for n in ast.walk(tree):
-        if isinstance(n, ast.stmt):
+        node, scope, ctx = stack.pop()
+        t = type(node)
+        if isinstance(node, ast.stmt):
             statements += 1
-        if isinstance(n, ast.ExceptHandler):
-            t = n.type
-            if t is None or (isinstance(t, ast.Name) and t.id in BROAD_EXCEPTIONS):
+            if scope is not None and scope["func"]:
+                scope["stmts"] += 1
+        if scope is not None:
+            scope["cx"] += _decision_points(node)
+            if t in _BRANCH_STMTS and scope["func"]:
+                scope["branches"] += 1
+        if t is ast.ExceptHandler:
+            if node.type is None or (isinstance(node.type, ast.Name) and node.type.id in BROAD_EXCEPTIONS):
                 warnings += 1
-        elif isinstance(n, ast.ImportFrom):
-            for a in n.names:
+        elif t is ast.ImportFrom:
+            for a in node.names:
                 if a.name == "*":
                     warnings += 1
                 else:
-                    imported[a.asname or a.name] = 1
-        elif isinstance(n, ast.Import):
-            for a in n.names:
-                imported[(a.asname or a.name).split(".")[0]] = 1
-        elif isinstance(n, ast.Name):
-            used.add(n.id)
-        elif isinstance(n, ast.Attribute):
-            base = n
-            while isinstance(base, ast.Attribute):
-                base = base.value
-            if isinstance(base, ast.Name):
-                used.add(base.id)
-        if isinstance(n, _FUNCS):
-            a = n.args
-            if len(a.posonlyargs) + len(a.args) + len(a.kwonlyargs) > MAX_ARGS:
-                refactors += 1
-            branches = sum(isinstance(x, (ast.If, ast.For, ast.While, ast.Try)) for x in ast.walk(n))
-            if branches > MAX_BRANCHES:
-                refactors += 1
-            stmts = sum(isinstance(x, ast.stmt) for x in ast.walk(n)) - 1
-            if stmts > MAX_STATEMENTS:
-                refactors += 1
-    warnings += sum(1 for name in imported if name not in used)
-    return statements, warnings, refactors
+                    imported.add(a.asname or a.name)
+        elif t is ast.Import:
+            for a in node.names:
+                imported.add((a.asname or a.name).split(".")[0])
+        elif t is ast.Name:
+            used.add(node.id)
+
+        child_scope, child_ctx = scope, None
+        if t in _FUNCS:
+            a = node.args
+            child_scope = {"func": True, "cx": 0, "branches": 0, "stmts": 0,
+                           "nargs": len(a.posonlyargs) + len(a.args) + len(a.kwonlyargs)}
+            funcs.append(child_scope)
+            if ctx is not None:
+                if ctx[0] == "module":
+                    blocks.append([node.name, "function", child_scope])
+                else:
+                    blocks.append([ctx[1] + node.name, "method", child_scope])
+                    ctx[2]["methods"].append(child_scope)
+        elif t is ast.ClassDef:
+            child_scope = {"func": False, "cx": 0, "methods": []}
+            if ctx is not None:
+                name = ctx[1] + node.name
+                blocks.append([name, "class", child_scope])
+                child_ctx = ("class", name + ".", child_scope)
+        # only a class body can hold further blocks; anything under a function or a plain node cannot
+        for c in reversed(list(ast.iter_child_nodes(node))):
+            stack.append((c, child_scope, child_ctx))
+
+    def cx(kind, sc):
+        if kind != "class":
+            return 1 + sc["cx"]
+        ms = sc["methods"]
+        if not ms:
+            return 1 + sc["cx"]
+        return int((1 + sum(1 + m["cx"] for m in ms)) / len(ms)) + (len(ms) > 1)
+
+    out = [(name, kind, cx(kind, sc)) for name, kind, sc in blocks]
+    refactors = sum((f["nargs"] > MAX_ARGS) + (f["branches"] > MAX_BRANCHES) + (f["stmts"] > MAX_STATEMENTS)
+                    for f in funcs)
+    warnings += len(imported - used)
+    return out, statements, warnings, refactors
 
 
 def analyze_source(text: str | None) -> dict:
@@ -152,8 +152,7 @@ def analyze_source(text: str | None) -> dict:
         tree = ast.parse(text)
     except (SyntaxError, ValueError, RecursionError, MemoryError):
         return {**empty, "ast_errors": 1}
-    blocks = _blocks(tree)
-    st, w, r = _findings(tree)
+    blocks, st, w, r = _scan(tree)
     return {"parse_ok": True, "block_names": [b[0] for b in blocks], "block_kinds": [b[1] for b in blocks],
             "block_complexities": [b[2] for b in blocks], "statements": st, "ast_errors": 0,
             "ast_warnings": w, "ast_refactors": r}
