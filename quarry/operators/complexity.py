@@ -158,9 +158,23 @@ def analyze_source(text: str | None) -> dict:
             "ast_warnings": w, "ast_refactors": r}
 
 
+def _ship_by_value() -> None:
+    """Pickle this module's helpers by value, so executors run the AST pass
+    without `quarry` installed on them (no --py-files needed)."""
+    import sys
+
+    from pyspark import cloudpickle
+    mod = sys.modules[__name__]
+    try:
+        cloudpickle.register_pickle_by_value(mod)
+    except ValueError:  # already registered
+        pass
+
+
 def analyze_ast(df: DataFrame, key_cols: list[str], text_col: str = "content") -> DataFrame:
     """One row per input row with the AST columns added (key columns kept).
     Only the key and text columns cross into Python."""
+    _ship_by_value()
     keys = [df.schema[k] for k in key_cols]
     schema = T.StructType(keys + AST_FIELDS)
     names = [f.name for f in AST_FIELDS]

@@ -238,6 +238,12 @@ def b_file_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
         "repo_full_name", "path", F.base64(F.encode(F.col("text"), "UTF-8")).alias("content_b64"))
 
 
+@session_cached
+def b_judged_core(spark: SparkSession, sf_dir: str, th: Thresholds = BIND_THRESHOLDS) -> DataFrame:
+    """Signals and verdict of every bound file (no repository join)."""
+    return score_and_judge(b_files_core(spark, sf_dir), th)
+
+
 @session_cached
 def b_scored_files(spark: SparkSession, sf_dir: str, th: Thresholds = BIND_THRESHOLDS) -> DataFrame:
     from quarry.functions.signals import complexity_summary

@@ -32,7 +32,7 @@ LICENSE_LINE_RE_ANCHORED = r"(?<![^\r\n])[^\r\n]*(?i:licen)[^\r\n]*"
 SELECT reason_code, CAST(count(*) AS BIGINT) AS files FROM b_verdict GROUP BY reason_code"""))
 def e13_reason_breakdown(spark, sf):
     """Files per verdict reason over the whole bound corpus (flagship)."""
-    return reason_breakdown(score_and_judge(B.b_files_core(spark, sf), B.BIND_THRESHOLDS))
+    return reason_breakdown(B.b_judged_core(spark, sf))
 
 
 # --- C1 / C2 / C4 --------------------------------------------------------------
@@ -116,7 +116,7 @@ def b2_license_text(spark, sf):
 SELECT file_id, code_lines, quality_score, reason_code, is_suitable, unsuitable_reason FROM b_scored"""))
 def b3_verdict(spark, sf):
     """Verdict and reason text of every bound file (first failing rule wins)."""
-    v = score_and_judge(B.b_files_core(spark, sf), B.BIND_THRESHOLDS)
+    v = B.b_judged_core(spark, sf)
     return v.select("file_id", "code_lines", "quality_score", "reason_code", "is_suitable", "unsuitable_reason")
 
 
@@ -140,7 +140,7 @@ FROM (SELECT *, CASE WHEN code_lines > 0 THEN greatest(0.0::DOUBLE, 10.0::DOUBLE
 SELECT reason_code, CAST(count(*) AS BIGINT) AS files FROM ({_verdict_sql(6.0, 10, 1000, 100)}) GROUP BY reason_code"""))
 def b5_default_thresholds(spark, sf):
     """Reason breakdown under the original default thresholds (10..1000 lines, 6.0, 100 chars)."""
-    return reason_breakdown(score_and_judge(B.b_files_core(spark, sf), Thresholds()))
+    return reason_breakdown(B.b_judged_core(spark, sf, Thresholds()))
 
 
 @query("b5_threshold_override", O.sql(["b_files_core"], f"""
@@ -148,7 +148,7 @@ SELECT reason_code, CAST(count(*) AS BIGINT) AS files FROM ({_verdict_sql(4.5, 5
 def b5_threshold_override(spark, sf):
     """Reason breakdown with overridden thresholds (min score 4.5, lines 5..30, long line 250)."""
     th = Thresholds(min_quality=4.5, min_lines=5, max_lines=30, lint=B.LintRules(max_line_length=250))
-    return reason_breakdown(score_and_judge(B.b_files_core(spark, sf), th))
+    return reason_breakdown(B.b_judged_core(spark, sf, th))
 
 
 _B4_SQL = O.sql(["b_landing", "b_files_core"], f"""
