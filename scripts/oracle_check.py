@@ -73,6 +73,14 @@ def main():
             print(f"FAIL-SQL   {name}: {str(e)[:400]}")
             bad += 1
             continue
+        dtypes = {c: t for c, t in df.dtypes}
+        d_types = {c[0]: str(c[1]) for c in res.description}
+        tmap = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN",
+                "timestamp_ntz": "TIMESTAMP", "timestamp": "TIMESTAMP"}
+        tdiff = [(c, dtypes[c], d_types.get(c)) for c in s_cols
+                 if c in d_types and tmap.get(dtypes[c], dtypes[c]).upper() != d_types[c].upper()]
+        if tdiff:
+            print(f"TYPES      {name}: {tdiff}")
         if sorted(s_cols) != sorted(d_cols):
             print(f"COLS       {name}: spark={s_cols} duck={d_cols}")
             bad += 1

@@ -6,7 +6,6 @@ import struct
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
-from conftest import golden_text
 from quarry.functions.lines import code_line_count, line_count
 from quarry.functions.signals import extract_rating, license_ok, lint_counts, lint_score, py_fixed1, round2
 
@@ -65,9 +64,10 @@ def test_fold_equals_sequential_rule(spark, lines):
     assert count(spark, [text]) == [spec_code_lines(text)]
 
 
-def test_golden_code_lines(spark):
-    texts = [golden_text(n) for n in ("__init__.py", "test_validate_format.py", "test_validate_links.py")]
-    assert count(spark, texts) == [0, 361, 116]
+def test_module_code_lines(spark):
+    module = "\n".join(['#!/usr/bin/env python3', '"""Module docstring', 'spanning lines', '"""', '', 'import os  # a trailing comment: still code', '', 'class A:', '    """One-line docstring."""', '    def f(self):', "        '''", '        block', "        '''", '        return os.sep']) + "\n"
+    assert count(spark, [module]) == [4]      # import, class, def, return
+    assert spec_code_lines(module) == 4
 
 
 def test_line_count(spark):
