@@ -257,8 +257,8 @@ LANDING_COLS = ["repo_name", "repo_full_name", "repo_url", "repo_stars", "repo_l
 
 
 @session_cached
-def b_landing(spark: SparkSession, sf_dir: str, th: Thresholds = BIND_THRESHOLDS) -> DataFrame:
-    """Landing rows in arrival order `seq`: every scored file once (variant 0);
+def b_landing_plan(spark: SparkSession, sf_dir: str, th: Thresholds = BIND_THRESHOLDS) -> DataFrame:
+    """Landing rows (as a plan) in arrival order `seq`: every scored file once (variant 0);
     a later re-scored copy of every tenth file (1); rows without repository
     key (2); rows without local path (3) — the last two are rejected at import.
     The variants are generated from one scoring pass (explode), so the text
@@ -282,6 +282,16 @@ def b_landing(spark: SparkSession, sf_dir: str, th: Thresholds = BIND_THRESHOLDS
         (v.cast("bigint") * F.lit(COPY_SEQ) + fid).alias("seq"), "lang")
 
 
+@session_cached
+def b_landing(spark: SparkSession, sf_dir: str, th: Thresholds = BIND_THRESHOLDS) -> DataFrame:
+    """The landing as a stored table: `b_landing_plan` materialised once per
+    session with a reliable checkpoint in the shared checkpoint folder, so the
+    queries that read the landing do not re-derive and re-score it."""
+    from quarry.session import checkpoint_root
+    checkpoint_root(spark)
+    return b_landing_plan(spark, sf_dir, th).checkpoint(eager=True)
+
+
 @session_cached
 def b_contents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """contents table: file id -> source text (kept apart from metadata)."""
