@@ -28,15 +28,17 @@ from quarry.session import checkpoint_root
 _LOW_BITS = (1 << 33) - 1
 
 
-def rank_within_group(df: DataFrame, group: str, order: str, partitions: int | None = None) -> DataFrame:
-    """(group, order, step, total): 1-based position by `order` within
-    `group`, and the group's row count."""
+def rank_within_group(df: DataFrame, group: str, order, partitions: int | None = None) -> DataFrame:
+    """(group, *order, step, total): 1-based position by `order` (a column
+    name or a list of names, unique within the group) within `group`, and the
+    group's row count."""
     spark = df.sparkSession
     checkpoint_root(spark)
+    order = [order] if isinstance(order, str) else list(order)
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    keys = (df.select(group, order)
-              .repartitionByRange(n, group, order)
-              .sortWithinPartitions(group, order)
+    keys = (df.select(group, *order)
+              .repartitionByRange(n, group, *order)
+              .sortWithinPartitions(group, *order)
               .withColumn("_pid", F.spark_partition_id())
               .withColumn("_idx", F.monotonically_increasing_id().bitwiseAND(F.lit(_LOW_BITS))))
     keys = keys.checkpoint(eager=True)
@@ -48,4 +50,4 @@ def rank_within_group(df: DataFrame, group: str, order: str, partitions: int | N
         F.sum("_n").over(Window.partitionBy(group)).alias("total"))
     out = keys.join(offsets, ["_pid", group], "inner")
     step = F.coalesce(F.col("_before"), F.lit(0)) + (F.col("_idx") - F.col("_first")) + 1
-    return out.select(group, order, step.cast("int").alias("step"), F.col("total").cast("bigint").alias("total"))
+    return out.select(group, *order, step.cast("int").alias("step"), F.col("total").cast("bigint").alias("total"))

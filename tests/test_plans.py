@@ -46,6 +46,21 @@ def test_per_repo_cap_uses_window_group_limit(spark):
     assert df.filter(F.col("repo_full_name") == "hot").count() == 5
 
 
+def test_large_cap_uses_range_rank(spark):
+    listing = hot(spark, 3000).select(F.col("k").alias("repo_full_name"),
+                                      F.concat(F.col("seq").cast("string"), F.lit(".py")).alias("name"),
+                                      F.concat(F.lit("a/"), F.lpad(F.col("seq").cast("string"), 5, "0"), F.lit(".py")).alias("path"))
+    small = RP.list_source_files(listing, 1000)
+    spark.conf.set("spark.sql.optimizer.windowGroupLimitThreshold", "10")
+    try:
+        big = RP.list_source_files(listing, 500)
+        got = sorted((r["repo_full_name"], r["path"], r["rank"]) for r in big.collect())
+    finally:
+        spark.conf.unset("spark.sql.optimizer.windowGroupLimitThreshold")
+    want = sorted((r["repo_full_name"], r["path"], r["rank"]) for r in small.filter(F.col("rank") <= 500).collect())
+    assert got == want and sum(1 for g in got if g[0] == "hot") == 500
+
+
 def test_rank_splits_hot_group(spark):
     df = hot(spark, 3000)
     out = rank_within_group(df, "k", "seq", partitions=8)
