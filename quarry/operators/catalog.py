@@ -94,29 +94,46 @@ def landing_files(landing: DataFrame, clock: Column | None = None) -> DataFrame:
     return out.withColumn("repo_id", repo_id(F.col("repo_full_name"))).select(*FILE_COLS, "seq")
 
 
-def new_rows(candidates: DataFrame, existing: DataFrame, keys: list[str]) -> DataFrame:
-    """Candidates whose key is not yet present."""
+# Largest batch (rows) whose keys are broadcast to probe the catalogue.
+MAX_BROADCAST_KEYS = 2_000_000
+
+
+def new_rows(candidates: DataFrame, existing: DataFrame, keys: list[str],
+             candidate_rows: int | None = None) -> DataFrame:
+    """Candidates whose key is not yet present.
+
+    A left-anti join can only build on the catalogue side, so by default both
+    sides are shuffled. When the batch size is known (`candidate_rows`, a
+    counted bound) and small, the catalogue keys are first probed with a
+    broadcast of the batch keys (a filter over the pruned key scan, no
+    catalogue shuffle); the few keys found then anti-join the batch. Beyond
+    the bound the plain anti-join is used."""
+    if candidate_rows is not None and candidate_rows <= MAX_BROADCAST_KEYS:
+        present = existing.select(*keys).join(F.broadcast(candidates.select(*keys)), keys, "left_semi")
+        return candidates.join(present, keys, "left_anti")
     return candidates.join(existing.select(*keys), keys, "left_anti")
 
 
 def import_landing(landing: DataFrame, repos: DataFrame | None = None, files: DataFrame | None = None,
-                   clock: Column | None = None) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+                   clock: Column | None = None, batch_rows: int | None = None
+                   ) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """H1 + H2: insert-if-absent of a landing batch into the catalogue.
 
     Returns (repos_after, files_after, new_repos, new_files); E10's counts are
-    the row counts of the two `new_*` frames.
+    the row counts of the two `new_*` frames. `batch_rows`, when the caller
+    has counted the batch, bounds the candidates (see `new_rows`).
     """
     cand_r = landing_repos(landing, clock)
     cand_f = landing_files(landing, clock)
     if repos is None:
         new_r, repos_after = cand_r, cand_r
     else:
-        new_r = new_rows(cand_r, repos, ["full_name"])
+        new_r = new_rows(cand_r, repos, ["full_name"], batch_rows)
         repos_after = repos.unionByName(new_r, allowMissingColumns=True)
     if files is None:
         new_f, files_after = cand_f, cand_f
     else:
-        new_f = new_rows(cand_f, files, ["repo_full_name", "path"])
+        new_f = new_rows(cand_f, files, ["repo_full_name", "path"], batch_rows)
         files_after = files.unionByName(new_f, allowMissingColumns=True)
     return repos_after, files_after, new_r, new_f
 

@@ -98,3 +98,13 @@ def test_no_cartesian_products(spark):
         if "CartesianProduct" in p or "BroadcastNestedLoopJoin" in p:
             bad.append(name)
     assert bad == []
+
+
+def test_small_batch_probes_catalogue_with_broadcast(spark):
+    existing = hot(spark, 3000).select(F.col("k").alias("full_name"))
+    batch = spark.createDataFrame([("hot",), ("new1",)], "full_name string")
+    out = C.new_rows(batch, existing, ["full_name"], candidate_rows=2)
+    p = plan(out)
+    assert "LeftSemi" in p and "BroadcastExchange" in p
+    assert [r["full_name"] for r in out.collect()] == ["new1"]
+    assert [r["full_name"] for r in C.new_rows(batch, existing, ["full_name"]).collect()] == ["new1"]
