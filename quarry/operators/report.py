@@ -8,13 +8,12 @@ from pyspark.sql import functions as F
 from quarry.functions.signals import py_fixed1
 from quarry.functions.text import bool_to_int, or_unknown, parse_iso
 from quarry.operators.catalog import files_with_repos
+from quarry.schema import REPORT_HEADER  # noqa: F401  (re-exported for the export sink)
 
 # Column order of the flat CSV export.
 FLAT_EXPORT_COLS = ["repo_name", "repo_full_name", "repo_url", "repo_stars", "repo_license", "file_name",
                     "file_path", "file_url", "local_path", "quality_score", "code_lines", "is_suitable",
                     "unsuitable_reason", "complexity_avg", "complexity_max", "function_count", "downloaded_at"]
-# Header of the filtered report export (CSV), in order.
-REPORT_HEADER = ["ID", "파일명", "저장소", "품질 점수", "코드 라인", "적합성", "태그", "로컬 경로"]
 REPORT_COLS = ["id", "name", "repo_name", "quality_score", "code_lines", "suitable", "tags", "local_path"]
 FLAT_TABLE_COLS = ["repo_name", "file_name", "file_path", "local_path", "file_url", "quality_score", "downloaded_at"]
 

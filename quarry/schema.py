@@ -33,6 +33,9 @@ REASON_TOO_LONG = "코드 라인 수 초과 ({} > {})"
 REASON_LOW_QUALITY = "품질 점수 미달 ({} < {})"
 REASON_OK = "학습용으로 적합함"
 
+# Header of the filtered report export (CSV), in column order.
+REPORT_HEADER = ("ID", "파일명", "저장소", "품질 점수", "코드 라인", "적합성", "태그", "로컬 경로")
+
 # Lint report line from which a rating is parsed.
 RATING_PATTERN = r"Your code has been rated at ([-\d.]+)/10"
 
