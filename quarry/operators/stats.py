@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 
 from quarry.functions.signals import round2
 from quarry.functions.text import or_unknown
-from quarry.operators.catalog import files_with_repos
 from quarry.schema import SCORE_BIN_EDGES, TOP_LIST_LIMIT
 
 N_BINS = len(SCORE_BIN_EDGES) + 1

@@ -221,7 +221,9 @@ SELECT job_id AS id, min(ts) AS start_time, arg_min(query, seq) AS query, arg_ma
 FROM b_job_events GROUP BY job_id""")
 
 
-def sql(views: list[str], body: str) -> str:
+def sql(views: list[str], body: str, extra: list[tuple[str, str]] | None = None) -> str:
+    """`body` prefixed with the CTEs of `views` (dependencies first) and then
+    the query-specific `extra` CTEs, in order."""
     order: list[str] = []
 
     def visit(v):
@@ -233,7 +235,8 @@ def sql(views: list[str], body: str) -> str:
 
     for v in views:
         visit(v)
-    if not order:
+    parts = [(v, VIEWS[v][0]) for v in order] + list(extra or [])
+    if not parts:
         return body.strip()
-    ctes = ",\n".join(f"{v} AS ({VIEWS[v][0].strip()})" for v in order)
+    ctes = ",\n".join(f"{name} AS ({text.strip()})" for name, text in parts)
     return f"WITH {ctes}\n{body.strip()}"

@@ -69,18 +69,18 @@ def _two_batch_import(spark, sf):
     return C.import_landing(landing, r1, f1)
 
 
-_BATCH1 = """
-b1_landing AS (SELECT * FROM b_landing WHERE lang IN ('de', 'en')),
-b1_repos AS (SELECT DISTINCT repo_full_name AS full_name FROM b1_landing WHERE repo_full_name IS NOT NULL AND repo_full_name <> ''),
-b1_files AS (SELECT DISTINCT repo_full_name, file_path AS path FROM b1_landing
-             WHERE repo_full_name IS NOT NULL AND repo_full_name <> '' AND file_name IS NOT NULL AND file_path IS NOT NULL
-               AND file_url IS NOT NULL AND local_path IS NOT NULL)"""
+_BATCH1 = [
+    ("b1_landing", "SELECT * FROM b_landing WHERE lang IN ('de', 'en')"),
+    ("b1_repos", "SELECT DISTINCT repo_full_name AS full_name FROM b1_landing "
+                 "WHERE repo_full_name IS NOT NULL AND repo_full_name <> ''"),
+    ("b1_files", "SELECT DISTINCT repo_full_name, file_path AS path FROM b1_landing "
+                 "WHERE repo_full_name IS NOT NULL AND repo_full_name <> '' AND file_name IS NOT NULL "
+                 "AND file_path IS NOT NULL AND file_url IS NOT NULL AND local_path IS NOT NULL"),
+]
 
 
 def _with_batch1(views, body):
-    base = O.sql(views, "SELECT 1")
-    assert base.startswith("WITH ") and base.endswith("SELECT 1")
-    return base[: -len("SELECT 1")].rstrip() + "," + _BATCH1 + "\n" + body
+    return O.sql(views, body, extra=_BATCH1)
 
 
 @query("d8_new_rows_anti", _with_batch1(["b_landing", "c_files"], """
@@ -173,13 +173,12 @@ def h10_sync_roundtrip(spark, sf):
     return files2.select(*[c.strip() for c in _FILE_COLS_SQL.split(",")])
 
 
-_FLAT_SQL = """flat AS (SELECT seq AS id, repo_name, file_name, file_path, local_path, file_url, quality_score,
-                      CAST(replace(downloaded_at, 'T', ' ') AS TIMESTAMP) AS downloaded_at FROM b_landing)"""
+_FLAT_SQL = ("flat", "SELECT seq AS id, repo_name, file_name, file_path, local_path, file_url, quality_score, "
+                     "CAST(replace(downloaded_at, 'T', ' ') AS TIMESTAMP) AS downloaded_at FROM b_landing")
 
 
 def _flat_sql(body):
-    base = O.sql(["b_landing"], "SELECT 1")
-    return base[: -len("SELECT 1")].rstrip() + ",\n" + _FLAT_SQL + "\n" + body
+    return O.sql(["b_landing"], body, extra=[_FLAT_SQL])
 
 
 @query("a15_import_flat", _flat_sql("SELECT * FROM flat"))
@@ -709,18 +708,20 @@ _K_COLS = "repo_full_name, file_path, local_path, code_lines, quality_score, is_
 def _k_sql(where_repos: str, cap: int | None) -> str:
     from quarry.plans.queries_signals import _verdict_body
     capped = f"WHERE rank <= {cap}" if cap is not None else ""
-    return O.sql(["b_repos", "b_bodies"], f"""
-, picked AS (SELECT full_name FROM b_repos {where_repos}),
-  listed AS (SELECT * FROM (
+    extra = [
+        ("picked", f"SELECT full_name FROM b_repos {where_repos}"),
+        ("listed", f"""SELECT * FROM (
       SELECT b.*, row_number() OVER (PARTITION BY b.repo_full_name
                                      ORDER BY length(b.path) - length(replace(b.path, '/', '')), b.path) AS rank
-      FROM b_bodies b JOIN picked p ON b.repo_full_name = p.full_name WHERE suffix(b.name, '.py')) {capped}),
-  judged AS ({_verdict_body("listed", O.MIN_Q, O.MIN_L, O.MAX_L, O.LONG)})
+      FROM b_bodies b JOIN picked p ON b.repo_full_name = p.full_name WHERE suffix(b.name, '.py')) {capped}"""),
+        ("judged", _verdict_body("listed", O.MIN_Q, O.MIN_L, O.MAX_L, O.LONG)),
+    ]
+    return O.sql(["b_repos", "b_bodies"], f"""
 SELECT repo_full_name, path AS file_path,
        'collected_code/' || replace(repo_full_name, '/', '_') || '/' || path AS local_path,
        code_lines, round(q, 2) AS quality_score, reason_code = 'ok' AS is_suitable,
        {_reason_case('repo_license', 'code_lines', 'q')} AS unsuitable_reason
-FROM judged""").replace(")\n, picked", "),\n picked", 1)
+FROM judged""", extra=extra)
 
 
 def _reason_case(lic, lines, q):

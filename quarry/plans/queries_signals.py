@@ -10,10 +10,8 @@ from quarry.functions.signals import complexity_summary, extract_rating, format_
 from quarry.functions.text import basename, dirname, landing_path, parse_iso, parse_repo_url, preview
 from quarry.operators.jobs import progress
 from quarry.operators.report import required_field_gaps
-from quarry.operators.repos import first_files_per_repo, list_source_files, python_files
-from quarry.operators.suitability import (
-    apply_verdict, add_signals, reason_breakdown, score_and_judge, suitable, unsuitable, verdict_counts,
-)
+from quarry.operators.repos import list_source_files, python_files
+from quarry.operators.suitability import add_signals, reason_breakdown, suitable, unsuitable, verdict_counts
 from quarry.plans import bind as B
 from quarry.plans import oracle as O
 from quarry.plans.registry import query

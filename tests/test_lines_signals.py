@@ -1,6 +1,5 @@
 """C1 code-line fold, B2 licence rule, C2 lint score, C4 rating, number formatting."""
 
-import math
 import struct
 
 from hypothesis import given, settings, strategies as st

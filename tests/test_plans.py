@@ -1,7 +1,6 @@
 """Plan shape: partial aggregation before shuffles on hot keys, window group
 limits, pushed-down filters, no cartesian products in registered queries."""
 
-import pytest
 from pyspark.sql import functions as F
 
 from conftest import SF001

@@ -4,7 +4,6 @@ import random
 
 import pytest
 from hypothesis import given, settings, strategies as st
-from pyspark.sql import functions as F
 
 from quarry.operators import search as S
 from quarry.operators import stats as ST
