@@ -41,9 +41,9 @@ def main():
     parts = ["# Physical plans of key queries",
              "",
              f"Generated by `scripts/show_plans.py` at `{sf}` (local[8], AQE on). Each plan is the final",
-             "adaptive plan after running the query (a few print as `isFinalPlan=false`: the
-initial adaptive plan, before AQE's runtime changes); expression ids are stripped
-and the strip function's whitespace set is shown as `<whitespace set>`.",
+             "adaptive plan after running the query (a few print as `isFinalPlan=false`: the",
+             "initial adaptive plan, before AQE's runtime changes); expression ids are stripped",
+             "and the strip function's whitespace set is shown as `<whitespace set>`.",
              ""]
     for name in KEY:
         df = reg[name].build(spark, sf)
