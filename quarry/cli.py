@@ -46,7 +46,9 @@ def cmd_import(spark, a):
 
     from quarry.operators.catalog import import_landing
     from quarry.sources.landing import read_landing
+    from quarry.operators.catalog import assert_importable
     landing = read_landing(spark, a.landing, a.format)
+    assert_importable(landing)
     _, _, new_r, new_f = import_landing(landing, _read(spark, a.catalog, "repositories"),
                                         _read(spark, a.catalog, "files"), clock=F.localtimestamp())
     obs_r, obs_f = Observation("new_repositories"), Observation("new_files")

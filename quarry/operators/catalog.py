@@ -70,6 +70,15 @@ def invalid_repo_rows(landing: DataFrame) -> DataFrame:
     return reps.filter(F.col("name").isNull() | F.col("url").isNull())
 
 
+def assert_importable(landing: DataFrame) -> None:
+    """Reject a whole landing batch, before anything is written, when a
+    repository's first row lacks name or url (the original aborts the whole
+    import then). One bounded action: it stops at the first offending key."""
+    bad = invalid_repo_rows(landing).select("full_name").limit(1).collect()
+    if bad:
+        raise ValueError(f"landing batch rejected: repository {bad[0]['full_name']!r} has no name or url")
+
+
 def landing_files(landing: DataFrame, clock: Column | None = None) -> DataFrame:
     """Candidate file rows: key present, required columns non-null, first row
     per (repo_full_name, path); complexity struct flattened; verdict as boolean."""
@@ -176,6 +185,14 @@ def delete_files(file_ids: DataFrame, files: DataFrame, file_tags: DataFrame,
     return out
 
 
+def update_status(contents: DataFrame, updates: DataFrame) -> DataFrame:
+    """H9 per-id result: 'updated' for ids in the catalogue, 'not_found' otherwise."""
+    ids = updates.select("id").distinct()
+    hit = contents.select("id").distinct().withColumn("_hit", F.lit(True))
+    return ids.join(hit, "id", "left").select(
+        "id", F.when(F.col("_hit"), F.lit("updated")).otherwise(F.lit("not_found")).alias("status"))
+
+
 def replace_contents(contents: DataFrame, updates: DataFrame) -> DataFrame:
     """H9: last update per id (by seq) replaces the stored text; other rows stay.
     Signals are not recomputed here (they go stale, as in the original) —

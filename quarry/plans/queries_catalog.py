@@ -751,3 +751,12 @@ def k2_collect_repository(spark, sf):
     out = collect_repository(spark, "https://github.com/src3/en", B.b_repos(spark, sf), B.b_listing(spark, sf),
                              B.b_file_bodies(spark, sf), B.BIND_THRESHOLDS)
     return out.select(*[c.strip() for c in _K_COLS.split(",")])
+
+
+@query("h9_update_status", O.sql([], """
+SELECT u.id, CASE WHEN d.doc_id IS NOT NULL THEN 'updated' ELSE 'not_found' END AS status
+FROM (SELECT DISTINCT CAST(conv_id AS BIGINT) AS id FROM conversations) u
+LEFT JOIN (SELECT DISTINCT doc_id FROM documents) d ON u.id = d.doc_id"""))
+def h9_update_status(spark, sf):
+    """Per-id result of the content replacements: updated, or not found."""
+    return C.update_status(B.b_contents(spark, sf), B.b_content_updates(spark, sf))

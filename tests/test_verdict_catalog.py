@@ -93,8 +93,12 @@ def test_import_is_idempotent_and_counts_new(spark):
 
 
 def test_invalid_repo_rows(spark):
+    import pytest
     bad = landing(spark, [base_row(1, repo_url=None), base_row(2, repo="p/q", path="x.py")])
     assert [r["full_name"] for r in C.invalid_repo_rows(bad).collect()] == ["o/r"]
+    with pytest.raises(ValueError):
+        C.assert_importable(bad)
+    C.assert_importable(landing(spark, [base_row(1), base_row(2, repo_url=None)]))   # only the first row counts
 
 
 def test_delete_and_replace(spark):
@@ -109,6 +113,7 @@ def test_delete_and_replace(spark):
     upd = spark.createDataFrame([(1, "new1", 1), (1, "new2", 2), (5, "ghost", 1)], "id long, content string, seq long")
     merged = {r["id"]: (r["content"], r["changed"]) for r in C.replace_contents(contents, upd).collect()}
     assert merged == {1: ("new2", True), 2: ("y", False), 3: ("z", False)}
+    assert {r["id"]: r["status"] for r in C.update_status(contents, upd).collect()} == {1: "updated", 5: "not_found"}
 
 
 def test_complexity_struct_type():
