@@ -43,6 +43,28 @@ def add_signals(df: DataFrame, text_col: str = "content", th: Thresholds = Thres
                .withColumn("quality_score", round2(F.col("quality_score_raw"))))
 
 
+def add_signals_with_ast(df: DataFrame, text_col: str = "content", th: Thresholds = Thresholds()) -> DataFrame:
+    """C2 with the AST rules and C3: native findings plus the AST pass's
+    findings (E: syntax error; W: broad except, wildcard / unused import;
+    R: too many arguments / branches / statements), scored over the AST's
+    statement count; adds `complexity` and `blocks`. The text goes through
+    Python once (Arrow); every other column is passed through."""
+    from quarry.operators.complexity import analyze_ast, with_complexity
+    s = add_signals(df, text_col, th).withColumn("_present", F.col(text_col).isNotNull())
+    keep = [c for c in s.columns if c != text_col]
+    a = with_complexity(analyze_ast(s, keep, text_col))
+    lf = F.col("lint_findings")
+    counts = F.struct(lf["convention"].alias("convention"),
+                      (lf["warning"] + F.col("ast_warnings")).alias("warning"),
+                      F.col("ast_errors").alias("error"),
+                      F.col("ast_refactors").alias("refactor"))
+    stmts = F.when(F.col("parse_ok"), F.col("statements")).otherwise(F.lit(0))
+    score = F.when(~F.col("_present"), F.lit(0.0)).otherwise(lint_score(counts, stmts))
+    # one projection: `counts` and `score` both read the native `lint_findings`
+    return (a.withColumns({"lint_findings": counts, "quality_score_raw": score})
+             .withColumn("quality_score", round2(F.col("quality_score_raw"))))
+
+
 def verdict_columns(th: Thresholds, present: Column, license_col: Column, lines: Column,
                     score: Column) -> dict[str, Column]:
     """First failing rule wins: missing file, licence, too few lines, too many
@@ -75,8 +97,15 @@ def apply_verdict(df: DataFrame, th: Thresholds = Thresholds(), text_col: str =
 
 
 def score_and_judge(df: DataFrame, th: Thresholds = Thresholds(), text_col: str = "content",
-                    license_col: str = "repo_license", external_score: str | None = None) -> DataFrame:
-    return apply_verdict(add_signals(df, text_col, th, external_score), th, text_col, license_col)
+                    license_col: str = "repo_license", external_score: str | None = None,
+                    with_ast: bool = False) -> DataFrame:
+    """Signals + verdict. With `with_ast` the score includes the AST rules and
+    the rows carry complexity (one Arrow pass over the text)."""
+    if not with_ast:
+        return apply_verdict(add_signals(df, text_col, th, external_score), th, text_col, license_col)
+    s = add_signals_with_ast(df, text_col, th)
+    cols = verdict_columns(th, F.col("_present"), F.col(license_col), F.col("code_lines"), F.col("quality_score_raw"))
+    return s.withColumns(cols).drop("_present")
 
 
 def filter_landing(landing: DataFrame, contents: DataFrame, th: Thresholds = Thresholds(),

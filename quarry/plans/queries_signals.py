@@ -338,3 +338,24 @@ def c3_ast_complexity(spark, sf):
     c = F.col("complexity")
     return a.select("file_id", c["function_count"].alias("function_count"), c["avg_complexity"].alias("complexity_avg"),
                     c["max_complexity"].alias("complexity_max"), "statements", "parse_ok")
+
+
+_C2AST_SQL = O.sql([], """
+SELECT file_id, CAST(r AS BIGINT) AS refactors, CAST(1 + st AS BIGINT) AS statements,
+       round(greatest(0.0::DOUBLE, 10.0::DOUBLE - (r * 10) / (1 + st)), 2) AS quality_score
+FROM (SELECT doc_id AS file_id,
+             list_sum(list_transform(ks, lambda k: 2 + 2 * k - (k + 1) // 4)) AS st,
+             list_sum(list_transform(ks, lambda k:
+                 (CASE WHEN k - (k + 1) // 4 > 12 THEN 1 ELSE 0 END)
+               + (CASE WHEN 1 + 2 * k - (k + 1) // 4 > 50 THEN 1 ELSE 0 END))) AS r
+      FROM (SELECT doc_id, list_transform(""" + O.SPLIT.format(x="text") + """,
+                              lambda p: length(p) - length(replace(p, ',', ''))) AS ks FROM documents))""")
+
+
+@query("c2_lint_score_ast", _C2AST_SQL)
+def c2_lint_score_ast(spark, sf):
+    """Lint score of the generated Python modules with native and AST rules
+    (too many branches / statements per method), over AST statements."""
+    from quarry.operators.suitability import add_signals_with_ast
+    s = add_signals_with_ast(B.b_pysource(spark, sf), "content", Thresholds())
+    return s.select("file_id", F.col("lint_findings")["refactor"].alias("refactors"), "statements", "quality_score")

@@ -149,3 +149,17 @@ def test_ast_rules():
     assert r["ast_warnings"] == 3                      # wildcard import, unused os, bare except
     bad = analyze_source("def (:")
     assert not bad["parse_ok"] and bad["ast_errors"] == 1 and bad["block_complexities"] == []
+
+
+def test_score_with_ast_rules(spark):
+    from quarry.operators.suitability import score_and_judge
+    src = "import os\n\n\ndef f(x):\n    try:\n        return x\n    except:\n        return 0\n"
+    df = spark.createDataFrame([(1, src, None), (2, "def (:\n", None), (3, None, None)],
+                               "id int, content string, repo_license string")
+    out = {r["id"]: r for r in score_and_judge(df, with_ast=True).collect()}
+    r1 = out[1]
+    # W: unused import + bare except; statements: import, def, try, return, return = 5
+    assert r1["lint_findings"]["warning"] == 2 and r1["statements"] == 5
+    assert r1["quality_score"] == round(10 - 10 * 2 / 5, 2) and r1["complexity"]["function_count"] == 1
+    assert out[2]["lint_findings"]["error"] == 1 and out[2]["quality_score"] == 0.0
+    assert out[3]["reason_code"] == "missing_file"
