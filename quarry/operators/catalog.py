@@ -103,12 +103,23 @@ def landing_files(landing: DataFrame, clock: Column | None = None) -> DataFrame:
     return out.withColumn("repo_id", repo_id(F.col("repo_full_name"))).select(*FILE_COLS, "seq")
 
 
-# Largest batch (rows) whose keys are broadcast to probe the catalogue.
+# Largest batch whose keys are broadcast to probe the catalogue: by counted
+# rows, or by the size Spark estimates for the batch's input files.
 MAX_BROADCAST_KEYS = 2_000_000
+MAX_BROADCAST_BATCH_BYTES = 256 * 1024 * 1024
+
+
+def estimated_bytes(df: DataFrame) -> int | None:
+    """Optimizer size estimate of `df` (for a file scan: the files' bytes);
+    None when Spark has no estimate. No job runs."""
+    try:
+        return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    except Exception:  # noqa: BLE001 - statistics are best effort
+        return None
 
 
 def new_rows(candidates: DataFrame, existing: DataFrame, keys: list[str],
-             candidate_rows: int | None = None) -> DataFrame:
+             candidate_rows: int | None = None, small: bool = False) -> DataFrame:
     """Candidates whose key is not yet present.
 
     A left-anti join can only build on the catalogue side, so by default both
@@ -116,15 +127,16 @@ def new_rows(candidates: DataFrame, existing: DataFrame, keys: list[str],
     counted bound) and small, the catalogue keys are first probed with a
     broadcast of the batch keys (a filter over the pruned key scan, no
     catalogue shuffle); the few keys found then anti-join the batch. Beyond
-    the bound the plain anti-join is used."""
-    if candidate_rows is not None and candidate_rows <= MAX_BROADCAST_KEYS:
+    the bound the plain anti-join is used. `small` states that the caller has
+    checked the batch against a size bound by other means."""
+    if small or (candidate_rows is not None and candidate_rows <= MAX_BROADCAST_KEYS):
         present = existing.select(*keys).join(F.broadcast(candidates.select(*keys)), keys, "left_semi")
         return candidates.join(present, keys, "left_anti")
     return candidates.join(existing.select(*keys), keys, "left_anti")
 
 
 def import_landing(landing: DataFrame, repos: DataFrame | None = None, files: DataFrame | None = None,
-                   clock: Column | None = None, batch_rows: int | None = None
+                   clock: Column | None = None, batch_rows: int | None = None, small_batch: bool = False
                    ) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """H1 + H2: insert-if-absent of a landing batch into the catalogue.
 
@@ -137,12 +149,12 @@ def import_landing(landing: DataFrame, repos: DataFrame | None = None, files: Da
     if repos is None:
         new_r, repos_after = cand_r, cand_r
     else:
-        new_r = new_rows(cand_r, repos, ["full_name"], batch_rows)
+        new_r = new_rows(cand_r, repos, ["full_name"], batch_rows, small_batch)
         repos_after = repos.unionByName(new_r, allowMissingColumns=True)
     if files is None:
         new_f, files_after = cand_f, cand_f
     else:
-        new_f = new_rows(cand_f, files, ["repo_full_name", "path"], batch_rows)
+        new_f = new_rows(cand_f, files, ["repo_full_name", "path"], batch_rows, small_batch)
         files_after = files.unionByName(new_f, allowMissingColumns=True)
     return repos_after, files_after, new_r, new_f
 

@@ -44,17 +44,16 @@ def ingest_batch(batch: DataFrame, catalog_root: str, contents: DataFrame | None
     spark = batch.sparkSession
     if contents is not None:
         batch = filter_landing(batch, contents, th or Thresholds())
-    batch = batch.persist()
-    try:
-        rows = batch.count()  # size check: bounds the keys broadcast to probe the catalogue
-        repos_path, files_path = f"{catalog_root}/repositories", f"{catalog_root}/files"
-        repos = _read_or_none(spark, repos_path)
-        files = _read_or_none(spark, files_path)
-        _, _, new_r, new_f = C.import_landing(batch, repos, files, batch_rows=rows)
-        new_r.write.mode("append").parquet(repos_path)
-        new_f.write.mode("append").parquet(files_path)
-    finally:
-        batch.unpersist()
+    # size check without a job: the optimizer's estimate of the batch (its
+    # input files' bytes) bounds the keys broadcast to probe the catalogue
+    est = C.estimated_bytes(batch)
+    small = est is not None and est <= C.MAX_BROADCAST_BATCH_BYTES
+    repos_path, files_path = f"{catalog_root}/repositories", f"{catalog_root}/files"
+    repos = _read_or_none(spark, repos_path)
+    files = _read_or_none(spark, files_path)
+    _, _, new_r, new_f = C.import_landing(batch, repos, files, small_batch=small)
+    new_r.write.mode("append").parquet(repos_path)
+    new_f.write.mode("append").parquet(files_path)
 
 
 def landing_stream(spark: SparkSession, landing_dir: str, fmt: str = "parquet",
