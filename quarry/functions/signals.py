@@ -35,20 +35,27 @@ def license_ok(license_col, allowed=ALLOWED_LICENSES, accept_null: bool = True)
 
 def lint_counts(text, rules: LintRules = LintRules(), raw_lines=None) -> Column:
     """struct of convention/warning finding counts for one file, computed with
-    array functions over the file's lines (no explode, no shuffle).
-    `raw_lines` may name an already split line array of `text`."""
+    array folds over the file's lines (no explode, no shuffle).
+    `raw_lines` may name an already split line array of `text`.
+
+    Per line: longer than the limit, trailing space/tab (C); a `#` comment
+    naming FIXME/TODO/XXX (W, the regex only runs on lines holding `#`).
+    Per file: missing final newline, trailing blank lines, too many lines (C)."""
     t = _c(text)
     raw = split_lines(t) if raw_lines is None else _c(raw_lines)
-    long_lines = F.size(F.filter(raw, lambda l: F.length(l) > rules.max_line_length))
-    trailing_ws = F.size(F.filter(raw, lambda l: l.rlike(r"[ \t]\z")))
+    zero = F.lit(0).cast("bigint")
+    per_line_conv = F.aggregate(raw, zero, lambda acc, l: acc
+                                + F.when(F.length(l) > rules.max_line_length, 1).otherwise(0)
+                                + F.when(l.endswith(" ") | l.endswith("\t"), 1).otherwise(0))
     missing_final_nl = F.when((t != "") & ~t.rlike(r"(\r|\n)\z"), 1).otherwise(0)
     trailing_nls = F.when(t.rlike(r"(\r\n|\r|\n)[ \t]*(\r\n|\r|\n)[ \t\r\n]*\z"), 1).otherwise(0)
     too_many = F.when(line_count(t, raw) > rules.max_module_lines, 1).otherwise(0)
     if rules.check_fixme:
-        fixme = F.size(F.filter(raw, lambda l: l.rlike(r"#.*\b(FIXME|TODO|XXX)\b")))
+        fixme = F.aggregate(raw, zero, lambda acc, l: acc + F.when(
+            l.contains("#") & l.rlike(r"#.*\b(FIXME|TODO|XXX)\b"), 1).otherwise(0))
     else:
-        fixme = F.lit(0)
-    conv = long_lines + trailing_ws + missing_final_nl + trailing_nls + too_many
+        fixme = zero
+    conv = per_line_conv + missing_final_nl + trailing_nls + too_many
     return F.struct(
         F.coalesce(conv, F.lit(0)).cast("bigint").alias("convention"),
         F.coalesce(fixme, F.lit(0)).cast("bigint").alias("warning"),
