@@ -23,8 +23,10 @@ def decode_content(b64) -> Column:
 
 def lenient_text(binary_col) -> Column:
     """Bytes -> text dropping invalid sequences (errors='ignore' read).
-    Invalid bytes become U+FFFD in make_valid_utf8; only those inserted are
-    removed, genuine U+FFFD characters in valid input are kept."""
+    Valid input is returned unchanged. In invalid input the bad bytes become
+    U+FFFD (make_valid_utf8) and every U+FFFD is then removed, so a genuine
+    U+FFFD inside an otherwise invalid file is dropped too (a file both
+    invalid and holding the replacement character)."""
     b = _c(binary_col)
     as_str = b.cast("string")
     return F.when(F.is_valid_utf8(as_str), as_str).otherwise(
