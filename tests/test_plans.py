@@ -107,3 +107,12 @@ def test_small_batch_probes_catalogue_with_broadcast(spark):
     assert "LeftSemi" in p and "BroadcastExchange" in p
     assert [r["full_name"] for r in out.collect()] == ["new1"]
     assert [r["full_name"] for r in C.new_rows(batch, existing, ["full_name"]).collect()] == ["new1"]
+
+
+def test_estimated_bytes_bounds_a_file_scan(spark, tmp_path):
+    import os
+    path = str(tmp_path / "batch")
+    hot(spark, 3000).write.parquet(path)
+    on_disk = sum(os.path.getsize(os.path.join(path, f)) for f in os.listdir(path) if f.endswith(".parquet"))
+    est = C.estimated_bytes(spark.read.parquet(path))
+    assert est is not None and est >= on_disk and est <= C.MAX_BROADCAST_BATCH_BYTES
