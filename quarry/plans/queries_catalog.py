@@ -24,8 +24,13 @@ from quarry.plans.registry import query
 
 @B.session_cached
 def catalog(spark, sf):
+    """The imported catalogue (repositories, files) as stored tables: built
+    once per session from the stored landing and kept as reliable
+    checkpoints in the shared folder, as a catalogue would be persisted."""
+    from quarry.session import checkpoint_root
+    checkpoint_root(spark)
     repos, files, _, _ = C.import_landing(B.b_landing(spark, sf))
-    return repos, files
+    return repos.checkpoint(eager=True), files.checkpoint(eager=True)
 
 
 def tag_log(spark, sf):
@@ -34,7 +39,10 @@ def tag_log(spark, sf):
 
 @B.session_cached
 def links(spark, sf):
-    return TG.fold_links(tag_log(spark, sf))
+    """Current tag links (folded log), stored like the catalogue."""
+    from quarry.session import checkpoint_root
+    checkpoint_root(spark)
+    return TG.fold_links(tag_log(spark, sf)).checkpoint(eager=True)
 
 
 def tag_list_col(col="tags"):
