@@ -163,3 +163,16 @@ def test_score_with_ast_rules(spark):
     assert r1["quality_score"] == round(10 - 10 * 2 / 5, 2) and r1["complexity"]["function_count"] == 1
     assert out[2]["lint_findings"]["error"] == 1 and out[2]["quality_score"] == 0.0
     assert out[3]["reason_code"] == "missing_file"
+
+
+def test_nested_json_export(spark, tmp_path):
+    from quarry.operators.catalog import import_landing
+    from quarry.operators.report import nested_export
+    from quarry.plans import bind as B
+    from quarry.sources.exports import export_nested_json
+    repos, files, _, _ = import_landing(B.b_landing(spark, "/root/testdata/sf0.001"))
+    out = str(tmp_path / "nested")
+    n = export_nested_json(nested_export(files, repos), out).first()["exported"]
+    assert n == files.count()
+    back = spark.read.json(out)
+    assert "complexity" in back.columns and "avg_complexity" in back.schema["complexity"].dataType.fieldNames()

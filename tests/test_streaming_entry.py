@@ -95,3 +95,8 @@ def test_cli_roundtrip(spark, tmp_path, capsys):
     cli.main(["stats", "--catalog", cat], spark)
     cli.main(["export", "--catalog", cat, "--out", str(tmp_path / "exp.csv")], spark)
     cli.main(["backup", "--catalog", cat, "--out", str(tmp_path / "bk")], spark)
+    synced = str(tmp_path / "synced")
+    cli.main(["sync", "--landing", landing, "--catalog", cat, "--out", synced], spark)
+    assert "0 repositories, 0 files" in capsys.readouterr().out       # sync re-imports nothing new
+    from quarry.sources.landing import read_landing
+    assert read_landing(spark, synced).count() == spark.read.parquet(cat + "/files").count()
