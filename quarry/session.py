@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import os
+import re
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -42,24 +42,52 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
     return spark
 
 
+_LOCAL_ROOTS: dict[str, str] = {}
+
+
 def checkpoint_root(spark: SparkSession) -> str:
     """The shared folder the cluster names in ``spark.checkpoint.dir``.
 
-    Only when the session has none (local tests) is a private scratch folder
-    created and registered, so lineage cuts and stream checkpoints always land
-    in the configured shared location on a cluster.
+    A private scratch folder is made only where the session names none *and*
+    the master is ``local`` (tests, benches): one machine then sees it. On any
+    other master a missing setting is an error, because executors could not
+    read what the driver or another executor wrote. The folder is registered
+    with the context once, so ``checkpoint()`` adds one sub-folder per session.
     """
-    configured = spark.conf.get("spark.checkpoint.dir", None)
+    sc = spark.sparkContext
+    configured = spark.conf.get("spark.checkpoint.dir", None) or _LOCAL_ROOTS.get(sc.applicationId)
+    if not configured and sc.getCheckpointDir() is not None:
+        # set by the user through setCheckpointDir(): its session sub-folder is shared
+        return sc.getCheckpointDir()
     if not configured:
-        configured = spark.sparkContext.getCheckpointDir()
-    if not configured:
-        configured = tempfile.mkdtemp(prefix="quarry-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", configured)
-    spark.sparkContext.setCheckpointDir(configured)
-    return spark.sparkContext.getCheckpointDir() or configured
+        if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        configured = _LOCAL_ROOTS[sc.applicationId] = tempfile.mkdtemp(prefix="quarry-ckpt-")
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(configured)
+    return configured
+
+
+def session_root(spark: SparkSession) -> str:
+    """This application's own folder below the shared one, removed by Hadoop's
+    file system when the driver's JVM ends in order."""
+    sc = spark.sparkContext
+    root = f"{checkpoint_root(spark).rstrip('/')}/quarry-{sc.applicationId}"
+    path = sc._jvm.org.apache.hadoop.fs.Path(root)
+    fs = path.getFileSystem(sc._jsc.hadoopConfiguration())
+    if not fs.exists(path):
+        fs.mkdirs(path)
+        fs.deleteOnExit(path)
+    return root
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A sub-folder of the shared checkpoint root for written intermediate tables."""
-    root = checkpoint_root(spark)
-    return os.path.join(root, name) if "://" not in root else root.rstrip("/") + "/" + name
+    """A sub-folder of this session's shared folder for written intermediate tables."""
+    return f"{session_root(spark)}/{name}"
+
+
+def drop_path(spark: SparkSession, path: str) -> None:
+    """Remove one written intermediate table."""
+    sc = spark.sparkContext
+    p = sc._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(sc._jsc.hadoopConfiguration()).delete(p, True)

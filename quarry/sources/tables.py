@@ -14,7 +14,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.session import scratch_path
+from quarry.session import checkpoint_root, scratch_path
 
 CATALOG_TABLES = ("repositories", "files", "tags", "file_tags", "contents", "landing")
 REPO_BUCKETS = 64
@@ -85,7 +85,7 @@ def snapshot(spark: SparkSession, tables: dict[str, DataFrame], backup_dir: str
     the shared folder, or to `backup_dir`; returns the path and per-table row
     counts (read back from the snapshot, so the counts describe what was written)."""
     ts = (clock or _dt.datetime.now()).strftime("%Y%m%d_%H%M%S")
-    root = backup_dir or scratch_path(spark, f"backup_{ts}")
+    root = backup_dir or f"{checkpoint_root(spark).rstrip('/')}/backup_{ts}"
     counts = None
     for name, df in tables.items():
         df.write.mode("overwrite").parquet(f"{root}/{name}")
