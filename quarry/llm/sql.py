@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from quarry.llm.chat import BODY, CONTROLS, END, LOSS_ROLE, START, TURN
 from quarry.llm.quality import BARS, MAX_REPEAT_PERCENT, MIN_LEFT, MIN_WORDS, PHRASES
 
 _BARS = "[" + "".join(BARS) + "]"
@@ -63,3 +64,32 @@ SELECT d.doc_id, count(*)::BIGINT AS n_lines, count(*) FILTER (gone)::BIGINT AS
        sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256
 FROM f JOIN d USING (r) GROUP BY d.r, d.doc_id
 """
+
+_MARKS = "|".join([r"<\|", *(c.replace("[", r"\[").replace("]", r"\]") for c in CONTROLS)])
+
+
+def _extra(column: str) -> str:
+    """Characters that escaping adds to a text: one per backslash and per control string."""
+    return rf"(length({column}) - length(replace({column}, chr(92), '')) + len(regexp_extract_all({column}, '{_MARKS}')))"
+
+
+CHAT = f"""
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+           UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
+o AS (SELECT *, row_number() OVER w AS i, coalesce(role = lag(role) OVER w, false) AS joins,
+             length(text) + {_extra("text")} AS text_chars, length(role) + {_extra("role")} AS role_chars
+      FROM c WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text))
+SELECT conv_id, count(*)::BIGINT AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY i)) AS turns_sha256,
+       coalesce(sum(length(text)) FILTER (role = '{LOSS_ROLE}'), 0)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY i) FILTER (role = '{LOSS_ROLE}'), '')) AS loss_sha256,
+       sum(text_chars + CASE WHEN joins THEN {len(TURN)} ELSE role_chars + {len(START + BODY + END)} END)::BIGINT AS formatted_chars
+FROM o GROUP BY conv_id
+"""
+
+WARC = """
+WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, '')))::BIGINT AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
+f AS (SELECT payload_digest, min(page_id) AS first FROM p WHERE payload_bytes >= 100 GROUP BY payload_digest)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN first <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN first <> page_id THEN first END AS refers_to
+FROM p LEFT JOIN f USING (payload_digest)
+"""
