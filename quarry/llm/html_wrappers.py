@@ -4,7 +4,7 @@ r"""Main text of pages by union-free wrapper inference.
 belong to the text around them, implied end tags are filled in, and an element is
 named by its tag, classes, id and role (digits as ``0``).
 
-*Inference.* In a stream, adjacent equal stretches fold into repeated groups,
+*Inference.* In each element of a stream, adjacent repeats fold into groups,
 innermost first. The distinct folded streams of a host, with no more than a row
 per stream and task before the shuffle, are then aligned one after another with
 the wrapper so far: what matches stays, a mismatch becomes an optional part, an
@@ -42,8 +42,11 @@ from quarry.llm.store import stored
 from quarry.llm.words import slices
 
 SALTS = 8
+DEPTH = 150                  # elements nested deeper count as part of the one at this depth
 CONSTANT_PAGES = 3
-MAX_PERIOD = 40              # tokens of a group's body
+MAX_PERIOD = 12              # elements of a group's body
+#: of these, neighbours are repeats whatever they hold; of others, only equal ones are
+ALIKE = frozenset("p li dt dd tr option blockquote h1 h2 h3 h4 h5 h6".split())
 RAW = ["script", "style", "textarea", "noscript", "template", "iframe", "svg", "math", "xmp"]
 # an element's end is searched no further than the next start of the same element
 TOKEN = re.compile(
@@ -86,7 +89,7 @@ def element(tag: str, attributes: str) -> str:
 
 def blocks(html: str) -> Iterator[tuple[str, str]]:
     """("<", element), (">", ""), and ("T", text) for each block's text, with implied ends."""
-    stack: list[tuple[str, str]] = []
+    stack: list[str] = []
     text: list[str] = []
     links = [0, 0]                                     # open <a>; characters outside of them
 
@@ -118,98 +121,106 @@ def blocks(html: str) -> Iterator[tuple[str, str]]:
             continue
         yield from flush()
         if closing:
-            at = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), None)
+            at = next((i for i in range(len(stack) - 1, -1, -1) if stack[i] == tag), None)
             if at is not None:
-                for _ in range(len(stack) - at):
-                    stack.pop()
-                    yield ">", ""
+                yield from [(">", "")] * (min(len(stack), DEPTH) - min(at, DEPTH))
+                del stack[at:]
             continue
         if tag in VOID:
             continue
-        while stack and tag in ENDS.get(stack[-1][0], ()):
+        while stack and tag in ENDS.get(stack[-1], ()):
             stack.pop()
-            yield ">", ""
-        stack.append((tag, ""))
-        yield "<", element(tag, m.group(4) or m.group(7) or "")
+            if len(stack) < DEPTH:
+                yield ">", ""
+        stack.append(tag)
+        if len(stack) <= DEPTH:
+            yield "<", element(tag, m.group(4) or m.group(7) or "")
     yield from flush()
-    for _ in stack:
-        yield ">", ""
+    yield from [(">", "")] * min(len(stack), DEPTH)
 
 
-def fold(tokens: list[str]) -> list:
-    """Tokens with adjacent equal stretches made into groups ["+", body], innermost first."""
-    symbol: dict = {}
-    meaning: list = []
+# --- wrappers: lists of [item, required]; an item is a text slot "T" ("L": links only), an element
+# --- [name, wrapper] or a repeated group ["+", wrapper]
 
-    def code(key, value) -> str:
-        if key not in symbol:
-            symbol[key] = chr(0xF0000 + len(meaning))
-            meaning.append(value)
-        return symbol[key]
-    s = "".join([code(t, t) for t in tokens])
-    repeated = re.compile(r"(.{1,%d}?)\1+" % MAX_PERIOD, re.S)
-    while True:
-        def group(m: re.Match) -> str:
-            body = m.group(1)
-            one = meaning[ord(body) - 0xF0000] if len(body) == 1 else None
-            return body if isinstance(one, tuple) else code(("+", body), ("+", body))
-        new = repeated.sub(group, s)
-        for key, c in list(symbol.items()):
-            if isinstance(key, tuple):                 # an occurrence beside the group belongs to it
-                body = key[1]
-                while body + c in new or c + body in new or c + c in new:
-                    new = new.replace(body + c, c).replace(c + body, c).replace(c + c, c)
-        if new == s:
-            break
-        s = new
+def label(item) -> str:
+    """What two items must share to be repeats of each other."""
+    if isinstance(item, str):
+        return "T"
+    name, inner = item
+    if name == "+":
+        return "+" + ",".join(label(x) for x, _ in inner)
+    return name if name.split(".")[0].split("@")[0] in ALIKE else json.dumps(item)
 
-    def spell(x: str) -> list:
-        return [["+", spell(v[1])] if isinstance(v := meaning[ord(c) - 0xF0000], tuple) else v for c in x]
-    return spell(s)
-
-
-def stream(html: str) -> list[str]:
-    return ["<" + x if kind == "<" else kind for kind, x in blocks(html)]
 
+def fold(items: list) -> list:
+    """Adjacent repeats made into groups, shortest bodies first."""
+    period = 1
+    while period <= min(MAX_PERIOD, len(items) // 2):
+        labels, out, i = [label(x) for x, _ in items], [], 0
+        while i < len(items):
+            n = 1
+            while i + (n + 1) * period <= len(items) and labels[i + n * period:i + (n + 1) * period] == labels[i:i + period]:
+                n += 1
+            if n == 1:
+                out.append(items[i])
+                i += 1
+                continue
+            body = items[i:i + period]
+            for k in range(1, n):
+                body = align(body, items[i + k * period:i + (k + 1) * period])
+            one = body[0][0] if period == 1 else None
+            out.append([one if isinstance(one, str) or one and one[0] == "+" else ["+", body], True])
+            i += n * period
+        period = period + 1 if len(out) == len(items) else 1          # shorter repeats may have come about
+        items = out
+    return items
 
-# --- wrappers: lists of [item, required], an item being a token or ["+", wrapper] --------------------
 
-def wrapper_of(folded: list) -> list:
-    return [[["+", wrapper_of(x[1])] if isinstance(x, list) else x, True] for x in folded]
+def wrapper_of(stream: Iterator[tuple[str, str]]) -> list:
+    """The wrapper of one page."""
+    open_: list[tuple[str, list]] = [("", [])]
+    for kind, x in stream:
+        if kind == "<":
+            open_.append((x, []))
+        elif kind == ">":
+            name, inner = open_.pop()
+            open_[-1][1].append([[name, fold(inner)], True])
+        else:
+            open_[-1][1].append([kind, True])
+    return fold(open_[0][1])
 
 
 def _like(a, b) -> bool:
-    """Whether two items can be one: equal tokens, or groups whose bodies begin alike."""
-    if isinstance(a, list) and isinstance(b, list):
-        return _first(a) == _first(b)
-    return a == b or isinstance(a, str) and isinstance(b, str) and {a, b} == {"T", "L"}
-
-
-def _first(group: list):
-    x = group[1][0][0]
-    return _first(x) if isinstance(x, list) else x
+    """Whether two items can be one: text slots, elements of one name, groups whose bodies begin alike."""
+    if isinstance(a, str) or isinstance(b, str):
+        return isinstance(a, str) and isinstance(b, str)
+    if a[0] == b[0] == "+":
+        return _like(a[1][0][0], b[1][0][0])
+    return a[0] == b[0]
 
 
 def _merge(a, b):
-    if isinstance(a, list):
-        return ["+", align(a[1], b[1])]
-    return a if a == b else "T"
+    if isinstance(a, str):
+        return a if a == b else "T"
+    return [a[0], align(a[1], b[1])]
 
 
 def _gather(items: list, others: list) -> list:
     """Occurrences in `items` of the bodies of groups among `others` join as groups."""
     for other, _ in others:
-        if not isinstance(other, list):
-            continue
-        body = [x for x, need in other[1]]
-        if any(isinstance(x, list) for x in body):
+        if isinstance(other, str) or other[0] != "+":
             continue
+        body = [x for x, _ in other[1]]
         out, i = [], 0
         while i < len(items):
-            if all(need for _, need in items[i:i + len(body)]) and len(items) - i >= len(body) \
-                    and all(not isinstance(x, list) and _like(x, y) for (x, _), y in zip(items[i:], body)):
-                if not (out and isinstance(out[-1][0], list) and _like(out[-1][0], other)):
-                    out.append([["+", [[x, True] for x, _ in items[i:i + len(body)]]], True])
+            part = [x for x, _ in items[i:i + len(body)]]
+            if len(part) == len(body) and all((isinstance(x, str) or x[0] != "+") and _like(x, y) for x, y in zip(part, body)):
+                group = ["+", items[i:i + len(body)]]
+                last = out[-1][0] if out else ""
+                if not isinstance(last, str) and last[0] == "+" and _like(last, group):
+                    out[-1] = [_merge(last, group), out[-1][1]]
+                else:
+                    out.append([group, True])
                 i += len(body)
             else:
                 out.append(items[i])
@@ -255,30 +266,29 @@ def is_main(name: str) -> bool:
     return name.split("@")[0].split(".")[0] in ("article", "main") or name.endswith("@main")
 
 
+def only_links(items: list) -> bool:
+    """Whether all text slots are links, and there is one."""
+    kinds = [x if isinstance(x, str) else "L" if only_links(x[1]) else "T" for x, _ in items if isinstance(x, str) or has_text(x[1])]
+    return bool(kinds) and all(k == "L" for k in kinds)
+
+
+def has_text(items: list) -> bool:
+    return any(isinstance(x, str) or has_text(x[1]) for x, _ in items)
+
+
 def slots(wrapper: list) -> list[tuple[str, bool, bool, bool]]:
     """(path, in an article or main region, chrome, in a group of links) of each text slot."""
-    out, stack = [], []
-
-    def only_links(items: list) -> bool:
-        kinds = [x for x, _ in items if x in ("T", "L")] + [k for x, _ in items if isinstance(x, list) for k in ["L" if only_links(x[1]) else "T"]]
-        return bool(kinds) and all(k == "L" for k in kinds)
+    out = []
 
-    def walk(items: list, links: bool) -> None:
+    def walk(items: list, path: tuple[str, ...], inside: bool, bad: bool, links: bool) -> None:
         for x, _ in items:
-            if isinstance(x, list):
-                walk(x[1], links or only_links(x[1]))
-            elif x == ">":
-                if stack:
-                    stack.pop()
-            elif x in ("T", "L"):
-                inside, bad = False, False
-                for name in stack:
-                    bad = bad or chrome(name, inside)
-                    inside = inside or is_main(name)
-                out.append(("/".join(stack), inside, bad, links))
+            if isinstance(x, str):
+                out.append(("/".join(path), inside, bad, links))
+            elif x[0] == "+":
+                walk(x[1], path, inside, bad, links or only_links(x[1]))
             else:
-                stack.append(x[1:])
-    walk(wrapper, False)
+                walk(x[1], (*path, x[0]), inside or is_main(x[0]), bad or chrome(x[0], inside), links)
+    walk(wrapper, (), False, False, False)
     return out
 
 
@@ -308,20 +318,16 @@ def _streams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         new: set[tuple[str, str]] = set()
         for part in slices(batch, "html"):
             for host, html in zip(part.column("host").to_pylist(), part.column("html").to_pylist()):
-                tokens, stack, own = [], [], {}
-                has_main = False
-                for kind, x in blocks(html):
+                found, stack, own = list(blocks(html)), [], {}
+                has_main = any(kind == "<" and is_main(x) for kind, x in found)
+                for kind, x in found if not has_main else ():
                     if kind == "<":
                         stack.append(x)
-                        has_main = has_main or is_main(x)
-                        tokens.append("<" + x)
+                    elif kind == ">":
+                        stack.pop()
                     else:
-                        tokens.append(kind)
-                        if kind == ">":
-                            stack.pop()
-                        elif not has_main:
-                            own["/".join(stack)] = _text_hash(f"{own.get('/'.join(stack), 0)} {x}")
-                key = host, json.dumps(wrapper_of(fold(tokens)), separators=(",", ":"))
+                        own["/".join(stack)] = _text_hash(f"{own.get('/'.join(stack), 0)} {x}")
+                key = host, json.dumps(wrapper_of(found), separators=(",", ":"))
                 if key not in seen:
                     new.add(key)
                 if not has_main:                        # constants matter only where no region tells the article

@@ -34,25 +34,38 @@ def test_no_article_region(spark):
 
 def test_odd_pages(spark):
     rows = [(1, None, None), (2, "no url", ""), (3, "http://x/", "plain &amp; simple\n text"), (4, "http://y/", "<article><p>cut off <b>he"),
-            (5, "http://y/", "<article><p>cut</p></article><foote"), (6, "http://y/", "<article><p>a < b &notanentity; &#65;"),
+            (5, "http://y/", "<article><p>cut</p></article><foote"), (6, "http://y/", "<article><p>a < b &zzz; &#65;"),
             (7, "http://z/", "<article>" + "<p>w</p>" * 20_000 + "</article>"), (8, "http://z/", '<article><p title="unclosed>q</p></article>')]
     got = run(spark, [(*r, 5) for r in rows], "page_id int, url string, html string, host int")
-    assert [got[i] for i in range(1, 7)] == ["", "", "plain & simple text", "cut off he", "cut", "a < b &notanentity; A"]
+    assert [got[i] for i in range(1, 7)] == ["", "", "plain & simple text", "cut off he", "cut", "a < b &zzz; A"]
     assert got[7] == "\n".join(["w"] * 20_000) and got[8] == "q"
     assert H.extract(spark.createDataFrame([], "page_id int, url string, html string")).count() == 0
 
 
+def wrap(html):
+    return H.wrapper_of(H.blocks(html))
+
+
+def plain(wrapper):
+    """Items only, optional ones marked by "?"."""
+    return [(x if isinstance(x, str) else [x[0], plain(x[1])]) if need else ["?", plain([[x, True]])] for x, need in wrapper]
+
+
 def test_fold_and_align():
-    fold = lambda s: H.fold(s.split())
-    assert fold("a b b b c") == ["a", ["+", ["b"]], "c"]
-    assert fold("x y x y z") == [["+", ["x", "y"]], "z"]
-    assert fold("t r r t r r r") == [["+", ["t", ["+", ["r"]]]]]
-    one, many = H.wrapper_of(fold("< T > f")), H.wrapper_of(fold("< T > < T > f"))
-    both = H.align(one, many)
-    assert both == H.align(many, one) == many
-    wide = H.align(H.wrapper_of(fold("h n f")), H.wrapper_of(fold("h a f")))
-    assert wide[0] == ["h", True] and wide[-1] == ["f", True] and sorted(wide[1:3]) == [["a", False], ["n", False]]
-    assert H.align(wide, H.wrapper_of(fold("h f"))) == wide
+    assert plain(wrap("<h1>a</h1><p>b<p>c<p>d<hr><div>e</div>")) == [["h1", ["T"]], ["+", [["p", ["T"]]]], ["div", ["T"]]]
+    assert plain(wrap("<dl><dt>a<dd>b<dt>c<dd><p>d</dl>")) == [["dl", [["+", [["dt", ["T"]], ["dd", [["?", ["T"]], ["?", [["p", ["T"]]]]]]]]]]]
+    nested = plain(wrap("<h2>t</h2><p>r<p>r<h2>t</h2><p>r<p>r<p>r"))
+    assert nested == [["+", [["h2", ["T"]], ["+", [["p", ["T"]]]]]]]
+    one, many = wrap("<nav><a>x</a></nav><p>a</p><footer>f</footer>"), wrap("<nav><a>x</a></nav><p>a</p><p>b</p><footer>f</footer>")
+    assert H.align(one, many) == H.align(many, one) == many
+    wide = H.align(wrap("<h1>h</h1><nav>n</nav><footer>f</footer>"), wrap("<h1>h</h1><aside>a</aside><footer>f</footer>"))
+    assert [x[0] for x in plain(wide)] == ["h1", "?", "?", "footer"]
+    assert H.align(wide, wrap("<h1>h</h1><footer>f</footer>")) == wide
+
+
+def test_deep_nesting(spark):
+    deep = "<article>" + "<div>" * 3000 + "deep" + "</div>" * 3000 + "<p>flat</p></article><p>out</p>"
+    assert run(spark, [(1, "http://h/", deep)]) == {1: "deep\nflat"}
 
 
 def test_given_pages_against_a_plain_reading(spark):

@@ -3,10 +3,10 @@
 import corpus_pipeline
 from conftest import SF001
 
-from test_decontam import brute as hits  # noqa: F401  (same folder)
-from test_line_dedup import brute as lines
-from test_ngram_join import brute as near
-from test_quality import figures
+from .test_decontam import brute as hits
+from .test_line_dedup import brute as lines
+from .test_ngram_join import brute as near
+from .test_quality import figures
 
 
 def test_stages(spark):

@@ -20,7 +20,7 @@ def figures(text):
 PROSE = "The quick brown fox, having slept well, jumps over the lazy dog near the old river bank today.\n" \
         "A second line of prose follows it, and it is not like the first one at all."
 TEXTS = [None, "", " \t\n", "one", PROSE, PROSE + "\n" + PROSE, "a b c d e f g h " * 9, "x\n" * 40, "é ü ß " * 30 + ".",
-         "\U0001F600 " * 25, "a|b|c|d|e\n" * 30, "HELLO WORLD THIS IS ALL VERY LOUD TEXT\n" * 3 + PROSE,
+         "\U0001F600 " * 25, "a|b|c|d|e\n" * 30, "HELLO WORLD THIS IS ALL VERY LOUD TEXT\n" + PROSE,
          " ".join(f"w{i}" for i in range(5000)) + "."]
 
 
@@ -36,7 +36,7 @@ def test_figures(spark):
 
 
 def test_line_rules(spark):
-    body = "\n".join(f"Sentence number {i} says something, and it ends here." for i in range(10))
+    body = "\n".join(f"Sentence{i} number{i} says{i} something{i}, and it{i} ends{i} here." for i in range(20))
     lines = ["Home | About | Contact | Help", "All rights reserved.", "word " * 15, "%%% a *** b ### c $$$ d", "WE SHOUT AT YOU ALL DAY LONG NOW!"]
     text = "\n".join([body, *lines])
     df = spark.createDataFrame([(1, text, len(text))], "doc_id int, text string, n_chars int")
