@@ -24,37 +24,96 @@ def _thresholds(a) -> Thresholds:
 
 
 def _read(spark, root, name, schema=None):
-    from quarry.streaming.ingest import _exists
+    from quarry.sources.landing import path_exists
+    from quarry.sources.tables import without_deleted
     path = f"{root}/{name}"
-    if _exists(spark, path):
-        return spark.read.parquet(path)
+    if path_exists(spark, path):
+        df = spark.read.parquet(path).drop("bucket")
+        return without_deleted(spark, root, df) if name == "files" else df
     return spark.createDataFrame([], schema) if schema is not None else None
 
 
+def _landing(spark, a):
+    """The landing as rows; says how many records could not be read."""
+    from quarry.sources.landing import landing_rejects, read_landing
+    bad = landing_rejects(spark, a.landing, a.format).first()["rejects"]
+    if bad:
+        print(f"{bad} malformed records left out")
+    return read_landing(spark, a.landing, a.format)
+
+
+def _import(spark, landing, a):
+    """H1/H2 + E10: append the new rows; their numbers are observed while
+    writing (counting afterwards would anti-join against the new rows)."""
+    from quarry.streaming.ingest import ingest_batch
+    new_r, new_f = ingest_batch(landing, a.catalog)
+    print(f"imported: {new_r} repositories, {new_f} files")
+
+
 def cmd_filter(spark, a):
     from quarry.operators.suitability import filter_landing, verdict_counts
     from quarry.sources.landing import read_landing, write_landing
-    judged = filter_landing(read_landing(spark, a.landing, a.format), spark.read.parquet(a.contents), _thresholds(a))
+    judged = filter_landing(_landing(spark, a), spark.read.parquet(a.contents), _thresholds(a))
     write_landing(judged, a.out, a.format)
-    verdict_counts(read_landing(spark, a.out, a.format)).show()
+    back = read_landing(spark, a.out, a.format)
+    verdict_counts(back).show()
+    if a.catalog:
+        _import(spark, back, a)
 
 
 def cmd_import(spark, a):
-    """H1/H2 + E10: append the new rows; their numbers are observed while
-    writing (counting afterwards would anti-join against the new rows)."""
-    from pyspark.sql import Observation
-
-    from quarry.operators.catalog import import_landing
-    from quarry.sources.landing import read_landing
-    from quarry.operators.catalog import assert_importable
-    landing = read_landing(spark, a.landing, a.format)
-    assert_importable(landing)
-    _, _, new_r, new_f = import_landing(landing, _read(spark, a.catalog, "repositories"),
-                                        _read(spark, a.catalog, "files"), clock=F.localtimestamp())
-    obs_r, obs_f = Observation("new_repositories"), Observation("new_files")
-    new_r.observe(obs_r, F.count(F.lit(1)).alias("n")).write.mode("append").parquet(f"{a.catalog}/repositories")
-    new_f.observe(obs_f, F.count(F.lit(1)).alias("n")).write.mode("append").parquet(f"{a.catalog}/files")
-    print(f"imported: {obs_r.get['n']} repositories, {obs_f.get['n']} files")
+    _import(spark, _landing(spark, a), a)
+
+
+def cmd_crawl(spark, a):
+    """K1 / K2 over tables: collect, judge and land; with --catalog also import."""
+    from quarry.operators.suitability import verdict_counts
+    from quarry.plans.curate import collect_by_query, collect_repository
+    from quarry.sources.landing import append_landing, read_landing
+    repos, files, bodies = (spark.read.parquet(p) for p in (a.repos, a.files, a.bodies))
+    cap = a.max_files if a.max_files and a.max_files > 0 else None      # blank or none: no cap (B16)
+    if a.url:
+        landed = collect_repository(spark, a.url, repos, files, bodies, _thresholds(a), cap, out_dir=a.out_dir)
+    else:
+        landed = collect_by_query(repos, files, bodies, _thresholds(a), a.max_repos, cap, out_dir=a.out_dir,
+                                  min_stars=a.min_stars, license=a.license, sort=a.sort)
+    append_landing(landed, a.out, a.format)
+    back = read_landing(spark, a.out, a.format)
+    verdict_counts(back).show()
+    if a.catalog:
+        _import(spark, back, a)
+
+
+def cmd_view(spark, a):
+    """One file's record and its text or a preview."""
+    from quarry.operators.search import lookup
+    from quarry.sources.landing import path_exists
+    from quarry.sources.tables import current_contents
+    contents = current_contents(spark, a.catalog) if path_exists(spark, f"{a.catalog}/contents") else None
+    ids = spark.createDataFrame([(a.id,)], "id long")
+    rows = lookup(_read(spark, a.catalog, "files"), ids, contents, None if a.full else 1000).collect()
+    if not rows:
+        print(f"no file {a.id}")
+    for name, value in (rows[0].asDict().items() if rows else ()):
+        print(f"{name}: {value}")
+
+
+def cmd_tags(spark, a):
+    from quarry.operators.tags import tag_counts
+    tag_counts(_links(spark, a)).orderBy(F.desc("count"), "name").show(a.limit, truncate=False)
+
+
+def cmd_delete(spark, a):
+    """H7/H8: tombstones for ids; prints each id's status."""
+    from quarry.operators.catalog import delete_files
+    from quarry.sources.tables import commit_deletes
+    ids = spark.createDataFrame([(int(i),) for i in a.ids.split(",")], "id long")
+    status = delete_files(ids, _read(spark, a.catalog, "files"), _links(spark, a))["status"].collect()
+    hit = [(r["id"],) for r in status if r["status"] == "deleted"]
+    if hit:
+        commit_deletes(spark.createDataFrame(hit, "id long"), a.catalog, time.time_ns())
+    for r in status:
+        print(f"{r['id']}: {r['status']}")
 
 
 def _links(spark, a):
@@ -68,7 +127,12 @@ def cmd_search(spark, a):
     res = search(_read(spark, a.catalog, "files"), _read(spark, a.catalog, "repositories"), _links(spark, a),
                  query=a.query, tags=a.tags.split(",") if a.tags else None, min_quality=a.min_quality,
                  suitable_only=a.suitable_only, limit=a.limit)
-    display_rows(res).show(a.limit if a.limit and a.limit > 0 else 20, truncate=False)
+    rows = display_rows(res)
+    if a.limit is not None and a.limit < 0:              # no limit: all rows, a partition at a time
+        for r in rows.toLocalIterator():
+            print(" | ".join(str(v) for v in r))
+    else:
+        rows.show(a.limit, truncate=False)
 
 
 def cmd_tag(spark, a):
@@ -98,8 +162,11 @@ def cmd_export(spark, a):
 
 def cmd_backup(spark, a):
     from quarry.sources.tables import snapshot
-    tables = {n: df for n in ("repositories", "files", "tag_ops", "contents")
+    tables = {n: df for n in ("repositories", "files", "tag_ops", "contents", "content_versions", "tombstones", "landing")
               if (df := _read(spark, a.catalog, n)) is not None}
+    if a.landing:
+        from quarry.sources.landing import read_landing
+        tables["landing"] = read_landing(spark, a.landing, a.format).drop("arrival")
     root, counts = snapshot(spark, tables, a.out)
     print(root)
     counts.show()
@@ -134,8 +201,17 @@ def build_parser() -> argparse.ArgumentParser:
         s.add_argument("--max-lines", type=int, default=1000)
 
     add("filter", cmd_filter, land, th, lambda s: s.add_argument("--contents", required=True),
-        lambda s: s.add_argument("--out", required=True))
+        lambda s: s.add_argument("--out", required=True), lambda s: s.add_argument("--catalog"))
     add("import", cmd_import, land, cat)
+    add("crawl", cmd_crawl, th, *[lambda s, n=n: s.add_argument(f"--{n}", required=True) for n in ("repos", "files", "bodies", "out")],
+        lambda s: s.add_argument("--url"), lambda s: s.add_argument("--max-repos", type=int, default=5),
+        lambda s: s.add_argument("--max-files", type=lambda v: int(v) if v.strip() else None), lambda s: s.add_argument("--min-stars", type=int),
+        lambda s: s.add_argument("--license"), lambda s: s.add_argument("--sort", default="stars", choices=["stars", "forks", "updated"]),
+        lambda s: s.add_argument("--out-dir", default="collected_code"), lambda s: s.add_argument("--catalog"),
+        lambda s: s.add_argument("--format", default="json", choices=["json", "parquet"]))
+    add("view", cmd_view, cat, lambda s: s.add_argument("--id", type=int, required=True), lambda s: s.add_argument("--full", action="store_true"))
+    add("tags", cmd_tags, cat, lambda s: s.add_argument("--limit", type=int, default=CLI_SEARCH_LIMIT))
+    add("delete", cmd_delete, cat, lambda s: s.add_argument("--ids", required=True))
     add("search", cmd_search, cat, lambda s: s.add_argument("--query"), lambda s: s.add_argument("--tags"),
         lambda s: s.add_argument("--min-quality", type=float), lambda s: s.add_argument("--suitable-only", action="store_true"),
         lambda s: s.add_argument("--limit", type=int, default=CLI_SEARCH_LIMIT))
@@ -144,7 +220,8 @@ def build_parser() -> argparse.ArgumentParser:
     add("stats", cmd_stats, cat)
     add("export", cmd_export, cat, lambda s: s.add_argument("--format", default="csv", choices=["csv", "json"]),
         lambda s: s.add_argument("--out", required=True))
-    add("backup", cmd_backup, cat, lambda s: s.add_argument("--out"))
+    add("backup", cmd_backup, cat, lambda s: s.add_argument("--out"), lambda s: s.add_argument("--landing"),
+        lambda s: s.add_argument("--format", default="json", choices=["json", "parquet"]))
     add("sync", cmd_sync, land, cat, lambda s: s.add_argument("--out", required=True))
     return p
 

@@ -4,8 +4,10 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from quarry.schema import DEFAULT_REPO_HOST
 
@@ -21,16 +23,18 @@ def decode_content(b64) -> Column:
     return F.try_validate_utf8(raw.cast("string"))
 
 
+@F.pandas_udf(StringType())
+def _decode_ignoring(raw: pd.Series) -> pd.Series:
+    return raw.map(lambda b: None if b is None else bytes(b).decode("utf-8", "ignore"))
+
+
 def lenient_text(binary_col) -> Column:
-    """Bytes -> text dropping invalid sequences (errors='ignore' read).
-    Valid input is returned unchanged. In invalid input the bad bytes become
-    U+FFFD (make_valid_utf8) and every U+FFFD is then removed, so a genuine
-    U+FFFD inside an otherwise invalid file is dropped too (a file both
-    invalid and holding the replacement character)."""
+    """Bytes -> text dropping invalid sequences and nothing else. Valid input
+    stays in the JVM; only invalid bytes go through Arrow to be decoded."""
     b = _c(binary_col)
     as_str = b.cast("string")
-    return F.when(F.is_valid_utf8(as_str), as_str).otherwise(
-        F.regexp_replace(F.make_valid_utf8(as_str), "�", ""))
+    valid = F.is_valid_utf8(as_str)
+    return F.when(valid, as_str).otherwise(_decode_ignoring(F.when(~valid, b)))
 
 
 def landing_path(out_dir: str, full_name, path) -> Column:
@@ -90,11 +94,3 @@ def int_to_bool(col) -> Column:
 def parse_iso(col) -> Column:
     """ISO-8601 text (with 'T' or space, optional fraction) -> timestamp_ntz."""
     return F.to_timestamp_ntz(F.regexp_replace(_c(col), "T", " "))
-
-
-def iso_text(col) -> Column:
-    return F.date_format(_c(col), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
-
-
-def job_time_text(col) -> Column:
-    return F.date_format(_c(col), "yyyy-MM-dd HH:mm:ss")

@@ -6,7 +6,7 @@ sequence, so nothing funnels through one task) unless the landing carries
 its own `file_id`.
 
 First row wins per key (insert-if-absent). The dedup is an aggregation —
-`min_by(struct, seq)` — so Spark combines map-side before the shuffle and a
+`min(struct(seq, row))` — so Spark combines map-side before the shuffle and a
 key holding a third of all rows costs one small partial per map task, not a
 sort of the hot group in one task (which `row_number()` would need).
 """
@@ -23,6 +23,7 @@ FILE_COLS = ["id", "repo_id", "repo_full_name", "name", "path", "url", "local_pa
              "code_lines", "is_suitable", "unsuitable_reason", "complexity_avg", "complexity_max",
              "function_count", "downloaded_at"]
 FILE_REQUIRED = ["file_name", "file_path", "file_url", "local_path"]
+MAX_SEQ = (1 << 63) - 1          # order of rows that carry none
 
 
 def repo_id(full_name: Column) -> Column:
@@ -34,16 +35,17 @@ def file_key_id(full_name: Column, path: Column) -> Column:
 
 
 def first_wins(df: DataFrame, keys: list[str], order: str = "seq") -> DataFrame:
-    """Keep the earliest row (by `order`) of every key, via a partial aggregate."""
-    payload = [c for c in df.columns if c not in keys]
-    picked = df.groupBy(*keys).agg(F.min_by(F.struct(*payload), F.col(order)).alias("_first"))
-    return picked.select(*keys, "_first.*")
+    """Keep the earliest row of every key, via a partial aggregate.
 
-
-def last_wins(df: DataFrame, keys: list[str], order: str = "seq") -> DataFrame:
-    payload = [c for c in df.columns if c not in keys]
-    picked = df.groupBy(*keys).agg(F.max_by(F.struct(*payload), F.col(order)).alias("_last"))
-    return picked.select(*keys, "_last.*")
+    Earliest by `order`, rows without it last; then by `arrival` (the place in
+    the landing files) where the frame has it; then by the row's own values, so
+    nulls and ties have one defined winner."""
+    rank = [F.coalesce(F.col(order), F.lit(MAX_SEQ)).alias("_seq")]
+    if "arrival" in df.columns:
+        rank.append(F.col("arrival").alias("_arrival"))
+    payload = [c for c in df.columns if c not in (*keys, "arrival")]
+    picked = df.groupBy(*keys).agg(F.min(F.struct(*rank, F.struct(*payload).alias("row"))).alias("_first"))
+    return picked.select(*keys, "_first.row.*")
 
 
 def with_repo_key(landing: DataFrame) -> DataFrame:
@@ -51,12 +53,18 @@ def with_repo_key(landing: DataFrame) -> DataFrame:
     return landing.filter(F.col("repo_full_name").isNotNull() & (F.col("repo_full_name") != ""))
 
 
+def _order_columns(landing: DataFrame) -> list[Column]:
+    """What orders landing rows: `seq` (null where the landing has none) and `arrival`."""
+    seq = F.col("seq") if "seq" in landing.columns else F.lit(None)
+    return [seq.cast("bigint").alias("seq")] + ([F.col("arrival")] if "arrival" in landing.columns else [])
+
+
 def landing_repos(landing: DataFrame, added_at: Column | None = None) -> DataFrame:
     """Candidate repository rows of a landing batch, first row per full_name."""
     rows = with_repo_key(landing).select(
         F.col("repo_full_name").alias("full_name"), F.col("repo_name").alias("name"),
         F.col("repo_url").alias("url"), F.coalesce(F.col("repo_stars"), F.lit(0)).cast("bigint").alias("stars"),
-        F.col("repo_license").alias("license"), "seq")
+        F.col("repo_license").alias("license"), *_order_columns(landing))
     out = first_wins(rows, ["full_name"]).withColumn("id", repo_id(F.col("full_name")))
     if added_at is not None:
         out = out.withColumn("added_at", added_at)
@@ -73,10 +81,10 @@ def invalid_repo_rows(landing: DataFrame) -> DataFrame:
 def assert_importable(landing: DataFrame) -> None:
     """Reject a whole landing batch, before anything is written, when a
     repository's first row lacks name or url (the original aborts the whole
-    import then). One bounded action: it stops at the first offending key."""
-    bad = invalid_repo_rows(landing).select("full_name").limit(1).collect()
-    if bad:
-        raise ValueError(f"landing batch rejected: repository {bad[0]['full_name']!r} has no name or url")
+    import then). Names the first such repository; one row comes back."""
+    bad = invalid_repo_rows(landing).agg(F.min("full_name").alias("full_name")).first()["full_name"]
+    if bad is not None:
+        raise ValueError(f"landing batch rejected: repository {bad!r} has no name or url")
 
 
 def landing_files(landing: DataFrame, clock: Column | None = None) -> DataFrame:
@@ -98,63 +106,37 @@ def landing_files(landing: DataFrame, clock: Column | None = None) -> DataFrame:
         cx["avg_complexity"].cast("double").alias("complexity_avg"),
         cx["max_complexity"].cast("bigint").alias("complexity_max"),
         cx["function_count"].cast("bigint").alias("function_count"),
-        parsed.alias("downloaded_at"), "seq")
+        parsed.alias("downloaded_at"), *_order_columns(landing))
     out = first_wins(sel, ["repo_full_name", "path"])
     return out.withColumn("repo_id", repo_id(F.col("repo_full_name"))).select(*FILE_COLS, "seq")
 
 
-# Largest batch whose keys are broadcast to probe the catalogue: by counted
-# rows, or by the size Spark estimates for the batch's input files.
-MAX_BROADCAST_KEYS = 2_000_000
-MAX_BROADCAST_BATCH_BYTES = 256 * 1024 * 1024
-
-
-def estimated_bytes(df: DataFrame) -> int | None:
-    """Optimizer size estimate of `df` (for a file scan: the files' bytes);
-    None when Spark has no estimate. No job runs."""
-    try:
-        return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    except Exception:  # noqa: BLE001 - statistics are best effort
-        return None
-
-
-def new_rows(candidates: DataFrame, existing: DataFrame, keys: list[str],
-             candidate_rows: int | None = None, small: bool = False) -> DataFrame:
-    """Candidates whose key is not yet present.
-
-    A left-anti join can only build on the catalogue side, so by default both
-    sides are shuffled. When the batch size is known (`candidate_rows`, a
-    counted bound) and small, the catalogue keys are first probed with a
-    broadcast of the batch keys (a filter over the pruned key scan, no
-    catalogue shuffle); the few keys found then anti-join the batch. Beyond
-    the bound the plain anti-join is used. `small` states that the caller has
-    checked the batch against a size bound by other means."""
-    if small or (candidate_rows is not None and candidate_rows <= MAX_BROADCAST_KEYS):
-        present = existing.select(*keys).join(F.broadcast(candidates.select(*keys)), keys, "left_semi")
-        return candidates.join(present, keys, "left_anti")
+def new_rows(candidates: DataFrame, existing: DataFrame, keys: list[str]) -> DataFrame:
+    """Candidates whose key is not yet present. Nothing is hinted: adaptive
+    execution turns the join into a broadcast join when it has measured a small
+    side. `existing` is the catalogue's key columns, pruned by the caller to the
+    buckets that the batch touches (see `streaming.ingest`)."""
     return candidates.join(existing.select(*keys), keys, "left_anti")
 
 
 def import_landing(landing: DataFrame, repos: DataFrame | None = None, files: DataFrame | None = None,
-                   clock: Column | None = None, batch_rows: int | None = None, small_batch: bool = False
-                   ) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+                   clock: Column | None = None) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """H1 + H2: insert-if-absent of a landing batch into the catalogue.
 
     Returns (repos_after, files_after, new_repos, new_files); E10's counts are
-    the row counts of the two `new_*` frames. `batch_rows`, when the caller
-    has counted the batch, bounds the candidates (see `new_rows`).
+    the row counts of the two `new_*` frames.
     """
     cand_r = landing_repos(landing, clock)
     cand_f = landing_files(landing, clock)
     if repos is None:
         new_r, repos_after = cand_r, cand_r
     else:
-        new_r = new_rows(cand_r, repos, ["full_name"], batch_rows, small_batch)
+        new_r = new_rows(cand_r, repos, ["full_name"])
         repos_after = repos.unionByName(new_r, allowMissingColumns=True)
     if files is None:
         new_f, files_after = cand_f, cand_f
     else:
-        new_f = new_rows(cand_f, files, ["repo_full_name", "path"], batch_rows, small_batch)
+        new_f = new_rows(cand_f, files, ["repo_full_name", "path"])
         files_after = files.unionByName(new_f, allowMissingColumns=True)
     return repos_after, files_after, new_r, new_f
 

@@ -11,7 +11,8 @@ Complexity of a function = 1 + if / conditional expression / assert
 + for / while (+1 with else) + except handlers (+1 with else)
 + (boolean operands - 1) + comprehensions (1 + their ifs)
 + match cases (a trailing wildcard case not counted). Nested functions are
-not added to their parent. A class counts int((1 + sum(methods)) / n) +
+not added to their parent. Functions and classes under a module's or class's
+compound statements (`if`, `try`, `with`, loops) are its blocks. A class counts int((1 + sum(methods)) / n) +
 (n > 1) for n methods, or 1 + its own branches when it has none.
 Unparsable text gives no blocks (zeros downstream).
 """
@@ -105,8 +106,10 @@ def _scan(tree: ast.Module):
         elif t is ast.Name:
             used.add(node.id)
 
-        child_scope, child_ctx = scope, None
+        # compound statements of a module or class hold its blocks too; a function's insides hold none
+        child_scope, child_ctx = scope, ctx
         if t in _FUNCS:
+            child_ctx = None
             a = node.args
             child_scope = {"func": True, "cx": 0, "branches": 0, "stmts": 0,
                            "nargs": len(a.posonlyargs) + len(a.args) + len(a.kwonlyargs)}
@@ -123,7 +126,6 @@ def _scan(tree: ast.Module):
                 name = ctx[1] + node.name
                 blocks.append([name, "class", child_scope])
                 child_ctx = ("class", name + ".", child_scope)
-        # only a class body can hold further blocks; anything under a function or a plain node cannot
         for c in reversed(list(ast.iter_child_nodes(node))):
             stack.append((c, child_scope, child_ctx))
 
@@ -187,7 +189,7 @@ def analyze_ast(df: DataFrame, key_cols: list[str], text_col: str = "content") -
                 out[n] = [r[n] for r in res]
             yield out
 
-    return df.select(*key_cols, text_col).mapInPandas(run, schema)
+    return df.select(*dict.fromkeys([*key_cols, text_col])).mapInPandas(run, schema)
 
 
 def with_complexity(ast_df: DataFrame) -> DataFrame:

@@ -55,7 +55,7 @@ def progress(events: DataFrame, group: str = "job_id", order: str = "seq") -> Da
                          (F.col("step") / F.col("total") * 100).alias("percent"))
 
 
-def job_event(files_downloaded: DataFrame, verdicts: DataFrame, job_id: int, query: str) -> DataFrame:
+def job_event(verdicts: DataFrame, job_id: int, query: str) -> DataFrame:
     """K3 job summary: files handled, suitable / unsuitable counts, status."""
     flag = F.coalesce(F.col("is_suitable"), F.lit(False))
     return verdicts.agg(

@@ -10,10 +10,9 @@ partitions + groups rows.
 
 Range bounds come from sampling that Spark seeds per RDD, so two
 evaluations of the same range shuffle may cut differently. The numbered keys
-are therefore materialised once with a reliable `checkpoint()` (in the
-shared checkpoint folder) and both the counts and the positions are read
-from that one copy — which also cuts the lineage, so a lost executor
-recomputes nothing upstream.
+are therefore written once as Parquet in the shared checkpoint folder and both
+the counts and the positions are read from that one copy — which also cuts the
+lineage, so a lost executor recomputes nothing upstream.
 
 `order` must be unique within a group (e.g. an event sequence number).
 """
@@ -23,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.session import checkpoint_root
+from quarry.sources.tables import stored
 
 _LOW_BITS = (1 << 33) - 1
 
@@ -33,7 +32,6 @@ def rank_within_group(df: DataFrame, group: str, order, partitions: int | None =
     name or a list of names, unique within the group) within `group`, and the
     group's row count."""
     spark = df.sparkSession
-    checkpoint_root(spark)
     order = [order] if isinstance(order, str) else list(order)
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     keys = (df.select(group, *order)
@@ -41,7 +39,7 @@ def rank_within_group(df: DataFrame, group: str, order, partitions: int | None =
               .sortWithinPartitions(group, *order)
               .withColumn("_pid", F.spark_partition_id())
               .withColumn("_idx", F.monotonically_increasing_id().bitwiseAND(F.lit(_LOW_BITS))))
-    keys = keys.checkpoint(eager=True)
+    keys = stored(keys, "rank")
     pieces = keys.groupBy("_pid", group).agg(F.min("_idx").alias("_first"), F.count(F.lit(1)).alias("_n"))
     w = Window.partitionBy(group).orderBy("_pid")
     offsets = pieces.select(
@@ -50,4 +48,4 @@ def rank_within_group(df: DataFrame, group: str, order, partitions: int | None =
         F.sum("_n").over(Window.partitionBy(group)).alias("total"))
     out = keys.join(offsets, ["_pid", group], "inner")
     step = F.coalesce(F.col("_before"), F.lit(0)) + (F.col("_idx") - F.col("_first")) + 1
-    return out.select(group, *order, step.cast("int").alias("step"), F.col("total").cast("bigint").alias("total"))
+    return out.select(group, *order, step.cast("bigint").alias("step"), F.col("total").cast("bigint").alias("total"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.functions.signals import py_fixed1
-from quarry.functions.text import bool_to_int, or_unknown, parse_iso
+from quarry.functions.text import bool_to_int, parse_iso
 from quarry.operators.catalog import files_with_repos
 from quarry.schema import REPORT_HEADER  # noqa: F401  (re-exported for the export sink)
 
@@ -93,7 +93,3 @@ def required_field_gaps(df: DataFrame, cols: list[str]) -> DataFrame:
         aggs.append(F.count_if(empty).cast("bigint").alias(f"missing_{c}"))
     aggs.append(F.count(F.lit(1)).cast("bigint").alias("rows"))
     return df.agg(*aggs)
-
-
-def licence_labels(repos: DataFrame) -> DataFrame:
-    return repos.select("full_name", or_unknown(F.col("license")).alias("license_label"))

@@ -25,27 +25,19 @@ def first_files_per_repo(listing: DataFrame, max_files: int | None, repo_col: st
     """The first `max_files` files of each repository in breadth-first
     order (depth, then path); 0 -> none, None -> all.
 
-    Up to spark.sql.optimizer.windowGroupLimitThreshold (1000), `row_number()
-    <= k` is planned with a partial WindowGroupLimit before the shuffle, so a
-    repository holding a third of all files ships at most k rows per map
-    task. Above it, the position comes from the range-partitioned rank
-    (`operators.ranking`), which cuts a hot repository across tasks; the
-    ranked keys are joined back on (repository, path), which is unique.
+    One way for every cap: `row_number() <= k`, the row carried through the
+    window, so duplicates count as rows of their own and a null repository is a
+    group like any other. Spark plans it with a partial WindowGroupLimit before
+    the shuffle up to spark.sql.optimizer.windowGroupLimitThreshold (1000; raise
+    it for larger caps), which keeps what a repository ships to k rows per map task.
     """
     with_depth = listing.withColumn("depth", path_depth(F.col("path")))
     if max_files is None:
         return with_depth
     if max_files <= 0:
         return with_depth.limit(0)
-    spark = listing.sparkSession
-    threshold = int(spark.conf.get("spark.sql.optimizer.windowGroupLimitThreshold", "1000"))
-    if max_files <= threshold:
-        w = Window.partitionBy(repo_col).orderBy(F.col("depth"), F.col("path"))
-        return with_depth.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= max_files)
-    from quarry.operators.ranking import rank_within_group
-    ranked = rank_within_group(with_depth, repo_col, ["depth", "path"]).filter(F.col("step") <= max_files)
-    keep = ranked.select(repo_col, "path", F.col("step").alias("rank"))
-    return with_depth.join(keep, [repo_col, "path"], "inner")
+    w = Window.partitionBy(repo_col).orderBy(F.col("depth"), F.col("path"))
+    return with_depth.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= max_files)
 
 
 def list_source_files(listing: DataFrame, max_files: int | None = None, suffix: str = ".py") -> DataFrame:

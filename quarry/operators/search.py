@@ -17,6 +17,8 @@ from quarry.operators.catalog import files_with_repos
 from quarry.operators.tags import any_tag_files, attach_tags
 from quarry.schema import SEARCH_LIMIT
 
+# Result rows whose ids may be broadcast (8 bytes each).
+MAX_BROADCAST_ROWS = 100_000
 RESULT_COLS = ["id", "name", "path", "local_path", "quality_score", "code_lines", "is_suitable", "repo_name"]
 
 
@@ -35,9 +37,11 @@ def text_predicate(query: str | None, cols=("name", "path", "repo_short_name", "
 
 
 def normalize_limit(limit) -> int | None:
-    """None or negative -> unlimited; blank text -> default."""
-    if limit is None or limit == "":
+    """None or negative -> unlimited; blank text -> the default limit."""
+    if limit is None:
         return None
+    if isinstance(limit, str) and not limit.strip():
+        return SEARCH_LIMIT
     limit = int(limit)
     return None if limit < 0 else limit
 
@@ -52,13 +56,18 @@ def normalize_min_quality(value):
 def search(files: DataFrame, repos: DataFrame, links: DataFrame | None = None, query: str | None = None,
            tags: list[str] | None = None, min_quality=None, suitable_only: bool = False,
            limit=SEARCH_LIMIT, with_tags: bool = True) -> DataFrame:
-    """G1: filters -> order by score desc (nulls last), id -> limit -> tags."""
-    base = files_with_repos(files, repos).select(
-        *[c for c in RESULT_COLS if c != "repo_name"],
-        F.col("repo_full_name").alias("repo_name"), F.col("repo_name").alias("repo_short_name"))
+    """G1: filters -> order by score desc (nulls last), id -> limit -> tags.
+
+    Only a text query reads repository columns before the limit. Without one
+    the limit is taken from the files alone (kept to those whose repository
+    exists), and without a limit nothing is sorted: a frame has no order then."""
+    known = files.join(repos.select(F.col("id").alias("repo_id")), "repo_id", "left_semi")
+    base = known.select(*[c for c in RESULT_COLS if c != "repo_name"], F.col("repo_full_name").alias("repo_name"))
     pred = text_predicate(query)
     if pred is not None:
-        base = base.filter(pred)
+        base = files_with_repos(files, repos).select(
+            *[c for c in RESULT_COLS if c != "repo_name"],
+            F.col("repo_full_name").alias("repo_name"), F.col("repo_name").alias("repo_short_name")).filter(pred)
     if tags:
         base = any_tag_files(base, links, tags)
     mq = normalize_min_quality(min_quality)
@@ -68,14 +77,15 @@ def search(files: DataFrame, repos: DataFrame, links: DataFrame | None = None, q
         base = base.filter(F.col("is_suitable"))
     base = base.select(*RESULT_COLS)
     order = [F.desc_nulls_last("quality_score"), F.asc("id")]
-    ordered = base.orderBy(*order)
     lim = normalize_limit(limit)
     if lim is not None:
-        ordered = ordered.limit(lim)
+        base = base.orderBy(*order).limit(lim)
     if with_tags and links is not None:
-        # the join does not keep row order: sort the (at most `limit`) rows again
-        ordered = attach_tags(ordered, links, restrict=lim is not None, max_rows=lim).orderBy(*order)
-    return ordered
+        base = attach_tags(base, links, lim if lim is not None and lim <= MAX_BROADCAST_ROWS else None)
+        if lim is not None:
+            # the join does not keep row order: sort the (at most `limit`) rows again
+            base = base.orderBy(*order)
+    return base
 
 
 def lookup(files: DataFrame, ids: DataFrame, contents: DataFrame | None = None,

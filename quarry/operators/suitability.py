@@ -1,7 +1,8 @@
 """Signals and the suitability verdict.
 
-All of it is row-local column arithmetic: no shuffle, whole-stage codegen,
-so it scales linearly with the corpus and never moves text across the network.
+All of it is row-local column arithmetic without a shuffle (the folds over lines
+are higher-order functions, which Spark interprets inside the stage), so it scales
+linearly with the corpus and never moves text across the network.
 """
 
 from __future__ import annotations
@@ -108,15 +109,36 @@ def score_and_judge(df: DataFrame, th: Thresholds = Thresholds(), text_col: str
     return s.withColumns(cols).drop("_present")
 
 
+def score_contents(contents: DataFrame, th: Thresholds = Thresholds(), key: str = "local_path") -> DataFrame:
+    """Signals of each stored text, without the text: (key, code_lines, quality_score_raw,
+    quality_score, complexity). Row-local; the complexity pass gets the text and these few
+    columns through Arrow. Of several texts under one key one row stays (the least by
+    its signals, so the choice is defined)."""
+    from quarry.operators.complexity import analyze_ast, with_complexity
+    narrow = [key, "_present", "code_lines", "quality_score_raw", "quality_score"]
+    s = add_signals(contents.select(key, "content").withColumn("_present", F.col("content").isNotNull()), "content", th)
+    a = with_complexity(analyze_ast(s.select(*narrow, "content"), narrow, "content"))
+    signals = F.struct("code_lines", "quality_score_raw", "quality_score", "complexity", "_present")
+    return a.groupBy(key).agg(F.min(signals).alias("s")).select(key, "s.*")
+
+
 def filter_landing(landing: DataFrame, contents: DataFrame, th: Thresholds = Thresholds(),
                    key: str = "local_path") -> DataFrame:
     """B4 over landing rows: rows without `local_path` are skipped; the rest
-    get quality_score, code_lines, is_suitable, unsuitable_reason from their
-    text (`contents` holds local_path, content). Missing text is a verdict."""
+    get quality_score, code_lines, complexity, is_suitable, unsuitable_reason from their
+    text (`contents` holds local_path, content). Missing text is a verdict. The texts
+    are scored where they lie; only their signals are joined to the landing."""
     rows = landing.filter(F.col(key).isNotNull() & (F.col(key) != ""))
-    joined = rows.drop("quality_score", "code_lines", "is_suitable", "unsuitable_reason") \
-                 .join(contents.select(key, "content"), key, "left")
-    return score_and_judge(joined, th)
+    kept = [c for c in rows.columns if c not in ("quality_score", "code_lines", "complexity", "is_suitable", "unsuitable_reason")]
+    j = rows.select(*kept).join(score_contents(contents, th, key), key, "left")
+    zero = F.struct(F.lit(0.0).alias("avg_complexity"), F.lit(0).cast("bigint").alias("function_count"),
+                    F.lit(0).cast("bigint").alias("max_complexity"))
+    j = j.withColumns({"code_lines": F.coalesce("code_lines", F.lit(0).cast("bigint")),
+                       "quality_score": F.coalesce("quality_score", F.lit(0.0)),
+                       "quality_score_raw": F.coalesce("quality_score_raw", F.lit(0.0)),
+                       "complexity": F.coalesce("complexity", zero)})
+    cols = verdict_columns(th, F.coalesce("_present", F.lit(False)), F.col("repo_license"), F.col("code_lines"), F.col("quality_score_raw"))
+    return j.withColumns(cols).drop("_present")
 
 
 def suitable(df: DataFrame) -> DataFrame:

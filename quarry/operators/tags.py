@@ -29,12 +29,13 @@ def validate_action(action: str) -> str:
 
 
 def batch_ops(file_ids: DataFrame, tag: str, action: str, seq_base: int, id_col: str = "id") -> DataFrame:
-    """H6: one operation per id of `file_ids` (ids x one tag), sequenced after
-    `seq_base` in id order so the batch is deterministic."""
+    """H6: one operation per id of `file_ids` (ids x one tag). All carry
+    `seq_base`: a (file, tag) pair occurs once in a batch, so nothing needs
+    ordering within it, and ids of any size are safe."""
     validate_action(action)
     ids = file_ids.select(F.col(id_col).cast("bigint").alias("file_id")).distinct()
     return ids.select("file_id", F.lit(tag).alias("tag"), F.lit(action).alias("action"),
-                      (F.lit(seq_base) + F.col("file_id")).cast("bigint").alias("seq"))
+                      F.lit(seq_base).cast("bigint").alias("seq"))
 
 
 def fold_links(ops: DataFrame) -> DataFrame:
@@ -74,22 +75,14 @@ def tag_lists(links: DataFrame) -> DataFrame:
     return links.groupBy("file_id").agg(F.sort_array(F.collect_set("tag")).alias("tags"))
 
 
-# Largest id set that is broadcast by hint (8-byte ids -> at most ~0.8 MB).
-MAX_BROADCAST_IDS = 100_000
-
-
-def attach_tags(files: DataFrame, links: DataFrame, restrict: bool = True,
-                max_rows: int | None = None) -> DataFrame:
+def attach_tags(files: DataFrame, links: DataFrame, max_rows: int | None = None) -> DataFrame:
     """D3: add `tags` (sorted array, [] when none) to each row of `files`.
-    With `restrict` the link set is first semi-joined to the ids at hand, so
-    after a top-k only those k files' links are aggregated. `max_rows` is a
-    proven bound on `files` (e.g. the search limit); only under such a bound
-    is the id set broadcast by hint — otherwise AQE decides from measured sizes."""
-    if restrict:
-        ids = files.select(F.col("id").alias("file_id"))
-        if max_rows is not None and max_rows <= MAX_BROADCAST_IDS:
-            ids = F.broadcast(ids)
-        links = links.join(ids, "file_id", "left_semi")
+
+    `max_rows` is a proven bound on `files` (the limit of a search): the links
+    are then first filtered by a broadcast of these ids, so that only the links of
+    the rows at hand are aggregated. Without it adaptive execution chooses."""
+    if max_rows is not None:
+        links = links.join(F.broadcast(files.select(F.col("id").alias("file_id"))), "file_id", "left_semi")
     lists = tag_lists(links).withColumnRenamed("file_id", "id")
     return files.join(lists, "id", "left").withColumn(
         "tags", F.coalesce(F.col("tags"), F.array().cast("array<string>")))

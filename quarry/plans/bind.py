@@ -33,16 +33,17 @@ from quarry.schema import LintRules, Thresholds
 # narrow code-line window so every verdict branch occurs.
 BIND_THRESHOLDS = Thresholds(min_quality=6.0, min_lines=3, max_lines=20,
                              lint=LintRules(max_line_length=400))
+# Thresholds of the generated modules (b_pysource): short lines, so that some score low.
+PY_THRESHOLDS = Thresholds(min_quality=7.0, min_lines=20, max_lines=400, lint=LintRules(max_line_length=20))
 OUT_DIR = "out"
 HOST_URL = "https://github.com/"
 # Repository licence by source number mod 7 (binding choice, exercises every licence branch).
 SOURCE_LICENSES = ("MIT License", "Apache License 2.0", "BSD License",
                    "GNU General Public License v3.0",
                    'BSD 3-Clause "New" or "Revised" License', None, "CC BY-NC 4.0")
-COPY_SEQ = 1_000_000_000
-NOKEY_SEQ = 2_000_000_000
-NOLOCAL_SEQ = 3_000_000_000
-EVENT_SEQ = 1_000_000_000
+# Arrival order: the variant of a row above its document id, which may have 56 bits.
+COPY_SEQ = 1 << 56
+EVENT_SEQ = 1 << 60
 
 
 # Tables whose rows carry text that the operators parse per row; only these
@@ -142,8 +143,7 @@ def b_pysource(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def downloaded_text(doc_id: Column) -> Column:
-    ts = F.lit("2024-01-01 00:00:00").cast("timestamp_ntz") + F.make_dt_interval(
-        F.lit(0), F.lit(0), doc_id.cast("int"), F.lit(0))
+    ts = F.lit("2024-01-01 00:00:00").cast("timestamp_ntz") + F.expr("INTERVAL '1' MINUTE") * doc_id
     return F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss")
 
 
@@ -168,8 +168,8 @@ def b_repos(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("Documents in "), F.col("lang"), F.lit(" from "), F.col("source")).alias("description"),
         (F.col("n") * 100).cast("bigint").alias("stars"),
         F.pmod(F.col("chars"), F.lit(997)).cast("bigint").alias("forks"),
-        (base + F.make_dt_interval(F.lit(0), F.col("first_doc").cast("int"), F.lit(0), F.lit(0))).alias("created_at"),
-        (base + F.make_dt_interval(F.lit(0), F.col("last_doc").cast("int"), F.lit(0), F.lit(0))).alias("updated_at"),
+        (base + F.expr("INTERVAL '1' HOUR") * F.col("first_doc")).alias("created_at"),
+        (base + F.expr("INTERVAL '1' HOUR") * F.col("last_doc")).alias("updated_at"),
         source_license(F.col("source")).alias("license"),
     )
 
@@ -221,21 +221,32 @@ def _listing_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select(
         full.alias("repo_full_name"), name.alias("name"), path.alias("path"),
         F.concat(F.lit(HOST_URL), full, F.lit("/blob/master/"), path).alias("url"),
-        F.md5(F.col("text")).alias("sha"), F.col("n_chars").cast("bigint").alias("size"), "text")
+        F.md5(F.col("text")).alias("sha"), F.col("n_chars").cast("bigint").alias("size"), "doc_id", "text")
 
 
 @session_cached
 def b_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Source-file listing (name, path, url, sha, size) with nesting depth 0..2
     and a non-.py suffix on every fifth size."""
-    return _listing_rows(spark, sf_dir).drop("text")
+    return _listing_rows(spark, sf_dir).drop("doc_id", "text")
 
 
 @session_cached
 def b_file_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Base64 bodies of the listed files (what the code host would return)."""
+    """Base64 bodies of the listed files (what the code host would return): generated modules."""
+    module = python_module(F.col("doc_id"), F.col("text"))
     return _listing_rows(spark, sf_dir).select(
-        "repo_full_name", "path", F.base64(F.encode(F.col("text"), "UTF-8")).alias("content_b64"))
+        "repo_full_name", "path", F.base64(F.encode(module, "UTF-8")).alias("content_b64"))
+
+
+@session_cached
+def b_modules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The generated module of every file by its local path (what re-judging a landing reads)."""
+    docs = b_docs(spark, sf_dir)
+    full = repo_full_name(F.col("source"), F.col("lang"))
+    path = F.concat(F.col("lang"), F.lit("/doc_"), F.col("doc_id").cast("string"), F.lit(".py"))
+    return docs.select(landing_path(OUT_DIR, full, path).alias("local_path"),
+                       python_module(F.col("doc_id"), F.col("text")).alias("content"))
 
 
 @session_cached
@@ -284,18 +295,17 @@ def b_landing_plan(spark: SparkSession, sf_dir: str, th: Thresholds = BIND_THRES
 
 @session_cached
 def b_landing(spark: SparkSession, sf_dir: str, th: Thresholds = BIND_THRESHOLDS) -> DataFrame:
-    """The landing as a stored table: `b_landing_plan` materialised once per
-    session with a reliable checkpoint in the shared checkpoint folder, so the
-    queries that read the landing do not re-derive and re-score it."""
-    from quarry.session import checkpoint_root
-    checkpoint_root(spark)
-    return b_landing_plan(spark, sf_dir, th).checkpoint(eager=True)
+    """The landing as a stored table: `b_landing_plan` written once per session as
+    Parquet in the shared folder, so the queries that read the landing neither
+    re-derive and re-score it nor read columns they do not use."""
+    from quarry.sources.tables import stored
+    return stored(b_landing_plan(spark, sf_dir, th), "landing")
 
 
 @session_cached
 def b_contents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """contents table: file id -> source text (kept apart from metadata)."""
-    return b_files(spark, sf_dir).select(F.col("file_id").alias("id"), "content")
+    return b_files_core(spark, sf_dir).select(F.col("file_id").alias("id"), "content")
 
 
 @session_cached

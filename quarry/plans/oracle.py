@@ -66,6 +66,34 @@ def py_fixed1(x: str) -> str:
 # Flagship / bound thresholds (mirror quarry.plans.bind.BIND_THRESHOLDS)
 MIN_Q, MIN_L, MAX_L, LONG = 6.0, 3, 20, 400
 
+# Thresholds of the generated modules (mirror quarry.plans.bind.PY_THRESHOLDS)
+PY_MIN_Q, PY_MIN_L, PY_MAX_L, PY_LONG = 7.0, 20, 400, 20
+
+
+def _sql_text(x: str) -> str:
+    return " || chr(10) || ".join("'" + part.replace("'", "''") + "'" for part in x.split("\n"))
+
+
+_COMMAS = "(length(l) - length(replace(l, ',', '')))"
+_IF = "        if x:\n            x = x - 1\n"
+_FOR = "        for y in x:\n            x = y\n"
+_WHILE = "        while x:\n            break\n"
+_COND = "        x = 1 if x else 0\n"
+#: the module of a document: a class with a method per line and a branch per comma
+PY_MODULE = (
+    "'class Doc' || CAST(doc_id AS VARCHAR) || ':' || chr(10) || array_to_string(list_transform(" + SPLIT.format(x="text")
+    + ", lambda l, i: '    def m' || CAST(i - 1 AS VARCHAR) || '(self, x):' || chr(10) || repeat(" + _sql_text(_FOR + _WHILE + _COND + _IF)
+    + ", " + _COMMAS + " // 4) || CASE " + _COMMAS + " % 4 WHEN 1 THEN " + _sql_text(_FOR) + " WHEN 2 THEN " + _sql_text(_FOR + _WHILE)
+    + " WHEN 3 THEN " + _sql_text(_FOR + _WHILE + _COND) + " ELSE '' END || '        return x' || chr(10)), '')")
+#: complexity figures of that module from the commas of each line
+PY_COMPLEXITY = f"""
+SELECT doc_id AS file_id, CAST(n + 1 AS BIGINT) AS function_count, (sm + cls) / (n + 1) AS complexity_avg,
+       CAST(greatest(mx, cls) AS BIGINT) AS complexity_max
+FROM (SELECT *, CAST(floor((1 + sm) / n) AS BIGINT) + CASE WHEN n > 1 THEN 1 ELSE 0 END AS cls
+      FROM (SELECT doc_id, len(ks) AS n, list_sum(list_transform(ks, lambda k: 1 + k)) AS sm,
+                   list_max(list_transform(ks, lambda k: 1 + k)) AS mx
+            FROM (SELECT doc_id, list_transform({SPLIT.format(x='text')}, lambda l: {_COMMAS}) AS ks FROM documents)))"""
+
 VIEWS: dict[str, tuple[str, list[str]]] = {}
 
 
@@ -79,8 +107,8 @@ SELECT source AS name, source || '/' || lang AS full_name,
        'Documents in ' || lang || ' from ' || source AS description,
        CAST(100 * count(*) AS BIGINT) AS stars,
        CAST(sum(n_chars) % 997 AS BIGINT) AS forks,
-       TIMESTAMP '2024-01-01 00:00:00' + to_hours(CAST(min(doc_id) AS INTEGER)) AS created_at,
-       TIMESTAMP '2024-01-01 00:00:00' + to_hours(CAST(max(doc_id) AS INTEGER)) AS updated_at,
+       TIMESTAMP '2024-01-01 00:00:00' + to_hours(min(doc_id)) AS created_at,
+       TIMESTAMP '2024-01-01 00:00:00' + to_hours(max(doc_id)) AS updated_at,
        {_LICENSE_CASE} AS license
 FROM documents GROUP BY source, lang""")
 
@@ -95,7 +123,7 @@ SELECT doc_id AS file_id, source AS repo_name, source || '/' || lang AS repo_ful
        array_to_string(list_transform({SPLIT.format(x='text')}, lambda l, i:
            CASE WHEN (i - 1) % 11 IN (3, 8) THEN '\"\"\"' WHEN (i - 1) % 5 = 0 THEN '# ' || l ELSE l END), {NL}) AS content,
        list_transform({SPLIT.format(x='text')}, lambda p: CAST(1 + length(p) - length(replace(p, ',', '')) AS BIGINT)) AS block_complexities,
-       strftime(TIMESTAMP '2024-01-01 00:00:00' + to_minutes(CAST(doc_id AS INTEGER)), '%Y-%m-%dT%H:%M:%S') AS downloaded_at,
+       strftime(TIMESTAMP '2024-01-01 00:00:00' + to_minutes(doc_id), '%Y-%m-%dT%H:%M:%S') AS downloaded_at,
        lang
 FROM documents""")
 
@@ -138,15 +166,15 @@ SELECT {_LCOLS}, file_id AS seq FROM b_scored
 UNION ALL
 SELECT repo_name, repo_full_name, repo_url, repo_stars, repo_license, file_name, file_path, file_url,
        local_path, round(quality_score / 2, 2), downloaded_at, code_lines, complexity_avg, complexity_max, function_count,
-       is_suitable, unsuitable_reason, file_id, lang, 1000000000 + file_id FROM b_scored WHERE file_id % 10 = 0
+       is_suitable, unsuitable_reason, file_id, lang, 1 * 72057594037927936 + file_id FROM b_scored WHERE file_id % 10 = 0
 UNION ALL
 SELECT repo_name, NULL, repo_url, repo_stars, repo_license, file_name, file_path, file_url,
        local_path, quality_score, downloaded_at, code_lines, complexity_avg, complexity_max, function_count,
-       is_suitable, unsuitable_reason, file_id, lang, 2000000000 + file_id FROM b_scored WHERE file_id % 25 = 3
+       is_suitable, unsuitable_reason, file_id, lang, 2 * 72057594037927936 + file_id FROM b_scored WHERE file_id % 25 = 3
 UNION ALL
 SELECT repo_name, repo_full_name, repo_url, repo_stars, repo_license, file_name || '.bak', file_path || '.bak', file_url,
        NULL, quality_score, downloaded_at, code_lines, complexity_avg, complexity_max, function_count,
-       is_suitable, unsuitable_reason, file_id, lang, 3000000000 + file_id FROM b_scored WHERE file_id % 40 = 11""")
+       is_suitable, unsuitable_reason, file_id, lang, 3 * 72057594037927936 + file_id FROM b_scored WHERE file_id % 40 = 11""")
 
 # catalogue: first row wins per repository / per (repository, path)
 _view("c_repos", ["b_landing"], """
@@ -172,7 +200,7 @@ SELECT doc_id AS file_id, lang AS tag, 'add' AS action, CAST(doc_id * 3 AS BIGIN
 UNION ALL SELECT doc_id, 'quality', 'add', CAST(doc_id * 3 + 1 AS BIGINT) FROM labels WHERE quality = 1
 UNION ALL SELECT doc_id, 'toxic', 'add', CAST(doc_id * 3 + 2 AS BIGINT) FROM labels WHERE toxic = 1
 UNION ALL SELECT CAST(user_id AS BIGINT), event_type, CASE WHEN event_id % 3 = 0 THEN 'remove' ELSE 'add' END,
-                 CAST(1000000000 + event_id AS BIGINT) FROM events""")
+                 CAST(1152921504606846976 + event_id AS BIGINT) FROM events""")
 
 _view("c_file_tags", ["b_tag_ops"], """
 SELECT file_id, tag FROM b_tag_ops GROUP BY file_id, tag HAVING arg_max(action, seq) = 'add'""")
@@ -200,8 +228,15 @@ SELECT source || '/' || lang AS repo_full_name,
        lang || '/' || CASE doc_id % 3 WHEN 0 THEN '' WHEN 1 THEN 'pkg/' ELSE 'pkg/sub/' END
             || 'doc_' || CAST(doc_id AS VARCHAR) || CASE WHEN n_chars % 5 = 0 THEN '.md' ELSE '.py' END AS path,
        'doc_' || CAST(doc_id AS VARCHAR) || CASE WHEN n_chars % 5 = 0 THEN '.md' ELSE '.py' END AS name,
-       text AS content, """ + _LICENSE_CASE + """ AS repo_license
-FROM documents""")
+       """ + PY_MODULE + """ AS content, """ + _LICENSE_CASE + """ AS repo_license,
+       c.function_count, c.complexity_avg, c.complexity_max
+FROM documents JOIN (""" + PY_COMPLEXITY + """) c ON c.file_id = doc_id""")
+
+_view("b_modules", [], f"""
+SELECT doc_id AS file_id, {_LICENSE_CASE} AS repo_license,
+       'out/' || source || '_' || lang || '/' || lang || '/doc_' || CAST(doc_id AS VARCHAR) || '.py' AS local_path,
+       {PY_MODULE} AS content, c.function_count, c.complexity_avg, c.complexity_max
+FROM documents JOIN ({PY_COMPLEXITY}) c ON c.file_id = doc_id""")
 
 _view("b_job_events", [], """
 SELECT CAST(user_id AS BIGINT) AS job_id, CAST(event_id AS BIGINT) AS seq, ts,

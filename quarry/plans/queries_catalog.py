@@ -16,8 +16,9 @@ from quarry.operators import stats as ST
 from quarry.operators import tags as TG
 from quarry.plans import bind as B
 from quarry.plans import oracle as O
-from quarry.plans.queries_signals import _B4_SQL
+from quarry.plans.queries_signals import _B4_SQL, _PY, _verdict_body, reason_case
 from quarry.plans.registry import query
+from quarry.sources.tables import stored
 
 
 # --- shared Spark-side catalogue ------------------------------------------------
@@ -25,12 +26,10 @@ from quarry.plans.registry import query
 @B.session_cached
 def catalog(spark, sf):
     """The imported catalogue (repositories, files) as stored tables: built
-    once per session from the stored landing and kept as reliable
-    checkpoints in the shared folder, as a catalogue would be persisted."""
-    from quarry.session import checkpoint_root
-    checkpoint_root(spark)
+    once per session from the stored landing and kept as Parquet in the shared
+    folder, as a catalogue would be persisted."""
     repos, files, _, _ = C.import_landing(B.b_landing(spark, sf))
-    return repos.checkpoint(eager=True), files.checkpoint(eager=True)
+    return stored(repos, "repositories"), stored(files, "files")
 
 
 def tag_log(spark, sf):
@@ -40,9 +39,7 @@ def tag_log(spark, sf):
 @B.session_cached
 def links(spark, sf):
     """Current tag links (folded log), stored like the catalogue."""
-    from quarry.session import checkpoint_root
-    checkpoint_root(spark)
-    return TG.fold_links(tag_log(spark, sf)).checkpoint(eager=True)
+    return stored(TG.fold_links(tag_log(spark, sf)), "links")
 
 
 def tag_list_col(col="tags"):
@@ -402,7 +399,7 @@ SELECT f.id, coalesce(t.tags, '') AS tags FROM c_files f LEFT JOIN c_file_tag_li
 def d3_attach_tags(spark, sf):
     """Every file with its sorted tag list (empty when untagged)."""
     _, files = catalog(spark, sf)
-    out = TG.attach_tags(files.select("id"), links(spark, sf), restrict=False)
+    out = TG.attach_tags(files.select("id"), links(spark, sf))
     return out.select("id", tag_list_col())
 
 
@@ -510,14 +507,15 @@ def h11_batch_selection(spark, sf):
 
 
 @query("b12_point_lookup", O.sql(["c_files", "b_files_core"], """
-SELECT f.id, f.name, f.path, substring(b.content, 1, 1000) || CASE WHEN length(b.content) > 1000 THEN '...' ELSE '' END AS preview
+SELECT f.id, f.name, f.path, md5(b.content) AS digest, CAST(length(b.content) AS BIGINT) AS n_chars
 FROM c_files f JOIN b_files_core b ON f.id = b.file_id
 WHERE f.id IN (SELECT doc_id FROM labels WHERE quality = 1)"""))
 def b12_point_lookup(spark, sf):
-    """Lookup of the ids listed as quality in labels, with a 1000-char preview."""
+    """Lookup of the ids listed as quality in labels, with the whole content."""
     _, files = catalog(spark, sf)
     ids = B.read_table(spark, sf, "labels").filter(F.col("quality") == 1).select(F.col("doc_id").alias("id"))
-    return S.lookup(files.select("id", "name", "path"), ids, B.b_contents(spark, sf))
+    found = S.lookup(files.select("id", "name", "path"), ids, B.b_contents(spark, sf), preview_chars=None)
+    return found.select("id", "name", "path", F.md5("content").alias("digest"), F.length("content").cast("bigint").alias("n_chars"))
 
 
 # --- deletion / content: H7 H8 H9 --------------------------------------------------
@@ -659,8 +657,7 @@ FROM ({_B4_SQL}) t""")
 def k3_curate_job(spark, sf):
     """Job record of a curation run: landing re-judged, counts of the verdicts."""
     from quarry.plans.curate import curate
-    res = curate(spark, B.b_landing(spark, sf), B.b_files_core(spark, sf).select("local_path", "content"),
-                 B.BIND_THRESHOLDS, job_id=1, query="bound corpus")
+    res = curate(spark, B.b_landing(spark, sf), B.b_modules(spark, sf), B.PY_THRESHOLDS, job_id=1, query="bound corpus")
     return res["job"]
 
 
@@ -671,7 +668,7 @@ _STREAM_COLS = ("repo_full_name, name, path, url, local_path, quality_score, cod
 
 
 def _landing_batches(landing):
-    v = (F.col("seq") / F.lit(B.COPY_SEQ)).cast("int")
+    v = F.floor(F.col("seq") / F.lit(B.COPY_SEQ))
     return [landing.filter(v == 0), landing.filter(v == 1), landing.filter(v >= 2)]
 
 
@@ -684,16 +681,19 @@ def j1_incremental_ingest(spark, sf):
     return files.select(*[c.strip() for c in _STREAM_COLS.split(",")])
 
 
-@query("j3_incremental_scoring", O.sql(["c_files"], f"SELECT {_STREAM_COLS} FROM c_files"))
+@query("j3_incremental_scoring", O.sql(["c_files", "b_modules"], f"""
+SELECT f.repo_full_name, f.name, f.path, f.url, f.local_path, round(s.q, 2) AS quality_score, s.code_lines,
+       s.reason_code = 'ok' AS is_suitable, {reason_case('s.repo_license', 's.code_lines', 's.q', *_PY[:3])} AS unsuitable_reason,
+       s.complexity_avg, s.complexity_max, s.function_count, f.downloaded_at
+FROM c_files f JOIN ({_verdict_body("b_modules", *_PY)}) s ON f.id = s.file_id"""))
 def j3_incremental_scoring(spark, sf):
     """Unscored landing batches judged inside the stream (only new rows are
     scored) before the insert-if-absent append."""
     from quarry.streaming.ingest import replay_landing_batches
     landing = B.b_landing(spark, sf)
-    for c in ("quality_score", "code_lines", "is_suitable", "unsuitable_reason"):
+    for c in ("quality_score", "code_lines", "complexity", "is_suitable", "unsuitable_reason"):
         landing = landing.withColumn(c, F.lit(None).cast(landing.schema[c].dataType))
-    contents = B.b_files_core(spark, sf).select("local_path", "content")
-    files = replay_landing_batches(spark, _landing_batches(landing), contents, B.BIND_THRESHOLDS)
+    files = replay_landing_batches(spark, _landing_batches(landing), B.b_modules(spark, sf), B.PY_THRESHOLDS)
     return files.select(*[c.strip() for c in _STREAM_COLS.split(",")])
 
 
@@ -710,11 +710,16 @@ def j2_job_status_stream(spark, sf):
 
 # --- composed collection jobs: K1 K2 ---------------------------------------------
 
-_K_COLS = "repo_full_name, file_path, local_path, code_lines, quality_score, is_suitable, unsuitable_reason"
+_K_COLS = ["repo_full_name", "file_path", "local_path", "code_lines", "quality_score", "is_suitable", "unsuitable_reason"]
+
+
+def _k_rows(landed):
+    c = F.col("complexity")
+    return landed.select(*_K_COLS, c["function_count"].alias("function_count"), c["avg_complexity"].alias("complexity_avg"),
+                         c["max_complexity"].alias("complexity_max"))
 
 
 def _k_sql(where_repos: str, cap: int | None) -> str:
-    from quarry.plans.queries_signals import _verdict_body
     capped = f"WHERE rank <= {cap}" if cap is not None else ""
     extra = [
         ("picked", f"SELECT full_name FROM b_repos {where_repos}"),
@@ -722,33 +727,25 @@ def _k_sql(where_repos: str, cap: int | None) -> str:
       SELECT b.*, row_number() OVER (PARTITION BY b.repo_full_name
                                      ORDER BY length(b.path) - length(replace(b.path, '/', '')), b.path) AS rank
       FROM b_bodies b JOIN picked p ON b.repo_full_name = p.full_name WHERE suffix(b.name, '.py')) {capped}"""),
-        ("judged", _verdict_body("listed", O.MIN_Q, O.MIN_L, O.MAX_L, O.LONG)),
+        ("judged", _verdict_body("listed", *_PY)),
     ]
     return O.sql(["b_repos", "b_bodies"], f"""
 SELECT repo_full_name, path AS file_path,
        'collected_code/' || replace(repo_full_name, '/', '_') || '/' || path AS local_path,
        code_lines, round(q, 2) AS quality_score, reason_code = 'ok' AS is_suitable,
-       {_reason_case('repo_license', 'code_lines', 'q')} AS unsuitable_reason
+       {reason_case('repo_license', 'code_lines', 'q', *_PY[:3])} AS unsuitable_reason,
+       function_count, complexity_avg, complexity_max
 FROM judged""", extra=extra)
 
 
-def _reason_case(lic, lines, q):
-    return (f"CASE reason_code WHEN 'ok' THEN NULL "
-            f"WHEN 'license' THEN '라이센스 호환성 문제 (' || coalesce({lic}, 'None') || ')' "
-            f"WHEN 'too_few_lines' THEN '코드 라인 수 부족 (' || CAST({lines} AS VARCHAR) || ' < {O.MIN_L})' "
-            f"WHEN 'too_many_lines' THEN '코드 라인 수 초과 (' || CAST({lines} AS VARCHAR) || ' > {O.MAX_L})' "
-            f"WHEN 'low_quality' THEN '품질 점수 미달 (' || {O.py_fixed1(f'coalesce({q}, 0.0)')} || ' < {O.MIN_Q!r})' "
-            f"ELSE '파일이 존재하지 않음' END")
-
-
 @query("k1_collect_by_query", _k_sql("WHERE stars > 1000 ORDER BY stars DESC, full_name LIMIT 5", 3))
 def k1_collect_by_query(spark, sf):
     """Collect by query: 5 repositories with most stars (> 1000), first 3 .py
     files of each breadth-first, bodies decoded, scored and judged."""
     from quarry.plans.curate import collect_by_query
     out = collect_by_query(B.b_repos(spark, sf), B.b_listing(spark, sf), B.b_file_bodies(spark, sf),
-                           B.BIND_THRESHOLDS, max_repos=5, max_files_per_repo=3, min_stars=1000)
-    return out.select(*[c.strip() for c in _K_COLS.split(",")])
+                           B.PY_THRESHOLDS, max_repos=5, max_files_per_repo=3, min_stars=1000)
+    return _k_rows(out)
 
 
 @query("k2_collect_repository", _k_sql("WHERE full_name = 'src3/en'", None))
@@ -757,8 +754,8 @@ def k2_collect_repository(spark, sf):
     repository record defaulted when the listing lacks it."""
     from quarry.plans.curate import collect_repository
     out = collect_repository(spark, "https://github.com/src3/en", B.b_repos(spark, sf), B.b_listing(spark, sf),
-                             B.b_file_bodies(spark, sf), B.BIND_THRESHOLDS)
-    return out.select(*[c.strip() for c in _K_COLS.split(",")])
+                             B.b_file_bodies(spark, sf), B.PY_THRESHOLDS)
+    return _k_rows(out)
 
 
 @query("h9_update_status", O.sql([], """

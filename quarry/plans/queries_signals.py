@@ -5,6 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from quarry import schema
 from quarry.functions.lines import code_line_count
 from quarry.functions.signals import complexity_summary, extract_rating, format_rating_report, license_ok
 from quarry.functions.text import basename, dirname, landing_path, parse_iso, parse_repo_url, preview
@@ -149,32 +150,44 @@ def b5_threshold_override(spark, sf):
     return reason_breakdown(B.b_judged_core(spark, sf, th))
 
 
-_B4_SQL = O.sql(["b_landing", "b_files_core"], f"""
-SELECT seq, file_id, code_lines, quality_score, is_suitable, unsuitable_reason FROM (
-  SELECT l.seq, l.file_id, s.code_lines, round(s.q, 2) AS quality_score, s.reason_code = 'ok' AS is_suitable,
-    CASE s.reason_code
-      WHEN 'ok' THEN NULL
-      WHEN 'license' THEN '라이센스 호환성 문제 (' || coalesce(l.repo_license, 'None') || ')'
-      WHEN 'too_few_lines' THEN '코드 라인 수 부족 (' || CAST(s.code_lines AS VARCHAR) || ' < {O.MIN_L})'
-      WHEN 'too_many_lines' THEN '코드 라인 수 초과 (' || CAST(s.code_lines AS VARCHAR) || ' > {O.MAX_L})'
-      WHEN 'low_quality' THEN '품질 점수 미달 (' || {O.py_fixed1('coalesce(s.q, 0.0)')} || ' < {O.MIN_Q!r})'
-      ELSE '파일이 존재하지 않음' END AS unsuitable_reason
-  FROM b_landing l
-  LEFT JOIN ({_verdict_sql(O.MIN_Q, O.MIN_L, O.MAX_L, O.LONG)}) s ON l.local_path = s.local_path
-  WHERE l.local_path IS NOT NULL AND l.local_path <> '')""")
+_PY = (O.PY_MIN_Q, O.PY_MIN_L, O.PY_MAX_L, O.PY_LONG)
+
+
+def reason_case(lic, lines, q, min_q, min_l, max_l):
+    """The reason texts of `quarry.schema` in SQL."""
+    def fill(template, *values):
+        parts = [f"'{p}'" for p in template.split("{}")]
+        return " || ".join(x for pair in zip(parts, [*values, ""]) for x in pair if x)
+    none = "'None'"
+    return (f"CASE reason_code WHEN 'ok' THEN NULL "
+            f"WHEN 'license' THEN {fill(schema.REASON_LICENSE, f'coalesce({lic}, {none})')} "
+            f"WHEN 'too_few_lines' THEN {fill(schema.REASON_TOO_SHORT, f'CAST({lines} AS VARCHAR)', repr(str(min_l)))} "
+            f"WHEN 'too_many_lines' THEN {fill(schema.REASON_TOO_LONG, f'CAST({lines} AS VARCHAR)', repr(str(max_l)))} "
+            f"WHEN 'low_quality' THEN {fill(schema.REASON_LOW_QUALITY, O.py_fixed1(f'coalesce({q}, 0.0)'), repr(repr(min_q)))} "
+            f"ELSE '{schema.REASON_MISSING}' END")
+
+
+_B4_SQL = O.sql(["b_landing", "b_modules"], f"""
+SELECT l.seq, l.file_id, s.code_lines, round(s.q, 2) AS quality_score, s.reason_code = 'ok' AS is_suitable,
+       {reason_case('l.repo_license', 's.code_lines', 's.q', *_PY[:3])} AS unsuitable_reason,
+       s.function_count, s.complexity_avg, s.complexity_max
+FROM b_landing l
+LEFT JOIN ({_verdict_body("b_modules", *_PY)}) s ON l.local_path = s.local_path
+WHERE l.local_path IS NOT NULL AND l.local_path <> ''""")
 
 
 def _b4(spark, sf):
     from quarry.operators.suitability import filter_landing
-    landing = B.b_landing(spark, sf)
-    contents = B.b_files_core(spark, sf).select("local_path", "content")
-    return filter_landing(landing, contents, B.BIND_THRESHOLDS)
+    return filter_landing(B.b_landing(spark, sf), B.b_modules(spark, sf), B.PY_THRESHOLDS)
 
 
 @query("b4_apply_verdict", _B4_SQL)
 def b4_apply_verdict(spark, sf):
-    """Re-judge every landing row that has a local path from its stored text."""
-    return _b4(spark, sf).select("seq", "file_id", "code_lines", "quality_score", "is_suitable", "unsuitable_reason")
+    """Re-judge every landing row that has a local path from its stored module."""
+    c = F.col("complexity")
+    return _b4(spark, sf).select("seq", "file_id", "code_lines", "quality_score", "is_suitable", "unsuitable_reason",
+                                 c["function_count"].alias("function_count"), c["avg_complexity"].alias("complexity_avg"),
+                                 c["max_complexity"].alias("complexity_max"))
 
 
 @query("e7_verdict_counts", f"""

@@ -31,7 +31,6 @@ REASON_LICENSE = "라이센스 호환성 문제 ({})"
 REASON_TOO_SHORT = "코드 라인 수 부족 ({} < {})"
 REASON_TOO_LONG = "코드 라인 수 초과 ({} > {})"
 REASON_LOW_QUALITY = "품질 점수 미달 ({} < {})"
-REASON_OK = "학습용으로 적합함"
 
 # Header of the filtered report export (CSV), in column order.
 REPORT_HEADER = ("ID", "파일명", "저장소", "품질 점수", "코드 라인", "적합성", "태그", "로컬 경로")
@@ -44,7 +43,6 @@ SCORE_BIN_EDGES = (2.0, 4.0, 6.0, 8.0)
 
 # Result caps of the original front ends.
 SEARCH_LIMIT = 100
-EXPORT_LIMIT = 1000
 CLI_SEARCH_LIMIT = 20
 TOP_LIST_LIMIT = 10
 JOB_HISTORY_LIMIT = 10
@@ -98,12 +96,6 @@ COMPLEXITY_TYPE = T.StructType([
     T.StructField("max_complexity", T.LongType()),
 ])
 
-BLOCK_TYPE = T.StructType([
-    T.StructField("name", T.StringType()),
-    T.StructField("kind", T.StringType()),
-    T.StructField("complexity", T.IntegerType()),
-])
-
 # Landing metadata: every key optional; later stages add the signal keys.
 LANDING_SCHEMA = T.StructType([
     T.StructField("repo_name", T.StringType()),
@@ -125,38 +117,6 @@ LANDING_SCHEMA = T.StructType([
 
 LANDING_FIELDS = [f.name for f in LANDING_SCHEMA.fields]
 
-REPOSITORIES_SCHEMA = T.StructType([
-    T.StructField("id", T.LongType()),
-    T.StructField("name", T.StringType()),
-    T.StructField("full_name", T.StringType()),
-    T.StructField("url", T.StringType()),
-    T.StructField("description", T.StringType()),
-    T.StructField("stars", T.LongType()),
-    T.StructField("forks", T.LongType()),
-    T.StructField("license", T.StringType()),
-    T.StructField("created_at", T.TimestampNTZType()),
-    T.StructField("updated_at", T.TimestampNTZType()),
-    T.StructField("added_at", T.TimestampNTZType()),
-])
-
-FILES_SCHEMA = T.StructType([
-    T.StructField("id", T.LongType()),
-    T.StructField("repo_id", T.LongType()),
-    T.StructField("repo_full_name", T.StringType()),
-    T.StructField("name", T.StringType()),
-    T.StructField("path", T.StringType()),
-    T.StructField("url", T.StringType()),
-    T.StructField("local_path", T.StringType()),
-    T.StructField("quality_score", T.DoubleType()),
-    T.StructField("code_lines", T.LongType()),
-    T.StructField("is_suitable", T.BooleanType()),
-    T.StructField("unsuitable_reason", T.StringType()),
-    T.StructField("complexity_avg", T.DoubleType()),
-    T.StructField("complexity_max", T.LongType()),
-    T.StructField("function_count", T.LongType()),
-    T.StructField("downloaded_at", T.TimestampNTZType()),
-])
-
 TAG_OPS_SCHEMA = T.StructType([
     T.StructField("file_id", T.LongType()),
     T.StructField("tag", T.StringType()),
@@ -164,17 +124,6 @@ TAG_OPS_SCHEMA = T.StructType([
     T.StructField("seq", T.LongType()),
 ])
 
-FLAT_SCHEMA = T.StructType([
-    T.StructField("id", T.LongType()),
-    T.StructField("repo_name", T.StringType()),
-    T.StructField("file_name", T.StringType()),
-    T.StructField("file_path", T.StringType()),
-    T.StructField("local_path", T.StringType()),
-    T.StructField("file_url", T.StringType()),
-    T.StructField("quality_score", T.DoubleType()),
-    T.StructField("downloaded_at", T.TimestampNTZType()),
-])
-
 JOB_EVENT_SCHEMA = T.StructType([
     T.StructField("job_id", T.LongType()),
     T.StructField("seq", T.LongType()),

@@ -17,8 +17,10 @@ FORMATS = ("csv", "json")
 
 
 def write_csv(df: DataFrame, path: str, header: bool = True, mode: str = "overwrite") -> str:
-    """Header row; null -> empty field; '' -> quoted empty string."""
-    df.write.mode(mode).option("header", header).option("nullValue", "").option("emptyValue", '""').csv(path)
+    """Header row; null -> empty field; '' -> quoted empty string; quotes inside a
+    field are doubled, as other CSV readers expect."""
+    (df.write.mode(mode).option("header", header).option("nullValue", "").option("emptyValue", '""')
+     .option("quote", '"').option("escape", '"').csv(path))
     return path
 
 

@@ -8,7 +8,7 @@ or Parquet, which split across executors.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -17,23 +17,70 @@ from quarry.schema import LANDING_FIELDS, LANDING_SCHEMA
 SEQ_SCHEMA = T.StructType(LANDING_SCHEMA.fields + [T.StructField("seq", T.LongType())])
 
 
-def read_landing(spark: SparkSession, path: str, fmt: str = "json", array: bool = False) -> DataFrame:
-    """A1: landing rows with the fixed schema; a missing path gives an empty
-    frame; malformed records become nulls (PERMISSIVE)."""
-    from py4j.protocol import Py4JJavaError
-    from pyspark.errors import AnalysisException
-    reader = spark.read.schema(SEQ_SCHEMA)
-    try:
-        if fmt == "parquet":
-            df = reader.parquet(path)
-        else:
-            df = reader.option("multiLine", array).option("mode", "PERMISSIVE").json(path)
-    except (AnalysisException, Py4JJavaError):
-        return spark.createDataFrame([], SEQ_SCHEMA)
-    if array:
-        # one file per task in array mode: position in the file is the arrival order
-        df = df.withColumn("seq", F.coalesce(F.col("seq"), F.monotonically_increasing_id()))
-    return df
+CORRUPT = "_corrupt_record"
+READ_SCHEMA = T.StructType(SEQ_SCHEMA.fields + [T.StructField(CORRUPT, T.StringType())])
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether a path (or a pattern) names anything."""
+    sc = spark.sparkContext
+    p = sc._jvm.org.apache.hadoop.fs.Path(path)
+    found = p.getFileSystem(sc._jsc.hadoopConfiguration()).globStatus(p)
+    return found is not None and len(found) > 0
+
+
+def is_json_array(spark: SparkSession, path: str) -> bool:
+    """Whether a JSON landing holds arrays: its first line that is not blank begins one."""
+    first = spark.read.text(path).filter(F.trim("value") != "").select(F.ltrim("value").alias("v")).limit(1).collect()
+    return bool(first) and first[0]["v"].startswith("[")
+
+
+def scan_landing(spark: SparkSession, path: str, fmt: str = "json", array: bool | None = None) -> DataFrame:
+    """Every record of a landing, malformed ones with `_corrupt_record`, and its place.
+
+    `arrival` orders rows that carry no `seq`: the file's time and name, the
+    place of the split in the file, and the row's place in the split. A missing path gives an empty
+    frame; any other failure to read is raised. `array` None: look."""
+    empty = T.StructType(READ_SCHEMA.fields + [ARRIVAL])
+    if not path_exists(spark, path):
+        return spark.createDataFrame([], empty)
+    if fmt == "parquet":
+        df = spark.read.schema(SEQ_SCHEMA).parquet(path).withColumn(CORRUPT, F.lit(None).cast("string"))
+    else:
+        many = is_json_array(spark, path) if array is None else array
+        df = (spark.read.schema(READ_SCHEMA).option("multiLine", many).option("mode", "PERMISSIVE")
+              .option("columnNameOfCorruptRecord", CORRUPT).json(path))
+    return df.select(*[f.name for f in READ_SCHEMA.fields], arrival().alias("arrival"))
+
+
+ARRIVAL = T.StructField("arrival", T.StructType([
+    T.StructField("file_time", T.TimestampType()), T.StructField("file_path", T.StringType()),
+    T.StructField("split", T.LongType()), T.StructField("row", T.LongType())]))
+
+
+def arrival() -> Column:
+    """Place of a scanned row (see `scan_landing`)."""
+    m = F.col("_metadata")
+    return F.struct(m["file_modification_time"].alias("file_time"), m["file_path"].alias("file_path"),
+                    m["file_block_start"].alias("split"), F.monotonically_increasing_id().alias("row"))
+
+
+def read_landing(spark: SparkSession, path: str, fmt: str = "json", array: bool | None = None) -> DataFrame:
+    """A1: landing rows with the fixed schema and their `arrival`; malformed
+    records are left out (`landing_rejects` counts them)."""
+    # Spark refuses to read the column of malformed records alone, as a count would; the second
+    # term names another one and is never true
+    whole = F.col(CORRUPT).isNull() | (F.octet_length(CORRUPT) + F.octet_length("repo_name") < 0)
+    return scan_landing(spark, path, fmt, array).filter(whole).drop(CORRUPT)
+
+
+def landing_rejects(spark: SparkSession, path: str, fmt: str = "json", array: bool | None = None) -> DataFrame:
+    """A1: one row (records, rejects, named): records of a landing, the malformed ones
+    among them, and those that name a repository."""
+    return scan_landing(spark, path, fmt, array).agg(
+        F.count("arrival").cast("bigint").alias("records"),
+        F.count_if(F.col(CORRUPT).isNotNull()).cast("bigint").alias("rejects"),
+        F.count_if(F.col("repo_name").isNotNull()).cast("bigint").alias("named"))
 
 
 def write_landing(df: DataFrame, path: str, fmt: str = "json", mode: str = "overwrite") -> None:

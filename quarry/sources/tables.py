@@ -11,13 +11,23 @@ from __future__ import annotations
 import datetime as _dt
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.session import checkpoint_root, scratch_path
 
 CATALOG_TABLES = ("repositories", "files", "tags", "file_tags", "contents", "landing")
 REPO_BUCKETS = 64
+BUCKET_WRITERS = 16
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Write `df` as Parquet below the session's shared folder and return the table
+    read back: lineage is cut, and readers prune columns and push filters."""
+    spark = df.sparkSession
+    path = scratch_path(spark, f"{name}-{uuid.uuid4().hex}")
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 _SCAN_PARTITIONS: dict[tuple, int] = {}
@@ -44,19 +54,77 @@ def spread(df: DataFrame, min_partitions: int | None = None, key=None) -> DataFr
     return df.repartition(want)
 
 
-def with_bucket(df: DataFrame, key: str, buckets: int = REPO_BUCKETS) -> DataFrame:
-    return df.withColumn("bucket", F.pmod(F.xxhash64(F.col(key)), F.lit(buckets)).cast("int"))
+def repo_bucket(key: str, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(F.col(key)), F.lit(buckets)).cast("int")
+
+
+def catalogue_buckets(spark: SparkSession, root: str, buckets: int | None = None) -> int:
+    """Bucket count of the catalogue at `root`, kept beside its tables; a new one gets
+    `buckets` (choose expected bytes / 1 GB) or REPO_BUCKETS."""
+    from quarry.sources.landing import path_exists
+    path = f"{root}/_layout"
+    if not path_exists(spark, path):
+        spark.range(1).select(F.lit(buckets or REPO_BUCKETS).alias("buckets")).write.json(path)
+    return spark.read.schema("buckets int").json(path).first()["buckets"]
+
+
+def append_bucketed(df: DataFrame, path: str, repo: str, row: str, buckets: int, mode: str = "append") -> None:
+    """Write rows by bucket of the `repo` column. Within a bucket they are dealt by hash of
+    the `row` column, so a repository with a large share of all files has many
+    writers; adaptive execution joins small pieces again."""
+    out = df.withColumn("bucket", repo_bucket(repo, buckets))
+    (out.repartition(F.col("bucket"), F.pmod(F.xxhash64(F.col(row)), F.lit(BUCKET_WRITERS)))
+     .write.mode(mode).partitionBy("bucket").parquet(path))
+
+
+def read_buckets(spark: SparkSession, path: str, buckets: list[int]) -> DataFrame | None:
+    """The rows of some buckets (a partition filter: other folders are not read); None if there is no table."""
+    from quarry.sources.landing import path_exists
+    if not path_exists(spark, path):
+        return None
+    df = spark.read.parquet(path)
+    return df.filter(F.col("bucket").isin(buckets)).drop("bucket") if "bucket" in df.columns else df
+
+
+def commit_deletes(ids: DataFrame, root: str, version: int) -> None:
+    """H7: append tombstones (id, version) to the catalogue's log."""
+    ids.select(F.col("id").cast("bigint").alias("id"), F.lit(version).cast("bigint").alias("version")) \
+        .write.mode("append").parquet(f"{root}/tombstones")
+
+
+def commit_contents(updates: DataFrame, root: str, version: int) -> None:
+    """H9: append new texts (id, content, seq, version) to the log of content versions."""
+    updates.select(F.col("id").cast("bigint").alias("id"), "content", "seq", F.lit(version).cast("bigint").alias("version")) \
+        .write.mode("append").parquet(f"{root}/content_versions")
+
+
+def without_deleted(spark: SparkSession, root: str, rows: DataFrame, id_col: str = "id") -> DataFrame:
+    """`rows` less those whose id has a tombstone."""
+    from quarry.sources.landing import path_exists
+    if not path_exists(spark, f"{root}/tombstones"):
+        return rows
+    gone = spark.read.parquet(f"{root}/tombstones").select(F.col("id").alias(id_col)).distinct()
+    return rows.join(gone, id_col, "left_anti")
+
+
+def current_contents(spark: SparkSession, root: str) -> DataFrame:
+    """(id, content): stored texts with their latest version, without deleted ids."""
+    from quarry.sources.landing import path_exists
+    stored_ = spark.read.parquet(f"{root}/contents").select("id", "content")
+    if path_exists(spark, f"{root}/content_versions"):
+        log = spark.read.parquet(f"{root}/content_versions")
+        last = log.groupBy("id").agg(F.max_by("content", F.struct("version", "seq")).alias("_new"))
+        stored_ = stored_.join(last, "id", "left").select("id", F.coalesce("_new", "content").alias("content"))
+    return without_deleted(spark, root, stored_)
 
 
-def write_table(df: DataFrame, path: str, partition_key: str | None = None, mode: str = "overwrite") -> str:
-    w = df
-    if partition_key is not None:
-        w = with_bucket(df, partition_key)
-        # one writer task per bucket directory instead of one file per task per bucket
-        w = w.repartition("bucket")
-        w.write.mode(mode).partitionBy("bucket").parquet(path)
+def write_table(df: DataFrame, path: str, partition_key: str | None = None, mode: str = "overwrite",
+                buckets: int = REPO_BUCKETS) -> str:
+    if partition_key is None:
+        df.write.mode(mode).parquet(path)
     else:
-        w.write.mode(mode).parquet(path)
+        row = "path" if "path" in df.columns else partition_key
+        append_bucketed(df, path, partition_key, row, buckets, mode)
     return path
 
 

@@ -7,9 +7,10 @@ replayed micro-batch (after an executor or driver loss) inserts nothing
 twice — insert-if-absent makes the at-least-once sink effectively
 exactly-once. The checkpoint lives in the shared checkpoint folder.
 
-The anti-join reads only the key columns of the catalogue (pruned scan). At
-scale, keep the catalogue bucketed by repository (see `sources.tables`) so
-the key scan stays cheap relative to the batch.
+The catalogue lies in buckets of the repository key (`sources.tables`): a batch
+is written once to the shared folder, its buckets are listed (never more values
+than there are buckets), and only the key columns of those are scanned. A batch that
+lacks a repository's name or url is rejected before anything is written.
 """
 
 from __future__ import annotations
@@ -24,36 +25,31 @@ from quarry.operators.suitability import filter_landing
 from quarry.schema import Thresholds
 from quarry.session import scratch_path
 from quarry.sources.landing import SEQ_SCHEMA
-
-
-def _exists(spark: SparkSession, path: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(conf).exists(p)
-
-
-def _read_or_none(spark: SparkSession, path: str) -> DataFrame | None:
-    return spark.read.parquet(path) if _exists(spark, path) else None
+from quarry.sources.tables import append_bucketed, catalogue_buckets, read_buckets, repo_bucket, stored
 
 
 def ingest_batch(batch: DataFrame, catalog_root: str, contents: DataFrame | None = None,
-                 th: Thresholds | None = None) -> None:
+                 th: Thresholds | None = None, buckets: int | None = None) -> tuple[int, int]:
     """Apply one landing batch to the catalogue (insert-if-absent).
-    With `contents` + `th` the batch is (re)judged first (J3)."""
+    With `contents` + `th` the batch is (re)judged first (J3). Returns the numbers
+    of new repositories and files."""
     spark = batch.sparkSession
+    if "file_time" in batch.columns:
+        place = F.struct("file_time", "file_path_", "split", F.monotonically_increasing_id().alias("row"))
+        batch = batch.withColumn("arrival", place).drop("file_time", "file_path_", "split")
     if contents is not None:
         batch = filter_landing(batch, contents, th or Thresholds())
-    # size check without a job: the optimizer's estimate of the batch (its
-    # input files' bytes) bounds the keys broadcast to probe the catalogue
-    est = C.estimated_bytes(batch)
-    small = est is not None and est <= C.MAX_BROADCAST_BATCH_BYTES
+    batch = stored(batch, "batch")
+    C.assert_importable(batch)
+    n = catalogue_buckets(spark, catalog_root, buckets)
+    touched = [r["b"] for r in C.with_repo_key(batch).select(repo_bucket("repo_full_name", n).alias("b")).distinct().collect()]
     repos_path, files_path = f"{catalog_root}/repositories", f"{catalog_root}/files"
-    repos = _read_or_none(spark, repos_path)
-    files = _read_or_none(spark, files_path)
-    _, _, new_r, new_f = C.import_landing(batch, repos, files, small_batch=small)
-    new_r.write.mode("append").parquet(repos_path)
-    new_f.write.mode("append").parquet(files_path)
+    _, _, new_r, new_f = C.import_landing(batch, read_buckets(spark, repos_path, touched), read_buckets(spark, files_path, touched))
+    # evaluated once: what is counted is what is appended
+    new_r, new_f = stored(new_r, "new-repos"), stored(new_f, "new-files")
+    append_bucketed(new_r, repos_path, "full_name", "full_name", n)
+    append_bucketed(new_f, files_path, "repo_full_name", "path", n)
+    return new_r.count(), new_f.count()
 
 
 def landing_stream(spark: SparkSession, landing_dir: str, fmt: str = "parquet",
@@ -61,18 +57,20 @@ def landing_stream(spark: SparkSession, landing_dir: str, fmt: str = "parquet",
     reader = spark.readStream.schema(SEQ_SCHEMA)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
-    return reader.format(fmt).load(landing_dir)
+    m = F.col("_metadata")
+    return reader.format(fmt).load(landing_dir).select(
+        "*", m["file_modification_time"].alias("file_time"), m["file_path"].alias("file_path_"), m["file_block_start"].alias("split"))
 
 
 def run_ingest(spark: SparkSession, landing_dir: str, catalog_root: str, checkpoint: str | None = None,
                fmt: str = "parquet", contents: DataFrame | None = None, th: Thresholds | None = None,
-               available_now: bool = True, max_files_per_trigger: int | None = None):
+               available_now: bool = True, max_files_per_trigger: int | None = None, buckets: int | None = None):
     """Start (or resume) the ingest stream. With `available_now` it
     processes every landing file not yet seen and stops; returns the query."""
     checkpoint = checkpoint or os.path.join(catalog_root, "_ingest_checkpoint")
     stream = landing_stream(spark, landing_dir, fmt, max_files_per_trigger)
     writer = (stream.writeStream
-              .foreachBatch(lambda df, _epoch: ingest_batch(df, catalog_root, contents, th))
+              .foreachBatch(lambda df, _epoch: ingest_batch(df, catalog_root, contents, th, buckets))
               .option("checkpointLocation", checkpoint))
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="10 seconds")
     q = writer.start()
@@ -93,4 +91,4 @@ def replay_landing_batches(spark: SparkSession, batches: list[DataFrame], conten
         b.select(*[F.col(c) if c in b.columns else F.lit(None).cast(SEQ_SCHEMA[c].dataType).alias(c) for c in cols]) \
             .write.mode("overwrite").parquet(f"{landing_dir}/b{i:05d}")
         run_ingest(spark, f"{landing_dir}/*", catalog_root, f"{root}/checkpoint", contents=contents, th=th)
-    return spark.read.parquet(f"{catalog_root}/files")
+    return spark.read.parquet(f"{catalog_root}/files").drop("bucket")

@@ -14,33 +14,19 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.operators.jobs import FINAL
+from quarry.operators.jobs import job_states
 from quarry.schema import JOB_EVENT_SCHEMA
 from quarry.session import scratch_path
 
 EVENT_COLS = ["job_id", "seq", "ts", "query", "status", "files_downloaded", "error"]
 
 
-def job_state_aggregate(events: DataFrame) -> DataFrame:
-    """Works on a batch or a streaming frame of job events."""
-    g = events.groupBy("job_id").agg(
-        F.min("ts").alias("start_time"), F.min_by("query", "seq").alias("query"),
-        F.max_by("status", "seq").alias("status"),
-        F.max_by("files_downloaded", "seq").alias("files_downloaded"),
-        F.max_by("ts", "seq").alias("_last_ts"), F.max_by("error", "seq").alias("error"),
-        F.min("seq").alias("first_seq"), F.max("seq").alias("last_seq"),
-        F.count(F.lit(1)).cast("bigint").alias("n_events"))
-    return g.select(F.col("job_id").alias("id"), "start_time", "query", "status", "files_downloaded",
-                    F.when(F.col("status").isin(*FINAL), F.col("_last_ts")).alias("end_time"),
-                    "error", "first_seq", "last_seq", "n_events")
-
-
 def run_job_status_stream(spark: SparkSession, events_dir: str, out_dir: str, checkpoint: str):
     """Process all job-event files not yet seen (available-now); append the
     changed job states of each micro-batch to the state log under `out_dir`."""
     schema = JOB_EVENT_SCHEMA
     stream = spark.readStream.schema(schema).parquet(events_dir)
-    states = job_state_aggregate(stream)
+    states = job_states(stream)
     q = (states.writeStream.outputMode("update")
          .foreachBatch(lambda df, epoch: df.withColumn("batch_id", F.lit(epoch).cast("bigint"))
                        .write.mode("append").parquet(out_dir))

@@ -24,7 +24,7 @@ def hot(spark, n=3000):
 def test_first_wins_combines_map_side(spark):
     df = C.first_wins(hot(spark), ["k"])
     p = plan(df)
-    assert "partial_min_by" in p
+    assert "partial_min(" in p
     got = {r["k"]: r["v"] for r in df.collect()}
     assert got["hot"] == 0 and len(got) == 2001
 
@@ -99,20 +99,44 @@ def test_no_cartesian_products(spark):
     assert bad == []
 
 
-def test_small_batch_probes_catalogue_with_broadcast(spark):
-    existing = hot(spark, 3000).select(F.col("k").alias("full_name"))
-    batch = spark.createDataFrame([("hot",), ("new1",)], "full_name string")
-    out = C.new_rows(batch, existing, ["full_name"], candidate_rows=2)
-    p = plan(out)
-    assert "LeftSemi" in p and "BroadcastExchange" in p
-    assert [r["full_name"] for r in out.collect()] == ["new1"]
-    assert [r["full_name"] for r in C.new_rows(batch, existing, ["full_name"]).collect()] == ["new1"]
+def test_no_stored_table_is_read_as_an_rdd(spark):
+    import __spark_entry__ as E
+    from quarry.plans.registry import load_all
+    own = load_all()
+    bad = [n for n, q in own.items() if n not in EXECUTES_WHILE_BUILDING and "ExistingRDD" in plan(q.build(spark, SF001))
+           and n != "b16_parameters"]
+    assert bad == []
 
 
-def test_estimated_bytes_bounds_a_file_scan(spark, tmp_path):
-    import os
-    path = str(tmp_path / "batch")
-    hot(spark, 3000).write.parquet(path)
-    on_disk = sum(os.path.getsize(os.path.join(path, f)) for f in os.listdir(path) if f.endswith(".parquet"))
-    est = C.estimated_bytes(spark.read.parquet(path))
-    assert est is not None and est >= on_disk and est <= C.MAX_BROADCAST_BATCH_BYTES
+def test_text_does_not_move_when_a_landing_is_judged(spark):
+    """The texts are scored where they lie; no exchange carries them."""
+    from quarry.operators.suitability import filter_landing
+    from quarry.plans import bind as B
+    p = filter_landing(B.b_landing(spark, SF001), B.b_modules(spark, SF001), B.PY_THRESHOLDS)
+    p = p._jdf.queryExecution().optimizedPlan().toString()
+    for line in p.splitlines():
+        if "Aggregate" in line or "Join" in line:
+            assert "content" not in line
+
+
+def test_a_batch_scans_only_its_buckets(spark, tmp_path):
+    from quarry.plans import bind as B
+    from quarry.sources.tables import read_buckets, repo_bucket
+    from quarry.streaming.ingest import ingest_batch
+    root = str(tmp_path / "cat")
+    landing = B.b_landing(spark, SF001)
+    n_repos, n_files = ingest_batch(landing, root, buckets=8)
+    assert n_repos > 1 and n_files > 100 and ingest_batch(landing, root) == (0, 0)
+    one = landing.filter("repo_full_name = 'src1/en'").limit(1)
+    touched = [r["b"] for r in one.select(repo_bucket("repo_full_name", 8).alias("b")).collect()]
+    rows = read_buckets(spark, f"{root}/files", touched).select("path")
+    import re
+    assert len(touched) == 1 and re.search(rf"PartitionFilters: \[[^\]]*bucket#\d+ = {touched[0]}\)", plan(rows))
+
+
+def test_search_takes_the_limit_before_repositories(spark):
+    from quarry.operators.search import search
+    from quarry.plans.queries_catalog import catalog, links
+    repos, files = catalog(spark, SF001)
+    free = plan(search(files, repos, links(spark, SF001), min_quality=1.0, limit=None))
+    assert "Sort [quality_score" not in free and "PushedFilters: [IsNotNull(quality_score), GreaterThanOrEqual(quality_score" in free
