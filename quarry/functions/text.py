@@ -23,18 +23,17 @@ def decode_content(b64) -> Column:
     return F.try_validate_utf8(raw.cast("string"))
 
 
-@F.pandas_udf(StringType())
-def _decode_ignoring(raw: pd.Series) -> pd.Series:
-    return raw.map(lambda b: None if b is None else bytes(b).decode("utf-8", "ignore"))
-
-
 def lenient_text(binary_col) -> Column:
     """Bytes -> text dropping invalid sequences and nothing else. Valid input
     stays in the JVM; only invalid bytes go through Arrow to be decoded."""
+    @F.pandas_udf(StringType())          # local, so that it is shipped with its code
+    def decode_ignoring(raw: pd.Series) -> pd.Series:
+        return raw.map(lambda b: None if b is None else bytes(b).decode("utf-8", "ignore"))
+
     b = _c(binary_col)
     as_str = b.cast("string")
     valid = F.is_valid_utf8(as_str)
-    return F.when(valid, as_str).otherwise(_decode_ignoring(F.when(~valid, b)))
+    return F.when(valid, as_str).otherwise(decode_ignoring(F.when(~valid, b)))
 
 
 def landing_path(out_dir: str, full_name, path) -> Column:
