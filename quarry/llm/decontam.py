@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from quarry.llm.store import stored
+from quarry.llm.store import python_ready, stored
 from quarry.llm.words import LOWER, NOT_ALNUM, find_words, hash_windows, hash_words, slices, text_buffer
 
 WIDTH = 13
@@ -135,6 +135,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str =
          width: int = WIDTH, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """`docs` with __words (count), __runs (word ranges hit), __items (ids, sorted) and __spans (code point ranges hit)."""
     spark = docs.sparkSession
+    python_ready(spark)
     items = benchmark.select(F.coalesce(F.col(f"`{item}`").cast("string"), F.lit("")).alias("id"),
                              F.coalesce(F.col(f"`{item_text}`").cast("string"), F.lit("")).alias("body"))
     total = items.agg(F.sum(F.octet_length("body"))).first()[0] or 0

@@ -32,7 +32,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from quarry.llm.store import keyed_text
+from quarry.llm.store import keyed_text, python_ready
 from quarry.llm.words import slices
 
 BASE_KINDS = ["assign", "access", "hex"]
@@ -198,5 +198,6 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def scan(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, spans) of every row of `docs`."""
+    python_ready(docs.sparkSession)
     rows = keyed_text(docs, key, text)
     return rows.mapInArrow(_scan, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, spans {SPANS}")

@@ -7,13 +7,44 @@ same rows again.
 
 from __future__ import annotations
 
+import os
+import re
+import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.session import drop_path, scratch_path
 
+ROWS, BYTES = 1000, 8 << 20
+_SHIPPED: set[str] = set()
+
+
+def python_ready(spark: SparkSession) -> None:
+    """What operators with Python tasks need of a session.
+
+    Rows carry whole texts, so Arrow batches are kept to ROWS rows and BYTES bytes
+    (a session with smaller ones keeps its own). Executors get the package's
+    modules with the tasks, wherever the driver was started.
+    """
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BYTES)):
+        now = re.fullmatch(r"(\d+)b?", (spark.conf.get(key, None) or "").lower())     # a number, or with a larger unit
+        if now is None or not 0 < int(now[1]) <= most:
+            spark.conf.set(key, str(most))
+    sc = spark.sparkContext
+    if sc.applicationId not in _SHIPPED:
+        package = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+        path = os.path.join(tempfile.mkdtemp(prefix="quarry-modules-"), "quarry_modules.zip")
+        with zipfile.ZipFile(path, "w") as z:
+            for folder, _, names in os.walk(package):
+                for name in sorted(n for n in names if n.endswith(".py")):
+                    full = os.path.join(folder, name)
+                    z.write(full, os.path.join("quarry", os.path.relpath(full, package)))
+        sc.addPyFile(path)
+        _SHIPPED.add(sc.applicationId)
+
 
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write `df` to a fresh folder and return the table read back."""

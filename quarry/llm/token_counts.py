@@ -34,7 +34,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.store import keyed_text
+from quarry.llm.store import keyed_text, python_ready
 from quarry.llm.words import slices
 
 CHUNK = 1 << 15            # code points
@@ -242,6 +242,7 @@ def counter(path: str) -> Counter:
 
 def count_tokens(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", spread: int = SPREAD) -> DataFrame:
     """(doc_id, n_bytes, n_tokens) of every row; `path` names the tokenizer file on every machine."""
+    python_ready(docs.sparkSession)
     rows = keyed_text(docs, key, text)
     kind = rows.schema["doc_id"].dataType.simpleString()
 

@@ -38,7 +38,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm.store import fresh, stored
+from quarry.llm.store import fresh, python_ready, stored
 
 LEAST_BYTES = 100
 ARCHIVE_BYTES = 64 << 20            # record bytes after which a task begins a new archive
@@ -245,6 +245,7 @@ def archive_pages(pages: DataFrame, key: str = "page_id", url: str = "url", html
                   least_bytes: int = LEAST_BYTES) -> tuple[str, DataFrame]:
     """Write `pages`, normalise the archives; returns the folder of the normalised ones and their index."""
     spark: SparkSession = pages.sparkSession
+    python_ready(spark)
     root = root or fresh(spark, "warc")
     typed = with_types(pages, key, url, html, least_bytes)
     written = stored(write_archives(typed, f"{root}/raw"), "archives")
