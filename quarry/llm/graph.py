@@ -23,16 +23,15 @@ def components(edges: DataFrame) -> DataFrame:
     labels = stored(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m"))
                     .select("node", F.least("node", "m").alias("label")), "labels")
     while True:
-        near = (both.join(labels.withColumnRenamed("node", "b"), "b").select(F.col("a").alias("node"), "label")
-                .unionByName(labels).groupBy("node").agg(F.min("label").alias("label")))
+        # the node's own row tells the label it had
+        near = (both.join(labels.select(F.col("node").alias("b"), "label"), "b")
+                .select(F.col("a").alias("node"), "label", F.lit(None).cast(labels.schema["label"].dataType).alias("had"))
+                .unionByName(labels.select("node", "label", F.col("label").alias("had")))
+                .groupBy("node").agg(F.min("label").alias("via"), F.max("had").alias("had")))
         near = stored(near, "labels")
         # a label is a node: take the label it has got itself
-        jump = (near.withColumnRenamed("label", "via")
-                .join(near.select(F.col("node").alias("via"), F.col("label").alias("far")), "via")
-                .select("node", F.least("via", "far").alias("label")))
-        now = stored(jump, "labels")
-        changed = (now.withColumnRenamed("label", "new").join(labels, "node").filter("new != label")
-                   .agg(F.count(F.lit(1))).first()[0])
-        if not changed:
-            return now
-        labels = now
+        jump = near.join(near.select(F.col("node").alias("via"), F.col("via").alias("far")), "via")
+        now = stored(jump.select("node", F.least("via", "far").alias("label"), "had"), "labels")
+        if not now.filter("label != had").agg(F.count(F.lit(1))).first()[0]:
+            return now.select("node", "label")
+        labels = now.select("node", "label")

@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm.graph import components
-from quarry.llm.store import keyed_text, stored
+from quarry.llm.store import keyed_text, python_ready, stored
 from quarry.llm.words import WHITE_SPACE, find_words, hash_windows, hash_words, mix, one_hash, slices, text_buffer
 
 WORDS = 5
@@ -80,7 +80,16 @@ def pack(ids: np.ndarray, sizes: np.ndarray, refs: np.ndarray, tokens: np.ndarra
     used, local = np.unique(refs, return_inverse=True)
     head = np.array([len(used), len(tokens)], np.int64)
     return b"".join([head.tobytes(), ids[used].tobytes(), sizes[used].astype(np.int32).tobytes(),
-                     local.astype(np.uint16).tobytes(), tokens.tobytes()])
+                     local.astype(np.uint16).tobytes(), planes(tokens)])
+
+
+def planes(tokens: np.ndarray) -> bytes:
+    """The tokens' bytes, all first ones first: of sorted tokens the high bytes compress away."""
+    return np.ascontiguousarray(tokens.astype(">u8").view(np.uint8).reshape(-1, 8).T).tobytes()
+
+
+def from_planes(data: np.ndarray) -> np.ndarray:
+    return np.ascontiguousarray(data.reshape(8, -1).T).view(">u8").reshape(-1).astype(np.uint64)
 
 
 def unpack(payloads) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -91,7 +100,7 @@ def unpack(payloads) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         ids.append(np.frombuffer(p, "V16", n, at))
         sizes.append(np.frombuffer(p, np.int32, n, at := at + 16 * n))
         refs.append(np.frombuffer(p, np.uint16, m, at := at + 4 * n).astype(np.int64) + base)
-        tokens.append(np.frombuffer(p, np.uint64, m, at + 2 * m))
+        tokens.append(from_planes(np.frombuffer(p, np.uint8, 8 * m, at + 2 * m)))
         base += n
     return np.concatenate(ids), np.concatenate(sizes), np.concatenate(refs), np.concatenate(tokens)
 
@@ -219,14 +228,15 @@ def shared_sets(texts: DataFrame, buckets: int) -> DataFrame:
 # --- blocks ----------------------------------------------------------------------------------------
 
 def ordered_sets(sets: DataFrame) -> DataFrame:
-    """Shingles rarest first (ties by hash) with the length of the probing prefix."""
-    flat = sets.select("cls", "n", F.explode("tokens").alias("tok"))
+    """Shingles rarest first (ties by hash) with the length of the probing prefix.
+
+    `sets` is a stored table whose `id` names a set in one number."""
+    flat = sets.select("id", F.explode("tokens").alias("tok"))
     df = flat.groupBy("tok").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
-    got = (flat.join(df, "tok").groupBy("cls", "n")
-           .agg(F.sort_array(F.collect_list(F.struct("df", "tok"))).alias("s"))
-           .select("cls", "n", F.col("s.tok").alias("tokens")))
+    got = flat.join(df, "tok").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("df", "tok"))).alias("s"))
+    named = got.select("id", F.col("s.tok").alias("tokens")).join(sets.select("id", "cls", "n"), "id")
     prefix = F.size("tokens") - F.ceil(F.col("n") * 0.75) + 1
-    return got.withColumn("prefix", prefix.cast("int")).filter("prefix > 0")
+    return named.select("cls", "n", "tokens", prefix.cast("int").alias("prefix")).filter("prefix > 0")
 
 
 def prefix_edges(sets: DataFrame, salts: int = 16) -> DataFrame:
@@ -456,9 +466,11 @@ def ngram_components(docs: DataFrame, key: str = "doc_id", text: str = "text", b
     documents without words keep their own.
     """
     spark = docs.sparkSession
+    python_ready(spark)
     texts = keyed_text(docs, key, text)
     buckets = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    sets = stored(ordered_sets(stored(shared_sets(texts, buckets), "shared")), "ordered")
+    shared = stored(shared_sets(texts, buckets).withColumn("id", F.monotonically_increasing_id()), "shared")
+    sets = stored(ordered_sets(shared), "ordered")
     blocks = components(prefix_edges(sets))
     label = stored(join_blocks(sets, blocks, block_sets), "linked")
     signed = stored(signatures(texts), "signed")
