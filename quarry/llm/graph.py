@@ -18,8 +18,8 @@ def components(edges: DataFrame) -> DataFrame:
     edges is a skewed join that adaptive execution may split. No links or
     labels reach the driver, only the count of changed labels.
     """
-    both = stored(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-                  .filter("a != b").distinct(), "edges")
+    both = stored(edges.filter("a != b").select(F.inline(F.array(
+        F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"))))).distinct(), "edges")
     labels = stored(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m"))
                     .select("node", F.least("node", "m").alias("label")), "labels")
     while True:

@@ -21,8 +21,8 @@ smallest doc_id that it reaches by links.
    whose sets are already in its component.
 
 Blocks of more than `block_sets` sets are dealt out in shards. Each shard also
-gets the block's pivots; afterwards only sets outside the block's largest
-component are probed against the other shards, so that a huge group of near
+gets the block's pivots; afterwards only sets that their shard does not link to the
+main pivot are probed against all shards, so that a huge group of near
 copies costs one pass while no link is lost.
 
 Nulls in doc_id give a row with a null id whose links count as any other's;
@@ -43,7 +43,7 @@ from quarry.llm.store import keyed_text, python_ready, stored
 from quarry.llm.words import WHITE_SPACE, find_words, hash_windows, hash_words, mix, one_hash, slices, text_buffer
 
 WORDS = 5
-FLUSH_TOKENS = 1_000_000      # shingles packed together by a map task
+FLUSH_TOKENS = 500_000        # shingles packed together by a map task
 FLUSH_SETS = 60_000           # they are numbered by 16 bits
 BLOCK_SETS = 1_000            # sets of a block handled by one task
 BLOCK_TOKENS = 2_000_000      # shingles of a block handled by one task
@@ -99,12 +99,17 @@ def unpack(payloads) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         at = 16
         ids.append(np.frombuffer(p, "V16", n, at))
         sizes.append(np.frombuffer(p, np.int32, n, at := at + 16 * n))
-        refs.append(np.frombuffer(p, np.uint16, m, at := at + 4 * n).astype(np.int64) + base)
+        refs.append(np.frombuffer(p, np.uint16, m, at := at + 4 * n).astype(np.int32) + np.int32(base))
         tokens.append(from_planes(np.frombuffer(p, np.uint8, 8 * m, at + 2 * m)))
         base += n
     return np.concatenate(ids), np.concatenate(sizes), np.concatenate(refs), np.concatenate(tokens)
 
 
+def payloads_of(t: pa.Table) -> Iterator[pa.Buffer]:
+    """The packed rows of a group, without a copy."""
+    return (x.as_buffer() for c in t.column("payload").chunks for x in c)
+
+
 def bucket_rows(first: int, ids, sizes, refs, tokens, at: np.ndarray) -> list[tuple[int, bytes]]:
     """One packed row for each value of `at` (the bucket of each entry)."""
     order = np.argsort(at, kind="stable")
@@ -182,7 +187,7 @@ def mark_shared(buckets: int):
     def run(t: pa.Table) -> pa.Table:
         if t.column("bucket")[0].as_py() >= buckets:
             return t.select(["bucket", "payload"])
-        ids, sizes, refs, tokens = unpack(t.column("payload").to_pylist())
+        ids, sizes, refs, tokens = unpack(payloads_of(t))
         order, _, counts = groups(tokens)
         shared = order[np.repeat(counts > 1, counts)]
         shared = shared[ids[refs[shared]] != NOBODY[0]]
@@ -198,7 +203,7 @@ def threshold(n):
 
 def gather_sets(t: pa.Table) -> pa.Table:
     """Shared shingles of each set that has enough of them."""
-    ids, sizes, refs, tokens = unpack(t.column("payload").to_pylist())
+    ids, sizes, refs, tokens = unpack(payloads_of(t))
     names, where = np.unique(ids.view(">u8").reshape(-1, 2), axis=0, return_inverse=True)
     where = where.reshape(-1)
     size = np.zeros(len(names), np.int64)
@@ -240,7 +245,7 @@ def ordered_sets(sets: DataFrame) -> DataFrame:
 
 
 def prefix_edges(sets: DataFrame, salts: int = 16) -> DataFrame:
-    """(a, b): each set with a leader of every prefix shingle's sets, leaders with one of theirs.
+    """(a, b), repeated: each set with a leader of every prefix shingle's sets, leaders with one of theirs.
 
     Leaders are first chosen in `salts` parts of a shingle's sets, so that a
     shingle of very many sets is spread over as many tasks.
@@ -250,8 +255,7 @@ def prefix_edges(sets: DataFrame, salts: int = 16) -> DataFrame:
     local = rows.groupBy("tok", "salt").agg(F.min("cls").alias("lead"))
     top = local.groupBy("tok").agg(F.min("lead").alias("b"))
     return (rows.join(local, ["tok", "salt"]).select(F.col("cls").alias("a"), F.col("lead").alias("b"))
-            .unionByName(local.join(top, "tok").select(F.col("lead").alias("a"), "b"))
-            .filter("a != b").distinct())
+            .unionByName(local.join(top, "tok").select(F.col("lead").alias("a"), "b")))
 
 
 class Node:
@@ -356,19 +360,20 @@ def list_arrays(col: pa.ChunkedArray) -> list[np.ndarray]:
     return out
 
 
+LOCAL = "block binary, shard int, cls binary, n bigint, tokens array<bigint>, home boolean, label binary"
+
+
 def join_block(t: pa.Table) -> pa.Table:
-    """Local components of one shard of a block: (block, cls, label)."""
+    """The sets of one shard of a block with the labels of their local components (the smallest name in each)."""
     names, sizes = t.column("cls").to_pylist(), t.column("n").to_numpy()
     order = sorted(range(len(names)), key=names.__getitem__)      # a part's first set has the smallest name
-    names, sizes = [names[i] for i in order], sizes[order]
+    place = {k: i for i, k in enumerate(order)}
     arrays = list_arrays(t.column("tokens"))
-    arrays = [arrays[i] for i in order]
     parts, every = Parts(len(names)), list(range(len(names)))
     with deep():
-        link_sets(arrays, sizes, parts, every, every)
-    return pa.table({"block": pa.array([t.column("block")[0].as_py()] * len(names), pa.binary()),
-                     "cls": pa.array(names, pa.binary()),
-                     "label": pa.array([names[parts.find(i)] for i in every], pa.binary())})
+        link_sets([arrays[i] for i in order], sizes[order], parts, every, every)
+    labels = [names[order[parts.find(place[i])]] for i in range(len(names))]
+    return t.append_column("label", pa.array(labels, pa.binary()))
 
 
 def probe_shard(t: pa.Table) -> pa.Table:
@@ -402,48 +407,49 @@ class deep:
 
 
 def join_blocks(sets: DataFrame, blocks: DataFrame, block_sets: int) -> DataFrame:
-    """(cls, label): components by links among the sets of each block."""
+    """(cls, label): components by links among the sets of each block.
+
+    Each shard of a large block also gets the block's pivots. What a shard links
+    to the block's main pivot, the one with most sets, is one component across all
+    shards; only the other sets are then probed against every shard."""
     sized = stored(sets.join(blocks.select(F.col("node").alias("cls"), F.col("label").alias("block")), "cls")
                    .select("block", "cls", "n", "tokens"), "blocks")
-    shards = sized.groupBy("block").agg(F.greatest(F.ceil(F.count(F.lit(1)) / block_sets),
-                                                   F.ceil(F.sum(F.size("tokens")) / BLOCK_TOKENS)).alias("shards"))
-    large = stored(shards.filter("shards > 1"), "large")
-    one = sized.join(large, "block", "left_anti").groupBy("block").applyInArrow(
-        join_block, "block binary, cls binary, label binary")
-    n_large = large.count()
-    if not n_large:
-        return one.select("cls", "label")
-    dealt = sized.join(large, "block").withColumn("shard", F.pmod(F.xxhash64("cls"), F.col("shards")).cast("int"))
-    dealt = stored(dealt, "dealt")
-    firsts = dealt.groupBy("block", "shards", "shard").agg(F.min("cls").alias("cls"))
-    pivots = firsts.groupBy("block", "shards").agg(F.expr(f"slice(sort_array(collect_list(cls)), 1, {PIVOTS})").alias("p")) \
-        .select("block", "shards", F.explode("p").alias("cls")).join(dealt.select("cls", "n", "tokens", F.col("shard").alias("home")), "cls") \
-        .select("block", F.explode(F.expr("sequence(0, cast(shards as int) - 1)")).alias("shard"), "cls", "n", "tokens", "home") \
-        .filter("shard != home").drop("home")
-    local = dealt.select("block", "shard", "cls", "n", "tokens").unionByName(pivots) \
-        .groupBy("block", "shard").applyInArrow(join_block, "block binary, cls binary, label binary")
-    local = stored(local, "local")
-    first = components(local.select(F.col("cls").alias("a"), F.col("label").alias("b")))
-    known = stored(dealt.join(first.withColumnRenamed("node", "cls"), "cls", "left")
-                   .withColumn("label", F.coalesce("label", "cls")), "known")
-    largest = known.groupBy("block", "label").agg(F.count(F.lit(1)).alias("c")).groupBy("block") \
-        .agg(F.max(F.struct("c", "label")).alias("m")).select("block", F.col("m.label").alias("main"))
-    rest = stored(known.join(largest, "block").filter("label != main").drop("main"), "rest")
-    parts = rest.groupBy("block").agg(F.greatest(F.ceil(F.count(F.lit(1)) / block_sets),
-                                                 F.ceil(F.sum(F.size("tokens")) / BLOCK_TOKENS)).alias("parts"))
-    parts = stored(parts, "parts")
-    each = rest.join(parts, "block").withColumn("part", F.pmod(F.xxhash64("cls", F.lit(1)), F.col("parts")).cast("int"))
+    count = F.greatest(F.ceil(F.count(F.lit(1)) / block_sets), F.ceil(F.sum(F.size("tokens")) / BLOCK_TOKENS)).cast("int")
+    shards = stored(sized.groupBy("block").agg(count.alias("shards")).filter("shards > 1"), "shards")
+    cols = ["block", "shard", "cls", "n", "tokens", "home"]
+    one = sized.join(shards, "block", "left_anti").withColumns({"shard": F.lit(0), "home": F.lit(True)}).select(*cols) \
+        .groupBy("block").applyInArrow(join_block, LOCAL).select("cls", "label")
+    if not shards.count():
+        return one
+    dealt = sized.join(shards, "block").withColumns({
+        "shard": F.pmod(F.xxhash64("cls"), F.col("shards")).cast("int"), "home": F.lit(True)})
+    pivots = dealt.groupBy("block", "shards", "shard").agg(F.min_by(F.struct("cls", "n", "tokens", "shard"), "cls").alias("p")) \
+        .groupBy("block", "shards").agg(F.expr(f"slice(sort_array(collect_list(p)), 1, {PIVOTS})").alias("p")) \
+        .select("block", "shards", F.inline("p").alias("cls", "n", "tokens", "own")) \
+        .select("block", "cls", "n", "tokens", "own", F.explode(F.expr("sequence(0, shards - 1)")).alias("shard")) \
+        .filter("shard != own").withColumn("home", F.lit(False)).select(*cols)
+    local = stored(dealt.select(*cols).unionByName(pivots).groupBy("block", "shard").applyInArrow(join_block, LOCAL), "local")
+
+    # a pivot stands in every shard: the sets its label has in all of them
+    seen = local.filter("NOT home").select("block", "cls").distinct()
+    places = local.select("block", "shard", "cls", "label").join(seen, ["block", "cls"])
+    sums = local.filter("home").groupBy("block", "shard", "label").agg(F.count(F.lit(1)).alias("rows"))
+    main = places.join(sums, ["block", "shard", "label"], "left").groupBy("block", "cls").agg(F.sum("rows").alias("rows")) \
+        .groupBy("block").agg(F.max_by("cls", F.struct("rows", "cls")).alias("cls"))
+    mains = stored(places.join(main, ["block", "cls"]).select("block", "shard", "label"), "mains")
+    rest = stored(local.filter("home").join(mains, ["block", "shard", "label"], "left_anti").drop("home"), "rest")
+    parts = stored(rest.groupBy("block").agg(count.alias("parts")), "parts")
+    cut = rest.join(shards, "block").join(parts, "block").withColumn("part", F.pmod(F.xxhash64("cls", F.lit(1)), F.col("parts")).cast("int"))
     cols = ["block", "shard", "part", "cls", "n", "tokens", "label", "probing"]
-    probes = each.drop("shard").withColumn("shard", F.explode(F.expr("sequence(0, cast(shards as int) - 1)"))) \
+    probes = cut.drop("shard").withColumn("shard", F.explode(F.expr("sequence(0, shards - 1)"))) \
         .withColumn("probing", F.lit(True)).select(*cols)
-    stand = known.join(parts, "block").withColumn("part", F.explode(F.expr("sequence(0, cast(parts as int) - 1)"))) \
+    stand = local.filter("home").join(parts, "block").withColumn("part", F.explode(F.expr("sequence(0, parts - 1)"))) \
         .withColumn("probing", F.lit(False)).select(*cols)
     links = probes.unionByName(stand).groupBy("block", "shard", "part").applyInArrow(probe_shard, "a binary, b binary")
-    links = links.unionByName(known.select(F.col("cls").alias("a"), F.col("label").alias("b")))
-    last = components(links)
-    multi = known.select("cls").join(last.withColumnRenamed("node", "cls"), "cls", "left") \
+    last = components(links.unionByName(local.select(F.col("cls").alias("a"), F.col("label").alias("b"))))
+    multi = local.filter("home").select("cls").join(last.withColumnRenamed("node", "cls"), "cls", "left") \
         .select("cls", F.coalesce("label", "cls").alias("label"))
-    return one.select("cls", "label").unionByName(multi)
+    return one.unionByName(multi)
 
 
 def signatures(texts: DataFrame) -> DataFrame:
