@@ -15,9 +15,9 @@ is spread over `salts` tasks first.
 
 *Extraction.* Slots of the wrapper are main text or not by where they stand:
 those inside menus, page headers, footers, sidebars, notices, adverts, forms and
-reader comments are not; if the wrapper has an article or main region, only slots
-in it are; else slots in repeated groups of nothing but links are not, nor slots
-with one and the same text on all of a host's pages (three or more). A page's
+reader comments are not; on a page with text in an article or main region, only slots
+in it are; on the others, slots in repeated groups of nothing but links are not, nor
+slots with one and the same text on all of a host's pages (three or more). A page's
 texts in main slots are its blocks: character references decoded, white space
 made one space, joined by ``\n`` in page order.
 
@@ -276,28 +276,47 @@ def has_text(items: list) -> bool:
     return any(isinstance(x, str) or has_text(x[1]) for x, _ in items)
 
 
-def slots(wrapper: list) -> list[tuple[str, bool, bool, bool]]:
-    """(path, in an article or main region, chrome, in a group of links) of each text slot."""
+def slots(wrapper: list) -> list[tuple[str, bool]]:
+    """(path, in a group of links) of each text slot."""
     out = []
 
-    def walk(items: list, path: tuple[str, ...], inside: bool, bad: bool, links: bool) -> None:
+    def walk(items: list, path: str, links: bool) -> None:
         for x, _ in items:
             if isinstance(x, str):
-                out.append(("/".join(path), inside, bad, links))
+                out.append((path, links))
             elif x[0] == "+":
-                walk(x[1], path, inside, bad, links or only_links(x[1]))
+                walk(x[1], path, links or only_links(x[1]))
             else:
-                walk(x[1], (*path, x[0]), inside or is_main(x[0]), bad or chrome(x[0], inside), links)
-    walk(wrapper, (), False, False, False)
+                walk(x[1], f"{path}/{x[0]}", links)
+    walk(wrapper, "", False)
     return out
 
 
-def main_paths(wrapper: list, constant: set[str]) -> list[str]:
-    """Paths of the wrapper's main slots."""
+def dull_paths(wrapper: list, constant: set[str]) -> list[str]:
+    """Paths of slots that are not main text on pages without a region: "L" and the path for links, "C" for constant ones."""
     found = slots(wrapper)
-    if any(inside and not bad for _, inside, bad, _ in found):
-        return sorted({p for p, inside, bad, _ in found if inside and not bad})
-    return sorted({p for p, _, bad, links in found if not bad and not links and p not in constant})
+    links = {p for p, x in found if x} - {p for p, x in found if not x}
+    return sorted(["L" + p for p in links] + ["C" + p for p in constant])
+
+
+def standing(found: list[tuple[str, str]]) -> Iterator[tuple[str, str, bool]]:
+    """(path, text, in an article or main region) of a page's texts outside of chrome."""
+    stack = [("", False, False)]
+    for kind, x in found:
+        if kind == "<":
+            path, inside, bad = stack[-1]
+            stack.append((f"{path}/{x}", inside or is_main(x), bad or chrome(x, inside)))
+        elif kind == ">":
+            stack.pop()
+        elif not stack[-1][2]:
+            yield stack[-1][0], x, stack[-1][1]
+
+
+def chosen(found: list[tuple[str, str]]) -> tuple[bool, list[tuple[str, str]]]:
+    """Whether the page has text in a region, and (path, text) of the texts there, or else of all outside of chrome."""
+    texts = list(standing(found))
+    inside = [(p, x) for p, x, region in texts if region]
+    return bool(inside), inside or [(p, x) for p, x, _ in texts]
 
 
 # --- Spark ------------------------------------------------------------------------------------------
@@ -318,15 +337,10 @@ def _streams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         new: set[tuple[str, str]] = set()
         for part in slices(batch, "html"):
             for host, html in zip(part.column("host").to_pylist(), part.column("html").to_pylist()):
-                found, stack, own = list(blocks(html)), [], {}
-                has_main = any(kind == "<" and is_main(x) for kind, x in found)
-                for kind, x in found if not has_main else ():
-                    if kind == "<":
-                        stack.append(x)
-                    elif kind == ">":
-                        stack.pop()
-                    else:
-                        own["/".join(stack)] = _text_hash(f"{own.get('/'.join(stack), 0)} {x}")
+                found, own = list(blocks(html)), {}
+                has_main, kept = chosen(found)
+                for path, x in kept if not has_main else ():
+                    own[path] = _text_hash(f"{own.get(path, 0)} {x}")
                 key = host, json.dumps(wrapper_of(found), separators=(",", ":"))
                 if key not in seen:
                     new.add(key)
@@ -350,7 +364,7 @@ def _align_all(t: pa.Table) -> pa.Table:
 
 
 def infer_wrappers(pages: DataFrame, salts: int = SALTS) -> DataFrame:
-    """(host, wrapper, paths) from (host, html): the wrapper as JSON and a line for the path of each main slot."""
+    """(host, wrapper, paths) from (host, html): the wrapper as JSON and a line for each path of `dull_paths`."""
     found = stored(pages.select("host", "html").mapInArrow(_streams, STREAMS), "streams")
     distinct = found.filter("wrapper IS NOT NULL").select("host", "wrapper").distinct()
     part = distinct.withColumn("salt", F.pmod(F.xxhash64("wrapper"), F.lit(salts)))
@@ -363,24 +377,19 @@ def infer_wrappers(pages: DataFrame, salts: int = SALTS) -> DataFrame:
 
     def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            paths = [main_paths(json.loads(w), set(c or ())) for w, c in
+            paths = [dull_paths(json.loads(w), set(c or ())) for w, c in
                      zip(b.column("wrapper").to_pylist(), b.column("constant").to_pylist())]
-            yield pa.RecordBatch.from_arrays([b.column("host"), b.column("wrapper"), pa.array(["\n".join("/" + x for x in p) for p in paths], pa.string())],
+            yield pa.RecordBatch.from_arrays([b.column("host"), b.column("wrapper"), pa.array(["\n".join(p) for p in paths], pa.string())],
                                              ["host", "wrapper", "paths"])
     return stored(whole.join(constant, "host", "left").mapInArrow(choose, "host string, wrapper string, paths string"), "wrappers")
 
 
-def main_text(html: str, paths: frozenset[str]) -> str:
+def main_text(html: str, dull: frozenset[str]) -> str:
     """The page's blocks in main slots, joined."""
-    stack, out = [], []
-    for kind, x in blocks(html):
-        if kind == "<":
-            stack.append(x)
-        elif kind == ">":
-            stack.pop()
-        elif "/" + "/".join(stack) in paths:
-            out.append(x)
-    return "\n".join(out)
+    has_main, texts = chosen(list(blocks(html)))
+    if not has_main:
+        texts = [(p, x) for p, x in texts if "L" + p not in dull and "C" + p not in dull]
+    return "\n".join(x for _, x in texts)
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -78,3 +78,14 @@ def test_given_pages_against_a_plain_reading(spark):
         parts = re.split(r"<(?:/?p|/?h1)>", body)
         want = [re.sub(r"\s+", " ", html.unescape(re.sub(r"</?b>", "", p.replace("<br>", " ")))).strip() for p in parts]
         assert got[r["page_id"]] == "\n".join(x for x in want if x)
+
+
+def test_pages_with_and_without_a_region_on_one_host(spark):
+    def front(i):
+        return f"<body><nav><a>n</a></nav><article><h2>t{i}</h2><p>teaser {i}</p></article></body>"
+
+    def story(i):
+        return f"<body><nav><a>n</a></nav><div class=content><h1>h{i}</h1><p>body {i}</p></div></body>"
+    for urls in ("http://mixed.example/{}", None):
+        rows = [(i, urls and urls.format(i), front(i) if i < 2 else story(i)) for i in range(6)]
+        assert run(spark, rows) == {i: f"t{i}\nteaser {i}" if i < 2 else f"h{i}\nbody {i}" for i in range(6)}
