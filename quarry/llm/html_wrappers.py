@@ -17,7 +17,8 @@ is spread over `salts` tasks first.
 those inside menus, page headers, footers, sidebars, notices, adverts, forms and
 reader comments are not; on a page with text in an article or main region, only slots
 in it are; on the others, slots in repeated groups of nothing but links are not, nor
-slots with one and the same text on all of a host's pages (three or more). A page's
+slots with one and the same text on all of the host's pages without such a region, three
+or more of them different outside of chrome; a page with nothing else keeps these. A page's
 texts in main slots are its blocks: character references decoded, white space
 made one space, joined by ``\n`` in page order.
 
@@ -330,11 +331,15 @@ def _text_hash(s: str) -> int:
 
 
 def _streams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Distinct folded streams by host, and the smallest and largest text hash by host and path."""
+    """Distinct folded streams by host; of pages without a region, the smallest and largest text hash by host
+    and path, the number by host, and as many digests by host and task as tell whether CONSTANT_PAGES differ."""
     seen: set[tuple[str, str]] = set()
+    digests: dict[str, set[int]] = {}
     for batch in batches:
         texts: dict[tuple[str, str], list[int]] = {}
         new: set[tuple[str, str]] = set()
+        counts: dict[str, int] = {}
+        rows: list[tuple] = []
         for part in slices(batch, "html"):
             for host, html in zip(part.column("host").to_pylist(), part.column("html").to_pylist()):
                 found, own = list(blocks(html)), {}
@@ -348,8 +353,14 @@ def _streams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     for path, h in own.items():
                         t = texts.setdefault((host, path), [h, h, 0])
                         t[:] = min(t[0], h), max(t[1], h), t[2] + 1
+                    counts[host] = counts.get(host, 0) + 1
+                    known, digest = digests.setdefault(host, set()), _text_hash(json.dumps(kept))
+                    if len(known) < CONSTANT_PAGES and digest not in known:
+                        known.add(digest)
+                        rows.append((host, None, None, digest, None, 0))
         seen |= new
-        rows = [(h, w, None, None, None, None) for h, w in new] + [(h, None, p, *t) for (h, p), t in texts.items()]
+        rows += [(h, w, None, None, None, None) for h, w in new] + [(h, None, p, *t) for (h, p), t in texts.items()]
+        rows += [(h, None, None, None, None, n) for h, n in counts.items()]
         if rows:
             kinds = [pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*rows), kinds)],
@@ -370,9 +381,12 @@ def infer_wrappers(pages: DataFrame, salts: int = SALTS) -> DataFrame:
     part = distinct.withColumn("salt", F.pmod(F.xxhash64("wrapper"), F.lit(salts)))
     some = part.groupBy("host", "salt").applyInArrow(_align_all, "host string, wrapper string")
     whole = some.groupBy("host").applyInArrow(_align_all, "host string, wrapper string")
+    pages_of = (found.filter("wrapper IS NULL AND path IS NULL").groupBy("host")
+                .agg(F.sum("pages").alias("all_pages"), F.size(F.collect_set("low")).alias("different"))
+                .filter(F.col("different") >= CONSTANT_PAGES))
     constant = (found.filter("path IS NOT NULL").groupBy("host", "path")
                 .agg(F.min("low").alias("low"), F.max("high").alias("high"), F.sum("pages").alias("pages"))
-                .filter((F.col("low") == F.col("high")) & (F.col("pages") >= CONSTANT_PAGES))
+                .filter("low = high").join(pages_of, "host").filter("pages = all_pages")
                 .groupBy("host").agg(F.collect_set("path").alias("constant")))
 
     def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -388,7 +402,8 @@ def main_text(html: str, dull: frozenset[str]) -> str:
     """The page's blocks in main slots, joined."""
     has_main, texts = chosen(list(blocks(html)))
     if not has_main:
-        texts = [(p, x) for p, x in texts if "L" + p not in dull and "C" + p not in dull]
+        texts = [(p, x) for p, x in texts if "L" + p not in dull]
+        texts = [(p, x) for p, x in texts if "C" + p not in dull] or texts
     return "\n".join(x for _, x in texts)
 
 

@@ -89,3 +89,17 @@ def test_pages_with_and_without_a_region_on_one_host(spark):
     for urls in ("http://mixed.example/{}", None):
         rows = [(i, urls and urls.format(i), front(i) if i < 2 else story(i)) for i in range(6)]
         assert run(spark, rows) == {i: f"t{i}\nteaser {i}" if i < 2 else f"h{i}\nbody {i}" for i in range(6)}
+
+
+def test_copies_and_rare_paths_are_not_constant(spark):
+    story = "<body><div class=content><h1>same</h1><p>one copied story</p></div></body>"
+    for n in (2, 3, 5):                                # a host of copies
+        assert run(spark, [(i, f"http://copies.example/{i}", story) for i in range(n)]) == dict.fromkeys(range(n), "same\none copied story")
+
+    def page(body, i):
+        return f"<body><div class=content><p>{i}</p></div>{body}<div class=line>on each page</div></body>"
+    rare = [(i, f"http://rare.example/{i}", page("<div class=special><p>copied thrice</p></div>", "x")) for i in range(3)]
+    rows = rare + [(i, f"http://rare.example/{i}", page("", i)) for i in range(3, 7)]
+    rows.append((7, "http://rare.example/7", "<body><div class=line>on each page</div></body>"))
+    want = dict.fromkeys(range(3), "x\ncopied thrice") | {i: str(i) for i in range(3, 7)} | {7: "on each page"}
+    assert run(spark, rows) == want
