@@ -15,10 +15,12 @@ is spread over `salts` tasks first.
 
 *Extraction.* Slots of the wrapper are main text or not by where they stand:
 those inside menus, page headers, footers, sidebars, notices, adverts, forms and
-reader comments are not; on a page with text in an article or main region, only slots
-in it are; on the others, slots in repeated groups of nothing but links are not, nor
-slots with one and the same text on all of the host's pages without such a region, three
-or more of them different outside of chrome; a page with nothing else keeps these. A page's
+comments are not (what class names alone or a form mark counts all the same where it
+holds most of the page, a main region, or an article longer than all else); on a page
+with text in an article or main region, only slots in it are; on the others, slots in
+repeated groups of nothing but links are not, nor slots with one and the same text on
+all of the host's pages without such a region, three or more of them different outside
+of chrome; a page with nothing else keeps these. A page's
 texts in main slots are its blocks: character references decoded, white space
 made one space, joined by ``\n`` in page order.
 
@@ -34,6 +36,7 @@ import html as markup
 import json
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -45,6 +48,7 @@ from quarry.llm.words import slices
 SALTS = 8
 DEPTH = 150                  # elements nested deeper count as part of the one at this depth
 CONSTANT_PAGES = 3
+LAYOUT_SLOTS = 3             # slots that make an element more than one notice
 MAX_PERIOD = 12              # elements of a group's body
 #: of these, neighbours are repeats whatever they hold; of others, only equal ones are
 ALIKE = frozenset("p li dt dd tr option blockquote h1 h2 h3 h4 h5 h6".split())
@@ -63,11 +67,17 @@ ENDS = {"p": frozenset("""address article aside blockquote details div dl fields
  nav ol p pre section table ul""".split()), "li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]),
         "tr": frozenset(["tr"]), "td": frozenset(["td", "th", "tr"]), "th": frozenset(["td", "th", "tr"]), "option": frozenset(["option"])}
 CHROME_TAGS = frozenset("nav footer aside form menu dialog button select fieldset head title object canvas audio video".split())
+WEAK_TAGS = frozenset(["form", "fieldset"])
 CHROME_ROLES = frozenset("navigation contentinfo complementary search dialog alert alertdialog menu menubar form".split())
 CHROME_NAMES = re.compile(
     r"(?:^|[-_])(?:ad|ads|adv|advert\w*|sponsor\w*|promo\w*|banner|sidebar|menu|nav|navbar|navigation|breadcrumbs?|footer|cookies?|consent|gdpr"
     r"|notice|popup|modal|overlay|newsletter|subscribe|signup|comments?|commentlist|disqus|replies|respond|related|recommended|share|sharing|social"
     r"|toolbar|pagination|pager|widget|login|search|skip)(?:$|[-_])")
+#: reader comments, however much of a page they are
+COMMENT_NAMES = re.compile(r"(?:^|[-_])(?:comments?|commentlist|disqus|replies|respond)(?:$|[-_])")
+#: classes that tell the state of an element and not what it is
+STATE_NAMES = re.compile(r"^(?:no|has|with|without)[-_]|[-_](?:open|closed|enabled|disabled|layout)$")
+WEAK, STRONG = 1, 2
 HEADER_NAMES = re.compile(r"(?:^|[-_])(?:header|masthead|topbar)(?:$|[-_])")
 SPACE = re.compile(r"\s+")
 
@@ -254,13 +264,26 @@ def align(a: list, b: list) -> list:
     return out + [[x, False] for x, _ in a[i:]] + [[x, False] for x, _ in b[j:]]
 
 
-def chrome(name: str, in_main: bool) -> bool:
-    """Whether an element of this name holds something other than the article."""
+@lru_cache(1 << 16)
+def chrome(name: str, in_main: bool) -> int:
+    """Whether an element of this name holds something other than the article: 0, STRONG, or WEAK where that
+    is a guess by class names or a form, which the text below it can refute (see `chosen`)."""
     head, *roles = name.split("@")
     tag, *names = head.split(".")
-    if tag in CHROME_TAGS or any(r in CHROME_ROLES or r == "hidden" for r in roles) or any(CHROME_NAMES.search(n) for n in names):
-        return True
-    return not in_main and (tag == "header" or "banner" in roles or any(HEADER_NAMES.search(n) for n in names))
+    names = [n for n in names if not STATE_NAMES.search(n)]
+    if tag in ("html", "body"):
+        return 0
+    if tag in CHROME_TAGS - WEAK_TAGS or any(r in CHROME_ROLES - WEAK_TAGS or r == "hidden" for r in roles) \
+            or not in_main and (tag == "header" or "banner" in roles):
+        return STRONG
+    if tag == "main" or "main" in roles:
+        return 0
+    if any(COMMENT_NAMES.search(n) for n in names):
+        return STRONG
+    if tag in WEAK_TAGS or "form" in roles or any(CHROME_NAMES.search(n) for n in names) \
+            or not in_main and any(HEADER_NAMES.search(n) for n in names):
+        return WEAK
+    return 0
 
 
 def is_main(name: str) -> bool:
@@ -300,24 +323,57 @@ def dull_paths(wrapper: list, constant: set[str]) -> list[str]:
     return sorted(["L" + p for p in links] + ["C" + p for p in constant])
 
 
-def standing(found: list[tuple[str, str]]) -> Iterator[tuple[str, str, bool]]:
-    """(path, text, in an article or main region) of a page's texts outside of chrome."""
-    stack = [("", False, False)]
+def standing(found: list[tuple[str, str]]) -> Iterator[tuple[str, str, bool, tuple[str, ...]]]:
+    """(path, text, in an article or main region, paths of the weak chrome it is in) of a page's texts outside
+    of chrome. Weak chrome within a region is chrome; a main element is none whatever weak chrome it is in."""
+    stack = [("", False, False, ())]
     for kind, x in found:
         if kind == "<":
-            path, inside, bad = stack[-1]
-            stack.append((f"{path}/{x}", inside or is_main(x), bad or chrome(x, inside)))
+            path, inside, bad, weak = stack[-1]
+            path, level = f"{path}/{x}", chrome(x, inside)
+            if level == WEAK and not inside:
+                weak = (*weak, path)
+            elif level:
+                bad = True
+            if not inside and is_main(x):
+                inside = True
+                if not x.startswith("article"):
+                    weak = ()
+            stack.append((path, inside, bad, weak))
         elif kind == ">":
             stack.pop()
         elif not stack[-1][2]:
-            yield stack[-1][0], x, stack[-1][1]
+            yield stack[-1][0], x, stack[-1][1], stack[-1][3]
+
+
+def layout(texts: list[tuple[str, str, bool, tuple[str, ...]]]) -> set[str]:
+    """Paths of the weak chrome that holds most of a page: most of its slots (LAYOUT_SLOTS or more), and
+    more than three quarters of its characters."""
+    slots_of: dict[str, set[str]] = {}
+    chars: dict[str, int] = {}
+    for path, x, _, weak in texts:
+        for at in weak:
+            slots_of.setdefault(at, set()).add(path)
+            chars[at] = chars.get(at, 0) + len(x)
+    if not chars:
+        return set()
+    n_slots, n_chars = len({t[0] for t in texts}), sum(len(t[1]) for t in texts)
+    return {at for at, own in slots_of.items() if len(own) >= LAYOUT_SLOTS and 2 * len(own) > n_slots and 4 * chars[at] > 3 * n_chars}
 
 
 def chosen(found: list[tuple[str, str]]) -> tuple[bool, list[tuple[str, str]]]:
-    """Whether the page has text in a region, and (path, text) of the texts there, or else of all outside of chrome."""
+    """Whether the page has text in a region, and (path, text) of the texts there, or else of all outside of chrome.
+
+    Weak chrome that is layout does not count; nor does that of an article where all other text is less."""
     texts = list(standing(found))
-    inside = [(p, x) for p, x, region in texts if region]
-    return bool(inside), inside or [(p, x) for p, x, _ in texts]
+    refuted = layout(texts)
+    clear = [(p, x, region) for p, x, region, weak in texts if refuted.issuperset(weak)]
+    inside, others = [(p, x) for p, x, region in clear if region], [(p, x) for p, x, _ in clear]
+    if not inside:
+        marked = [(p, x) for p, x, region, _ in texts if region]
+        if sum(len(x) for _, x in marked) > sum(len(x) for _, x in others):
+            inside = marked
+    return bool(inside), inside or others
 
 
 # --- Spark ------------------------------------------------------------------------------------------

@@ -103,3 +103,29 @@ def test_copies_and_rare_paths_are_not_constant(spark):
     rows.append((7, "http://rare.example/7", "<body><div class=line>on each page</div></body>"))
     want = dict.fromkeys(range(3), "x\ncopied thrice") | {i: str(i) for i in range(3, 7)} | {7: "on each page"}
     assert run(spark, rows) == want
+
+
+def test_a_region_or_most_of_a_page_is_not_chrome(spark):
+    side = "<nav><a>n</a></nav><div class=sidebar><p>aside</p></div>"
+    body = "<h1>Title</h1><p>The story of the page, long enough to be most of it.</p>"
+    rest = "<ul><li>one of the points</li></ul><div id=comments><p>first!</p></div>"
+    pages = ["<body class='no-sidebar menu'>" + side + f"<article>{body}{rest}</article></body>",
+             f"<body><div class=has-sidebar>{side}<article>{body}{rest}</article></div></body>",
+             f"<body>{side}<article class='post comments-open category-newsletter'>{body}{rest}</article></body>",
+             f"<body><form id=aspnet>{side}<main>{body}{rest}</main></form></body>",
+             f"<body><form id=aspnet>{side}<article>{body}{rest}</article></form></body>",
+             f"<body><form id=aspnet>{side}<div class=text>{body}{rest}</div></form><div>End</div></body>",
+             f"<body><div class=widget-page>{side}<div class=text>{body}{rest}</div></div><div>End</div></body>"]
+    want = "Title\nThe story of the page, long enough to be most of it.\none of the points"
+    got = run(spark, [(i, f"http://h{i}.example/", p) for i, p in enumerate(pages)])
+    assert got == {i: want + ("\nEnd" if i > 4 else "") for i in range(len(pages))}
+
+
+def test_chrome_with_articles_or_much_text_stays_chrome(spark):
+    story = "<div class=content><h1>T</h1><p>the text of the page</p></div>"
+    pages = [f"<body>{story}<div class=related><article>teaser</article></div></body>",
+             f"<body>{story}<aside><article>a teaser that is much longer than the page's own text</article></aside></body>",
+             f"<body>{story}<div id=comments><article><h4>who</h4><p>{'a long comment ' * 9}</p><ul><li>x</li></ul></article></div></body>",
+             f"<body><article>{story}</article><div id=comments><article>{'a long comment ' * 9}</article></div></body>",
+             f"<body>{story}<div class=cookie-notice><p>{'we use cookies ' * 9}</p></div></body>"]
+    assert run(spark, [(i, f"http://h{i}.example/", p) for i, p in enumerate(pages)]) == dict.fromkeys(range(5), "T\nthe text of the page")
