@@ -10,8 +10,9 @@ Three base kinds are found by pattern, leftmost and non-overlapping per kind:
 Candidates of the other kinds are decoded and parsed, and reported only if their
 structure holds:
 
-* ``der``: base64 (also wrapped into lines) or hex of a private key in DER: an
-  RSA, DSA or EC key, PKCS #8, or encrypted PKCS #8, with every nested length right;
+* ``der``: base64 (also with the url alphabet, or wrapped into lines, their breaks real
+  or escaped as ``\n`` or ``\r\n``) or hex of a private key in DER: an RSA, DSA or EC key,
+  PKCS #8, or encrypted PKCS #8, with every nested length right;
 * ``openssh``: base64 of an ``openssh-key-v1`` file whose length-prefixed fields add up;
 * ``jwt``: three base64url parts, the first a JSON object with an ``alg``, the
   second a JSON object, the third empty only where ``alg`` is ``none``.
@@ -24,7 +25,6 @@ null ids and other columns do not matter.
 from __future__ import annotations
 
 import base64
-import binascii
 import json
 import re
 from collections.abc import Iterator
@@ -44,7 +44,12 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{24,}")
 # what may be decoded: DER starts with a sequence (0x30), the other with its magic word
-BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])(?:M|b3BlbnNzaC1rZXktdjEA)[A-Za-z0-9+/]{30,}(?:\r?\n[ \t]*[A-Za-z0-9+/]+)*={0,2}")
+DER = re.compile(r"M(?:(?<![A-Za-z0-9+/_-]M)|(?<=\\[nrt]M)|(?<=-----M))[A-Za-z0-9+/_-]{30}")
+OPENSSH = re.compile(r"b3BlbnNzaC1rZXktdjEA(?:(?<![A-Za-z0-9+/_-].{20})|(?<=\\[nrt].{20})|(?<=-----.{20}))")
+# base64 of either alphabet up to the end of a line or the mark that ends a PEM key, and a line break or its escape
+LINE = re.compile(r"(?:[A-Za-z0-9+/_]|-(?!----(?:BEGIN|END)))+")
+BREAK = re.compile(r"(?:(?:\\+r)?\\+n|\\*\r?\n)[ \t]*")
+URL_ALPHABET = str.maketrans("-_", "+/")
 HEX_DER = re.compile(r"(?<![0-9A-Fa-f])30(?:[0-9A-Fa-f]{2}){24,}")
 JWT = re.compile(r"(?<![A-Za-z0-9_-])e[w-z0-9_-][A-Za-z0-9_-]{6,}\.[A-Za-z0-9_-]{2,}\.[A-Za-z0-9_-]*")
 MAGIC = b"openssh-key-v1\0"
@@ -137,25 +142,72 @@ def openssh_length(data: bytes) -> int | None:
     return at if field() else None
 
 
+def promised(data: bytes) -> int | None:
+    """Length of the DER that `data` begins (21 bytes of it), or None where it cannot be a private key."""
+    top = header(data, 0, 1 << 40)
+    inner = header(data, top[1], top[2]) if top and top[0] == SEQUENCE else None
+    if inner is None or inner[1] >= len(data):
+        return None
+    first = data[inner[1]]
+    return top[2] if inner[0] == SEQUENCE and first == OID or inner[0] == INTEGER and inner[2] - inner[1] == 1 and first <= 1 else None
+
+
+def gather(text: str, at: int, need: int) -> tuple[str, list[tuple[int, int]]]:
+    """Up to `need` base64 characters from `at` on, over line breaks, and (number, end) after each line."""
+    parts, n, ends = [], 0, []
+    while n < need:
+        m = LINE.match(text, at, at + need - n + 16)
+        if m is None:
+            break
+        parts.append(m.group()[:need - n])
+        n += len(parts[-1])
+        ends.append((n, at + len(parts[-1])))
+        m = BREAK.match(text, m.end())
+        if m is None and n < need:
+            break
+        at = m.end() if m else at
+    return "".join(parts), ends
+
+
+def decoded(chars: str) -> bytes:
+    """Bytes of base64 in one of the alphabets, and none of a mixture of them."""
+    if ("+" in chars or "/" in chars) and ("-" in chars or "_" in chars):
+        return b""
+    usable = len(chars) - (len(chars) % 4 == 1)
+    return base64.b64decode(chars[:usable].translate(URL_ALPHABET) + "=" * (-usable % 4))
+
+
+def keys(text: str, head: re.Pattern) -> Iterator[tuple[str, int, int]]:
+    """Confirmed keys in base64; the search goes on after a key's end, or after the head of what is none."""
+    at, kind = 0, "der" if head is DER else "openssh"
+    while (m := head.search(text, at)) is not None:
+        at, need = m.end(), len(text)
+        if kind == "der":
+            length = promised(decoded(m.group()[:28].translate(URL_ALPHABET)))
+            if length is None:
+                continue
+            need = -(-length * 8 // 6)
+        chars, ends = gather(text, m.start(), need)
+        if kind == "der" and len(chars) < need:
+            continue
+        data = decoded(chars)
+        n = key_length(data) if kind == "der" else openssh_length(data)
+        if n is None:
+            continue
+        n = -(-n * 8 // 6)                                               # the key's own length tells where it ends
+        at = next(end - (k - n) for k, end in ends if k >= n)
+        while at < len(text) and text[at] == "=":
+            at += 1
+        yield kind, m.start(), at
+
+
 def structures(text: str) -> Iterator[tuple[str, int, int]]:
     """Confirmed structures: (kind, start, end)."""
-    for m in BASE64.finditer(text):
-        raw = m.group()
-        at = [i for i, c in enumerate(raw) if c not in " \t\r\n="]       # place of each base64 character
-        clean = "".join(raw[i] for i in at)
-        usable = len(clean) - (len(clean) % 4 == 1)
-        try:
-            data = base64.b64decode(clean[:usable] + "=" * (-usable % 4))
-        except (binascii.Error, ValueError):
-            continue
-        kind = "openssh" if data.startswith(MAGIC) else "der"
-        n = openssh_length(data) if kind == "openssh" else key_length(data)
-        if n is not None:
-            chars = -(-n * 8 // 6)                                       # the key's own length tells where it ends
-            end = at[chars - 1] + 1
-            while end < len(raw) and raw[end] == "=":
-                end += 1
-            yield kind, m.start(), m.start() + end
+    files = list(keys(text, OPENSSH))
+    yield from files
+    for found in keys(text, DER):
+        if not any(a <= found[1] < b for _, a, b in files):
+            yield found
     for m in HEX_DER.finditer(text):
         n = key_length(bytes.fromhex(m.group()))
         if n is not None:

@@ -84,3 +84,44 @@ def test_scan(spark):
     got = sorted(((r["doc_id"], [tuple(s) for s in r["spans"]]) for r in S.scan(df).collect()), key=repr)
     assert got == sorted([(1, [("assign", 0, 12)])] * 2 + [(2, []), (None, []), (3, [("access", 500_000, 500_020)])], key=repr)
     assert S.scan(df.limit(0)).count() == 0
+
+
+def pem(der, sep="\n"):
+    raw = b64(der)
+    return sep.join(["-----BEGIN PRIVATE KEY-----", *[raw[i:i + 64] for i in range(0, len(raw), 64)], "-----END PRIVATE KEY-----", ""])
+
+
+def keys_in(text):
+    return [x for x in kinds(text) if x[0] in ("der", "openssh")]
+
+
+def test_keys_with_escaped_line_breaks():
+    for der, kind in ((PKCS8, "der"), (rsa(), "der"), (EC, "der"), (ssh(), "openssh")):
+        for sep in ("\n", "\r\n"):
+            body = pem(der, sep).split("KEY-----" + sep)[1].split(sep + "-----END")[0]
+            account = json.dumps({"type": "service_account", "private_key": pem(der, sep)})
+            assert keys_in(account) == [(kind, json.dumps(body)[1:-1])]
+            assert keys_in(json.dumps(account)) == [(kind, json.dumps(json.dumps(body))[3:-3])]
+        env = 'KEY="' + pem(der).replace("\n", "\\n") + '"\n'
+        assert [k for k, _ in keys_in(env + env)] == [kind, kind]
+
+
+def test_keys_after_other_base64():
+    first, second = b64(rsa(1)), b64(rsa(2))
+    assert keys_in(f"{first}\n{second}\n") == [("der", first), ("der", second)]
+    for before in ("M" + "a" * 40, b64(PUBLIC), b64(rsa())[:200], b64(ssh()[:-30])):
+        assert keys_in(f"{before}\n{second}\n") == [("der", second)]
+        assert keys_in(f"{before}\n{b64(ssh())}\n{second}") == [("openssh", b64(ssh())), ("der", second)]
+    assert keys_in(("M" + "a" * 63 + "\n") * 20_000 + first) == [("der", first)]
+
+
+def test_keys_with_the_url_alphabet():
+    found = [url(rsa(i)) for i in range(2, 6)]
+    assert any("-" in x or "_" in x for x in found)
+    for raw in found:
+        assert keys_in(f'"k": "{raw}"') == [("der", raw)]
+    mixed = next(x for x in (b64(rsa(i)) for i in range(2, 99)) if "+" in x and "/" in x)
+    assert keys_in(mixed.replace("+", "-")) == []
+    for cut in (1, 4, 6):                              # the mark of the end is no part of a key that is cut off
+        short = pem(rsa()[:-cut]).replace("=", "")
+        assert keys_in(short) == [] and keys_in(short.replace("\n", "\\n")) == []
