@@ -8,7 +8,9 @@ A line fails as
 * *boilerplate*: it names one of PHRASES and has at most 40 words;
 * *punctuation*: 12 or more words without any sentence mark or comma, or
   four or more words and more than one symbol (``#*$%&|<>``) for every four of
-  them, or eight or more words that have capitals and no small letters.
+  them, or eight or more words that have capitals and no small letters, if most
+  letters have case at all. Marks are those of any script (MARKS); lines in scripts
+  that need none (UNMARKED) do not fail for want of them.
 
 Lines without a word never fail. The document figures are those of the whole
 text: words are runs of ``[^\x20\x09-\x0D]``; a document fails the base rule
@@ -34,6 +36,8 @@ MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
 MIN_LEFT = 0.5
 SYMBOLS = r"[^#*$%&|<>]+"
+MARKS = ".!?…;:,。！？，、；：．｡､‥‼-‽।॥،؛؟۔։՜-՞׃܀-܊߸߹።-፨၊။។៕᠂᠃᠈᠉꓾꓿꘍-꘏꛳-꛷᭞᭟꧈꧉꩝-꩟᱾᱿⳹-⳻⳾"
+UNMARKED = r"\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}\p{IsTibetan}"
 BARS = ["|", "»", "›", "•"]
 PHRASES = ["all rights reserved", "accept cookies", "cookie policy", "privacy policy", "terms of use",
            "terms of service", "lorem ipsum", "enable javascript", "subscribe to our newsletter"]
@@ -79,8 +83,9 @@ def line_passes(line: Column, can: Column) -> Column:
         & (n_words <= segments * 3 + segments - 1)
     boilerplate = can["phrases"] & F.lower(line).rlike("|".join(PHRASES)) & (n_words <= 40)
     symbols = can["symbols"] & (F.length(F.regexp_replace(line, SYMBOLS, "")) * 4 > n_words) & (n_words >= 4)
-    bare = ~line.rlike("[.!?…;:,。！？]") & (n_words >= 12)
-    shouting = ~line.rlike(r"\p{Ll}") & line.rlike(r"\p{Lu}") & (n_words >= 8)
+    bare = ~line.rlike(f"[{MARKS}{UNMARKED}]") & (n_words >= 12)
+    shouting = ~line.rlike(r"\p{Ll}") & line.rlike(r"\p{Lu}") & (n_words >= 8) \
+        & (letters_left(line, r"[^\p{Lu}\p{Lt}]+") > letters_left(line, r"[^\p{Lo}\p{Lm}]+"))
     return ~(bare | shouting | navigation | boilerplate | symbols)
 
 

@@ -48,3 +48,17 @@ def test_clean_keeps_columns_and_empty_tables(spark):
     df = spark.createDataFrame([(1, PROSE, "a", 3), (1, PROSE, "a", 3), (2, "too short", "b", 9)], "doc_id int, text string, doc_name string, __left int")
     assert sorted(tuple(r) for r in Q.clean(df).collect()) == [(1, PROSE, "a", 3)] * 2
     assert Q.clean(df.limit(0)).columns == df.columns and Q.measure(df.limit(0)).count() == 0
+
+
+def test_lines_in_other_scripts_stay(spark):
+    lines = ["어제 저녁 KBS 뉴스 에서 새로운 소식 을 전했다 그리고 많은 사람 들이 보았다.",                      # capitals among letters without case
+             "أعلن حلف NATO اليوم عن خطة جديدة للتعاون بين الدول الأعضاء في المنطقة،",
+             "הארגון NATO הודיע היום על תוכנית חדשה לשיתוף פעולה בין המדינות.",
+             "यह एक लंबा वाक्य है जिसमें बहुत सारे शब्द हैं और अंत में दंड है।",                                   # a danda is the only mark
+             "یہ ایک لمبا جملہ ہے جس میں بہت سے الفاظ ہیں اور آخر میں نشان ہے۔",
+             "هل تعرف ما هي هذه الخطة الجديدة التي أعلن عنها اليوم في كل مكان هنا؟",
+             "วันนี้ อากาศ ดี มาก เรา ไป เที่ยว ทะเล กับ เพื่อน หลาย คน และ กลับ บ้าน เย็น"]
+    bad = ["WE SHOUT AT YOU ALL DAY LONG NOW!", "МЫ КРИЧИМ НА ВАС ВЕСЬ ДЕНЬ И ВСЮ НОЧЬ!", "WE SHOUT AT YOU ALL DAY LONG IN 東京!",
+           " ".join(f"word{i}" for i in range(15)), " ".join(f"слово{i}" for i in range(15)), "यह एक लंबा वाक्य है जिसमें बहुत सारे शब्द हैं और अंत में कुछ नहीं"]
+    df = spark.createDataFrame([(1, "\n".join(lines + bad)), (2, "\n".join(lines))], "doc_id int, text string")
+    assert {r["doc_id"]: r["text"] for r in Q.clean(df).collect()} == dict.fromkeys((1, 2), "\n".join(lines))
