@@ -29,10 +29,17 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return found is not None and len(found) > 0
 
 
-def is_json_array(spark: SparkSession, path: str) -> bool:
-    """Whether a JSON landing holds arrays: its first line that is not blank begins one."""
-    first = spark.read.text(path).filter(F.trim("value") != "").select(F.ltrim("value").alias("v")).limit(1).collect()
-    return bool(first) and first[0]["v"].startswith("[")
+def json_arrays(spark: SparkSession, path: str) -> list[str]:
+    """The files of a JSON landing that hold an array over several lines: the first line that is not
+    blank begins it and does not end it. An array on one line is read as JSON Lines are.
+
+    Reads the landing's text once; only names of files come to the driver."""
+    lines = spark.read.text(path).select(
+        F.regexp_replace("value", r"^[\s\x{FEFF}]+", "").alias("line"), F.col("_metadata.file_path").alias("file"),
+        F.struct(F.col("_metadata.file_block_start"), F.monotonically_increasing_id()).alias("place"))
+    heads = lines.filter("line <> ''").select("file", "place", F.when(F.col("line").startswith("["), F.col("line")).alias("line")) \
+        .groupBy("file").agg(F.min_by("line", "place").alias("line"))
+    return sorted(r["file"] for r in heads.filter(F.col("line").isNotNull() & F.try_parse_json("line").isNull()).select("file").collect())
 
 
 def scan_landing(spark: SparkSession, path: str, fmt: str = "json", array: bool | None = None) -> DataFrame:
@@ -40,16 +47,22 @@ def scan_landing(spark: SparkSession, path: str, fmt: str = "json", array: bool
 
     `arrival` orders rows that carry no `seq`: the file's time and name, the
     place of the split in the file, and the row's place in the split. A missing path gives an empty
-    frame; any other failure to read is raised. `array` None: look."""
+    frame; any other failure to read is raised. `array` None: look at each file."""
     empty = T.StructType(READ_SCHEMA.fields + [ARRIVAL])
     if not path_exists(spark, path):
         return spark.createDataFrame([], empty)
     if fmt == "parquet":
         df = spark.read.schema(SEQ_SCHEMA).parquet(path).withColumn(CORRUPT, F.lit(None).cast("string"))
     else:
-        many = is_json_array(spark, path) if array is None else array
-        df = (spark.read.schema(READ_SCHEMA).option("multiLine", many).option("mode", "PERMISSIVE")
-              .option("columnNameOfCorruptRecord", CORRUPT).json(path))
+        def read(many: bool) -> DataFrame:
+            return (spark.read.schema(READ_SCHEMA).option("multiLine", many).option("mode", "PERMISSIVE")
+                    .option("columnNameOfCorruptRecord", CORRUPT).json(path))
+        arrays = json_arrays(spark, path) if array is None else []
+        if arrays:
+            among = F.col("_metadata.file_path").isin(arrays)
+            cols = [*[f.name for f in READ_SCHEMA.fields], arrival().alias("arrival")]
+            return read(False).filter(~among).select(*cols).unionByName(read(True).filter(among).select(*cols))
+        df = read(bool(array))
     return df.select(*[f.name for f in READ_SCHEMA.fields], arrival().alias("arrival"))
 
 

@@ -41,6 +41,24 @@ def test_landing_json_array(spark):
     assert [r["repo_full_name"] for r in df.orderBy("arrival").collect()] == ["a/b", "a/c"]
 
 
+def test_json_lines_appended_to_an_array(spark):
+    d = tmp() + "/land ing"
+    os.mkdir(d)
+    with open(d + "/metadata.json", "w") as f:
+        f.write('\n[\n  {"repo_full_name": "a/b", "file_path": "x.py"},\n  {"repo_full_name": "a/c"}\n]\n')
+    with open(d + "/one.json", "w") as f:
+        f.write('[{"repo_full_name": "a/d"}, {"repo_full_name": "a/e"}]\n{"repo_full_name": "a/f"}\n{"cut\n')
+    names = ["a/b", "a/c", "a/d", "a/e", "a/f"]
+    assert sorted(r["repo_full_name"] for r in L.read_landing(spark, d).collect()) == names
+    L.append_landing(spark.createDataFrame([(f"b/{i}", i) for i in range(20)], "repo_full_name string, seq long").coalesce(2), d)
+    back = L.read_landing(spark, d)
+    assert sorted(r["repo_full_name"] for r in back.collect()) == sorted(names + [f"b/{i}" for i in range(20)])
+    assert back.drop("arrival").schema == L.SEQ_SCHEMA
+    assert tuple(L.landing_rejects(spark, d).first()) == (26, 1, 0)
+    first = [r["repo_full_name"] for r in back.filter("seq IS NULL").orderBy("arrival").collect()]
+    assert first.index("a/b") < first.index("a/c") and first.index("a/d") < first.index("a/f")
+
+
 def test_decode_content(spark):
     good = base64.b64encode("héllo\nworld".encode()).decode()
     wrapped = good[:4] + "\n" + good[4:]
