@@ -46,6 +46,12 @@ def normalize_limit(limit) -> int | None:
     return None if limit < 0 else limit
 
 
+def limit_column(text: Column) -> Column:
+    """`normalize_limit` of a column of texts; one that is no number is an error."""
+    limit = text.cast("bigint")
+    return F.when(text.rlike(r"^\s*$"), F.lit(SEARCH_LIMIT).cast("bigint")).when(limit >= 0, limit)
+
+
 def normalize_min_quality(value):
     """Blank -> None (no predicate); else float."""
     if value is None or (isinstance(value, str) and value.strip() == ""):

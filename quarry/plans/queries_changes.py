@@ -146,8 +146,8 @@ def b16_parameters(spark, sf):
     """Request texts (blank, negative, numbers) as limits."""
     turn = F.col("turn")
     text = F.when(turn % 3 == 0, F.lit(" ")).when(turn % 3 == 1, F.lit("-1")).otherwise(turn.cast("string"))
-    seen = [r["text"] for r in B.read_table(spark, sf, "conversations").select(text.alias("text")).distinct().collect()]
-    return spark.createDataFrame([(t, S.normalize_limit(t)) for t in seen], "text string, limit bigint")
+    seen = B.read_table(spark, sf, "conversations").select(text.alias("text")).distinct()
+    return seen.withColumn("limit", S.limit_column(F.col("text")))
 
 
 @query("h5_tag_actions", O.sql(["b_tag_ops"], """

@@ -122,3 +122,20 @@ def test_flat_stats_null_group(spark):
     r = ST.flat_stats(flat).first()
     assert (r["total_repos"], r["total_files"], r["suitable_files"]) == (2, 4, 2)
     assert r["avg_quality"] == 6.0
+
+
+def test_limit_column_stays_in_spark(spark, monkeypatch):
+    from conftest import SF001
+
+    from quarry.plans import queries_changes as QC
+    texts = ["", " \t", "-1", "0", " 7 ", "9000000000", None]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    got = [r["limit"] for r in df.select(S.limit_column(df["text"]).alias("limit")).collect()]
+    assert got == [S.normalize_limit(t) for t in texts]
+
+    def collect(self):
+        raise AssertionError("rows collected while the query is built")
+    with monkeypatch.context() as m:
+        m.setattr(type(df), "collect", collect)
+        q = QC.b16_parameters(spark, SF001)
+    assert q.dtypes == [("text", "string"), ("limit", "bigint")] and q.count() > 0
