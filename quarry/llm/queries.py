@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import chat, decontam, html_wrappers, line_dedup, ngram_join, packing, quality, secrets, token_counts, warc
+from quarry.llm import chat, decontam, divergence, html_wrappers, line_dedup, ngram_join, packing, quality, secrets, token_counts, warc
 from quarry.llm import sql as S
 from quarry.llm.store import keyed_text, table
 
@@ -115,3 +115,9 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines before and dropped, and a digest of the lines kept, of every document."""
     docs = keyed_text(table(spark, sf_dir, "documents"))
     return line_dedup.dedup_lines(docs).select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
+@query("op11_source_divergence", S.DIVERGENCE)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ranked distances of every source from the others of its language, and the terms that set it apart."""
+    return divergence.audit(table(spark, sf_dir, "documents"))

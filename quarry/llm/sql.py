@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from quarry.llm.chat import BODY, CONTROLS, END, LOSS_ROLE, START, TURN
+from quarry.llm.divergence import MIN_DOCS, TOP_TERMS
 from quarry.llm.quality import BARS, MAX_REPEAT_PERCENT, MIN_LEFT, MIN_WORDS, PHRASES
 
 _BARS = "[" + "".join(BARS) + "]"
@@ -93,3 +94,28 @@ SELECT page_id, payload_bytes, payload_digest, CASE WHEN first <> page_id THEN '
        CASE WHEN first <> page_id THEN first END AS refers_to
 FROM p LEFT JOIN f USING (payload_digest)
 """
+
+_TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
+_P = "(1 + 1000000000::HUGEINT * ({n} + 2) // ({total} + 2 * {v}))::BIGINT"
+
+DIVERGENCE = rf"""
+WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+                  regexp_extract_all({_LOW}, '{_TERM}') AS t FROM documents),
+x AS (SELECT r, lang, source, unnest(t) AS term FROM d),
+k AS (SELECT lang, term, count(*) AS lang_n FROM x GROUP BY ALL HAVING count(DISTINCT r) >= {MIN_DOCS}),
+l AS (SELECT lang, count(*) AS v, sum(lang_n) AS lang_total FROM k GROUP BY lang),
+c AS (SELECT lang, source, term, count(*) AS n FROM x SEMI JOIN k USING (lang, term) GROUP BY ALL),
+g AS (SELECT lang, source, coalesce(sum(n), 0) AS total FROM (SELECT DISTINCT lang, source FROM d) LEFT JOIN c USING (lang, source) GROUP BY ALL),
+s AS (SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n, {_P.format(n="coalesce(c.n, 0)", total="g.total", v="l.v")} AS p,
+             {_P.format(n="k.lang_n", total="l.lang_total", v="l.v")} AS q
+      FROM g JOIN l USING (lang) JOIN k USING (lang) LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+pairs AS (SELECT a.lang, a.source, b.source AS item, coalesce(sum(f), 0)::BIGINT AS value
+          FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+          LEFT JOIN (SELECT x.lang, x.source AS sa, y.source AS sb, (x.p - y.p) * (x.p - y.p) // (x.p + y.p) AS f
+                     FROM s x JOIN s y ON x.lang = y.lang AND x.term = y.term) o ON o.lang = a.lang AND o.sa = a.source AND o.sb = b.source
+          GROUP BY ALL)
+SELECT lang, source, part, item, value, (row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item))::INTEGER AS rank
+FROM (SELECT lang, source, 'term' AS part, term AS item, (p - q) * (p - q) // (p + q) AS value FROM s WHERE n > 0 AND p > q
+      UNION ALL SELECT lang, source, 'pair', item, value FROM pairs)
+QUALIFY part = 'pair' OR rank <= {TOP_TERMS}
+"""
