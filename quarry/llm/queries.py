@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import chat, decontam, divergence, html_wrappers, line_dedup, ngram_join, packing, quality, secrets, token_counts, warc
+from quarry.llm import chat, collocations, decontam, divergence, html_wrappers, line_dedup, ngram_join, packing, quality, secrets, token_counts, warc
 from quarry.llm import sql as S
 from quarry.llm.store import keyed_text, table
 
@@ -121,3 +121,9 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ranked distances of every source from the others of its language, and the terms that set it apart."""
     return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+@query("op13_phrase_collocations", S.COLLOCATIONS)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every language's best phrases of two and three words."""
+    return collocations.mine(table(spark, sf_dir, "documents"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from quarry.llm.chat import BODY, CONTROLS, END, LOSS_ROLE, START, TURN
+from quarry.llm.collocations import COVER_PERCENT, MIN_COUNT, TOP
 from quarry.llm.divergence import MIN_DOCS, TOP_TERMS
 from quarry.llm.quality import BARS, MAX_REPEAT_PERCENT, MIN_LEFT, MIN_WORDS, PHRASES
 
@@ -119,3 +120,25 @@ FROM (SELECT lang, source, 'term' AS part, term AS item, (p - q) * (p - q) // (p
       UNION ALL SELECT lang, source, 'pair', item, value FROM pairs)
 QUALIFY part = 'pair' OR rank <= {TOP_TERMS}
 """
+
+COLLOCATIONS = rf"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex({_LOW}, '[.,;:!?\x0A-\x0D]')) AS s FROM documents),
+w AS MATERIALIZED (SELECT lang, regexp_extract_all(s, '[^\x20\x09]+') AS w FROM p),
+n AS (SELECT lang, sum(len(w))::BIGINT AS n FROM w GROUP BY lang),
+f1 AS MATERIALIZED (SELECT lang, x, count(*) AS a FROM (SELECT lang, unnest(w) AS x FROM w) GROUP BY ALL),
+f2 AS MATERIALIZED (SELECT lang, x, y, count(*) AS a FROM (SELECT lang, unnest(w[:-2]) AS x, unnest(w[2:]) AS y FROM w WHERE len(w) > 1) GROUP BY ALL HAVING a >= {MIN_COUNT}),
+f3 AS MATERIALIZED (SELECT lang, x, y, z, count(*) AS a FROM (SELECT lang, unnest(w[:-3]) AS x, unnest(w[2:-2]) AS y, unnest(w[3:]) AS z FROM w WHERE len(w) > 2)
+                    GROUP BY ALL HAVING a >= {MIN_COUNT}),
+cuts AS (SELECT f2.lang, f2.x || ' ' || f2.y AS phrase, f2.a, 1 AS j, l.a AS l, r.a AS r FROM f2
+         JOIN f1 l ON l.lang = f2.lang AND l.x = f2.x JOIN f1 r ON r.lang = f2.lang AND r.x = f2.y
+         LEFT JOIN (SELECT lang, x, y, max(a) AS a FROM (SELECT lang, x, y, a FROM f3 UNION ALL SELECT lang, y, z, a FROM f3) GROUP BY ALL) o
+           ON o.lang = f2.lang AND o.x = f2.x AND o.y = f2.y WHERE o.a IS NULL OR 100 * o.a < {COVER_PERCENT} * f2.a
+         UNION ALL SELECT f3.lang, f3.x || ' ' || f3.y || ' ' || f3.z, f3.a, 1, l.a, r.a FROM f3
+         JOIN f1 l ON l.lang = f3.lang AND l.x = f3.x JOIN f2 r ON r.lang = f3.lang AND r.x = f3.y AND r.y = f3.z
+         UNION ALL SELECT f3.lang, f3.x || ' ' || f3.y || ' ' || f3.z, f3.a, 2, l.a, r.a FROM f3
+         JOIN f2 l ON l.lang = f3.lang AND l.x = f3.x AND l.y = f3.y JOIN f1 r ON r.lang = f3.lang AND r.x = f3.z),
+best AS (SELECT *, (1000000::HUGEINT * a * a // (l::HUGEINT * r))::BIGINT AS score FROM cuts
+         QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1)
+SELECT lang, (row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase))::INTEGER AS rank, phrase, a, l, r, n, score
+FROM best JOIN n USING (lang) QUALIFY rank <= {TOP}
+"""
