@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import chat, collocations, decontam, divergence, html_wrappers, line_dedup, ngram_join, packing, quality, secrets, token_counts, warc
+from quarry.llm import chat, collocations, decontam, divergence, html_wrappers, line_dedup, ngram_join, packing, quality, rule_ensemble, secrets, token_counts, warc
 from quarry.llm import sql as S
 from quarry.llm.store import keyed_text, table
 
@@ -123,6 +123,12 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(table(spark, sf_dir, "documents"))
 
 
+@query("op12_quality_classifier")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document, learnt from the labels that are not held out."""
+    return rule_ensemble.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 @query("op13_phrase_collocations", S.COLLOCATIONS)
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every language's best phrases of two and three words."""
