@@ -3,7 +3,8 @@
     spark-submit -m quarry.cli <command> --catalog ROOT ...
 
 Catalogue layout under ROOT: repositories/, files/, tag_ops/ (append-only
-tag log), contents/ (id, content). Every command is one Spark job built from
+tag log), tombstones/, texts/ + text_paths/ + scores/ (`sources.texts`), dead_letters/ and, where
+a user brings one, contents/ (id, content). Every command is a few Spark jobs built from
 the operators; results are shown with `show()` (bounded) or written out.
 """
 
@@ -29,47 +30,57 @@ def _read(spark, root, name, schema=None):
     path = f"{root}/{name}"
     if path_exists(spark, path):
         df = spark.read.parquet(path).drop("bucket")
-        return without_deleted(spark, root, df) if name == "files" else df
+        return without_deleted(spark, root, df).drop("version") if name == "files" else df
     return spark.createDataFrame([], schema) if schema is not None else None
 
 
-def _landing(spark, a):
-    """The landing as rows; says how many records could not be read."""
-    from quarry.sources.landing import landing_rejects, read_landing
-    bad = landing_rejects(spark, a.landing, a.format).first()["rejects"]
-    if bad:
-        print(f"{bad} malformed records left out")
-    return read_landing(spark, a.landing, a.format)
-
-
-def _import(spark, landing, a):
-    """H1/H2 + E10: append the new rows; their numbers are observed while
-    writing (counting afterwards would anti-join against the new rows)."""
+def _import(spark, path, a):
+    """H1/H2 + E10: append the new rows of a landing; their numbers are observed while
+    writing. Records that cannot be imported go to the catalogue's dead letters."""
+    from quarry.sources.landing import scan_landing
     from quarry.streaming.ingest import ingest_batch
-    new_r, new_f = ingest_batch(landing, a.catalog)
-    print(f"imported: {new_r} repositories, {new_f} files")
+    done = ingest_batch(scan_landing(spark, path, a.format), a.catalog)
+    if done.rejects:
+        print(f"{done.rejects} records left out")
+    print(f"imported: {done.repositories} repositories, {done.files} files")
 
 
 def cmd_filter(spark, a):
-    from quarry.operators.suitability import filter_landing, verdict_counts
-    from quarry.sources.landing import read_landing, write_landing
-    judged = filter_landing(_landing(spark, a), spark.read.parquet(a.contents), _thresholds(a))
+    """Judge a landing by texts given with --contents or stored in the catalogue; with a
+    catalogue a text is scored once, however many landings name it."""
+    from quarry.operators.suitability import filter_landing, judge_landing, verdict_counts, wanted_texts
+    from quarry.sources.landing import landing_rejects, read_landing, write_landing
+    from quarry.sources.texts import cached_scores, stored_texts
+    if not (a.contents or a.catalog):
+        raise SystemExit("filter needs --contents or --catalog")
+    bad = landing_rejects(spark, a.landing, a.format).first()["rejects"]
+    if bad:
+        print(f"{bad} malformed records left out")
+    landing, th = read_landing(spark, a.landing, a.format), _thresholds(a)
+    texts = spark.read.parquet(a.contents) if a.contents else stored_texts(spark, a.catalog, landing)
+    if texts is None:
+        raise SystemExit(f"no texts are stored in {a.catalog}")
+    if a.catalog:
+        signals, scored = cached_scores(wanted_texts(landing, texts), a.catalog, th)
+        print(f"scored: {scored} texts")
+        judged = judge_landing(landing, signals, th)
+    else:
+        judged = filter_landing(landing, texts, th)
     write_landing(judged, a.out, a.format)
-    back = read_landing(spark, a.out, a.format)
-    verdict_counts(back).show()
+    verdict_counts(read_landing(spark, a.out, a.format)).show()
     if a.catalog:
-        _import(spark, back, a)
+        _import(spark, a.out, a)
 
 
 def cmd_import(spark, a):
-    _import(spark, _landing(spark, a), a)
+    _import(spark, a.landing, a)
 
 
 def cmd_crawl(spark, a):
-    """K1 / K2 over tables: collect, judge and land; with --catalog also import."""
+    """K1 / K2 over tables: collect, judge and land; with --catalog also import, and store the texts."""
     from quarry.operators.suitability import verdict_counts
-    from quarry.plans.curate import collect_by_query, collect_repository
-    from quarry.sources.landing import append_landing, read_landing
+    from quarry.plans.curate import collect_by_query, collect_repository, land_and_store
+    from quarry.sources.landing import read_landing
     repos, files, bodies = (spark.read.parquet(p) for p in (a.repos, a.files, a.bodies))
     cap = a.max_files if a.max_files and a.max_files > 0 else None      # blank or none: no cap (B16)
     if a.url:
@@ -77,21 +88,43 @@ def cmd_crawl(spark, a):
     else:
         landed = collect_by_query(repos, files, bodies, _thresholds(a), a.max_repos, cap, out_dir=a.out_dir,
                                   min_stars=a.min_stars, license=a.license, sort=a.sort)
-    append_landing(landed, a.out, a.format)
-    back = read_landing(spark, a.out, a.format)
-    verdict_counts(back).show()
+    new = land_and_store(landed, a.out, a.catalog, a.format)
+    verdict_counts(read_landing(spark, a.out, a.format)).show()
     if a.catalog:
-        _import(spark, back, a)
+        print(f"stored: {new} texts")
+        _import(spark, a.out, a)
+
+
+def _texts(spark, a, ids):
+    """(id, content) of the files `ids` from the catalogue's text store, else from its contents table; None without either."""
+    from quarry.sources.landing import path_exists
+    from quarry.sources.tables import current_contents
+    from quarry.sources.texts import stored_texts
+    paths = _read(spark, a.catalog, "files").join(ids, "id", "left_semi").select("id", "local_path")
+    found = stored_texts(spark, a.catalog, paths)
+    if found is not None:
+        return paths.join(found, "local_path").select("id", "content")
+    return current_contents(spark, a.catalog) if path_exists(spark, f"{a.catalog}/contents") else None
+
+
+def cmd_replace(spark, a):
+    """H9: put another text in the place of one file's; its score stays until the next filter."""
+    from quarry.sources.texts import store_texts
+    ids = spark.createDataFrame([(a.id,)], "id long")
+    text = open(a.file, encoding="utf-8").read() if a.file else a.text
+    rows = _read(spark, a.catalog, "files").join(ids, "id", "left_semi").select("local_path", F.lit(text).alias("content"))
+    if rows.isEmpty():
+        print(f"{a.id}: not_found")
+        return
+    store_texts(rows, a.catalog, time.time_ns())
+    print(f"{a.id}: updated")
 
 
 def cmd_view(spark, a):
     """One file's record and its text or a preview."""
     from quarry.operators.search import lookup
-    from quarry.sources.landing import path_exists
-    from quarry.sources.tables import current_contents
-    contents = current_contents(spark, a.catalog) if path_exists(spark, f"{a.catalog}/contents") else None
     ids = spark.createDataFrame([(a.id,)], "id long")
-    rows = lookup(_read(spark, a.catalog, "files"), ids, contents, None if a.full else 1000).collect()
+    rows = lookup(_read(spark, a.catalog, "files"), ids, _texts(spark, a, ids), None if a.full else 1000).collect()
     if not rows:
         print(f"no file {a.id}")
     for name, value in (rows[0].asDict().items() if rows else ()):
@@ -118,7 +151,8 @@ def cmd_delete(spark, a):
 
 def _links(spark, a):
     from quarry.operators.tags import fold_links
-    return fold_links(_read(spark, a.catalog, "tag_ops", TAG_OPS_SCHEMA))
+    from quarry.sources.tables import live_ops
+    return fold_links(live_ops(spark, a.catalog, _read(spark, a.catalog, "tag_ops", TAG_OPS_SCHEMA)))
 
 
 def cmd_search(spark, a):
@@ -162,7 +196,7 @@ def cmd_export(spark, a):
 
 def cmd_backup(spark, a):
     from quarry.sources.tables import snapshot
-    tables = {n: df for n in ("repositories", "files", "tag_ops", "contents", "content_versions", "tombstones", "landing")
+    tables = {n: df for n in ("repositories", "files", "tag_ops", "contents", "content_versions", "tombstones", "landing", "texts", "text_paths", "scores", "dead_letters")
               if (df := _read(spark, a.catalog, n)) is not None}
     if a.landing:
         from quarry.sources.landing import read_landing
@@ -200,7 +234,7 @@ def build_parser() -> argparse.ArgumentParser:
         s.add_argument("--min-lines", type=int, default=10)
         s.add_argument("--max-lines", type=int, default=1000)
 
-    add("filter", cmd_filter, land, th, lambda s: s.add_argument("--contents", required=True),
+    add("filter", cmd_filter, land, th, lambda s: s.add_argument("--contents"),
         lambda s: s.add_argument("--out", required=True), lambda s: s.add_argument("--catalog"))
     add("import", cmd_import, land, cat)
     add("crawl", cmd_crawl, th, *[lambda s, n=n: s.add_argument(f"--{n}", required=True) for n in ("repos", "files", "bodies", "out")],
@@ -210,6 +244,8 @@ def build_parser() -> argparse.ArgumentParser:
         lambda s: s.add_argument("--out-dir", default="collected_code"), lambda s: s.add_argument("--catalog"),
         lambda s: s.add_argument("--format", default="json", choices=["json", "parquet"]))
     add("view", cmd_view, cat, lambda s: s.add_argument("--id", type=int, required=True), lambda s: s.add_argument("--full", action="store_true"))
+    add("replace", cmd_replace, cat, lambda s: s.add_argument("--id", type=int, required=True),
+        lambda s: s.add_argument("--file"), lambda s: s.add_argument("--text", default=""))
     add("tags", cmd_tags, cat, lambda s: s.add_argument("--limit", type=int, default=CLI_SEARCH_LIMIT))
     add("delete", cmd_delete, cat, lambda s: s.add_argument("--ids", required=True))
     add("search", cmd_search, cat, lambda s: s.add_argument("--query"), lambda s: s.add_argument("--tags"),

@@ -82,9 +82,12 @@ def assert_importable(landing: DataFrame) -> None:
     """Reject a whole landing batch, before anything is written, when a
     repository's first row lacks name or url (the original aborts the whole
     import then). Names the first such repository; one row comes back."""
-    bad = invalid_repo_rows(landing).agg(F.min("full_name").alias("full_name")).first()["full_name"]
-    if bad is not None:
-        raise ValueError(f"landing batch rejected: repository {bad!r} has no name or url")
+    raise_if_unnamed(invalid_repo_rows(landing).agg(F.min("full_name").alias("full_name")).first()["full_name"])
+
+
+def raise_if_unnamed(full_name: str | None) -> None:
+    if full_name is not None:
+        raise ValueError(f"landing batch rejected: repository {full_name!r} has no name or url")
 
 
 def landing_files(landing: DataFrame, clock: Column | None = None) -> DataFrame:
@@ -149,12 +152,12 @@ def import_counts(new_repos: DataFrame, new_files: DataFrame) -> DataFrame:
 
 
 def files_with_repos(files: DataFrame, repos: DataFrame) -> DataFrame:
-    """Files joined to their repository (inner). Not hinted: AQE turns it
+    """Files joined to their repository by its full name (inner). Not hinted: AQE turns it
     into a broadcast join when the measured repository side is small."""
-    r = repos.select(F.col("id").alias("repo_id"), F.col("name").alias("repo_name"),
+    r = repos.select(F.col("full_name").alias("repo_full_name"), F.col("name").alias("repo_name"),
                      F.col("url").alias("repo_url"), F.col("stars").alias("repo_stars"),
                      F.col("license").alias("repo_license"))
-    return files.join(r, "repo_id", "inner")
+    return files.join(r, "repo_full_name", "inner")
 
 
 def ids_for_keys(keys: DataFrame, files: DataFrame) -> DataFrame:
@@ -191,7 +194,7 @@ def replace_contents(contents: DataFrame, updates: DataFrame) -> DataFrame:
     """H9: last update per id (by seq) replaces the stored text; other rows stay.
     Signals are not recomputed here (they go stale, as in the original) —
     rescore the changed ids with `operators.suitability` when wanted."""
-    latest = updates.groupBy("id").agg(F.max_by("content", "seq").alias("_new"))
+    latest = updates.groupBy("id").agg(F.max_by("content", F.struct("seq", "content")).alias("_new"))
     merged = contents.join(latest, "id", "left")
     return merged.select("id", F.coalesce(F.col("_new"), F.col("content")).alias("content"),
                          F.col("_new").isNotNull().alias("changed"))

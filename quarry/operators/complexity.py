@@ -14,7 +14,8 @@ Complexity of a function = 1 + if / conditional expression / assert
 not added to their parent. Functions and classes under a module's or class's
 compound statements (`if`, `try`, `with`, loops) are its blocks. A class counts int((1 + sum(methods)) / n) +
 (n > 1) for n methods, or 1 + its own branches when it has none.
-Unparsable text gives no blocks (zeros downstream).
+Unparsable text gives no blocks (zeros downstream). A text that the parser gives up on (nested too
+deeply, out of memory) is a failure of its own: `ast_failure` tells it, and the other rows of the batch go on.
 """
 
 from __future__ import annotations
@@ -37,6 +38,7 @@ AST_FIELDS = [
     T.StructField("ast_errors", T.LongType()),
     T.StructField("ast_warnings", T.LongType()),
     T.StructField("ast_refactors", T.LongType()),
+    T.StructField("ast_failure", T.StringType()),
 ]
 
 # AST lint rule limits (the linter's documented defaults).
@@ -147,17 +149,19 @@ def _scan(tree: ast.Module):
 def analyze_source(text: str | None) -> dict:
     """Per-file helper: parse and summarise one source text."""
     empty = {"parse_ok": False, "block_names": [], "block_kinds": [], "block_complexities": [],
-             "statements": 0, "ast_errors": 0, "ast_warnings": 0, "ast_refactors": 0}
+             "statements": 0, "ast_errors": 0, "ast_warnings": 0, "ast_refactors": 0, "ast_failure": None}
     if text is None:
         return empty
     try:
         tree = ast.parse(text)
-    except (SyntaxError, ValueError, RecursionError, MemoryError):
+    except (SyntaxError, ValueError):
         return {**empty, "ast_errors": 1}
+    except (RecursionError, MemoryError) as e:
+        return {**empty, "ast_errors": 1, "ast_failure": type(e).__name__}
     blocks, st, w, r = _scan(tree)
     return {"parse_ok": True, "block_names": [b[0] for b in blocks], "block_kinds": [b[1] for b in blocks],
             "block_complexities": [b[2] for b in blocks], "statements": st, "ast_errors": 0,
-            "ast_warnings": w, "ast_refactors": r}
+            "ast_warnings": w, "ast_refactors": r, "ast_failure": None}
 
 
 def _ship_by_value() -> None:

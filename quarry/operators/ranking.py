@@ -19,7 +19,7 @@ lineage, so a lost executor recomputes nothing upstream.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.sources.tables import stored
@@ -49,3 +49,21 @@ def rank_within_group(df: DataFrame, group: str, order, partitions: int | None =
     out = keys.join(offsets, ["_pid", group], "inner")
     step = F.coalesce(F.col("_before"), F.lit(0)) + (F.col("_idx") - F.col("_first")) + 1
     return out.select(group, *order, step.cast("bigint").alias("step"), F.col("total").cast("bigint").alias("total"))
+
+
+TOP_SALTS = 64
+
+
+def top_per_group(df: DataFrame, group: list[str], order: list[Column], k: int, name: str = "rank", salts: int = TOP_SALTS) -> DataFrame:
+    """The first `k` rows of each group by `order`, with their position as `name`.
+
+    Up to spark.sql.optimizer.windowGroupLimitThreshold Spark keeps k rows per group and map task before it
+    shuffles. Beyond, a plain window would sort a whole group in one task; here the rows of a group are dealt
+    by a hash of all their columns into `salts` parts, each part keeps its first k, and only these are ranked together: a task then
+    sorts its share of the group or salts * k rows. The rows are the same either way; equal rows fall into one part
+    and count each for itself."""
+    whole = Window.partitionBy(*group).orderBy(*order)
+    if k > int(df.sparkSession.conf.get("spark.sql.optimizer.windowGroupLimitThreshold")):
+        part = F.pmod(F.xxhash64(*df.columns), F.lit(salts))
+        df = df.withColumn(name, F.row_number().over(Window.partitionBy(*group, part).orderBy(*order))).filter(F.col(name) <= k).drop(name)
+    return df.withColumn(name, F.row_number().over(whole)).filter(F.col(name) <= k)

@@ -8,10 +8,11 @@ ranked selection, defaulted lookup.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.functions.text import path_depth
+from quarry.operators.ranking import top_per_group
 
 SORT_KEYS = {"stars": "stars", "forks": "forks", "updated": "updated_at"}
 
@@ -25,19 +26,16 @@ def first_files_per_repo(listing: DataFrame, max_files: int | None, repo_col: st
     """The first `max_files` files of each repository in breadth-first
     order (depth, then path); 0 -> none, None -> all.
 
-    One way for every cap: `row_number() <= k`, the row carried through the
-    window, so duplicates count as rows of their own and a null repository is a
-    group like any other. Spark plans it with a partial WindowGroupLimit before
-    the shuffle up to spark.sql.optimizer.windowGroupLimitThreshold (1000; raise
-    it for larger caps), which keeps what a repository ships to k rows per map task.
+    The row is carried through the ranking, so duplicates count as rows of their own and a null
+    repository is a group like any other. A large cap is ranked in two levels (see `ranking.top_per_group`),
+    so a repository with a large share of all files is not sorted by one task.
     """
     with_depth = listing.withColumn("depth", path_depth(F.col("path")))
     if max_files is None:
         return with_depth
     if max_files <= 0:
         return with_depth.limit(0)
-    w = Window.partitionBy(repo_col).orderBy(F.col("depth"), F.col("path"))
-    return with_depth.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= max_files)
+    return top_per_group(with_depth, [repo_col], [F.col("depth"), F.col("path")], max_files)
 
 
 def list_source_files(listing: DataFrame, max_files: int | None = None, suffix: str = ".py") -> DataFrame:

@@ -67,7 +67,7 @@ def search(files: DataFrame, repos: DataFrame, links: DataFrame | None = None, q
     Only a text query reads repository columns before the limit. Without one
     the limit is taken from the files alone (kept to those whose repository
     exists), and without a limit nothing is sorted: a frame has no order then."""
-    known = files.join(repos.select(F.col("id").alias("repo_id")), "repo_id", "left_semi")
+    known = files.join(repos.select(F.col("full_name").alias("repo_full_name")), "repo_full_name", "left_semi")
     base = known.select(*[c for c in RESULT_COLS if c != "repo_name"], F.col("repo_full_name").alias("repo_name"))
     pred = text_predicate(query)
     if pred is not None:

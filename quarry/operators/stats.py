@@ -103,10 +103,10 @@ def license_distribution(repos: DataFrame) -> DataFrame:
 
 def repo_file_counts(files: DataFrame, repos: DataFrame) -> DataFrame:
     """Files per repository (repositories without files drop out). The
-    files are counted per repo_id first, so only one row per repository
+    files are counted per repository first, so only one row of each
     reaches the join."""
-    per = files.groupBy("repo_id").agg(F.count("id").cast("bigint").alias("file_count"))
-    return per.join(repos.select(F.col("id").alias("repo_id"), "name", "full_name"), "repo_id", "inner")
+    per = files.groupBy(F.col("repo_full_name").alias("full_name")).agg(F.count("id").cast("bigint").alias("file_count"))
+    return per.join(repos.select("full_name", "name"), "full_name", "inner")
 
 
 def top_repositories(files: DataFrame, repos: DataFrame, n: int = TOP_LIST_LIMIT) -> DataFrame:

@@ -109,36 +109,64 @@ def score_and_judge(df: DataFrame, th: Thresholds = Thresholds(), text_col: str
     return s.withColumns(cols).drop("_present")
 
 
+#: what `score_contents` says of a text; `error` tells why it could not be analysed
+SIGNALS = ["code_lines", "quality_score_raw", "quality_score", "complexity", "error", "_present"]
+
+
 def score_contents(contents: DataFrame, th: Thresholds = Thresholds(), key: str = "local_path") -> DataFrame:
-    """Signals of each stored text, without the text: (key, code_lines, quality_score_raw,
-    quality_score, complexity). Row-local; the complexity pass gets the text and these few
-    columns through Arrow. Of several texts under one key one row stays (the least by
-    its signals, so the choice is defined)."""
+    """Signals of each stored text, without the text: (key, *SIGNALS). Row-local; the
+    complexity pass gets the text and these few columns through Arrow. Of several texts under one
+    key one row stays (the least by its signals, so the choice is defined)."""
     from quarry.operators.complexity import analyze_ast, with_complexity
     narrow = [key, "_present", "code_lines", "quality_score_raw", "quality_score"]
     s = add_signals(contents.select(key, "content").withColumn("_present", F.col("content").isNotNull()), "content", th)
-    a = with_complexity(analyze_ast(s.select(*narrow, "content"), narrow, "content"))
-    signals = F.struct("code_lines", "quality_score_raw", "quality_score", "complexity", "_present")
-    return a.groupBy(key).agg(F.min(signals).alias("s")).select(key, "s.*")
-
-
-def filter_landing(landing: DataFrame, contents: DataFrame, th: Thresholds = Thresholds(),
-                   key: str = "local_path") -> DataFrame:
-    """B4 over landing rows: rows without `local_path` are skipped; the rest
-    get quality_score, code_lines, complexity, is_suitable, unsuitable_reason from their
-    text (`contents` holds local_path, content). Missing text is a verdict. The texts
-    are scored where they lie; only their signals are joined to the landing."""
+    a = with_complexity(analyze_ast(s.select(*narrow, "content"), narrow, "content")).withColumn("error", F.col("ast_failure"))
+    return a.groupBy(key).agg(F.min(F.struct(*SIGNALS)).alias("s")).select(key, "s.*")
+
+
+def judged_columns(th: Thresholds, present: Column) -> dict[str, Column]:
+    """Verdict columns of rows with SIGNALS. A file that could not be analysed has no score and
+    no verdict, 0 lines, and its failure as the reason."""
+    cols = verdict_columns(th, present, F.col("repo_license"), F.col("code_lines"), F.col("quality_score_raw"))
+    failed = F.col("error").isNotNull()
+    no = lambda kind: F.lit(None).cast(kind)
+    return {"reason_code": F.when(failed, F.lit(S.RC_FAILED)).otherwise(cols["reason_code"]),
+            "is_suitable": F.when(failed, no("boolean")).otherwise(cols["is_suitable"]),
+            "unsuitable_reason": F.when(failed, _fill(S.REASON_FAILED, F.col("error"))).otherwise(cols["unsuitable_reason"]),
+            "quality_score": F.when(failed, no("double")).otherwise(F.col("quality_score")),
+            "quality_score_raw": F.when(failed, no("double")).otherwise(F.col("quality_score_raw")),
+            "code_lines": F.when(failed, F.lit(0).cast("bigint")).otherwise(F.col("code_lines")),
+            "complexity": F.when(~failed, F.col("complexity"))}
+
+
+def judge_landing(landing: DataFrame, signals: DataFrame, th: Thresholds = Thresholds(), key: str = "local_path") -> DataFrame:
+    """B4 from signals: rows without `key` are skipped; the rest get quality_score, code_lines, complexity,
+    is_suitable and unsuitable_reason. A path without signals is a missing text, which is a verdict."""
     rows = landing.filter(F.col(key).isNotNull() & (F.col(key) != ""))
     kept = [c for c in rows.columns if c not in ("quality_score", "code_lines", "complexity", "is_suitable", "unsuitable_reason")]
-    j = rows.select(*kept).join(score_contents(contents, th, key), key, "left")
+    j = rows.select(*kept).join(signals, key, "left")
     zero = F.struct(F.lit(0.0).alias("avg_complexity"), F.lit(0).cast("bigint").alias("function_count"),
                     F.lit(0).cast("bigint").alias("max_complexity"))
     j = j.withColumns({"code_lines": F.coalesce("code_lines", F.lit(0).cast("bigint")),
                        "quality_score": F.coalesce("quality_score", F.lit(0.0)),
                        "quality_score_raw": F.coalesce("quality_score_raw", F.lit(0.0)),
                        "complexity": F.coalesce("complexity", zero)})
-    cols = verdict_columns(th, F.coalesce("_present", F.lit(False)), F.col("repo_license"), F.col("code_lines"), F.col("quality_score_raw"))
-    return j.withColumns(cols).drop("_present")
+    return j.withColumns(judged_columns(th, F.coalesce("_present", F.lit(False)))).drop("_present", "error")
+
+
+def wanted_texts(landing: DataFrame, contents: DataFrame, key: str = "local_path") -> DataFrame:
+    """The texts that a landing names: keys are joined first, other texts are not looked at."""
+    return contents.select(key, "content").join(landing.select(key).filter(f"{key} <> ''").distinct(), key, "left_semi")
+
+
+def filter_landing(landing: DataFrame, contents: DataFrame, th: Thresholds = Thresholds(),
+                   key: str = "local_path") -> DataFrame:
+    """B4 over landing rows: rows without `local_path` are skipped; the rest
+    get quality_score, code_lines, complexity, is_suitable, unsuitable_reason from their
+    text (`contents` holds local_path, content). Missing text is a verdict. Texts that no row names are not scored;
+    the others are scored where they lie, and only their signals are joined to the landing.
+    `sources.texts.cached_scores` with `judge_landing` scores each distinct text once over many landings."""
+    return judge_landing(landing, score_contents(wanted_texts(landing, contents, key), th, key), th, key)
 
 
 def suitable(df: DataFrame) -> DataFrame:

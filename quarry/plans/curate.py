@@ -18,35 +18,50 @@ from quarry.operators import catalog as C
 from quarry.operators import jobs as J
 from quarry.operators import repos as RP
 from quarry.operators.complexity import analyze_ast, with_complexity
-from quarry.operators.suitability import add_signals, filter_landing, verdict_columns
+from quarry.operators.suitability import add_signals, filter_landing, judged_columns
 from quarry.schema import DEFAULT_REPO_HOST, JOB_COMPLETED, JOB_FAILED, JOB_IN_PROGRESS, Thresholds
+from quarry.sources.landing import append_landing
+from quarry.sources.tables import stored
+from quarry.sources.texts import store_texts
 
 
-def _picked_bodies(files: DataFrame, bodies: DataFrame) -> DataFrame:
-    """The listed files with their encoded bodies (null where there is none)."""
+PICKED_REPOS = 1000        # names of so many picked repositories may go into a filter
+
+
+def fetch_bodies(files: DataFrame, bodies: DataFrame, repos: list[str] | None = None) -> DataFrame:
+    """The listed files with their encoded bodies (null where there is none).
+
+    Keys come first: bodies of other repositories than `repos` are left out by a filter that reaches the scan, and
+    the few keys are inner-joined to the rest, so that adaptive execution may send them to the bodies; a left
+    join could not, and would move every body. Files without one are attached afterwards."""
     f = files.select("repo_full_name", F.col("name").alias("file_name"), F.col("path").alias("file_path"),
                      F.col("url").alias("file_url"), "seq")
-    return f.join(bodies.select("repo_full_name", F.col("path").alias("file_path"), "content_b64"),
-                  ["repo_full_name", "file_path"], "left")
+    held = bodies.select("repo_full_name", F.col("path").alias("file_path"), "content_b64")
+    if repos is not None:
+        held = held.filter(F.col("repo_full_name").isin(repos))
+    key = ["repo_full_name", "file_path"]
+    hit = held.join(f.select(*key).distinct(), key, "inner")
+    return f.join(hit, key, "left")
 
 
 def land_files(repos: DataFrame, files: DataFrame, bodies: DataFrame, th: Thresholds, out_dir: str,
-               clock: Column) -> DataFrame:
+               clock: Column, names: list[str] | None = None) -> DataFrame:
     """Decode the bodies of the selected files, score and judge them, and
     shape landing rows (A5, A6, C1-C3, B3, A3). Files whose body is empty or
-    undecodable are skipped, as the original skips empty downloads. Only picked
-    bodies are decoded: whether one is usable is asked behind the Arrow pass
+    undecodable are skipped, as the original skips empty downloads; a file that cannot be analysed
+    is landed without score and verdict, with 0 lines and the failure as its reason. Only picked
+    bodies are fetched and decoded: whether one is usable is asked behind the Arrow pass
     that measures complexity, where no filter is pushed below the join."""
     r = repos.select(F.col("full_name").alias("repo_full_name"), F.col("name").alias("repo_name"),
                      F.col("url").alias("repo_url"), F.col("stars").alias("repo_stars"),
                      F.col("license").alias("repo_license"))
-    f = _picked_bodies(files, bodies).join(r, "repo_full_name", "inner")
+    f = fetch_bodies(files, bodies, names).join(r, "repo_full_name", "inner")
     f = f.withColumn("content", decode_content(F.col("content_b64"))).drop("content_b64")
     f = f.withColumn("_present", F.coalesce(F.length("content") > 0, F.lit(False)))
     s = add_signals(f, "content", th).drop("lint_findings")
-    measured = with_complexity(analyze_ast(s, s.columns, "content")).filter("_present")
-    cols = verdict_columns(th, F.lit(True), F.col("repo_license"), F.col("code_lines"), F.col("quality_score_raw"))
-    judged = measured.withColumns(cols).withColumn("local_path", landing_path(out_dir, F.col("repo_full_name"), F.col("file_path")))
+    measured = with_complexity(analyze_ast(s, s.columns, "content")).filter("_present").withColumn("error", F.col("ast_failure"))
+    judged = measured.withColumns(judged_columns(th, F.lit(True))) \
+        .withColumn("local_path", landing_path(out_dir, F.col("repo_full_name"), F.col("file_path")))
     return judged.select(
         "repo_name", "repo_full_name", "repo_url", "repo_stars", "repo_license", "file_name", "file_path",
         "file_url", "local_path", "quality_score", F.date_format(clock, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("downloaded_at"),
@@ -55,7 +70,7 @@ def land_files(repos: DataFrame, files: DataFrame, bodies: DataFrame, th: Thresh
 
 def collect_failures(files: DataFrame, bodies: DataFrame) -> DataFrame:
     """(repo_full_name, path, error): listed files that `land_files` skips, and why."""
-    f = _picked_bodies(files, bodies)
+    f = fetch_bodies(files, bodies)
     text = decode_content(F.col("content_b64"))
     error = (F.when(F.col("content_b64").isNull(), F.lit("no body"))
              .when(F.col("content_b64") == "", F.lit("empty body")).when(text.isNull(), F.lit("not base64 of UTF-8 text"))
@@ -63,6 +78,14 @@ def collect_failures(files: DataFrame, bodies: DataFrame) -> DataFrame:
     return f.select("repo_full_name", F.col("file_path").alias("path"), error.alias("error")).filter("error IS NOT NULL")
 
 
+def land_and_store(landed: DataFrame, out: str, root: str | None, fmt: str = "json") -> int:
+    """Append landed rows to the landing `out`, and their texts to the text store of the catalogue at `root`;
+    returns the number of texts that were new. The rows are collected once, to the shared folder."""
+    landed = stored(landed, "landed")
+    append_landing(landed.drop("content"), out, fmt)
+    return store_texts(landed, root, time.time_ns()) if root else 0
+
+
 def collect_by_query(repo_listing: DataFrame, file_listing: DataFrame, bodies: DataFrame,
                      th: Thresholds = Thresholds(), max_repos: int = 5, max_files_per_repo: int | None = None,
                      out_dir: str = "collected_code", clock: Column | None = None, **select_kw) -> DataFrame:
@@ -70,10 +93,16 @@ def collect_by_query(repo_listing: DataFrame, file_listing: DataFrame, bodies: D
     a per-repository cap (A4/G5), then land and judge them."""
     clock = clock if clock is not None else F.localtimestamp()
     repos = RP.select_repositories(repo_listing, max_results=max_repos, **select_kw)
-    listed = RP.list_source_files(file_listing.join(repos.select(F.col("full_name").alias("repo_full_name")),
-                                                    "repo_full_name", "left_semi"), max_files_per_repo)
-    listed = listed.withColumn("seq", F.xxhash64("repo_full_name", "path"))
-    return land_files(repos, listed, bodies, th, out_dir, clock)
+    names = None
+    if max_repos <= PICKED_REPOS:
+        # a few names: listing and bodies are filtered at their scans
+        repos = stored(repos, "picked")
+        names = sorted(r["full_name"] for r in repos.select("full_name").collect())
+        of_picked = file_listing.filter(F.col("repo_full_name").isin(names))
+    else:
+        of_picked = file_listing.join(repos.select(F.col("full_name").alias("repo_full_name")), "repo_full_name", "left_semi")
+    listed = RP.list_source_files(of_picked, max_files_per_repo).withColumn("seq", F.xxhash64("repo_full_name", "path"))
+    return land_files(repos, listed, bodies, th, out_dir, clock, names)
 
 
 def repository_of_url(url: str, host: str = DEFAULT_REPO_HOST) -> str:
@@ -96,7 +125,7 @@ def collect_repository(spark: SparkSession, repo_url: str, repo_listing: DataFra
     repos = RP.lookup_repositories(req, repo_listing, clock=clock.cast("timestamp_ntz"))
     listed = RP.list_source_files(file_listing.filter(F.col("repo_full_name") == full), max_files_per_repo)
     listed = listed.withColumn("seq", F.xxhash64("repo_full_name", "path"))
-    return land_files(repos, listed, bodies, th, out_dir, clock)
+    return land_files(repos, listed, bodies, th, out_dir, clock, [full])
 
 
 def curate(spark: SparkSession, landing: DataFrame, contents: DataFrame, th: Thresholds = Thresholds(),

@@ -136,9 +136,8 @@ def a8_scan_catalogue(spark, sf):
     repos, files = catalog(spark, sf)
     root = write_catalog(spark, {"repositories": repos, "files": files})
     cat = read_catalog(spark, root)
-    j = C.files_with_repos(cat["files"].select("id", "repo_id", "code_lines"), cat["repositories"])
-    rn = cat["repositories"].select(F.col("id").alias("repo_id"), F.col("full_name").alias("repo_full_name"))
-    return j.select("repo_id", "code_lines").join(rn, "repo_id").groupBy("repo_full_name").agg(
+    j = C.files_with_repos(cat["files"].select("repo_full_name", "code_lines"), cat["repositories"])
+    return j.groupBy("repo_full_name").agg(
         F.count(F.lit(1)).cast("bigint").alias("files"), F.sum("code_lines").cast("bigint").alias("code_lines"))
 
 

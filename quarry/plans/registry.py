@@ -28,5 +28,5 @@ def query(name: str, oracle: str | None = None):
 
 def load_all() -> dict[str, Query]:
     # importing the modules registers their queries
-    from quarry.plans import queries_catalog, queries_changes, queries_signals  # noqa: F401
+    from quarry.plans import queries_catalog, queries_changes, queries_signals, queries_store  # noqa: F401
     return REGISTRY

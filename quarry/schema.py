@@ -31,6 +31,7 @@ REASON_LICENSE = "라이센스 호환성 문제 ({})"
 REASON_TOO_SHORT = "코드 라인 수 부족 ({} < {})"
 REASON_TOO_LONG = "코드 라인 수 초과 ({} > {})"
 REASON_LOW_QUALITY = "품질 점수 미달 ({} < {})"
+REASON_FAILED = "분석 오류: {}"
 
 # Header of the filtered report export (CSV), in column order.
 REPORT_HEADER = ("ID", "파일명", "저장소", "품질 점수", "코드 라인", "적합성", "태그", "로컬 경로")
@@ -62,6 +63,7 @@ RC_LICENSE = "license"
 RC_TOO_SHORT = "too_few_lines"
 RC_TOO_LONG = "too_many_lines"
 RC_LOW_QUALITY = "low_quality"
+RC_FAILED = "analysis_failed"
 RC_OK = "ok"
 
 

@@ -2,12 +2,14 @@
 
 The landing is open JSON: every key optional, signals added later. It is
 read with one explicit schema (never inferred). A JSON *array* file needs
-`multiLine` and is not splittable, so arrays are converted once to JSON Lines
-or Parquet, which split across executors.
+`multiLine` and is not splittable; which files hold one is seen while the landing is parsed
+as lines. Large landings should be JSON Lines or Parquet, which split across executors.
 """
 
 from __future__ import annotations
 
+from urllib.parse import unquote
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -29,41 +31,43 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return found is not None and len(found) > 0
 
 
-def json_arrays(spark: SparkSession, path: str) -> list[str]:
-    """The files of a JSON landing that hold an array over several lines: the first line that is not
-    blank begins it and does not end it. An array on one line is read as JSON Lines are.
-
-    Reads the landing's text once; only names of files come to the driver."""
-    lines = spark.read.text(path).select(
-        F.regexp_replace("value", r"^[\s\x{FEFF}]+", "").alias("line"), F.col("_metadata.file_path").alias("file"),
-        F.struct(F.col("_metadata.file_block_start"), F.monotonically_increasing_id()).alias("place"))
-    heads = lines.filter("line <> ''").select("file", "place", F.when(F.col("line").startswith("["), F.col("line")).alias("line")) \
-        .groupBy("file").agg(F.min_by("line", "place").alias("line"))
-    return sorted(r["file"] for r in heads.filter(F.col("line").isNotNull() & F.try_parse_json("line").isNull()).select("file").collect())
-
-
-def scan_landing(spark: SparkSession, path: str, fmt: str = "json", array: bool | None = None) -> DataFrame:
-    """Every record of a landing, malformed ones with `_corrupt_record`, and its place.
+def scan_landing(spark: SparkSession, path: str | list[str], fmt: str = "json", array: bool | None = None) -> DataFrame:
+    """Every record of a landing (a path, a pattern or a list of files), malformed ones with `_corrupt_record`, and its place.
 
     `arrival` orders rows that carry no `seq`: the file's time and name, the
     place of the split in the file, and the row's place in the split. A missing path gives an empty
-    frame; any other failure to read is raised. `array` None: look at each file."""
-    empty = T.StructType(READ_SCHEMA.fields + [ARRIVAL])
-    if not path_exists(spark, path):
-        return spark.createDataFrame([], empty)
+    frame; any other failure to read is raised.
+
+    `array` None: each file may hold JSON Lines or an array. The landing is parsed once, as lines, and kept as a
+    written table; a file whose first record begins an array that its line does not end is read again as a
+    whole. An array on one line is read as lines are."""
+    paths = [path] if isinstance(path, str) else path
+    paths = [p for p in paths if path_exists(spark, p)]
+    if not paths:
+        return spark.createDataFrame([], T.StructType(READ_SCHEMA.fields + [ARRIVAL]))
+    cols = [*[f.name for f in READ_SCHEMA.fields], arrival().alias("arrival")]
     if fmt == "parquet":
-        df = spark.read.schema(SEQ_SCHEMA).parquet(path).withColumn(CORRUPT, F.lit(None).cast("string"))
-    else:
-        def read(many: bool) -> DataFrame:
-            return (spark.read.schema(READ_SCHEMA).option("multiLine", many).option("mode", "PERMISSIVE")
-                    .option("columnNameOfCorruptRecord", CORRUPT).json(path))
-        arrays = json_arrays(spark, path) if array is None else []
-        if arrays:
-            among = F.col("_metadata.file_path").isin(arrays)
-            cols = [*[f.name for f in READ_SCHEMA.fields], arrival().alias("arrival")]
-            return read(False).filter(~among).select(*cols).unionByName(read(True).filter(among).select(*cols))
-        df = read(bool(array))
-    return df.select(*[f.name for f in READ_SCHEMA.fields], arrival().alias("arrival"))
+        return spark.read.schema(SEQ_SCHEMA).parquet(*paths).withColumn(CORRUPT, F.lit(None).cast("string")).select(*cols)
+
+    def read(many: bool, files: list[str]) -> DataFrame:
+        return (spark.read.schema(READ_SCHEMA).option("multiLine", many).option("mode", "PERMISSIVE")
+                .option("columnNameOfCorruptRecord", CORRUPT).json(files).select(*cols))
+    if array is not None:
+        return read(array, paths)
+    from quarry.sources.tables import stored
+    lines = stored(read(False, paths), "landing-lines")
+    names = array_files(lines)
+    if not names:
+        return lines
+    return lines.filter(~F.col("arrival.file_path").isin(names)).unionByName(read(True, [unquote(n) for n in names]))
+
+
+def array_files(lines: DataFrame) -> list[str]:
+    """Files of a landing parsed as lines whose first record begins a JSON array and does not end it.
+    Only the names of such files come to the driver, which lists a landing's files anyway."""
+    opens = F.col(CORRUPT).isNotNull() & F.regexp_replace(F.coalesce(CORRUPT, F.lit("")), r"^[\s\x{FEFF}]+", "").startswith("[")
+    first = lines.groupBy(F.col("arrival.file_path").alias("file")).agg(F.min_by(opens, "arrival").alias("opens"))
+    return sorted(r["file"] for r in first.filter("opens").select("file").collect())
 
 
 ARRIVAL = T.StructField("arrival", T.StructType([
@@ -78,13 +82,36 @@ def arrival() -> Column:
                     m["file_block_start"].alias("split"), F.monotonically_increasing_id().alias("row"))
 
 
-def read_landing(spark: SparkSession, path: str, fmt: str = "json", array: bool | None = None) -> DataFrame:
+def read_landing(spark: SparkSession, path: str | list[str], fmt: str = "json", array: bool | None = None) -> DataFrame:
     """A1: landing rows with the fixed schema and their `arrival`; malformed
     records are left out (`landing_rejects` counts them)."""
+    return whole_records(scan_landing(spark, path, fmt, array))
+
+
+def whole_records(scanned: DataFrame) -> DataFrame:
+    """The records of a scan that could be read."""
     # Spark refuses to read the column of malformed records alone, as a count would; the second
     # term names another one and is never true
     whole = F.col(CORRUPT).isNull() | (F.octet_length(CORRUPT) + F.octet_length("repo_name") < 0)
-    return scan_landing(spark, path, fmt, array).filter(whole).drop(CORRUPT)
+    return scanned.filter(whole).drop(CORRUPT)
+
+
+def reject_reason() -> Column:
+    """Why an import leaves a scanned record out; null where it does not."""
+    reason = F.when(F.col(CORRUPT).isNotNull(), F.lit("malformed record"))
+    reason = reason.when(~F.coalesce(F.col("repo_full_name") != "", F.lit(False)), F.lit("no repository"))
+    for c in ("file_name", "file_path", "file_url", "local_path"):
+        reason = reason.when(F.col(c).isNull(), F.lit(f"no {c}"))
+    return reason
+
+
+def rejected(scanned: DataFrame) -> DataFrame:
+    """J1's dead letters: (file, split, row, record, reason) of each record of a scan that an import leaves out.
+    `record` is a malformed record's own text, else the row as JSON."""
+    fields = [c for c in scanned.columns if c in SEQ_SCHEMA.fieldNames()]
+    body = F.when(F.col(CORRUPT).isNotNull(), F.col(CORRUPT)).otherwise(F.to_json(F.struct(*fields)))
+    return scanned.select(F.col("arrival.file_path").alias("file"), "arrival.split", "arrival.row", body.alias("record"),
+                          reject_reason().alias("reason")).filter(F.col("reason").isNotNull())
 
 
 def landing_rejects(spark: SparkSession, path: str, fmt: str = "json", array: bool | None = None) -> DataFrame:

@@ -11,7 +11,8 @@ from __future__ import annotations
 import datetime as _dt
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.session import checkpoint_root, scratch_path
@@ -30,6 +31,21 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def observed(df: DataFrame) -> tuple[DataFrame, Observation]:
+    """`df`, whose rows are counted while it is written, and where `observed_count` finds their number."""
+    seen = Observation()
+    return df.observe(seen, F.count(F.lit(1)).alias("n")), seen
+
+
+def observed_count(seen: Observation) -> int:
+    """The observed `n`. A plan that adaptive execution finds to be empty loses its observed node and reports
+    nothing, which is 0; a job that fails has raised before."""
+    try:
+        return seen.get["n"]
+    except Py4JJavaError:
+        return 0
+
+
 _SCAN_PARTITIONS: dict[tuple, int] = {}
 
 
@@ -98,13 +114,33 @@ def commit_contents(updates: DataFrame, root: str, version: int) -> None:
         .write.mode("append").parquet(f"{root}/content_versions")
 
 
-def without_deleted(spark: SparkSession, root: str, rows: DataFrame, id_col: str = "id") -> DataFrame:
-    """`rows` less those whose id has a tombstone."""
+def _deleted(spark: SparkSession, root: str) -> DataFrame | None:
+    """(id, _deleted): the latest tombstone of every id."""
     from quarry.sources.landing import path_exists
     if not path_exists(spark, f"{root}/tombstones"):
+        return None
+    return spark.read.parquet(f"{root}/tombstones").groupBy("id").agg(F.max("version").alias("_deleted"))
+
+
+def without_deleted(spark: SparkSession, root: str, rows: DataFrame, id_col: str = "id") -> DataFrame:
+    """`rows` less those whose id has a tombstone. Rows that carry a `version` (when they were imported) go
+    only with a tombstone as late or later: what is imported after a delete stands again."""
+    gone = _deleted(spark, root)
+    if gone is None:
         return rows
-    gone = spark.read.parquet(f"{root}/tombstones").select(F.col("id").alias(id_col)).distinct()
-    return rows.join(gone, id_col, "left_anti")
+    if "version" not in rows.columns:
+        return rows.join(gone.select(F.col("id").alias(id_col)), id_col, "left_anti")
+    j = rows.join(gone.withColumnRenamed("id", id_col), id_col, "left")
+    return j.filter(F.col("_deleted").isNull() | (F.coalesce("version", F.lit(0)) > F.col("_deleted"))).select(*rows.columns)
+
+
+def live_ops(spark: SparkSession, root: str, ops: DataFrame) -> DataFrame:
+    """The tag operations that still count: those of a file from before its deletion went with it."""
+    gone = _deleted(spark, root)
+    if gone is None:
+        return ops
+    j = ops.join(gone.withColumnRenamed("id", "file_id"), "file_id", "left")
+    return j.filter(F.col("_deleted").isNull() | (F.col("seq") > F.col("_deleted"))).select(*ops.columns)
 
 
 def current_contents(spark: SparkSession, root: str) -> DataFrame:
