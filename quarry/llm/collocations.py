@@ -35,7 +35,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.llm.blocks import encode, gather, sums
+from quarry.llm.blocks import encode, gather, one_list, pack, pack_pairs, sums, unpack, unpack_pairs
 from quarry.llm.store import python_ready, stored
 from quarry.llm.words import mix
 from quarry.operators.ranking import rank_within_group
@@ -67,29 +67,24 @@ def _encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for block, rows in gather(batches, "text"):
         langs = rows.column("lang").dictionary_encode()
         for k, lang in enumerate(langs.dictionary.to_pylist()):
-            codes, words, per_row, (buf, starts, ends) = encode(rows.filter(pc.equal(langs.indices, k)).column("text"), NOT_WORD)
+            codes, words, _, cut = encode(rows.filter(pc.equal(langs.indices, k)).column("text"), NOT_WORD, MARK)
             if not len(codes):
                 continue
-            marks = np.zeros(len(buf) + 1, np.int64)
-            np.cumsum(MARK[buf], out=marks[1:])
-            cut = np.append(marks[starts[1:]] > marks[ends[:-1]], True)
-            cut[per_row[1:][per_row[1:] > 0] - 1] = True           # a text's last word
             yield pa.RecordBatch.from_pydict({
                 "block": pa.array([block], pa.int64()), "lang": [lang], "n": pa.array([len(codes)], pa.int64()),
-                "words": pa.array([words.to_pylist()], pa.list_(pa.string())),
-                "counts": pa.array([np.bincount(codes, minlength=len(words))], pa.list_(pa.int64())),
-                "codes": [np.insert(codes, np.flatnonzero(cut) + 1, -1).astype(np.int32).tobytes()]})
+                "words": one_list(words), "counts": one_list(pa.array(np.bincount(codes, minlength=len(words)), pa.int64())),
+                "codes": [pack(np.insert(codes, np.flatnonzero(cut) + 1, -1))]})
 
 
 def _numbered(block: pa.Table, ids: pa.Table) -> pa.Table:
     """A block's text as numbers by frequency; -1 for rarer words and between pieces."""
-    codes = np.frombuffer(block.column("codes")[0].as_py(), np.int32) if block.num_rows and ids.num_rows else np.empty(0, np.int32)
+    codes = unpack(block.column("codes")[0].as_py()) if block.num_rows and ids.num_rows else np.empty(0, np.int32)
     table = np.full(int(codes.max(initial=0)) + 2, -1, np.int64)           # the last answers for -1
     if len(codes):
         table[ids.column("code").to_numpy()] = ids.column("id").to_numpy()
     keep = block.num_rows if len(codes) else 0
     return pa.table({"block": block.column("block").slice(0, keep), "lang": block.column("lang").slice(0, keep),
-                     "buckets": block.column("buckets").slice(0, keep), "ids": pa.array([table[codes].tobytes()] * keep, pa.binary())})
+                     "buckets": block.column("buckets").slice(0, keep), "ids": pa.array([pack(table[codes])] * keep, pa.binary())})
 
 
 def _tile_rows(block: int, lang: str, keys: np.ndarray, n: np.ndarray, buckets: int, salts: int) -> pa.RecordBatch:
@@ -105,8 +100,8 @@ def _tile_rows(block: int, lang: str, keys: np.ndarray, n: np.ndarray, buckets:
     return pa.RecordBatch.from_pydict({
         "block": pa.array([block] * len(at), pa.int64()), "lang": pa.array([lang] * len(at), pa.string()), "tile": pa.array(tile[at], pa.int64()),
         "salt": pa.array([salt if t >= 0 else 0 for t in tile[at].tolist()], pa.int32()),
-        "keys": pa.array([keys[a:b].tobytes() for a, b in zip(at, ends)], pa.binary()),
-        "n": pa.array([n[a:b].tobytes() for a, b in zip(at, ends)], pa.binary())})
+        "keys": pa.array([pack_pairs(keys[a:b]) for a, b in zip(at, ends)], pa.binary()),
+        "n": pa.array([pack(n[a:b], 8) for a, b in zip(at, ends)], pa.binary())})
 
 
 class Tile:
@@ -152,14 +147,14 @@ def _summed(batches: Iterator[pa.RecordBatch]) -> tuple[int, np.ndarray, np.ndar
     for batch in batches:
         for t, keys, n in zip(*(batch.column(c).to_pylist() for c in ("tile", "keys", "n"))):
             tile = t
-            total.add(np.frombuffer(keys, np.int64), np.frombuffer(n, np.int64), t >= 0)
+            total.add(unpack_pairs(keys), unpack(n, 8), t >= 0)
     return tile, *total.result(tile >= 0)
 
 
 def _part(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     tile, keys, n = _summed(batches)
     yield pa.RecordBatch.from_pydict({"lang": pa.array([key[0].as_py()], pa.string()), "tile": pa.array([tile], pa.int64()),
-                                      "keys": pa.array([keys.tobytes()], pa.binary()), "n": pa.array([n.tobytes()], pa.binary())})
+                                      "keys": pa.array([pack_pairs(keys)], pa.binary()), "n": pa.array([pack(n, 8)], pa.binary())})
 
 
 def frequent_pairs(tiles: DataFrame, min_count: int, salts: int) -> DataFrame:
@@ -189,12 +184,12 @@ def _looked_up(tiles: pa.Table, pairs: pa.Table) -> pa.Table:
     keys, ids = keys[order], pairs.column("id").to_numpy()[order] if pairs.num_rows else keys
     blocks, langs, found, numbers = [], [], [], []
     for row in tiles.to_pylist() if len(keys) else ():
-        mine = np.frombuffer(row["keys"], np.int64)
+        mine = unpack_pairs(row["keys"])
         at = np.minimum(np.searchsorted(keys, mine), len(keys) - 1)
         hit = keys[at] == mine
         if hit.any():
             blocks.append(row["block"]), langs.append(row["lang"])
-            found.append(mine[hit].tobytes()), numbers.append(ids[at[hit]].tobytes())
+            found.append(pack_pairs(mine[hit])), numbers.append(pack(ids[at[hit]]))
     return pa.table({"in_block": pa.array(blocks, pa.int64()), "in_lang": pa.array(langs, pa.string()),
                      "keys": pa.array(found, pa.binary()), "numbers": pa.array(numbers, pa.binary())})
 
@@ -228,7 +223,7 @@ def counted(docs: DataFrame, min_count: int = MIN_COUNT) -> tuple[DataFrame, ...
     def pairs_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                keys = _paired(np.frombuffer(row["ids"], np.int64))
+                keys = _paired(unpack(row["ids"]).astype(np.int64))
                 keys, n = sums(keys[keys >= 0])
                 yield _tile_rows(row["block"], row["lang"], keys, n, row["buckets"], salts)
     tiles = stored(ids.mapInArrow(pairs_of, _TILES), "pair-tiles")
@@ -244,12 +239,12 @@ def counted(docs: DataFrame, min_count: int = MIN_COUNT) -> tuple[DataFrame, ...
         if not block.num_rows or not pairs.num_rows:
             return pa.Table.from_batches([_tile_rows(0, "", np.empty(0, np.int64), np.empty(0, np.int64), 1, 1)])
         row = block.to_pylist()[0]
-        seq = np.frombuffer(row["ids"], np.int64)
-        keys, numbers = (np.concatenate([np.frombuffer(b, np.int64) for b in pairs.column(c).to_pylist()]) for c in ("keys", "numbers"))
+        seq = unpack(row["ids"]).astype(np.int64)
+        keys, numbers = (np.concatenate([get(b) for b in pairs.column(c).to_pylist()]) for c, get in (("keys", unpack_pairs), ("numbers", unpack)))
         order = np.argsort(keys)
         keys, numbers, mine = keys[order], numbers[order], _paired(seq)
         at = np.minimum(np.searchsorted(keys, mine), len(keys) - 1)
-        left = np.where(keys[at] == mine, numbers[at], -1)
+        left = np.where(keys[at] == mine, numbers[at], -1).astype(np.int64)
         both = (left[:-1] >= 0) & (left[1:] >= 0)
         keys, n = sums((left[:-1] << 32 | seq[2:])[both])
         return pa.Table.from_batches([_tile_rows(row["block"], row["lang"], keys, n, row["buckets"], salts)])
