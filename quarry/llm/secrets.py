@@ -54,6 +54,7 @@ HEX_DER = re.compile(r"(?<![0-9A-Fa-f])30(?:[0-9A-Fa-f]{2}){24,}")
 JWT = re.compile(r"(?<![A-Za-z0-9_-])e[w-z0-9_-][A-Za-z0-9_-]{6,}\.[A-Za-z0-9_-]{2,}\.[A-Za-z0-9_-]*")
 MAGIC = b"openssh-key-v1\0"
 INTEGER, OCTETS, OID, SEQUENCE = 0x02, 0x04, 0x06, 0x30
+FIRST, GROW = 256, 4       # characters of a candidate that are read first, and the factor by which more are
 
 
 def header(data: bytes, at: int, end: int) -> tuple[int, int, int] | None:
@@ -117,29 +118,48 @@ def key_length(data: bytes) -> int | None:
     return None
 
 
-def openssh_length(data: bytes) -> int | None:
-    """Length of the OpenSSH private key file that `data` starts with, or None."""
+def openssh_fields(data: bytes) -> Iterator[tuple[int, int]]:
+    """(start, end) of the fields of the OpenSSH key file that `data` begins: cipher, kdf, kdf options, then so many
+    public keys as a number says, and the private part. Ends before a field whose length is not in `data`."""
+    at, left = len(MAGIC), 3
+    while left and at + 4 <= len(data):
+        end = at + 4 + int.from_bytes(data[at:at + 4])
+        yield at + 4, end
+        at, left = end, left - 1
+        if left == 0 and at + 4 <= len(data):
+            keys = int.from_bytes(data[at:at + 4])
+            if not 1 <= keys <= 16:
+                yield at, -1
+                return
+            at += 4
+            for _ in range(keys + 1):
+                if at + 4 > len(data):
+                    return
+                end = at + 4 + int.from_bytes(data[at:at + 4])
+                yield at + 4, end
+                at = end
+            return
+
+
+def openssh_reach(data: bytes) -> int | None:
+    """Bytes that the OpenSSH key has at least, as far as `data` tells: its length once that is whole; None if it is none."""
     if not data.startswith(MAGIC):
         return None
-    at = len(MAGIC)
-
-    def field() -> bytes | None:
-        nonlocal at
-        if at + 4 > len(data):
-            return None
-        n = int.from_bytes(data[at:at + 4])
-        if at + 4 + n > len(data):
-            return None
-        at += 4 + n
-        return data[at - n:at]
-    head = [field() for _ in range(3)]                           # cipher, kdf, kdf options
-    if None in head or not head[0] or not head[1] or at + 4 > len(data):
-        return None
-    keys = int.from_bytes(data[at:at + 4])
-    at += 4
-    if not 1 <= keys <= 16 or any(not field() for _ in range(keys)):
+    found = list(openssh_fields(data))
+    if any(b < a or a == b and i != 2 for i, (a, b) in enumerate(found)):
         return None
-    return at if field() else None
+    at = found[-1][1] if found else len(MAGIC)
+    if len(found) < 4:
+        return at + (8 if len(found) == 3 else 4)
+    first = found[2][1]
+    keys = int.from_bytes(data[first:first + 4])
+    return at if len(found) == 3 + keys + 1 else at + 4
+
+
+def openssh_length(data: bytes) -> int | None:
+    """Length of the OpenSSH private key file that `data` starts with, or None."""
+    n = openssh_reach(data)
+    return n if n is not None and n <= len(data) else None
 
 
 def promised(data: bytes) -> int | None:
@@ -177,22 +197,65 @@ def decoded(chars: str) -> bytes:
     return base64.b64decode(chars[:usable].translate(URL_ALPHABET) + "=" * (-usable % 4))
 
 
+def fields_fit(data: bytes) -> bool:
+    """Whether the elements whose headers are in `data`, the beginning of a DER sequence, can be those of a private key."""
+    top = header(data, 0, 1 << 40)
+    at, tags = top[1], []
+    while at < top[2] and at + 6 <= len(data):
+        x = header(data, at, top[2])
+        if x is None:
+            return False
+        tags.append(x[0])
+        if len(tags) == 2 and tags not in ([SEQUENCE, OCTETS], [INTEGER, INTEGER], [INTEGER, SEQUENCE], [INTEGER, OCTETS]):
+            return False
+        if tags[:2] == [INTEGER, INTEGER] and len(tags) <= 6 and tags[-1] != INTEGER or tags[:2] == [INTEGER, SEQUENCE] and len(tags) == 3 and tags[2] != OCTETS:
+            return False
+        at = x[2]
+    return True
+
+
+def whole_der(text: str, head: re.Match) -> tuple[str, list[tuple[int, int]], bytes]:
+    """Characters, line ends and bytes of the DER that begins at `head`, as long as it promises; no bytes where
+    the text is shorter or a field seen on the way is none of a key's. What is read grows by a factor, so a wrong head costs little."""
+    nothing: tuple = "", [], b""
+    length = promised(decoded(head.group()[:28].translate(URL_ALPHABET)))
+    need = 0 if length is None else -(-length * 8 // 6)
+    if not 0 < need <= len(text) - head.start():
+        return nothing
+    have = FIRST
+    while have < need:
+        chars, _ = gather(text, head.start(), have)
+        data = decoded(chars)
+        if len(chars) < have or not data or not fields_fit(data):
+            return nothing
+        have *= GROW
+    chars, ends = gather(text, head.start(), need)
+    return nothing if len(chars) < need else (chars, ends, decoded(chars))
+
+
+def whole_openssh(text: str, start: int) -> tuple[str, list[tuple[int, int]], bytes]:
+    """The same for an OpenSSH key, whose lengths stand before each field."""
+    have = FIRST
+    while True:
+        chars, ends = gather(text, start, have)
+        data = decoded(chars)
+        reach = openssh_reach(data)
+        if reach is None or reach <= len(data):
+            return ("", [], b"") if reach is None else (chars, ends, data)
+        need = -(-reach * 8 // 6)
+        if len(chars) < have or need > len(text) - start:
+            return "", [], b""
+        have = max(have * GROW, need + -need % 4)
+
+
 def keys(text: str, head: re.Pattern) -> Iterator[tuple[str, int, int]]:
     """Confirmed keys in base64; the search goes on after a key's end, or after the head of what is none."""
     at, kind = 0, "der" if head is DER else "openssh"
     while (m := head.search(text, at)) is not None:
-        at, need = m.end(), len(text)
-        if kind == "der":
-            length = promised(decoded(m.group()[:28].translate(URL_ALPHABET)))
-            if length is None:
-                continue
-            need = -(-length * 8 // 6)
-        chars, ends = gather(text, m.start(), need)
-        if kind == "der" and len(chars) < need:
-            continue
-        data = decoded(chars)
-        n = key_length(data) if kind == "der" else openssh_length(data)
-        if n is None:
+        at = m.end()
+        chars, ends, data = whole_der(text, m) if kind == "der" else whole_openssh(text, m.start())
+        n = data and (key_length(data) if kind == "der" else openssh_length(data))
+        if not n:
             continue
         n = -(-n * 8 // 6)                                               # the key's own length tells where it ends
         at = next(end - (k - n) for k, end in ends if k >= n)

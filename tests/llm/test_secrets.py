@@ -125,3 +125,14 @@ def test_keys_with_the_url_alphabet():
     for cut in (1, 4, 6):                              # the mark of the end is no part of a key that is cut off
         short = pem(rsa()[:-cut]).replace("=", "")
         assert keys_in(short) == [] and keys_in(short.replace("\n", "\\n")) == []
+
+
+def test_hostile_texts_take_linear_time():
+    """Many heads that promise much: no head reads the rest of the text."""
+    import time
+    magic = "b3BlbnNzaC1rZXktdjEAAAAA"
+    began = time.perf_counter()
+    for line in (magic, magic + "BG5vbmUAAAAEbm9uZQ", "MIIEvgIBADANBgkqhkiG9w0BAQEFAASC", "MIJAAAIBAAKCAQEAu1SU1LfVLPHCozMxH2Mo", "MIIQAAIBAAIBAAIBAAIBAAIBAAIB"):
+        for joint in ("\n", " "):
+            assert not [x for x in S.find_secrets((line + joint) * 40_000) if x[0] in ("der", "openssh")]
+    assert time.perf_counter() - began < 60
