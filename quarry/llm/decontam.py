@@ -6,13 +6,13 @@ words, but not none, is one window of its own length. The windows' hashes are
 broadcast; map tasks hash every word window of their documents, look it up, and
 compare the words themselves before they report a hit. Nothing is shuffled.
 
-A broadcast holds at most `block_bytes` of benchmark text: a larger benchmark is
-cut into blocks, each scanned against all documents, with the hits so far
-carried along (and written to the shared folder after every CHAIN blocks).
+Repeated items count once and long ones are cut into pieces whose windows are theirs, which are dealt by hash into as
+many blocks as the text of all has `block_bytes`; a broadcast holds one block. Each is scanned against all documents, with the
+hits so far carried along (and written to the shared folder after every CHAIN blocks).
 
 A null text has no words. A null item_id is reported as an empty string. Rows
 are judged each for itself, so repeated rows and null ids pass through; an empty
-benchmark hits nothing.
+benchmark hits nothing. `remove` gives back the columns of its input whatever their names.
 """
 
 from __future__ import annotations
@@ -25,12 +25,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from quarry.llm.store import python_ready, stored
+from quarry.llm.store import carried, put_back, python_ready, stored
 from quarry.llm.words import LOWER, NOT_ALNUM, find_words, hash_windows, hash_words, slices, text_buffer
 
 WIDTH = 13
 BLOCK_BYTES = 16 << 20
 CHAIN = 3
+PIECE_WORDS = 4096
 FILTER_BITS = 22
 RUNS = "array<struct<a:bigint,b:bigint>>"
 SPANS = "array<struct<start:bigint,end:bigint>>"
@@ -131,13 +132,23 @@ def _scan_block(index, text: str, first: bool):
     return run
 
 
+def _pieces(items: DataFrame, width: int) -> DataFrame:
+    """Distinct (id, body): items longer than PIECE_WORDS words in pieces that share width - 1 words, so that all
+    windows are there and no piece is larger than its words."""
+    words = F.regexp_extract_all("body", F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"), F.lit(0))
+    cut = F.transform(F.sequence(F.lit(0), F.greatest(F.size(words) - width, F.lit(0)), F.lit(PIECE_WORDS)),
+                      lambda i: F.array_join(F.slice(words, i + 1, PIECE_WORDS + width - 1), " "))
+    long = F.octet_length("body") > PIECE_WORDS * 2
+    return items.select("id", F.explode(F.when(long, cut).otherwise(F.array("body"))).alias("body")).distinct()
+
+
 def scan(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text",
          width: int = WIDTH, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """`docs` with __words (count), __runs (word ranges hit), __items (ids, sorted) and __spans (code point ranges hit)."""
     spark = docs.sparkSession
     python_ready(spark)
-    items = benchmark.select(F.coalesce(F.col(f"`{item}`").cast("string"), F.lit("")).alias("id"),
-                             F.coalesce(F.col(f"`{item_text}`").cast("string"), F.lit("")).alias("body"))
+    items = _pieces(benchmark.select(F.coalesce(F.col(f"`{item}`").cast("string"), F.lit("")).alias("id"),
+                                     F.coalesce(F.col(f"`{item_text}`").cast("string"), F.lit("")).alias("body")), width)
     total = items.agg(F.sum(F.octet_length("body"))).first()[0] or 0
     blocks = max(1, -(-total // block_bytes))
     plain = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
@@ -168,10 +179,11 @@ def flag(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str =
 
 def remove(docs: DataFrame, benchmark: DataFrame, text: str = "text", spans_only: bool = False, **how) -> DataFrame:
     """`docs` without contaminated documents or, with `spans_only`, without the spans hit in any document."""
-    seen = verdict(scan(docs, benchmark, text, **how))
+    rows = docs.select(carried(docs, text).alias("row"), F.col(f"`{text}`").alias("text"))
+    seen = verdict(scan(rows, benchmark, "text", **how))
     if not spans_only:
-        return seen.filter(~F.col("__bad")).select(*docs.columns)
+        return seen.filter(~F.col("__bad")).select(*put_back(docs, **{text: F.col("text")}))
     ends = F.concat(F.array(F.lit(0).cast("long")), F.col("__spans.end"))
-    starts = F.concat(F.col("__spans.start"), F.array(F.length(text).cast("long")))
-    kept = F.concat_ws("", F.zip_with(ends, starts, lambda a, b: F.substring(F.col(text), (a + 1).cast("int"), (b - a).cast("int"))))
-    return seen.withColumn(text, F.when(F.size("__spans") > 0, kept).otherwise(F.col(text))).select(*docs.columns)
+    starts = F.concat(F.col("__spans.start"), F.array(F.length("text").cast("long")))
+    kept = F.concat_ws("", F.zip_with(ends, starts, lambda a, b: F.substring(F.col("text"), (a + 1).cast("int"), (b - a).cast("int"))))
+    return seen.select(*put_back(docs, **{text: F.when(F.size("__spans") > 0, kept).otherwise(F.col("text"))}))

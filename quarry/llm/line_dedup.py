@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.llm.expr import WHITE, let, lower_ascii
-from quarry.llm.store import drop, fresh, keyed_text, stored
+from quarry.llm.store import carried, drop, fresh, keyed_text, put_back, stored
 
 KEY = ["k1", "k2"]
 MIN_CHARS = 10
@@ -140,16 +140,38 @@ def without(lines: Column, gone: Column) -> Column:
     return F.flatten(F.transform(F.sequence(F.lit(0), F.size(gone)), stretch))
 
 
+def _kept_lines(docs: DataFrame, key: str, text: str, batches: int, min_chars: int) -> DataFrame:
+    """(row, text, n_lines, n_dropped): `row` carries the other columns of `docs`."""
+    gone = dropped_lines(keyed_text(docs, key, text), batches, min_chars)
+    gone = gone.select(F.col("doc_id").alias("of"), F.col("body").alias("of_body"), "gone")
+    rows = docs.select(carried(docs, text).alias("row"), F.col(f"`{key}`").alias("id"), F.col(f"`{text}`").alias("text"))
+    body = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    joined = rows.join(gone, (F.col("id") == F.col("of")) & (F.xxhash64(body) == F.col("of_body")), "left")
+    kept = F.when(F.col("gone").isNull(), F.col("text")).otherwise(let(
+        F.split(body, "\n"), lambda lines: F.array_join(without(lines, F.col("gone")), "\n")))
+    n_dropped = F.when(F.col("gone").isNull(), F.lit(0)).otherwise(F.size("gone")).cast("long")
+    return joined.select("row", kept.alias("text"), F.size(F.split(body, "\n")).cast("long").alias("n_lines"), n_dropped.alias("n_dropped"))
+
+
 def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", batches: int = BATCHES,
                 min_chars: int = MIN_CHARS) -> DataFrame:
-    """`docs` with two more columns: `n_lines`, `n_dropped`; `text` holds the lines that stay."""
-    gone = dropped_lines(keyed_text(docs, key, text), batches, min_chars)
-    gone = gone.select(F.col("doc_id").alias("__id"), F.col("body").alias("__body"), F.col("gone").alias("__gone"))
-    body = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
-    joined = docs.join(gone, (docs[key] == F.col("__id")) & (F.xxhash64(body) == F.col("__body")), "left")
-    n_dropped = F.coalesce(F.size("__gone"), F.lit(0))
-    kept = F.when(F.col("__gone").isNull(), F.col(f"`{text}`")).otherwise(let(
-        F.split(body, "\n"), lambda lines: F.array_join(without(lines, F.col("__gone")), "\n")))
-    return (joined.withColumn("__lines", F.size(F.split(body, "\n")).cast("long")).withColumn(text, kept)
-            .withColumn("n_dropped", F.when(F.col("__gone").isNull(), F.lit(0)).otherwise(n_dropped).cast("long"))
-            .withColumn("n_lines", F.col("__lines")).select(*docs.columns, "n_lines", "n_dropped"))
+    """`docs` with two more columns: `n_lines`, `n_dropped`; `text` holds the lines that stay.
+
+    Columns of these two names in `docs` give way; `without_repeats` keeps them."""
+    counts = ["n_lines", "n_dropped"]
+    cols = put_back(docs, **{text: F.col("text")})
+    return _kept_lines(docs, key, text, batches, min_chars).select(*[c for c, n in zip(cols, docs.columns) if n not in counts], *counts)
+
+
+def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", batches: int = BATCHES,
+                    min_chars: int = MIN_CHARS) -> DataFrame:
+    """The columns of `docs`, whatever their names; `text` holds the lines that stay, and a column of lengths `n_chars` follows it."""
+    instead = {text: F.col("text")}
+    if "n_chars" in docs.columns and "n_chars" not in (key, text):
+        instead["n_chars"] = F.length("text").cast(docs.schema["n_chars"].dataType)
+    return _kept_lines(docs, key, text, batches, min_chars).select(*_back(docs, text, instead))
+
+
+def _back(docs: DataFrame, text: str, instead: dict) -> list:
+    back = put_back(docs, **{text: instead[text]})
+    return [instead[c].alias(c) if c in instead else b for c, b in zip(docs.columns, back)]

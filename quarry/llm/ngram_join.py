@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm.graph import components
-from quarry.llm.store import keyed_text, python_ready, stored
+from quarry.llm.store import carried, keyed_text, put_back, python_ready, stored
 from quarry.llm.words import WHITE_SPACE, find_words, hash_windows, hash_words, mix, one_hash, slices, text_buffer
 
 WORDS = 5
@@ -494,5 +494,6 @@ def keep_first(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
 
     Rows with a null id stay; a repeated row stays as often as its id's row does.
     """
-    gone = ngram_components(docs, key, text).filter("component_id < doc_id").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, docs[key] == F.col("__gone"), "left_anti")
+    gone = ngram_components(docs, key, text).filter("component_id < doc_id").select(F.col("doc_id").alias("gone")).distinct()
+    rows = docs.select(carried(docs).alias("row"), F.col(f"`{key}`").alias("id"))
+    return rows.join(gone, F.col("id") == F.col("gone"), "left_anti").select(*put_back(docs))

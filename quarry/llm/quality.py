@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm.expr import WHITE_RUN, let, letters_left, words_of
-from quarry.llm.store import keyed_text
+from quarry.llm.store import carried, keyed_text, put_back
 
 WINDOW = 8
 MIN_WORDS = 20
@@ -117,9 +117,9 @@ def clean(docs: DataFrame, text: str = "text") -> DataFrame:
 
     A column of lengths `n_chars`, where there is one, follows the text.
     """
-    judged = measure(docs.withColumn("__row", F.struct(*[F.col(f"`{c}`") for c in docs.columns])), "__row", text)
-    kept = judged.filter("kept")
-    cols = [F.col("clean_text").alias(c) if c == text
-            else F.length("clean_text").cast(docs.schema[c].dataType).alias(c) if c == "n_chars"
-            else F.col("doc_id").getField(c).alias(c) for c in docs.columns]
-    return kept.select(*cols)
+    judged = measure(docs.select(carried(docs, text).alias("row"), F.col(f"`{text}`").alias("text")), "row", "text")
+    instead = {text: F.col("clean_text")}
+    if "n_chars" in docs.columns and text != "n_chars":
+        instead["n_chars"] = F.length("clean_text").cast(docs.schema["n_chars"].dataType)
+    back = put_back(docs, "doc_id", **{text: instead[text]})
+    return judged.filter("kept").select(*[instead[c].alias(c) if c in instead else b for c, b in zip(docs.columns, back)])

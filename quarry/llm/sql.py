@@ -5,8 +5,9 @@ from __future__ import annotations
 from quarry.llm.chat import BODY, CONTROLS, END, LOSS_ROLE, START, TURN
 from quarry.llm.collocations import COVER_PERCENT, MIN_COUNT, TOP
 from quarry.llm.divergence import MIN_DOCS, TOP_TERMS
-from quarry.llm.quality import BARS, MAX_REPEAT_PERCENT, MIN_LEFT, MIN_WORDS, PHRASES
+from quarry.llm.quality import BARS, MARKS, MAX_REPEAT_PERCENT, MIN_LEFT, MIN_WORDS, PHRASES, UNMARKED
 
+_UNMARKED = UNMARKED.replace(r"\p{Is", r"\p{")        # the name of a script in the other dialect
 _BARS = "[" + "".join(BARS) + "]"
 _WHITE = r"[\x20\x09-\x0D]"
 
@@ -20,8 +21,9 @@ hit AS (SELECT r, count(DISTINCT i + k) AS n FROM rep, range(8) t(k) GROUP BY r)
 l AS (SELECT r, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS pos FROM d),
 j AS (SELECT r, pos, line, len([x FOR x IN regexp_split_to_array(line, '{_WHITE}+') IF x <> '']) AS n,
              len(regexp_extract_all(line, '{_BARS}')) AS bars, len(regexp_extract_all(line, '[#*$%&|<>]')) AS sym FROM l),
-keep AS (SELECT *, NOT ((NOT regexp_matches(line, '[.!?…;:,。！？]') AND n >= 12)
-    OR (NOT regexp_matches(line, '\p{{Ll}}') AND regexp_matches(line, '\p{{Lu}}') AND n >= 8)
+keep AS (SELECT *, NOT ((NOT regexp_matches(line, '[{MARKS}{_UNMARKED}]') AND n >= 12)
+    OR (NOT regexp_matches(line, '\p{{Ll}}') AND regexp_matches(line, '\p{{Lu}}') AND n >= 8
+        AND length(regexp_replace(line, '[^\p{{Lu}}\p{{Lt}}]+', '', 'g')) > length(regexp_replace(line, '[^\p{{Lo}}\p{{Lm}}]+', '', 'g')))
     OR (bars >= 3 AND n <= (bars + 1) * 3 + bars)
     OR (regexp_matches(lower(line), '{"|".join(PHRASES)}') AND n <= 40)
     OR (n >= 4 AND sym * 4 > n)) AS ok FROM j),

@@ -70,3 +70,16 @@ def keyed_text(docs: DataFrame, key: str = "doc_id", text: str = "text", null: s
     """The two columns an operator needs, whatever else the table holds."""
     body = F.col(f"`{text}`").cast("string")
     return docs.select(F.col(f"`{key}`").alias("doc_id"), (body if null is None else F.coalesce(body, F.lit(null))).alias("text"))
+
+
+def carried(docs: DataFrame, *but: str):
+    """Struct of the columns of `docs` other than `but`, under names of their own, so that no column an
+    operator adds can clash with them."""
+    rest = [c for c in docs.columns if c not in but]
+    return F.struct(F.lit(0).alias("c"), *[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(rest)])
+
+
+def put_back(docs: DataFrame, row: str = "row", **instead) -> list:
+    """The columns of `docs` in their order, out of what `carried` made; `instead` has those that were left out of it."""
+    rest = [c for c in docs.columns if c not in instead]
+    return [instead[c].alias(c) if c in instead else F.col(row).getField(f"c{rest.index(c)}").alias(c) for c in docs.columns]

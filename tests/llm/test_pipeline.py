@@ -37,5 +37,5 @@ def test_stages(spark):
 def test_registered():
     import __spark_entry__ as E
     q, o = E.queries(), E.oracle_sql()
-    assert sorted(int(n[2:].split("_")[0]) for n in q if n.startswith("op") and n[2].isdigit()) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in q if n.startswith("op") and n[2].isdigit()) == list(range(1, 14))
     assert "pipeline" in q and set(o) <= set(q)
