@@ -10,11 +10,12 @@ from pyspark.sql import functions as F
 from quarry.operators import repos as RP
 from quarry.plans import bind as B
 from quarry.plans import oracle as O
-from quarry.plans.queries_catalog import _DEL_IDS, _STREAM_COLS, _deletes, _landing_batches
+from quarry.plans.queries_catalog import _AVG_Q, _BIN, _DEL_IDS, _STREAM_COLS, _deletes, _landing_batches
 from quarry.plans.queries_signals import _PY, _verdict_body, reason_case
 from quarry.plans.registry import query
 from quarry.schema import REASON_FAILED
 from quarry.session import scratch_path
+from quarry.sources import partials as P
 from quarry.sources import tables as T
 from quarry.sources import texts as X
 from quarry.sources.landing import append_landing
@@ -136,6 +137,19 @@ def j3_scores_once(spark, sf):
 
 # --- H7: import after a delete ----------------------------------------------------------
 
+def _reimported(spark, sf, after=lambda root: None):
+    """An import, a committed delete and an import of the re-scored copies; `after` each."""
+    root = _fresh(spark, "reimport")
+    first, copies, _ = _landing_batches(B.b_landing(spark, sf))
+    ingest_batch(first, root, version=1)
+    after(root)
+    T.commit_deletes(_deletes(spark, sf), root, 2)
+    after(root)
+    ingest_batch(copies, root, version=3)
+    after(root)
+    return root
+
+
 @query("h7_reimport_after_delete", O.sql(["b_landing", "c_files"], f"""
 SELECT id, name, quality_score FROM c_files WHERE id NOT IN {_DEL_IDS}
 UNION ALL SELECT l.file_id, l.file_name, l.quality_score FROM b_landing l
@@ -143,14 +157,36 @@ WHERE l.seq // {B.COPY_SEQ} = 1 AND l.file_id IN (SELECT id FROM c_files WHERE i
 def h7_reimport_after_delete(spark, sf):
     """Files of a catalogue after an import, a committed delete and an import of the re-scored copies: a deleted
     file that is imported again stands with its later row, others keep their first."""
-    root = _fresh(spark, "reimport")
-    first, copies, _ = _landing_batches(B.b_landing(spark, sf))
-    ingest_batch(first, root, version=1)
-    T.commit_deletes(_deletes(spark, sf), root, 2)
-    ingest_batch(copies, root, version=3)
+    root = _reimported(spark, sf)
     return T.without_deleted(spark, root, spark.read.parquet(f"{root}/files")).select("id", "name", "quality_score")
 
 
+# --- E1-E5, E12 from partial sums ---------------------------------------------------------
+
+_LIVE = ("live", f"""
+SELECT id, repo_full_name, quality_score, code_lines, is_suitable FROM c_files WHERE id NOT IN {_DEL_IDS}
+UNION ALL SELECT l.file_id, l.repo_full_name, l.quality_score, l.code_lines, coalesce(l.is_suitable, false) FROM b_landing l
+WHERE l.seq // {B.COPY_SEQ} = 1 AND l.file_id IN (SELECT id FROM c_files WHERE id IN {_DEL_IDS})""")
+
+
+@query("e12_dashboard_partials", O.sql(["b_landing", "c_files", "c_repos"], f"""
+SELECT (SELECT CAST(count(*) AS BIGINT) FROM c_repos) AS repository_count, CAST(count(*) AS BIGINT) AS file_count,
+       CAST(count_if(is_suitable) AS BIGINT) AS suitable_file_count, coalesce({_AVG_Q}, 0.0) AS average_quality_score,
+       coalesce(sum(code_lines) / count(code_lines), 0.0) AS average_code_lines,
+       {", ".join(f"CAST(count_if(quality_score IS NOT NULL AND {_BIN} = {i}) AS BIGINT) AS q{i}" for i in range(5))}
+FROM live""", extra=[_LIVE]))
+def e12_dashboard_partials(spark, sf):
+    """Dashboard figures of a catalogue that grew, shrank and grew, from sums kept after each change."""
+    return P.scalars(spark, _reimported(spark, sf, lambda root: P.refresh(spark, root)))
+
+
+@query("e4_top_repos_partials", O.sql(["b_landing", "c_files"], """
+SELECT repo_full_name AS full_name, CAST(count(*) AS BIGINT) AS file_count FROM live GROUP BY 1 ORDER BY file_count DESC, full_name LIMIT 10""", extra=[_LIVE]))
+def e4_top_repos_partials(spark, sf):
+    """Top-10 repositories by file count, from the same sums."""
+    return P.top_repositories(spark, _reimported(spark, sf, lambda root: P.refresh(spark, root)))
+
+
 # --- K2: failures as rows ---------------------------------------------------------------
 
 DEEP = 10_000              # nested operators that the parser gives up on

@@ -85,7 +85,8 @@ def test_filters_reach_parquet_scan(spark, tmp_path):
 
 EXECUTES_WHILE_BUILDING = {"a8_scan_catalogue", "j1_incremental_ingest", "j3_incremental_scoring",
                            "j2_job_status_stream", "k2_collect_repository", "j1_array_files", "j1_rejects", "j3_scores_once",
-                           "h7_reimport_after_delete", "a6_text_store", "a6_texts_once"}
+                           "h7_reimport_after_delete", "a6_text_store", "a6_texts_once",
+                           "e12_dashboard_partials", "e4_top_repos_partials"}
 
 
 def test_no_cartesian_products(spark):

@@ -196,3 +196,35 @@ def test_cli_crawl_view_replace_filter(spark, tmp_path, capsys):
     assert "imported: 0 repositories, 1 files" in capsys.readouterr().out
     cli.main(["tags", "--catalog", cat], spark)
     assert "keep" not in capsys.readouterr().out
+
+
+def test_partial_sums_equal_the_full_scan(spark, tmp_path):
+    from quarry.operators.stats import dashboard, license_distribution
+    from quarry.sources import partials as P
+    root = str(tmp_path)
+    links = spark.createDataFrame([], "file_id long, tag string")
+
+    def check():
+        repos, files = spark.read.parquet(f"{root}/repositories"), T.without_deleted(spark, root, spark.read.parquet(f"{root}/files"))
+        want, got = dashboard(spark, repos, files, links)["scalars"].first().asDict(), P.scalars(spark, root)
+        assert {k: v for k, v in got.first().asDict().items() if k in want} == want
+        assert sorted(map(tuple, P.licences(spark, root).collect())) == sorted(map(tuple, license_distribution(repos).collect()))
+        counts = {r["repo_full_name"]: r["count"] for r in files.groupBy("repo_full_name").count().collect()}
+        assert {r["full_name"]: r["file_count"] for r in P.top_repositories(spark, root).collect()} == counts
+        assert not [f for f in got.inputFiles() if "/files/" in f]
+    for v, (names, more) in enumerate([("abc", {"quality_score": 7.5, "code_lines": 10, "is_suitable": True}), ("bcd", {"quality_score": 1.25}),
+                                       ("ef", {"repo_full_name": "o/b", "repo_license": "MIT License"})]):
+        ingest_batch(landing(spark, names, **more), root, version=10 * v + 1)
+        if v != 1:                                                      # one refresh may take several batches
+            P.refresh(spark, root)
+            check()
+    ids = {r["path"]: r["id"] for r in spark.read.parquet(f"{root}/files").collect()}
+    gone = lambda names, v: T.commit_deletes(spark.createDataFrame([(ids[n],) for n in names], "id long"), root, v)
+    gone("ab", 30), gone("a", 31), gone("ef", 32)
+    P.refresh(spark, root)
+    check()
+    ingest_batch(landing(spark, "a", quality_score=3.0), root, version=40)
+    gone("a", 41)
+    ingest_batch(landing(spark, "a", quality_score=4.0), root, version=42)
+    assert P.refresh(spark, root) == 42 and P.refresh(spark, root) == 42    # nothing new: nothing changes
+    check()
