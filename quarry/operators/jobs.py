@@ -1,6 +1,6 @@
 """Job records as an append-only event log (J2, G4, C11, K3 summary).
 
-A job's state is the latest event by `seq` (`max_by`, map-side combined);
+A job's state is the latest event by `seq` (a maximum of structs, map-side combined);
 start time is its first event; end time is set once it is completed or failed.
 """
 
@@ -17,18 +17,14 @@ FINAL = (JOB_COMPLETED, JOB_FAILED)
 def job_states(events: DataFrame) -> DataFrame:
     """Latest state per job (id, start_time, query, status, files_downloaded,
     end_time, error, first_seq, last_seq, n_events)."""
+    # one struct is the last event as a whole; events with the same sequence have one order by their values
+    last = F.max(F.struct("seq", "ts", "status", "files_downloaded", "error"))
     g = events.groupBy("job_id").agg(
-        F.min("ts").alias("start_time"),
-        F.min_by("query", "seq").alias("query"),
-        F.max_by("status", "seq").alias("status"),
-        F.max_by("files_downloaded", "seq").alias("files_downloaded"),
-        F.max_by("ts", "seq").alias("_last_ts"),
-        F.max_by("error", "seq").alias("error"),
-        F.min("seq").alias("first_seq"), F.max("seq").alias("last_seq"),
+        F.min("ts").alias("start_time"), F.min(F.struct("seq", "query")).alias("first"), last.alias("last"),
         F.count(F.lit(1)).cast("bigint").alias("n_events"))
-    return g.select(F.col("job_id").alias("id"), "start_time", "query", "status", "files_downloaded",
-                    F.when(F.col("status").isin(*FINAL), F.col("_last_ts")).alias("end_time"),
-                    "error", "first_seq", "last_seq", "n_events")
+    return g.select(F.col("job_id").alias("id"), "start_time", "first.query", "last.status", "last.files_downloaded",
+                    F.when(F.col("last.status").isin(*FINAL), F.col("last.ts")).alias("end_time"), "last.error",
+                    F.col("first.seq").alias("first_seq"), F.col("last.seq").alias("last_seq"), "n_events")
 
 
 def status_counts(states: DataFrame) -> DataFrame:

@@ -39,12 +39,11 @@ def batch_ops(file_ids: DataFrame, tag: str, action: str, seq_base: int, id_col:
 
 
 def fold_links(ops: DataFrame) -> DataFrame:
-    """Current (file_id, tag) links: last action per pair is 'add'. The action
-    is folded as an int so the aggregation buffer is fixed-width and Spark
-    uses a (partial + final) hash aggregate instead of a sort aggregate."""
-    is_add = (F.col("action") == "add").cast("int")
-    last = ops.groupBy("file_id", "tag").agg(F.max_by(is_add, F.col("seq")).alias("last_add"))
-    return last.filter(F.col("last_add") == 1).select("file_id", "tag")
+    """Current (file_id, tag) links: the last action per pair is 'add'; of an 'add' and a 'remove' with the
+    same sequence the 'add' counts. Two maxima of numbers, so Spark uses a (partial + final) hash aggregate."""
+    last = lambda add: F.max(F.when((F.col("action") == "add") == F.lit(add), F.col("seq")))
+    g = ops.groupBy("file_id", "tag").agg(last(True).alias("added"), last(False).alias("removed"))
+    return g.filter(F.col("added").isNotNull() & (F.col("removed").isNull() | (F.col("added") >= F.col("removed")))).select("file_id", "tag")
 
 
 def tag_table(ops: DataFrame) -> DataFrame:

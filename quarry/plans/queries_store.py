@@ -1,5 +1,5 @@
 """Registered queries: text store, score cache, any landing in the stream, versioned deletes, failures as
-rows (A6, B4, H7, J1, J3, K1, K2)."""
+rows, partial sums, search by postings (A6, B4, B7, E1-E5, E12, G1, H7, J1, J3, K1, K2)."""
 
 from __future__ import annotations
 
@@ -7,10 +7,11 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from quarry.operators import postings as G
 from quarry.operators import repos as RP
 from quarry.plans import bind as B
 from quarry.plans import oracle as O
-from quarry.plans.queries_catalog import _AVG_Q, _BIN, _DEL_IDS, _STREAM_COLS, _deletes, _landing_batches
+from quarry.plans.queries_catalog import _AVG_Q, _BIN, _DEL_IDS, _STREAM_COLS, _deletes, _landing_batches, _text_sql, catalog
 from quarry.plans.queries_signals import _PY, _verdict_body, reason_case
 from quarry.plans.registry import query
 from quarry.schema import REASON_FAILED
@@ -161,6 +162,28 @@ def h7_reimport_after_delete(spark, sf):
     return T.without_deleted(spark, root, spark.read.parquet(f"{root}/files")).select("id", "name", "quality_score")
 
 
+# --- B7 / G1: search by postings --------------------------------------------------------
+
+_QUERIES = ["src1", "doc_1", ".PY", "en/doc_10", "rc%7/F", "c1", "no such text", "src3/de"]
+
+
+@query("g1_search_postings", O.sql(["c_catalog"], " UNION ALL ".join(
+    f"SELECT '{q}' AS query, c.id, c.repo_full_name AS repo_name FROM c_catalog c WHERE {_text_sql(q)}" for q in _QUERIES)))
+def g1_search_postings(spark, sf):
+    """Text searches over postings: names, wildcards, other case, too short for a run, without a match."""
+    repos, files = catalog(spark, sf)
+    root = _fresh(spark, "postings")
+    first = F.col("lang_") == "en"
+    lang = F.element_at(F.split("repo_full_name", "/"), -1).alias("lang_")
+    G.append_postings(files.select("*", lang).filter(first), repos, root)
+    G.append_postings(files.select("*", lang).filter(~first), repos.limit(0), root)
+    out = None
+    for q in _QUERIES:
+        hit = G.search_postings(spark, root, files, repos, query=q, limit=None, with_tags=False).select(F.lit(q).alias("query"), "id", "repo_name")
+        out = hit if out is None else out.unionByName(hit)
+    return out
+
+
 # --- E1-E5, E12 from partial sums ---------------------------------------------------------
 
 _LIVE = ("live", f"""

@@ -228,3 +228,24 @@ def test_partial_sums_equal_the_full_scan(spark, tmp_path):
     ingest_batch(landing(spark, "a", quality_score=4.0), root, version=42)
     assert P.refresh(spark, root) == 42 and P.refresh(spark, root) == 42    # nothing new: nothing changes
     check()
+
+
+def test_search_by_postings_equals_the_scan(spark, tmp_path):
+    from conftest import SF001
+
+    from quarry.operators import postings as G
+    from quarry.operators.search import search
+    from quarry.plans.queries_catalog import catalog
+    repos, files = catalog(spark, SF001)
+    root = str(tmp_path)
+    assert G.search_postings(spark, root, files, repos, query="src1", with_tags=False).count() > 0       # no postings yet
+    G.append_postings(files, repos, root)
+    G.append_postings(files.limit(5), repos.limit(1), root)                                              # a batch done again
+    for q in ("src1", "DOC_1", "%", "_", "c", "0.py", "src1/en", "en/doc%7", "zzz", "\\", "É1x", None):
+        key = lambda df: sorted((r["id"], r["repo_name"]) for r in df.collect())
+        got = G.search_postings(spark, root, files, repos, query=q, limit=None, with_tags=False)
+        assert key(got) == key(search(files, repos, query=q, limit=None, with_tags=False)), q
+    few = G.candidates(spark, root, files, "doc_17.py")
+    assert 0 < few.count() < files.count() / 4
+    plan = few._jdf.queryExecution().executedPlan().toString()
+    assert "In(gram" in plan
