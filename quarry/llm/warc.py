@@ -20,8 +20,8 @@ open by URI will do.
 
 A null page is an empty payload. A null id has no smallest: such a record refers
 to a response but is the response only if all ids of the group are null. Rows
-that repeat an id are records of their own; a repeated id can thus refer to
-itself. An empty table gives no archives; other columns are ignored.
+that repeat an id are records of their own: of equal payloads all records with the smallest
+id are responses. An archive whose gzip stream is cut off is an error. An empty table gives no archives; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -105,13 +105,16 @@ def records_of(stream: Iterator[bytes]) -> Iterator[bytes]:
 
 def inflate(source) -> Iterator[bytes]:
     """The content of a gzip file of one member or many, read once."""
-    unzip = zlib.decompressobj(wbits=31)
+    unzip, begun = zlib.decompressobj(wbits=31), False
     while data := source.read(READ_BYTES):
         while data:
+            begun = True
             yield unzip.decompress(data)
             data = unzip.unused_data
             if unzip.eof:
-                unzip = zlib.decompressobj(wbits=31)
+                unzip, begun = zlib.decompressobj(wbits=31), False
+    if begun:
+        raise ValueError("the archive's gzip stream is cut off")
 
 
 def place(root: str) -> tuple[pafs.FileSystem, str]:

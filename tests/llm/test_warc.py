@@ -58,6 +58,9 @@ def test_streams():
         assert list(W.records_of(W.inflate(io.BytesIO(data)))) == records
     with pytest.raises(ValueError):
         list(W.records_of(iter([b"".join(records)[:-2000]])))
+    for cut in (whole[:-4], whole[:-8], members[:-3]):                     # between records, but before the stream's end
+        with pytest.raises(ValueError, match="cut off"):
+            list(W.records_of(W.inflate(io.BytesIO(cut))))
     with pytest.raises(ValueError):
         list(W.records_of(iter([b"garbage\r\n\r\n"])))
 
