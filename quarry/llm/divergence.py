@@ -1,9 +1,10 @@
 r"""Source divergence audit: how far each source's use of terms lies from the others' of its language.
 
 Chunk factorization. Texts are cut at white space into chunks, which are counted per
-document; a block of documents holds them as numbers into the block's dictionary of
+document; a block of documents of one language holds them as numbers into the block's dictionary of
 distinct chunks (see `blocks`). Every globally distinct chunk is cut into its terms once,
-`[^\x00-\x40\x5B-\x60\x7B-\x7F]+`, A-Z lower-cased. Its terms are joined back to the blocks
+`[^\x00-\x40\x5B-\x60\x7B-\x7F]+`, A-Z lower-cased. Terms whose chunks have too few documents of a language
+together can not be kept there and go. The others are joined back, as numbers, to the blocks
 that hold the chunk; a block then gives per (lang, source, term) its occurrences and the
 distinct documents (two chunks of one document may share a term). These sums are all that
 is shuffled by term. A very common chunk is one row per block, a very common
@@ -27,10 +28,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.llm.blocks import encode, gather, sums
+from quarry.llm.blocks import encode, gather, one_list, pack, sums, unpack
 from quarry.llm.store import python_ready, stored
 from quarry.llm.words import WHITE_SPACE
 
@@ -40,66 +42,95 @@ TILE_TERMS = 4096
 SOURCE_BLOCK = 256
 NOT_TERM = r"[\x00-\x40\x5B-\x60\x7B-\x7F]+"
 
-_BLOCK = "block bigint, langs array<string>, sources array<string>, doc_group binary, doc_start binary, codes binary, counts binary, chunks array<string>"
-_COUNT = "lang string, source string, term string, n bigint, docs bigint"
+BLOCK_BYTES = 32 << 20
+
+_BLOCK = ("block bigint, lang string, sources array<string>, doc_source binary, doc_start binary, codes binary, counts binary, "
+          "chunks array<string>, docs array<int>")
+_COUNT = "lang string, source string, id bigint, n bigint, docs bigint"
 
 
 def _encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row per block: its groups, each document's group and distinct chunks with counts, and its dictionary."""
-    for block, rows in gather(batches, "text"):
-        codes, chunks, words, _ = encode(rows.column("text"), WHITE_SPACE)
-        pairs = pa.StructArray.from_arrays([rows.column("lang"), rows.column("source")], ["lang", "source"])
-        groups = pa.chunked_array([pairs]).combine_chunks()
-        named: dict[tuple, int] = {}
-        of_doc = np.array([named.setdefault((g["lang"], g["source"]), len(named)) for g in groups.to_pylist()], np.int32)
-        doc = np.repeat(np.arange(rows.num_rows), np.diff(words))
-        keys, n = sums(doc * max(1, len(chunks)) + codes)
-        per_doc, code = np.divmod(keys, max(1, len(chunks)))
-        starts = np.searchsorted(per_doc, np.arange(rows.num_rows + 1)).astype(np.int32)
-        yield pa.RecordBatch.from_pydict({
-            "block": pa.array([block], pa.int64()), "langs": [[g[0] for g in named]], "sources": [[g[1] for g in named]],
-            "doc_group": [of_doc.tobytes()], "doc_start": [starts.tobytes()], "codes": [code.astype(np.int32).tobytes()],
-            "counts": [n.astype(np.int32).tobytes()], "chunks": pa.array([chunks.to_pylist()], pa.list_(pa.string()))})
+    """A row per block and language: its sources, each document's source and distinct chunks with counts, and the
+    dictionary of chunks with the number of documents of each."""
+    for block, rows in gather(batches, "text", BLOCK_BYTES):
+        langs = rows.column("lang").dictionary_encode()
+        for k, lang in enumerate(langs.dictionary.to_pylist()):
+            mine = rows.filter(pc.equal(langs.indices, k))
+            codes, chunks, words, _ = encode(mine.column("text"), WHITE_SPACE)
+            sources, size = mine.column("source").dictionary_encode(), max(1, len(chunks))
+            steps, counts, held = [np.empty(0, np.int32)], [np.empty(0, np.int32)], [np.zeros(1, np.int64)]
+            n_docs = np.zeros(len(chunks), np.int32)
+            for first in range(0, mine.num_rows, 1000):
+                ends = words[first:first + 1001]
+                doc = np.repeat(np.arange(len(ends) - 1), np.diff(ends))
+                found, n = sums(doc * size + codes[ends[0]:ends[-1]])
+                doc, code = np.divmod(found, size)
+                n_docs += np.bincount(code, minlength=len(chunks)).astype(np.int32)
+                starts = np.searchsorted(doc, np.arange(len(ends)))
+                step, begin = np.diff(code, prepend=0), starts[:-1][starts[:-1] < len(code)]
+                step[begin] = code[begin]
+                steps.append(step.astype(np.int32)), counts.append(n.astype(np.int32)), held.append(starts[1:] + held[-1][-1])
+            yield pa.RecordBatch.from_pydict({
+                "block": pa.array([block], pa.int64()), "lang": [lang], "sources": [sources.dictionary.to_pylist()],
+                "doc_source": [pack(sources.indices.to_numpy(zero_copy_only=False))], "doc_start": [pack(np.concatenate(held))], "codes": [pack(np.concatenate(steps))],
+                "counts": [pack(np.concatenate(counts))], "chunks": one_list(chunks), "docs": one_list(pa.array(n_docs))})
 
 
 def _counted(block: pa.Table, back: pa.Table) -> pa.Table:
-    """Occurrences and distinct documents of a block's (lang, source, term)."""
-    out = {"lang": pa.array([], pa.string()), "source": pa.array([], pa.string()), "term": pa.array([], pa.string()),
-           "n": pa.array([], pa.int64()), "docs": pa.array([], pa.int64())}
+    """Occurrences and distinct documents of the terms of a block, by source."""
     if not block.num_rows or not back.num_rows:
-        return pa.table(out)
-    row = {c: block.column(c)[0].as_py() for c in ("langs", "sources", "doc_group", "doc_start", "codes", "counts")}
-    of_doc, starts, codes, counts = (np.frombuffer(row[c], np.int32) for c in ("doc_group", "doc_start", "codes", "counts"))
-    lists = back.column("terms").combine_chunks()
-    coded = lists.flatten().dictionary_encode()
-    flat, terms = coded.indices.to_numpy(zero_copy_only=False), coded.dictionary
+        return pa.table({c: pa.array([], pa.string() if c in ("lang", "source") else pa.int64()) for c in ("lang", "source", "id", "n", "docs")})
+    row = {c: block.column(c)[0].as_py() for c in ("lang", "sources", "doc_source", "doc_start", "codes", "counts")}
+    of_doc, starts, steps, counts = (unpack(row[c]) for c in ("doc_source", "doc_start", "codes", "counts"))
+    # numbers were kept as steps from the one before in the same document
+    total = np.cumsum(steps, dtype=np.int64)
+    begin = starts[:-1]
+    before = np.where(begin > 0, total[np.maximum(begin, 1) - 1], 0) if len(total) else np.zeros(len(begin), np.int64)
+    codes = total - np.repeat(before, np.diff(starts))
+    lists = back.column("ids").combine_chunks()
+    lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
+    terms, flat = np.unique(lists.flatten().to_numpy(), return_inverse=True)
     size, first = np.zeros(int(codes.max(initial=0)) + 1, np.int64), np.zeros(int(codes.max(initial=0)) + 1, np.int64)
     at, lengths = back.column("code").to_numpy(), np.diff(lists.offsets.to_numpy())
     size[at], first[at] = lengths, np.cumsum(lengths) - lengths
-    # every (document, chunk) spread over the chunk's terms
-    per = size[codes]
-    within = np.arange(per.sum()) - np.repeat(np.cumsum(per) - per, per)
-    term = flat[np.repeat(first[codes], per) + within].astype(np.int64)
-    doc = np.repeat(np.repeat(np.arange(len(of_doc)), np.diff(starts)), per)
-    keys, _, n = sums(doc * max(1, len(terms)) + term, np.repeat(counts, per))
-    doc, term = np.divmod(keys, max(1, len(terms)))
-    keys, docs, n = sums(of_doc[doc].astype(np.int64) * max(1, len(terms)) + term, n)
-    group, term = np.divmod(keys, max(1, len(terms)))
-    pick = lambda names: pa.array(names, pa.string()).take(pa.array(group))
-    return pa.table({"lang": pick(row["langs"]), "source": pick(row["sources"]), "term": terms.take(pa.array(term)),
-                     "n": pa.array(n, pa.int64()), "docs": pa.array(docs, pa.int64())})
-
-
-def term_counts(docs: DataFrame) -> DataFrame:
-    """(lang, source, term, n, docs): occurrences and documents of every term per group."""
+    found = []
+    for d in range(0, len(of_doc), 1000):
+        # every (document, chunk) spread over the chunk's terms
+        ends = starts[d:d + 1001]
+        mine, per = codes[ends[0]:ends[-1]], size[codes[ends[0]:ends[-1]]]
+        within = np.arange(per.sum()) - np.repeat(np.cumsum(per) - per, per)
+        term = flat[np.repeat(first[mine], per) + within]
+        doc = np.repeat(np.repeat(np.arange(d, d + len(ends) - 1), np.diff(ends)), per)
+        keys, _, n = sums(doc * len(terms) + term, np.repeat(counts[ends[0]:ends[-1]], per))
+        doc, term = np.divmod(keys, len(terms))
+        found.append(sums(of_doc[doc].astype(np.int64) * len(terms) + term, n))
+    keys, _, docs, n = sums(*(np.concatenate(x) for x in zip(*found)))
+    source, term = np.divmod(keys, len(terms))
+    return pa.table({"lang": pa.array([row["lang"]] * len(keys), pa.string()), "source": pa.array(row["sources"], pa.string()).take(pa.array(source)),
+                     "id": pa.array(terms[term], pa.int64()), "n": pa.array(n, pa.int64()), "docs": pa.array(docs, pa.int64())})
+
+
+def term_counts(docs: DataFrame, min_docs: int) -> DataFrame:
+    """(lang, source, term, n, lang_n): occurrences per group and language of the terms that a language keeps."""
     python_ready(docs.sparkSession)
     blocks = stored(docs.mapInArrow(_encoded, _BLOCK), "blocks")
-    held = blocks.select("block", F.posexplode("chunks").alias("code", "chunk"))
-    cut = held.select("chunk").distinct().select(
-        "chunk", F.filter(F.split("chunk", NOT_TERM), lambda t: t != "").alias("terms"))
-    back = held.join(cut.filter(F.size("terms") > 0), "chunk").select(F.col("block").alias("held_in"), "code", "terms")
-    per_block = blocks.drop("chunks").groupBy("block").cogroup(back.groupBy("held_in")).applyInArrow(_counted, _COUNT)
-    return per_block.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+    chunks = blocks.select("lang", F.explode(F.arrays_zip("chunks", "docs")).alias("c")).groupBy("lang", F.col("c.chunks").alias("chunk")).agg(F.sum("c.docs").alias("docs"))
+    cut = stored(chunks.groupBy("chunk").agg(F.collect_list(F.struct("lang", "docs")).alias("langs"))
+                 .select("chunk", "langs", F.filter(F.split("chunk", NOT_TERM), lambda t: t != "").alias("terms")).filter(F.size("terms") > 0), "chunks")
+    # a term has at most as many documents as its chunks together
+    some = cut.select(F.explode("langs").alias("l"), "terms").select("l.lang", "l.docs", F.explode(F.array_distinct("terms")).alias("term")) \
+        .groupBy("lang", "term").agg(F.sum("docs").alias("most")).filter(F.col("most") >= min_docs)
+    some = stored(some.select("lang", "term").withColumn("id", F.monotonically_increasing_id()), "terms")
+
+    numbers = cut.select("chunk", F.explode("langs").alias("l"), "terms").select("chunk", "l.lang", F.explode("terms").alias("term")) \
+        .join(some, ["lang", "term"]).groupBy("lang", "chunk").agg(F.collect_list("id").alias("ids"))
+    held = blocks.select("block", "lang", F.posexplode("chunks").alias("code", "chunk"))
+    back = held.join(numbers, ["lang", "chunk"]).select(F.col("block").alias("in_block"), F.col("lang").alias("in_lang"), "code", "ids")
+    per_block = blocks.drop("chunks", "docs").groupBy("block", "lang").cogroup(back.groupBy("in_block", "in_lang")).applyInArrow(_counted, _COUNT)
+    counts = stored(per_block.groupBy("lang", "source", "id").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs")), "term-counts")
+    kept = counts.groupBy("lang", "id").agg(F.sum("docs").alias("docs"), F.sum("n").alias("lang_n")).filter(F.col("docs") >= min_docs)
+    return counts.select("lang", "source", "id", "n").join(kept.join(some, ["lang", "id"]).select("lang", "id", "term", "lang_n"), ["lang", "id"]) \
+        .select("lang", "source", "term", "n", "lang_n")
 
 
 def share(n: Column, total: Column, kept: Column) -> Column:
@@ -144,10 +175,8 @@ def audit(docs: DataFrame, lang: str = "lang", source: str = "source", text: str
     """(lang, source, part, item, value, rank): part `pair` ranks the other sources of the language by
     their distance, part `term` the group's `top` terms above the language's share."""
     rows = docs.select(*[F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")).alias(n) for c, n in ((lang, "lang"), (source, "source"), (text, "text"))])
-    counts = stored(term_counts(rows), "term-counts")
-    terms = counts.groupBy("lang", "term").agg(F.sum("docs").alias("docs"), F.sum("n").alias("lang_n")).filter(F.col("docs") >= min_docs)
-    kept = stored(counts.select("lang", "source", "term", "n").join(terms.select("lang", "term", "lang_n"), ["lang", "term"]), "kept")
-
+    kept = stored(term_counts(rows, min_docs), "kept")
+    terms = kept.groupBy("lang", "term").agg(F.max("lang_n").alias("lang_n"))
     langs = terms.groupBy("lang").agg(F.count(F.lit(1)).alias("v"), F.sum("lang_n").alias("lang_total"))
     totals = kept.groupBy("lang", "source").agg(F.sum("n").alias("total"))
     zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
