@@ -1,4 +1,5 @@
 """Operators for training-data pipelines: secrets, page extraction, packing,
 chat formatting, quality rules, decontamination, token counts, near-duplicate
-joins, web archives and line dedup. Nothing else in the library imports this
+joins, web archives, line dedup, source divergence, quality classification and phrase
+collocations. Nothing else in the library imports this
 package."""
