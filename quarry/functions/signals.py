@@ -9,7 +9,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from quarry.functions.lines import line_count, split_lines
+from quarry.functions.lines import ends_line, line_count, split_lines
 from quarry.schema import ALLOWED_LICENSES, RATING_PATTERN, LintRules
 
 
@@ -44,15 +44,20 @@ def lint_counts(text, rules: LintRules = LintRules(), raw_lines=None) -> Column:
     t = _c(text)
     raw = split_lines(t) if raw_lines is None else _c(raw_lines)
     zero = F.lit(0).cast("bigint")
+    # a line has no more characters than bytes, whose number is at hand
     per_line_conv = F.aggregate(raw, zero, lambda acc, l: acc
-                                + F.when(F.length(l) > rules.max_line_length, 1).otherwise(0)
+                                + F.when((F.octet_length(l) > rules.max_line_length) & (F.length(l) > rules.max_line_length), 1).otherwise(0)
                                 + F.when(l.endswith(" ") | l.endswith("\t"), 1).otherwise(0))
-    missing_final_nl = F.when((t != "") & ~t.rlike(r"(\r|\n)\z"), 1).otherwise(0)
-    trailing_nls = F.when(t.rlike(r"(\r\n|\r|\n)[ \t]*(\r\n|\r|\n)[ \t\r\n]*\z"), 1).otherwise(0)
+    missing_final_nl = F.when((t != "") & ~ends_line(t), 1).otherwise(0)
+    # two line ends with only spaces and tabs between and after them; \r\n by itself has two
+    blank = lambda l: F.ltrim(l, F.lit(" \t")) == ""
+    n, last = F.size(raw), F.get(raw, F.size(raw) - 1)
+    trailing_nls = F.when(blank(last) & (((n > 2) & blank(F.get(raw, n - 2))) | t.endswith(F.concat(F.lit("\r\n"), last))), 1).otherwise(0)
     too_many = F.when(line_count(t, raw) > rules.max_module_lines, 1).otherwise(0)
     if rules.check_fixme:
-        fixme = F.aggregate(raw, zero, lambda acc, l: acc + F.when(
-            l.contains("#") & l.rlike(r"#.*\b(FIXME|TODO|XXX)\b"), 1).otherwise(0))
+        words = lambda s: s.contains("FIXME") | s.contains("TODO") | s.contains("XXX")
+        fixme = F.when(words(t), F.aggregate(raw, zero, lambda acc, l: acc + F.when(
+            l.contains("#") & words(l) & l.rlike(r"#.*\b(FIXME|TODO|XXX)\b"), 1).otherwise(0))).otherwise(zero)
     else:
         fixme = zero
     conv = per_line_conv + missing_final_nl + trailing_nls + too_many

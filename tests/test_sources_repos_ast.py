@@ -194,3 +194,30 @@ def test_nested_json_export(spark, tmp_path):
     assert n == files.count()
     back = spark.read.json(out)
     assert "complexity" in back.columns and "avg_complexity" in back.schema["complexity"].dataType.fieldNames()
+
+
+def test_ast_pass_holds_a_slice_and_hands_keys_through(spark):
+    import pyarrow as pa
+
+    from quarry.operators import complexity as C
+    types = {"parse_ok": pa.bool_(), "statements": pa.int64()}
+    rows = 2 * C.SLICE + 1
+    batch = pa.RecordBatch.from_pydict({"k": [None, *range(1, rows)], "content": ["x = 1\n"] * rows})
+    out = list(C.analyzed(iter([batch]), ["k"], "content", types))
+    assert [b.num_rows for b in out] == [C.SLICE, C.SLICE, 1]
+    assert [k for b in out for k in b.column(0).to_pylist()] == [None, *range(1, rows)]
+    df = spark.createDataFrame([(None, (1, "a"), "def f(x):\n    return x\n"), (2, None, None)], "k bigint, s struct<a:int,b:string>, content string")
+    got = analyze_ast(df, ["k", "s"])
+    assert "MapInArrow" in got._jdf.queryExecution().executedPlan().toString()
+    assert sorted(((r["k"], r["s"], r["statements"], r["block_names"]) for r in got.collect()), key=str) == [
+        (2, None, 0, []), (None, (1, "a"), 2, ["f"])]
+
+
+def test_scan_visits_no_names_and_constants():
+    import ast
+
+    from quarry.operators import complexity as C
+    src = "import a, b\ntype T = b\ndef f(p, *, q=1):\n    return [y for y in p if q and a] if p else {**q}\n"
+    r = analyze_source(src)
+    assert (r["statements"], r["ast_warnings"], r["block_complexities"]) == (4, 0, [5])
+    assert ast.Name not in C._NODE_TYPES and ast.Constant not in C._NODE_TYPES and ast.Load not in C._NODE_TYPES
