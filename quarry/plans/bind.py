@@ -122,8 +122,9 @@ def python_module(doc_id: Column, text: Column) -> Column:
 
     cycle = constructs[1] + constructs[2] + constructs[3] + constructs[0]   # j % 4 = 1, 2, 3, 0
 
-    def method(line, i):
-        k = F.length(line) - F.length(F.replace(line, F.lit(","), F.lit("")))
+    commas = F.transform(split_lines(text), lambda line: F.length(line) - F.length(F.replace(line, F.lit(","), F.lit(""))))
+
+    def method(k, i):
         rest = F.pmod(k, F.lit(4))
         tail = (F.when(rest == 1, F.lit(constructs[1]))
                 .when(rest == 2, F.lit(constructs[1] + constructs[2]))
@@ -133,7 +134,7 @@ def python_module(doc_id: Column, text: Column) -> Column:
         return F.concat(F.lit("    def m"), i.cast("string"), F.lit("(self, x):\n"), body, F.lit("        return x\n"))
 
     return F.concat(F.lit("class Doc"), doc_id.cast("string"), F.lit(":\n"),
-                    F.array_join(F.transform(split_lines(text), method), ""))
+                    F.array_join(F.transform(commas, method), ""))
 
 
 @session_cached
@@ -179,9 +180,11 @@ def b_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Files with their synthetic source text (`content`) and repo attributes
     including stars (joined from the per-repo aggregate; AQE broadcasts it
     when its measured size is small, else it is a shuffle join)."""
-    repos = b_repos(spark, sf_dir).select(
-        F.col("full_name").alias("repo_full_name"), F.col("stars").alias("repo_stars"))
-    return b_files_core(spark, sf_dir).join(repos, "repo_full_name", "left")
+    return b_files_core(spark, sf_dir).join(_repo_stars(spark, sf_dir), "repo_full_name", "left")
+
+
+def _repo_stars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return b_repos(spark, sf_dir).select(F.col("full_name").alias("repo_full_name"), F.col("stars").alias("repo_stars"))
 
 
 @session_cached
@@ -249,6 +252,13 @@ def b_modules(spark: SparkSession, sf_dir: str) -> DataFrame:
                        python_module(F.col("doc_id"), F.col("text")).alias("content"))
 
 
+@session_cached
+def b_module_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """`b_modules` as a stored table, for queries that look texts up batch by batch."""
+    from quarry.sources.tables import stored
+    return stored(b_modules(spark, sf_dir), "modules")
+
+
 @session_cached
 def b_judged_core(spark: SparkSession, sf_dir: str, th: Thresholds = BIND_THRESHOLDS) -> DataFrame:
     """Signals and verdict of every bound file (no repository join)."""
@@ -257,9 +267,11 @@ def b_judged_core(spark: SparkSession, sf_dir: str, th: Thresholds = BIND_THRESH
 
 @session_cached
 def b_scored_files(spark: SparkSession, sf_dir: str, th: Thresholds = BIND_THRESHOLDS) -> DataFrame:
+    """Files with signals, verdict and repository attributes. Texts are scored where they lie: the
+    repositories are joined behind it, so that no text has to move to the rows of its repository."""
     from quarry.functions.signals import complexity_summary
-    scored = score_and_judge(b_files(spark, sf_dir), th)
-    return scored.withColumn("complexity", complexity_summary(F.col("block_complexities")))
+    scored = score_and_judge(b_files_core(spark, sf_dir), th).withColumn("complexity", complexity_summary(F.col("block_complexities")))
+    return scored.join(_repo_stars(spark, sf_dir), "repo_full_name", "left")
 
 
 LANDING_COLS = ["repo_name", "repo_full_name", "repo_url", "repo_stars", "repo_license",

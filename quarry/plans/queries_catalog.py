@@ -692,7 +692,7 @@ def j3_incremental_scoring(spark, sf):
     landing = B.b_landing(spark, sf)
     for c in ("quality_score", "code_lines", "complexity", "is_suitable", "unsuitable_reason"):
         landing = landing.withColumn(c, F.lit(None).cast(landing.schema[c].dataType))
-    files = replay_landing_batches(spark, _landing_batches(landing), B.b_modules(spark, sf), B.PY_THRESHOLDS)
+    files = replay_landing_batches(spark, _landing_batches(landing), B.b_module_store(spark, sf), B.PY_THRESHOLDS)
     return files.select(*[c.strip() for c in _STREAM_COLS.split(",")])
 
 

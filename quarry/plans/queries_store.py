@@ -124,7 +124,7 @@ def j3_scores_once(spark, sf):
     rows = B.b_landing(spark, sf).filter(_variant() == 0)
     copied = lambda c: F.concat(F.lit("copy/"), F.col(c)).alias(c)
     again = rows.select(*[copied(c) if c in ("file_path", "local_path") else F.col(c) for c in rows.columns])
-    texts = B.b_modules(spark, sf)
+    texts = B.b_module_store(spark, sf)
     texts = texts.unionByName(texts.select(copied("local_path"), "content"))
     root = _fresh(spark, "scores-once")
     for i, batch in enumerate((rows.filter(F.col("lang").isin("de", "en")), rows, again)):

@@ -141,3 +141,17 @@ def test_search_takes_the_limit_before_repositories(spark):
     repos, files = catalog(spark, SF001)
     free = plan(search(files, repos, links(spark, SF001), min_quality=1.0, limit=None))
     assert "Sort [quality_score" not in free and "PushedFilters: [IsNotNull(quality_score), GreaterThanOrEqual(quality_score" in free
+
+
+def test_landing_scores_texts_where_they_lie(spark):
+    """The signals are folded below the shuffle that brings files to their repository."""
+    from quarry.plans import bind as B
+    plan = B.b_landing_plan(spark, SF001)._jdf.queryExecution().executedPlan().toString()
+    exchange = plan.index("Exchange hashpartitioning(repo_full_name")
+    assert "aggregate(" in plan[exchange:] and "aggregate(" not in plan[:exchange]
+
+
+def test_batches_look_texts_up_in_a_stored_table(spark):
+    from quarry.plans import bind as B
+    plan = B.b_module_store(spark, SF001)._jdf.queryExecution().executedPlan().toString()
+    assert "array_join" not in plan and "local_path" in plan
